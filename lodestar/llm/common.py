@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,8 +44,27 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    top = Path(__file__).resolve().parents[2]
+    at = tempfile.mkdtemp(prefix="lodestar-code-")  # the driver serves it to executors from here, as long as it lives
+    atexit.register(shutil.rmtree, at, ignore_errors=True)
+    with zipfile.ZipFile(f"{at}/lodestar_code.zip", "w") as out:
+        for p in sorted((top / "lodestar").rglob("*.py")):
+            out.write(p, p.relative_to(top))
+    sc.addPyFile(f"{at}/lodestar_code.zip")
+
+
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Arrow batches of so many rows, for whole long texts in bounded memory."""
+    """Arrow batches of so many rows, for whole long texts in bounded memory, in workers that know this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
@@ -88,3 +109,39 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+
+
+#: Bound of a broadcast filter of ids: two longs for each word.
+FILTER_WORDS = 1 << 20
+
+
+def only(big: DataFrame, few: DataFrame, key: str, few_key: str) -> DataFrame:
+    """Inner join of big with few; a bounded Bloom filter drops most other rows of big before the shuffle."""
+    n = few.count()
+    words = min(FILTER_WORDS, max(64, 1 << max(0, n // 4).bit_length()))
+
+    def spot(c):
+        h = F.xxhash64(c, F.lit(99))
+        bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, at).bitwiseAND(F.lit(63)).cast("int"))
+        return h.bitwiseAND(F.lit(words - 1)), bit(57).bitwiseOR(bit(51)).bitwiseOR(bit(45))
+
+    word, mask = spot(F.col(few_key))
+    table = few.select(word.alias("__w"), mask.alias("__m")).groupBy("__w").agg(F.bit_or("__m").alias("__m"))
+    word, mask = spot(F.col(key))
+    near = big.join(F.broadcast(table), (word == F.col("__w")) & (F.col("__m").bitwiseAND(mask) == mask)).drop("__w", "__m")
+    return near.join(few, F.col(key) == F.col(few_key))
+
+
+def attach(big: DataFrame, few: DataFrame, key: str, few_key: str) -> DataFrame:
+    """Left join of big with few on a key; rows of big that a bounded Bloom filter rejects pass straight, without a shuffle."""
+    n = few.count()
+    words = min(FILTER_WORDS, max(64, 1 << max(0, n // 4).bit_length()))
+    h = F.xxhash64(F.col(key), F.lit(98))
+    bit = lambda h, at: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, at).bitwiseAND(F.lit(63)).cast("int"))
+    mask = lambda h: bit(h, 57).bitwiseOR(bit(h, 51)).bitwiseOR(bit(h, 45))
+    g = F.xxhash64(F.col(few_key), F.lit(98))
+    table = few.select(g.bitwiseAND(F.lit(words - 1)).alias("__w"), mask(g).alias("__m")).groupBy("__w").agg(F.bit_or("__m").alias("__m"))
+    probed = big.join(F.broadcast(table), h.bitwiseAND(F.lit(words - 1)) == F.col("__w"), "left").withColumn("__hit", F.coalesce(F.col("__m").bitwiseAND(mask(h)) == mask(h), F.lit(False))).drop("__w", "__m")
+    joined = probed.where("__hit").drop("__hit").join(few, F.col(key) == F.col(few_key), "left")
+    alone = probed.where("NOT __hit").drop("__hit").select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in few.schema.fields])
+    return joined.unionByName(alone)

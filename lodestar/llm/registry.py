@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, sharding
+from . import bpe, embed_dedup, exact_dedup, html_extract, langid, minhash, packing, sharding, suffix_dedup
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op3_suffix": suffix_dedup.op3_suffix,
+        "op4_minhash": minhash.op4_minhash,
+        "op5_bpe": bpe.op5_bpe,
+        "op6_langid": langid.op6_langid,
+        "op7_embedding": embed_dedup.op7_embedding,
         "op8_sharding": sharding.op8_sharding,
+        "op9_html": html_extract.op9_html,
+        "op10_packing": packing.op10_packing,
     }
 
 
