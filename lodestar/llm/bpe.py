@@ -9,11 +9,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from functools import lru_cache
+import re
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
-import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
@@ -21,11 +20,16 @@ from pyspark.sql import DataFrame
 
 from .common import small_batches
 
-#: Encodings of pre-tokens that a worker remembers; beyond that it starts anew.
-REMEMBERED = 200_000
+#: Encodings of words that a worker remembers; beyond that it starts anew. Longer words are not remembered.
+REMEMBERED, LONGEST = 400_000, 48
 #: Keys a bucket of the perfect hash, on average.
-A_BUCKET = 4
-M64 = (1 << 64) - 1
+A_BUCKET = 3
+
+
+def _place(x: int, y: int, d: int) -> int:
+    """A new place for each displacement d, from two halves of a key's hash."""
+    z = (x ^ d * 0x9E3779B1) * y & 0xFFFFFFFFFFFFFFF
+    return z ^ z >> 29
 
 
 class PerfectHash:
@@ -39,45 +43,40 @@ class PerfectHash:
         for i, h in enumerate(hashes):
             groups.setdefault(h % self.buckets, []).append(i)
         self.displaced = [0] * self.buckets
-        slots = np.full(n, -1, np.int64)
-        free = None
+        slots, free = [-1] * n, None
         for b, members in sorted(groups.items(), key=lambda g: -len(g[1])):
             if len(members) == 1:  # any free slot does; negative numbers name it
-                if free is None:
-                    free = iter(np.flatnonzero(slots < 0).tolist())
+                free = free or iter([i for i, k in enumerate(slots) if k < 0])
                 at = next(free)
                 self.displaced[b] = -at - 1
                 slots[at] = members[0]
                 continue
+            pairs = [(hashes[i] >> 32, hashes[i] & 0xFFFFFFFF | 1) for i in members]
             d = 0
             while True:
-                places = [self._place(hashes[i], d) for i in members]
-                if len(set(places)) == len(places) and all(slots[p] < 0 for p in places):
+                places = {_place(x, y, d) % n for x, y in pairs}
+                if len(places) == len(pairs) and all(slots[p] < 0 for p in places):
                     break
                 d += 1
             self.displaced[b] = d
-            slots[places] = members
-        self.slots = slots.tolist()
-
-    def _place(self, h: int, d: int) -> int:
-        return ((h >> 17) + (d + 1) * ((h >> 40 | 1) * 0x9E3779B97F4A7C15 & M64 | 1) >> 11 & M64) % self.n
+            for i, (x, y) in zip(members, pairs):
+                slots[_place(x, y, d) % n] = i
+        self.slots = slots
 
     def slot(self, key: bytes) -> int:
         """The only slot in which key can be."""
-        if not self.n:
-            return -1
         h = xxhash.xxh3_64_intdigest(key)
         d = self.displaced[h % self.buckets]
-        return -d - 1 if d < 0 else self._place(h, d)
+        return -d - 1 if d < 0 else _place(h >> 32, h & 0xFFFFFFFF | 1, d) % self.n
 
 
 class Tokenizer:
     """Encodes text and decodes ids by the ranks of a vocabulary file."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, hash_: PerfectHash | None = None):
         keys = list(ranks)
         self.ranks = ranks
-        self.hash = PerfectHash(keys)
+        self.hash = hash_ or PerfectHash(keys)
         self.keys = [keys[i] for i in self.hash.slots]
         self.ids = [ranks[k] for k in self.keys]
         self.words = {i: k for k, i in ranks.items()}
@@ -85,14 +84,33 @@ class Tokenizer:
         tokenizer = self
 
         class Memory(dict):
-            def __missing__(self, token: str) -> tuple:
-                ids = tokenizer.token(token.encode("utf-8", "replace"))
-                if len(token) < 64:
-                    self[token] = ids
-                return ids
+            """(ids, ids in decimal after spaces, decoded bytes) of a word after a space."""
+
+            def __missing__(self, word: str) -> tuple:
+                found = tokenizer.entry(" " + word)
+                if len(word) <= LONGEST:
+                    self[word] = found
+                return found
 
         self.memory = Memory()
 
+    def entry(self, text: str) -> tuple:
+        ids = tuple(chain.from_iterable(self.token(t.encode("utf-8", "replace")) for t in self.split(text)))
+        return ids, "".join([f" {i}" for i in ids]), self.decode(ids)
+
+    def entries(self, text: str):
+        """The entries of a text's words, in order.
+
+        The pattern never joins what stands before a space to what follows it, unless white space
+        surrounds that space; texts that have such a place are taken whole.
+        """
+        if len(self.memory) > REMEMBERED:
+            self.memory.clear()
+        if _BLANKS.search(text):
+            return [self.entry(text)]
+        first, *rest = text.split(" ")
+        return [self.entry(first), *map(self.memory.__getitem__, rest)]
+
     def token(self, token: bytes) -> tuple:
         """Ids of one pre-token."""
         at = self.hash.slot(token)
@@ -126,22 +144,39 @@ class Tokenizer:
         return tuple(out)
 
     def encode(self, text: str) -> list[int]:
-        if len(self.memory) > REMEMBERED:
-            self.memory.clear()
-        return list(chain.from_iterable(map(self.memory.__getitem__, self.split(text))))
+        return [i for ids, _, _ in self.entries(text) for i in ids]
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids) -> bytes:
         return b"".join(map(self.words.__getitem__, ids))
 
 
-@lru_cache(2)
-def tokenizer(path: str | None = None) -> Tokenizer:
-    """The tokenizer of a .tiktoken file, once for each worker."""
+#: A space between white space, or between white space and the end.
+_BLANKS = re.compile(r"\s \s|\s \Z")
+_hashes: dict = {}
+
+
+def _ranks(path: str | None) -> tuple[dict[bytes, int], str]:
     import public_tokenizers as public
 
     with open(path or public.path("byte_bpe_50k.tiktoken"), "rb") as lines:
-        ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
-    return Tokenizer(ranks, public.PATTERN)
+        return {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}, public.PATTERN
+
+
+def perfect_hash(path: str | None = None) -> PerfectHash:
+    """Built once on the driver, and sent to the workers."""
+    if path not in _hashes:
+        _hashes[path] = PerfectHash(list(_ranks(path)[0]))
+    return _hashes[path]
+
+
+_tokenizers: dict = {}
+
+
+def tokenizer(path: str | None = None, hash_: PerfectHash | None = None) -> Tokenizer:
+    """The tokenizer of a .tiktoken file, once for each worker."""
+    if path not in _tokenizers:
+        _tokenizers[path] = Tokenizer(*_ranks(path), hash_ or perfect_hash(path))
+    return _tokenizers[path]
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
@@ -152,9 +187,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     repeated results, and an empty table gives an empty one.
     """
     small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(perfect_hash(vocabulary))
 
     def run(batches):
-        own = tokenizer(vocabulary)
+        own = tokenizer(vocabulary, shared.value)
         for batch in batches:
             ids = [own.encode(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["__id", "ids"])
@@ -166,17 +202,17 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """encode() and decode() in one pass, giving n_tokens and the SHA-256 of the ids and of the decoded bytes."""
     small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(perfect_hash(vocabulary))
 
     def run(batches):
-        own = tokenizer(vocabulary)
-        shown = {i: str(i) for i in own.words}.__getitem__
+        own = tokenizer(vocabulary, shared.value)
         for batch in batches:
             counts, ids_sha, text_sha = [], [], []
             for text in batch.column(1):
-                ids = own.encode(text.as_py() or "")
-                counts.append(len(ids))
-                ids_sha.append(hashlib.sha256(" ".join(map(shown, ids)).encode()).hexdigest())
-                text_sha.append(hashlib.sha256(own.decode(ids)).hexdigest())
+                parts = own.entries(text.as_py() or "")
+                counts.append(sum([len(ids) for ids, _, _ in parts]))
+                ids_sha.append(hashlib.sha256("".join([shown for _, shown, _ in parts])[1:].encode()).hexdigest())
+                text_sha.append(hashlib.sha256(b"".join([word for _, _, word in parts])).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["__id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()

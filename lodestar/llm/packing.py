@@ -8,6 +8,7 @@ tree ends when a level joins almost nothing more, so no task ever holds more tha
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from functools import lru_cache
@@ -20,6 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, written
 
+#: Words whose ids a worker remembers; beyond that it starts anew.
+REMEMBERED = 400_000
+#: A space between white space, or between white space and the end.
+_BLANKS = re.compile(r"\s \s|\s \Z")
 #: Most items that one task packs, and the share of them by which a level must shrink to be followed by another.
 GROUP, LEAST = 100_000, 0.002
 
@@ -44,11 +49,19 @@ def pieces(docs: DataFrame, capacity: int, end_id: int, vocabulary: str | None,
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         own = _tokenizer(vocabulary or public.path("byte_bpe_50k.json"))
+        end, memory = np.uint32(end_id).tobytes(), {}
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            # a word after a space has the same ids wherever it stands, unless white space surrounds that space
+            words = [[t] if _BLANKS.search(t) else t.split(" ") for t in ((t or "") for t in batch.column(1).to_pylist())]
+            if len(memory) > REMEMBERED:
+                memory = {}
+            new = list({w for ws in words for w in ws[1:]} - memory.keys())
+            firsts = [ws[0] for ws in words]
+            found = [np.array(e.ids, "<u4").tobytes() for e in own.encode_batch_fast([*firsts, *(" " + w for w in new)], add_special_tokens=False)]
+            memory.update(zip(new, found[len(firsts) :]))
             took, starts, lengths, sums, nth = [], [], [], [], []
-            for row, e in enumerate(own.encode_batch_fast(texts, add_special_tokens=False)):
-                ids = np.array([*e.ids, end_id], "<u4")
+            for row, ws in enumerate(words):
+                ids = np.frombuffer(b"".join([found[row], *map(memory.__getitem__, ws[1:]), end]), "<u4")
                 first = len(ids) % capacity or capacity  # the first piece may be shorter
                 edges = [0, *range(first, len(ids) + 1, capacity)]
                 for k, (a, b) in enumerate(zip(edges, edges[1:])):
