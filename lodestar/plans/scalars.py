@@ -1,0 +1,240 @@
+"""Queries of the scalar functions, over whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import dates, text
+from .adapters import AS_OF, PAGES, pages, table
+from .registry import query
+
+STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
+TOKENS = f"list_filter(regexp_extract_all(regexp_replace(lower({{}}), '-{{{{2,}}}}', '-', 'g'), '{text.TOKEN.replace('{', '{{').replace('}', '}}')}'), lambda t: t NOT IN ({STOP}))"
+
+
+def tokens_sql(c: str) -> str:
+    return TOKENS.format(c)
+
+
+def over_documents(spark, sf_dir, **columns):
+    """doc_id and the given expressions of t, the text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    return docs.select("doc_id", *[c.alias(n) for n, c in columns.items()])
+
+
+def sql_documents(**columns: str) -> str:
+    return "SELECT doc_id, " + ", ".join(f"{c} AS {n}" for n, c in columns.items()) + " FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)"
+
+
+@query("t1_tokenize", sql_documents(n=f"CAST(len({tokens_sql('t')}) AS BIGINT)", digest=f"sha256(array_to_string({tokens_sql('t')}, ' '))"))
+def t1(spark, sf):
+    found = text.tokens("t")
+    return over_documents(spark, sf, n=F.size(found).cast("long"), digest=F.sha2(F.array_join(found, " "), 256))
+
+
+def _linked():
+    return F.concat(F.lit("see [[Concepts/Doc-"), F.col("doc_id").cast("string"), F.lit(".md|that]] and `[[code]]` ![[picture]] [[ plain ]] "), F.substring("t", 1, 200))
+
+
+@query("t2_wikilinks", sql_documents(links="'concepts/doc-' || doc_id || ',plain'"))
+def t2(spark, sf):
+    return over_documents(spark, sf, links=F.array_join(text.wikilinks(_linked()), ","))
+
+
+@query("t3_without_code", sql_documents(digest="sha256('a   b   c' || t)"))
+def t3(spark, sf):
+    s = F.concat(F.lit("a ```\nx\n``` b `x` c"), F.replace(F.col("t"), F.lit("`"), F.lit("")))
+    return over_documents(spark, sf, digest=F.sha2(text.without_code(s), 256))
+
+
+@query("t4_raw_refs", sql_documents(refs="'raw/articles/' || doc_id || '.md,raw/x.PDF'"))
+def t4(spark, sf):
+    mention = F.concat(F.lit("from raw/articles/"), F.col("doc_id").cast("string"), F.lit(".md, raw/x.PDF; not http://a/raw/b.md nor raw/../c.md"))
+    return over_documents(spark, sf, refs=F.array_join(text.raw_refs(mention), ","))
+
+
+@query("t5_frontmatter", sql_documents(head="'title: d' || doc_id", digest="sha256(t)"))
+def t5(spark, sf):
+    head, body = text.frontmatter(F.concat(F.lit("---\ntitle: d"), F.col("doc_id").cast("string"), F.lit("\n---\n"), F.col("t")))
+    return over_documents(spark, sf, head=head, digest=F.sha2(body, 256))
+
+
+_SLUG = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(title)), '([\\p{L}\\p{N}_])\\+\\+', '\\1plus', 'g'), '([\\p{L}\\p{N}_])#', '\\1sharp', 'g'), '(\\p{N})\\.(\\p{N})', '\\1-\\2', 'g'), '[^\\p{L}\\p{N}_\\s-]', '', 'g'), '[\\s_]+', '-', 'g'), '-{2,}', '-', 'g'), '^-+|-+$', '', 'g')"
+
+
+@query("t6_slug", f"WITH {PAGES} SELECT id, CASE WHEN {_SLUG} = '' THEN 'untitled-' || substr(sha256(lower(trim(title))), 1, 6) ELSE {_SLUG} END AS slug FROM pages_")
+def t6(spark, sf):
+    return pages(spark, sf).select("id", text.slug("title").alias("slug"))
+
+
+@query("t7_yaml_escape", sql_documents(digest="sha256(replace(replace(replace(t, '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n'))"))
+def t7(spark, sf):
+    return over_documents(spark, sf, digest=F.sha2(text.yaml_escaped("t"), 256))
+
+
+@query("t8_field", sql_documents(n="CAST(least(length(trim(t)), 2012) AS BIGINT)", head="substr(trim(t), 1, 50)"))
+def t8(spark, sf):
+    s = text.field(F.concat(F.lit("<!-- hidden -->"), F.col("t"), F.lit("\n---\n## heading\n")))
+    return over_documents(spark, sf, n=F.char_length(s).cast("long"), head=F.substring(s, 1, 50))
+
+
+@query("t9_display", sql_documents(digest="sha256(replace(replace('(a)-' || t, '|', '-'), chr(10), ' '))"))
+def t9(spark, sf):
+    return over_documents(spark, sf, digest=F.sha2(text.display(F.concat(F.lit("[a]|"), F.col("t"))), 256))
+
+
+@query("t10_shorten", sql_documents(digest="sha256(CASE WHEN length(t) <= 200 THEN t ELSE substr(t, 1, 80) || ' ...[' || (length(t) - 160) || ' chars elided]... ' || right(t, 80) END)"))
+def t10(spark, sf):
+    return over_documents(spark, sf, digest=F.sha2(text.shortened("t", 200), 256))
+
+
+@query("t12_content_hash", sql_documents(hash="substr(sha256(regexp_replace(t, '\\r\\n?', chr(10), 'g')), 1, 32)"))
+def t12(spark, sf):
+    return over_documents(spark, sf, hash=text.content_hash("t"))
+
+
+@query("t13_content_words", sql_documents(n="CAST(len(list_distinct(list_filter(regexp_split_to_array(lower(t), '\\s+'), lambda w: length(w) > 2))) AS BIGINT)"))
+def t13(spark, sf):
+    return over_documents(spark, sf, n=F.size(text.content_words("t")).cast("long"))
+
+
+@query("t14_significant", sql_documents(n=f"CAST(len(list_distinct(list_filter(regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}_]{{3,}}'), lambda w: w NOT IN ({STOP})))) AS BIGINT)"))
+def t14(spark, sf):
+    words = F.filter(text.significant("t"), lambda w: F.char_length(w) > 2)
+    return over_documents(spark, sf, n=F.size(words).cast("long"))
+
+
+TERMS15 = "list_distinct(list_filter(list_transform(regexp_split_to_array(lower({}), '\\s+'), lambda w: regexp_replace(w, '[^\\p{{L}}\\p{{N}}_]', '', 'g')), lambda w: length(w) > 4 AND NOT regexp_matches(w, '^\\p{{N}}+$')))"
+
+
+@query("t15_connection_terms", sql_documents(n=f"CAST(len({TERMS15.format('t')}) AS BIGINT)"))
+def t15(spark, sf):
+    return over_documents(spark, sf, n=F.size(text.connection_terms("t")).cast("long"))
+
+
+@query("t17_citations", sql_documents(cited="'raw:raw/a' || doc_id || '.md,wiki:concepts/b'"))
+def t17(spark, sf):
+    s = F.concat(F.lit("x [source: raw/a"), F.col("doc_id").cast("string"), F.lit(".md] y [[concepts/b]] z [[concepts/b]] [ref: ../c] [ref: .hidden]"))
+    return over_documents(spark, sf, cited=F.array_join(F.transform(text.citations(s), lambda c: F.concat(c["kind"], F.lit(":"), c["path"])), ","))
+
+
+@query("t19_callouts", "SELECT doc_id, length(t) - length(replace(t, chr(10), '')) + 2 AS line, 'gap' AS marker FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WHERE length(t) < 1000000")
+def t19(spark, sf):
+    docs = over_documents(spark, sf, t=F.concat(F.col("t"), F.lit("\n> [!GAP] more\nnot > [!stale] here")))
+    return docs.select("doc_id", F.explode(text.callouts("t")).alias("c")).select("doc_id", F.col("c.line").cast("long").alias("line"), F.col("c.marker").alias("marker"))
+
+
+@query("t20_unmarked", sql_documents(digest="sha256('see that and b ' || t)"))
+def t20(spark, sf):
+    return over_documents(spark, sf, digest=F.sha2(text.unmarked(F.concat(F.lit("see [[a|that]] and [[b]] "), F.col("t"))), 256))
+
+
+@query("t23_redact_paths", sql_documents(digest="sha256('at <path> ' || t)"))
+def t23(spark, sf):
+    return over_documents(spark, sf, digest=F.sha2(text.redacted_paths(F.concat(F.lit("at /home/me/x.py "), F.col("t"))), 256))
+
+
+@query("t24_redact_secrets", sql_documents(digest="sha256(" + "".join("regexp_replace(" for _ in text.REDACTIONS) + "t" + "".join(f", '{p}', '[REDACTED:{n}]', 'g')" for n, p in text.REDACTIONS) + ")"))
+def t24(spark, sf):
+    return over_documents(spark, sf, digest=F.sha2(text.redacted("t"), 256))
+
+
+_RE2 = {label: pattern.replace("(?=[A-Za-z0-9._~+/=-]*[0-9._/+=])", "") for label, pattern in text.SECRETS}
+_CASES = " ".join(f"WHEN regexp_matches(s, '{p.replace(chr(39), chr(39) * 2)}') THEN '{label}'" for label, p in _RE2.items())
+
+
+@query("t25_secrets", f"SELECT doc_id, CASE {_CASES} END AS label FROM (SELECT doc_id, replace(coalesce(text, ''), 'token = ', chr(10) || 'token = ') AS s FROM documents)")
+def t25(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", F.replace(F.coalesce("text", F.lit("")), F.lit("token = "), F.lit("\ntoken = ")).alias("s"))
+    return docs.select("doc_id", text.secret_label("s").alias("label"))
+
+
+@query("t27_verbatim", sql_documents(found="length(t) >= 10"))
+def t27(spark, sf):
+    body = F.when(F.char_length("t") >= 10, F.concat(F.lit("  "), F.substring("t", 5, 6))).otherwise("no such passage")
+    return over_documents(spark, sf, found=F.contains("t", F.ltrim(body)))
+
+
+_LONG = "len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda w: length(w) > 3)) < 5"
+
+
+@query("t29_should_rewrite", f"SELECT conv_id, turn, CASE WHEN regexp_matches(trim(text), '(?i)(^|[^\\p{{L}}\\p{{N}}_])(?:{'|'.join(text.DEICTIC)})([^\\p{{L}}\\p{{N}}_]|$)') THEN true ELSE {_LONG} END AS rewrite FROM conversations WHERE role = 'user'")
+def t29(spark, sf):
+    return table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", text.should_rewrite("text").alias("rewrite"))
+
+
+@query("t30_safe_rewrite", "SELECT conv_id, turn, NOT contains(text, chr(10)) AND NOT regexp_matches(text, '(?i)^(?:here|sure|the rewritten|rewritten|standalone)\\b') AND length(text) <= least(500, greatest(3 * length(left(text, 50)), 120)) AND trim(text) <> '' AS safe FROM conversations")
+def t30(spark, sf):
+    c = table(spark, sf, "conversations").withColumn("q", F.substring("text", 1, 50))
+    return c.select("conv_id", "turn", text.safe_rewrite("q", "text").alias("safe"))
+
+
+@query("t31_echo", "SELECT conv_id, turn, lower(trim(regexp_replace(text, '[^\\p{L}\\p{N}_\\s]+', ' ', 'g'))) AS echo FROM conversations")
+def t31(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", text.echo("text").alias("echo"))
+
+
+@query("t35_evidence", f"WITH {PAGES} SELECT id, '- ' || updated || ' | ' || source || ' | `a|b`' AS line FROM pages_")
+def t35(spark, sf):
+    return pages(spark, sf).select("id", text.evidence_line("updated", F.col("source"), F.lit("a|b")).alias("line"))
+
+
+def _hosts():
+    return F.expr("element_at(array('https://arxiv.org/abs/1', 'http://en.wikipedia.org/wiki/x', 'https://github.com/a/b', 'https://evilgithub.com/', 'raw/articles/a.md', 'https://huggingface.co:443/m'), cast(n % 6 + 1 as int))")
+
+
+@query("d1_decay", f"WITH {PAGES} SELECT id, [1095, 1460, 180, 90, 90, 120][CAST(n % 6 + 1 AS INT)] AS days FROM pages_")
+def d1(spark, sf):
+    return pages(spark, sf).select("id", dates.decay_days(_hosts()).alias("days"))
+
+
+@query("d2_volatility", f"WITH {PAGES} SELECT id, CASE WHEN n % 3 = 0 THEN 1.1 ELSE 1.0 END::DOUBLE AS factor, CASE WHEN n % 3 = 0 THEN 99 ELSE 90 END AS days FROM pages_")
+def d2(spark, sf):
+    topics = F.expr("CASE WHEN n % 3 = 0 THEN concat('An LLM, ', title) ELSE concat('reactor ', title) END")
+    return pages(spark, sf).select("id", dates.volatility(topics).alias("factor"), dates.decay_days(F.col("source"), topics).alias("days"))
+
+
+@query("d6_week", "SELECT event_id, strftime(date_trunc('week', ts), '%Y-%m-%d') AS week FROM events")
+def d6(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.date_format(F.date_trunc("week", F.col("ts").cast("timestamp")), "yyyy-MM-dd").alias("week"))
+
+
+@query("d5_timestamps", "SELECT event_id, epoch_us(ts) // 1000000 AS at FROM events")
+def d5(spark, sf):
+    shown = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss")
+    shown = F.when(F.col("event_id") % 2 == 0, F.concat(shown, F.lit("Z"))).otherwise(shown)
+    return table(spark, sf, "events").select("event_id", dates.parsed(shown).cast("long").alias("at"))
+
+
+@query("d9_similarity", "SELECT vec_id, round(1 / (1 + (vec_id % 40) / 10.0), 4)::DOUBLE AS similarity FROM embeddings WHERE 1 / (1 + (vec_id % 40) / 10.0) >= 0.3")
+def d9(spark, sf):
+    d = table(spark, sf, "embeddings").withColumn("s", dates.similarity(F.col("vec_id") % 40 / 10))
+    return d.where("s >= 0.3").select("vec_id", F.col("s").alias("similarity"))
+
+
+@query("p1_frontmatter_errors", f"WITH {PAGES} SELECT id, concat_ws('; ', CASE WHEN n % 13 = 0 THEN 'missing title' END, CASE WHEN n % 19 = 0 THEN 'invalid updated' END, CASE WHEN n % 7 = 0 THEN 'invalid confidence' END) AS errors FROM pages_ WHERE n % 13 = 0 OR n % 19 = 0 OR n % 7 = 0")
+def p1(spark, sf):
+    from ..operators.lint import frontmatter_errors
+
+    p = pages(spark, sf).withColumns({"title": F.expr("CASE WHEN n % 13 = 0 THEN '' ELSE concat('t ', title) END"), "updated": F.expr("CASE WHEN n % 19 = 0 THEN 'soon' ELSE updated END"), "confidence": F.expr("CASE WHEN n % 7 = 0 THEN 'sure' ELSE confidence END"), "created": F.lit("2024-01-01")})
+    return p.select("id", F.array_join(frontmatter_errors(), "; ").alias("errors")).where("errors <> ''")
+
+
+@query("p5_allowlist", "SELECT page_id, regexp_matches(url, '^https?://([^/@]*@)?([^/]*\\.)?example\\.com([:/?#]|$)') AS allowed FROM pages")
+def p5(spark, sf):
+    return table(spark, sf, "pages").select("page_id", dates.allowed("url", ["example.com"]).alias("allowed"))
+
+
+@query("p2_page_ids", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'climbs' WHEN doc_id % 5 = 1 THEN 'absolute' WHEN doc_id % 5 = 2 THEN 'empty' WHEN doc_id % 5 = 3 THEN 'too long' END AS reason FROM documents")
+def p2(spark, sf):
+    from ..operators.lint import page_id_fault
+
+    given = F.expr("CASE WHEN doc_id % 5 = 0 THEN concat('a/../', doc_id) WHEN doc_id % 5 = 1 THEN concat('/a', doc_id) WHEN doc_id % 5 = 2 THEN ' ' WHEN doc_id % 5 = 3 THEN repeat('x', 201) ELSE concat('concepts/doc-', doc_id) END")
+    return over_documents(spark, sf, reason=page_id_fault(given))
+
+
+@query("l5_staleness", f"WITH {PAGES} SELECT id, 'info' AS severity FROM pages_ WHERE CAST(updated AS DATE) < DATE '{AS_OF}' - 90")
+def l5(spark, sf):
+    from ..operators.lint import stale
+
+    return stale(pages(spark, sf), AS_OF).select("id", "severity")
