@@ -1,23 +1,52 @@
-"""A corpus pipeline of the operators in lodestar.llm."""
+"""A corpus pipeline of the operators in lodestar.llm: from documents to packed token sequences."""
 
 from __future__ import annotations
 
-from lodestar.llm import exact_dedup
+from pyspark.sql import functions as F
+
+from lodestar.llm import exact_dedup, langid, minhash, packing, suffix_dedup
 from lodestar.llm.common import written
 
+#: Least share of a document that its main language must have.
+SHARE = 0.5
+
+
+def language(spark, docs, sf_dir):
+    """Documents without a letter, or without a main language, go. The model is learned from the labelled ones."""
+    model = langid.train(docs.select("doc_id", "text", "lang"))
+    found = langid.identify(docs, model)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= SHARE)).select(*docs.columns)
+
 
 def exact(spark, docs, sf_dir):
-    """One document of each group of equal texts stays."""
+    """One document of each group of equal texts stays, that of the largest id."""
     return exact_dedup.survivors(docs)
 
 
-STAGES = [("exact dedup", exact)]
-#: SQL cannot express language ID, the sketches or the packing; tests/llm holds it against brute force.
+def near(spark, docs, sf_dir):
+    """One document of each group of near duplicates stays, that of the smallest id."""
+    return minhash.survivors(docs)
+
+
+def passages(spark, docs, sf_dir):
+    """Passages of 50 bytes and more that a document of smaller id has too are cut out; no document goes."""
+    cut = suffix_dedup.without_passages(docs)
+    return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def packed(spark, docs, sf_dir):
+    """Sequences of 1024 tokens at most."""
+    return packing.pack(docs)
+
+
+STAGES = [("language ID", language), ("exact dedup", exact), ("MinHash near-dedup", near), ("suffix-array dedup", passages), ("best-fit packing", packed)]
+#: SQL cannot express language ID, the sketches or the packing; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
+    """The packed pieces of all documents that stay, after every stage was written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), "stage")
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

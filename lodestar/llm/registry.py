@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, embed_dedup, exact_dedup, html_extract, langid, minhash, packing, sharding, suffix_dedup
+from . import bpe, embed_dedup, exact_dedup, html_extract, langid, license_scan, minhash, packing, sharding, suffix_dedup
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op2_license": license_scan.op2_license,
         "op3_suffix": suffix_dedup.op3_suffix,
         "op4_minhash": minhash.op4_minhash,
         "op5_bpe": bpe.op5_bpe,

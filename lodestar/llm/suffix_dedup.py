@@ -280,7 +280,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     id; strings are judged on the input and never cross documents. Null counts as empty; empty and
     short texts keep all. Rows of null id lose nothing and take nothing from others. Rows of equal
     id take nothing from each other. With `texts`, the column kept_text has the remaining bytes as
-    a string, in which a character cut in two shows as U+FFFD. Other columns are not read; an empty
+    a string, without the rests of characters cut in two. Other columns are not read; an empty
     table gives an empty result.
     """
     spark = docs.sparkSession
@@ -311,7 +311,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 rest = b"".join(data[a:b] for a, b in zip([0, *pairs[:, 1].tolist()], [*pairs[:, 0].tolist(), len(data)]))
                 removed.append(len(data) - len(rest)), n_spans.append(len(pairs)), shas.append(hashlib.sha256(rest).hexdigest())
                 ranges.append([{"start": a, "end": b} for a, b in pairs.tolist()])
-                kept_texts.append(rest.decode("utf-8", "replace") if texts else None)
+                kept_texts.append(rest.decode("utf-8", "ignore") if texts else None)
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(shas, pa.string()), pa.array(ranges, kind), pa.array(kept_texts, pa.string())], names=["i", "d", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text"])
 
@@ -328,6 +328,15 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
 
 
+def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50) -> DataFrame:
+    """docs with repeated passages cut out of the text; rows that lose nothing pass without a shuffle of their text."""
+    found = repeated_passages(docs, id_col, text_col, width, texts=True).where("n_removed > 0")
+    lost = written(found.select(F.struct(F.col(id_col).alias("id"), "digest").alias("__key"), F.col("kept_text").alias("__rest")).dropDuplicates(["__key"]), "rests")
+    keyed = docs.withColumn("__own", F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("digest")))
+    out = attach(keyed, lost, "__own", "__key")
+    return out.select(*[F.when(F.col("__key").isNotNull(), F.col("__rest")).otherwise(F.col(c)).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+
+
 def op3_suffix(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return repeated_passages(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
