@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 
 def arrivals(spark: SparkSession, path: str, schema) -> DataFrame:
     """Parquet files as they come; a file is read once for each checkpoint."""
@@ -29,6 +31,8 @@ def weekly_verdicts(verdicts: DataFrame, delay: str = "1 day") -> DataFrame:
 def limited(calls: DataFrame, cap: int, seconds: int = 3600) -> DataFrame:
     """(entry, accepted) of a stream of calls (key, entry, at): a sliding window for each key, kept as state."""
 
+    ship(calls.sparkSession)
+
     def fold(key, batches: Iterator[pd.DataFrame], state):
         live = list(state.get[0]) if state.exists else []
         for calls in batches:
