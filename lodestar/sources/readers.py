@@ -40,7 +40,7 @@ def pages(spark: SparkSession, root: str) -> DataFrame:
     if not found:
         return spark.createDataFrame([], "id string, metadata map<string,string>, content string, modified timestamp")
     raw = _files(spark, found, "*.md")
-    head, body = text.frontmatter(F.decode("content", F.lit("UTF-8")))
+    head, body = text.frontmatter(F.decode("content", "UTF-8"))
     fields = F.filter(F.split(head, "\n"), lambda line: line.rlike(r"^[A-Za-z_]+:"))
     entries = F.transform(fields, lambda line: F.struct(F.trim(F.substring_index(line, ":", 1)).alias("k"), F.regexp_replace(F.trim(F.regexp_replace(line, r"^[^:]*:", "")), r"^[\"']|[\"']$", "").alias("v")))
     firsts = F.map_from_entries(F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, 1, i), lambda x: x["k"] == e["k"])))
@@ -55,14 +55,14 @@ def raw_sources(spark: SparkSession, root: str) -> DataFrame:
         return spark.createDataFrame([], "ref string, kind string, bytes long, hash string")
     raw = _files(spark, found, f"*.{{{','.join(EXTENSIONS)}}}")
     ref = F.concat(F.lit("raw/"), F.regexp_extract("path", r"/raw/(.+)$", 1))
-    body = F.decode("content", F.lit("UTF-8"))
+    body = F.decode("content", "UTF-8")
     return raw.select(ref.alias("ref"), source_type(ref).alias("kind"), F.col("length").alias("bytes"), text.content_hash(body).alias("hash"))
 
 
 def raw_texts(spark: SparkSession, root: str) -> DataFrame:
     """(id, title, content) of Markdown sources of at most LARGEST bytes, for search; hidden folders and assets are left out."""
     raw = _files(spark, [f"{root}/raw"], "*.md", deep=True).where((F.col("length") <= LARGEST) & ~F.col("path").rlike(r"/raw/(?:assets|\.[^/]*)/"))
-    _, body = text.frontmatter(F.decode("content", F.lit("UTF-8")))
+    _, body = text.frontmatter(F.decode("content", "UTF-8"))
     return raw.select(F.concat(F.lit("raw/"), F.regexp_extract("path", r"/raw/(.+)$", 1)).alias("id"), F.lit("").alias("title"), F.lower(body).alias("content"))
 
 
