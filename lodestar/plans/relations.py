@@ -256,9 +256,10 @@ def l8(spark, sf):
     return lint.authored_drift(p)
 
 
-@query("l12_alike_slugs", f"WITH {PAGES}, s AS (SELECT DISTINCT 'p-' || lower(replace(substr(title, 1, 12), '_', '-')) AS id FROM pages_ WHERE length(title) > 0) SELECT a.id, b.id AS id2, CAST(levenshtein(a.id, b.id) AS INT) AS distance FROM s a JOIN s b ON a.id < b.id AND abs(length(a.id) - length(b.id)) <= 3 WHERE levenshtein(a.id, b.id) BETWEEN 1 AND 3")
+@query("l12_alike_slugs", f"WITH {PAGES}, s AS (SELECT DISTINCT 'p-' || regexp_replace(lower(substr(title, 1, 12)), '[^a-z. -]', 'x', 'g') AS id FROM pages_ WHERE length(title) > 0) SELECT a.id, b.id AS id2, CAST(levenshtein(a.id, b.id) AS INT) AS distance FROM s a JOIN s b ON a.id < b.id AND abs(length(a.id) - length(b.id)) <= 3 WHERE levenshtein(a.id, b.id) BETWEEN 1 AND 3")
 def l12(spark, sf):
-    ids = pages(spark, sf).where("title <> ''").select(F.concat(F.lit("p-"), F.lower(F.replace(F.substring("title", 1, 12), F.lit("_"), F.lit("-")))).alias("id")).distinct()
+    """Letters beyond ASCII become x, as the distance is one of bytes in the other engine."""
+    ids = pages(spark, sf).where("title <> ''").select(F.concat(F.lit("p-"), F.regexp_replace(F.lower(F.substring("title", 1, 12)), "[^a-z. -]", "x")).alias("id")).distinct()
     return lint.alike_slugs(ids)
 
 
