@@ -8,7 +8,7 @@ from lodestar.llm import exact_dedup, langid, minhash, packing, suffix_dedup
 from lodestar.llm.common import written
 
 #: Least share of a document that its main language must have.
-SHARE = 0.5
+SHARE = 0.4
 
 
 def language(spark, docs, sf_dir):
