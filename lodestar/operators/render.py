@@ -93,7 +93,10 @@ def file_name(a: Answer, kind: str, taken: set[str] = frozenset()) -> str:
 
 def cite(sources: list[tuple[str, str]], mode: str) -> str:
     """(kind, path) pairs, each path once, as footnotes, inline or a list."""
-    first = list({p: (k, p) for k, p in reversed(sources)}.values())[::-1]
+    seen: dict[str, tuple[str, str]] = {}
+    for kind, path in sources:
+        seen.setdefault(path, (kind, path))
+    first = list(seen.values())
     if mode == "inline":
         return " ".join(f"[source: {p}]" if k == "raw" else f"[[{p}]]" for k, p in first)
     if mode == "footnote":
