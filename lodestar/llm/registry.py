@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.SQL}
+    return {"op1_exact_dedup": exact_dedup.SQL, "op3_suffix": suffix_dedup.SQL, "op4_minhash": minhash.SQL, "op7_embedding": embed_dedup.SQL}
