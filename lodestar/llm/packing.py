@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from functools import lru_cache
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, written
 
 #: Words whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 #: A space between white space, or between white space and the end.
 _BLANKS = re.compile(r"\s \s|\s \Z")
 #: Most items that one task packs, and the share of them by which a level must shrink to be followed by another.
@@ -55,13 +56,15 @@ def pieces(docs: DataFrame, capacity: int, end_id: int, vocabulary: str | None,
             words = [[t] if _BLANKS.search(t) else t.split(" ") for t in ((t or "") for t in batch.column(1).to_pylist())]
             if len(memory) > REMEMBERED:
                 memory = {}
-            new = list({w for ws in words for w in ws[1:]} - memory.keys())
-            firsts = [ws[0] for ws in words]
-            found = [np.array(e.ids, "<u4").tobytes() for e in own.encode_batch_fast([*firsts, *(" " + w for w in new)], add_special_tokens=False)]
-            memory.update(zip(new, found[len(firsts) :]))
+            known = [list(map(memory.get, ws[1:])) for ws in words]
+            new = list({w for ws, ids in zip(words, known) if None in ids for w, x in zip(ws[1:], ids) if x is None})
+            found = [array("I", e.ids).tobytes() for e in own.encode_batch_fast([*(ws[0] for ws in words), *(" " + w for w in new)], add_special_tokens=False)]
+            memory.update(zip(new, found[len(words) :]))
             took, starts, lengths, sums, nth = [], [], [], [], []
-            for row, ws in enumerate(words):
-                ids = np.frombuffer(b"".join([found[row], *map(memory.__getitem__, ws[1:]), end]), "<u4")
+            for row, (ws, parts) in enumerate(zip(words, known)):
+                if None in parts:
+                    parts = map(memory.__getitem__, ws[1:])
+                ids = np.frombuffer(b"".join([found[row], *parts, end]), "<u4")
                 first = len(ids) % capacity or capacity  # the first piece may be shorter
                 edges = [0, *range(first, len(ids) + 1, capacity)]
                 for k, (a, b) in enumerate(zip(edges, edges[1:])):
