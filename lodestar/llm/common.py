@@ -6,12 +6,12 @@ import atexit
 import shutil
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: The letters that the contracts fold, and no others.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -44,24 +44,6 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for each application."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    _shipped.add(sc.applicationId)
-    top = Path(__file__).resolve().parents[2]
-    at = tempfile.mkdtemp(prefix="lodestar-code-")  # the driver serves it to executors from here, as long as it lives
-    atexit.register(shutil.rmtree, at, ignore_errors=True)
-    with zipfile.ZipFile(f"{at}/lodestar_code.zip", "w") as out:
-        for p in sorted((top / "lodestar").rglob("*.py")):
-            out.write(p, p.relative_to(top))
-    sc.addPyFile(f"{at}/lodestar_code.zip")
-
-
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Arrow batches of so many rows, for whole long texts in bounded memory, in workers that know this package."""
     ship(spark)
@@ -82,14 +64,18 @@ def folded(text):
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, component) of every node of edges (a, b): the smallest node reachable.
 
-    Alternating large-star and small-star rounds; each round is written to the shared folder and
-    ends when the edge set no longer changes. A large star pre-aggregates the minimum by node, so
-    a hub is never gathered in one task: the join on the hub is one that Spark may split.
+    Alternating large-star and small-star rounds, each written to the shared folder, until every
+    edge leads from a node to its root; edges that already do take no round. A large star
+    pre-aggregates the minimum by node, so a hub is never gathered in one task: the join on the hub
+    is one that Spark may split.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = written(e, "cc")
-    before = None
     for _ in range(rounds):
+        # settled: nobody has two roots, or a root and followers
+        roles = e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("v", F.lit(0), F.lit(1)))
+        if roles.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)").isEmpty():
+            break
         # large star: each larger neighbour of u goes to the smallest of u's neighbourhood
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")).hint("rebalance")
@@ -99,12 +85,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         small = large.join(low2, F.col("u") == F.col("k"))
         pairs = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
         nxt = written(pairs.where("u <> v").distinct(), "cc")
-        now = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop_written(e)
         e = nxt
-        if now == before:
-            break
-        before = now
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
