@@ -19,6 +19,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ from .buffers import BASE, BYTE, INVERSE, mixed, powers, spans, whole_groups
 from .common import attach, small_batches, written
 
 #: Bytes of the strings that minimisers are chosen from, most windows in a piece, bytes of text a deal, entries from which a round's columns are files.
-SHORT, WINDOWS, DEAL, IN_MEMORY = 12, 64, 32_000_000, 30_000_000
+SHORT, WINDOWS, DEAL, IN_MEMORY = 20, 64, 8_000_000, 30_000_000
 
 
 def _column(n: int, dtype) -> np.ndarray:
@@ -138,6 +139,14 @@ def pieces_of(data: np.ndarray, offsets: np.ndarray, width: int):
     return np.searchsorted(offsets, start, "right") - 1, low[start], start, count
 
 
+def _packed(a: np.ndarray) -> bytes:
+    return zstandard.compress(a.tobytes(), 1)
+
+
+def _unpacked(b: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(b), kind)
+
+
 def _by(bucket: np.ndarray, n: int):
     """Rows by bucket: an order, and (bucket, from, to)."""
     order = np.argsort(bucket, kind="stable")
@@ -155,7 +164,7 @@ def _seen(docs: DataFrame, width: int, deals: int) -> DataFrame:
                 row, key, _, _ = pieces_of(data, offsets, width)
                 order, parts = _by((key % np.uint64(deals)).astype(np.int64), deals)
                 key, doc = key[order], ids[lo + row[order]]
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in parts], pa.int32()), pa.array([key[x:y].tobytes() for _, x, y in parts], pa.binary()), pa.array([doc[x:y].tobytes() for _, x, y in parts], pa.binary())], names=["deal", "keys", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in parts], pa.int32()), pa.array([key[x:y].tobytes() for _, x, y in parts], pa.binary()), pa.array([_packed(doc[x:y]) for _, x, y in parts], pa.binary())], names=["deal", "keys", "ids"])
 
     return docs.select("id", "text").mapInArrow(run, "deal int, keys binary, ids binary")
 
@@ -165,7 +174,7 @@ def _repeated(seen: DataFrame) -> DataFrame:
 
     def run(batches):
         for table in _deals(batches, ["keys", "ids"]):
-            key, doc = np.concatenate([np.frombuffer(x, np.uint64) for x in table["keys"]]), np.concatenate([np.frombuffer(x, np.int64) for x in table["ids"]])
+            key, doc = np.concatenate([np.frombuffer(x, np.uint64) for x in table["keys"]]), np.concatenate([_unpacked(x, np.int64) for x in table["ids"]])
             order = np.argsort(key)
             key, doc = key[order], doc[order]
             start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
@@ -189,7 +198,7 @@ def _deals(batches, columns: list[str]):
             yield {c: table.column(c).slice(a, b - a).to_pylist() for c in columns}
 
 
-PACKED = "deal int, ids binary, digests binary, which binary, keys binary, starts binary, counts binary, bytes binary"
+PACKED = "deal int, ids binary, digests binary, which binary, starts binary, counts binary, bytes binary"
 
 
 def _pieces(docs: DataFrame, width: int, deals: int) -> DataFrame:
@@ -211,8 +220,8 @@ def _pieces(docs: DataFrame, width: int, deals: int) -> DataFrame:
                     there, which = np.unique(row[at], return_inverse=True)
                     length = count[at] + width - 1
                     inside = np.arange(length.sum()) + np.repeat(start[at] - np.cumsum(length) + length, length)
-                    rows.append((b, ids[lo + there].tobytes(), digests[lo + there].tobytes(), which.astype(np.int32).tobytes(), key[at].tobytes(), (start[at] - offsets[row[at]]).tobytes(), count[at].astype(np.int32).tobytes(), data[inside].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows))] if rows else [pa.array([], pa.int32() if i == 0 else pa.binary()) for i in range(8)], names=PACKED.replace(" int", "").replace(" binary", "").split(", "))
+                    rows.append((b, *map(_packed, (ids[lo + there], digests[lo + there], which.astype(np.int32), start[at] - offsets[row[at]], count[at].astype(np.int32), data[inside]))))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows))] if rows else [pa.array([], pa.int32() if i == 0 else pa.binary()) for i in range(7)], names=PACKED.replace(" int", "").replace(" binary", "").split(", "))
 
     return docs.select("id", "digest", "text", "keys").mapInArrow(run, PACKED)
 
@@ -221,12 +230,12 @@ def _cuts(packed: DataFrame, width: int) -> DataFrame:
     """(doc, of, cuts): byte ranges to remove from a document, packed pairs of start and end."""
 
     def run(batches):
-        for t in _deals(batches, ["ids", "digests", "which", "keys", "starts", "counts", "bytes"]):
-            read = lambda c, kind: [np.frombuffer(x, kind) for x in t[c]]
+        for t in _deals(batches, ["ids", "digests", "which", "starts", "counts", "bytes"]):
+            read = lambda c, kind: [_unpacked(x, kind) for x in t[c]]
             which = read("which", np.int32)
             doc, of = (np.concatenate([d[w] for d, w in zip(read(c, np.int64), which)]) for c in ("ids", "digests"))
             start, count = np.concatenate(read("starts", np.int64)), np.concatenate(read("counts", np.int32)).astype(np.int64)
-            data = np.frombuffer(b"".join(t["bytes"]), np.uint8)
+            data = np.concatenate(read("bytes", np.uint8))
             length = count + width - 1
             edge = np.concatenate(([0], np.cumsum(length)))
             # pieces that are equal are built into the suffix array once, under their smallest document
@@ -340,3 +349,18 @@ def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def op3_suffix(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return repeated_passages(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+#: Every window of every text, its smallest document, and the runs of removed bytes.
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, CAST(2 * i + 1 AS BIGINT), 100) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 49, 0))) AS i FROM d)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY 1),
+hit AS (SELECT doc_id, i FROM w JOIN f USING (s) WHERE first < doc_id),
+g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM hit),
+k AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM k GROUP BY doc_id, run),
+q AS (SELECT r.doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY r.doc_id ORDER BY a), 0) AS before, h FROM r JOIN d USING (doc_id)),
+c AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a) || substr(any_value(h), CAST(2 * max(b) + 1 AS BIGINT)) AS rest FROM q GROUP BY 1)
+SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256 FROM d LEFT JOIN c USING (doc_id)
+"""
