@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from .common import small_batches
 
 #: Encodings of words that a worker remembers; beyond that it starts anew. Longer words are not remembered.
-REMEMBERED, LONGEST = 400_000, 48
+REMEMBERED, LONGEST = 800_000, 48
 #: Keys a bucket of the perfect hash, on average.
 A_BUCKET = 3
 
@@ -80,6 +80,7 @@ class Tokenizer:
         self.keys = [keys[i] for i in self.hash.slots]
         self.ids = [ranks[k] for k in self.keys]
         self.words = {i: k for k, i in ranks.items()}
+        self.shown = {i: f" {i}" for i in self.words}
         self.split = regex.compile(pattern).findall
         tokenizer = self
 
@@ -92,11 +93,20 @@ class Tokenizer:
                     self[word] = found
                 return found
 
-        self.memory = Memory()
+        class Tokens(dict):
+            """Ids of a pre-token, which stands in words with other marks too."""
+
+            def __missing__(self, token: str) -> tuple:
+                found = tokenizer.token(token.encode("utf-8", "replace"))
+                if len(token) <= LONGEST:
+                    self[token] = found
+                return found
+
+        self.memory, self.tokens = Memory(), Tokens()
 
     def entry(self, text: str) -> tuple:
-        ids = tuple(chain.from_iterable(self.token(t.encode("utf-8", "replace")) for t in self.split(text)))
-        return ids, "".join([f" {i}" for i in ids]), self.decode(ids)
+        ids = tuple(chain.from_iterable(map(self.tokens.__getitem__, self.split(text))))
+        return ids, "".join(map(self.shown.__getitem__, ids)), self.decode(ids)
 
     def entries(self, text: str):
         """The entries of a text's words, in order.
@@ -106,6 +116,8 @@ class Tokenizer:
         """
         if len(self.memory) > REMEMBERED:
             self.memory.clear()
+        if len(self.tokens) > REMEMBERED // 2:
+            self.tokens.clear()
         if _BLANKS.search(text):
             return [self.entry(text)]
         first, *rest = text.split(" ")
@@ -208,11 +220,11 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voc
         own = tokenizer(vocabulary, shared.value)
         for batch in batches:
             counts, ids_sha, text_sha = [], [], []
-            for text in batch.column(1):
-                parts = own.entries(text.as_py() or "")
-                counts.append(sum([len(ids) for ids, _, _ in parts]))
-                ids_sha.append(hashlib.sha256("".join([shown for _, shown, _ in parts])[1:].encode()).hexdigest())
-                text_sha.append(hashlib.sha256(b"".join([word for _, _, word in parts])).hexdigest())
+            for text in batch.column(1).to_pylist():
+                ids, shown, decoded = zip(*own.entries(text or ""))
+                counts.append(sum(map(len, ids)))
+                ids_sha.append(hashlib.sha256("".join(shown)[1:].encode()).hexdigest())
+                text_sha.append(hashlib.sha256(b"".join(decoded)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["__id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
