@@ -9,6 +9,8 @@ precision, and a pair counts in the first filter that both have.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,12 +18,15 @@ from pyspark.sql import functions as F
 
 from .buffers import starts_of, whole_groups
 from .common import components, small_batches, written
-from .minhash import Groups
+from .minhash import labelled
 
-#: Blocks of a vector, directions of a block, inner product from which a filter lists a unit vector, most rows of one task's comparisons.
-PARTS, CODE, CAP, BLOCK = 4, 32, 0.42, 1024
+#: Independent rotations, blocks of a vector, directions of a block, inner product from which a filter lists a unit vector, most rows compared in one task.
+TURNS, PARTS, CODE, CAP, BLOCK = 5, 2, 512, 0.47, 1024
+#: Vectors decoded at once.
+AT_ONCE = 200
 
 
+@lru_cache(32)
 def directions(dim: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """A random rotation, and the codes of the blocks: PARTS x CODE x (dim / PARTS, rounded up)."""
     rng = np.random.default_rng(seed)
@@ -49,6 +54,19 @@ def listed(unit: np.ndarray, turn: np.ndarray, code: np.ndarray, cap: float) ->
     return row, name
 
 
+def all_listed(unit: np.ndarray, cap: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, filter) under all rotations, sorted by row and filter."""
+    rows, names = [], []
+    for turn in range(TURNS):
+        codes = directions(unit.shape[1], turn + 7)
+        for at in range(0, len(unit), AT_ONCE):
+            row, name = listed(unit[at : at + AT_ONCE], *codes, cap)
+            rows.append(row + at), names.append(name * TURNS + turn)
+    row, name = np.concatenate(rows), np.concatenate(names)
+    order = np.lexsort((name, row))
+    return row[order], name[order]
+
+
 def _filters(vectors: DataFrame, cap: float) -> DataFrame:
     """(id, weight, vector, filters), filters sorted."""
 
@@ -62,10 +80,10 @@ def _filters(vectors: DataFrame, cap: float) -> DataFrame:
                 scale = np.abs(unit).max(1, keepdims=True)  # else squares of tiny or huge numbers vanish or overflow
                 unit = unit / scale
                 unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-                row, name = listed(unit, *directions(dim), cap)
+                row, name = all_listed(unit, cap)
                 bounds = np.searchsorted(row, np.arange(len(at) + 1))
                 for i, a, b in zip(at, bounds, bounds[1:]):
-                    lists[i] = np.sort(name[a:b] * 1009 + dim % 1009)
+                    lists[i] = name[a:b] * 1009 + dim % 1009  # vectors of other dimensions meet elsewhere
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(lists, pa.list_(pa.int64()))], names=["id", "weight", "vector", "filters"])
 
     return vectors.mapInArrow(run, f"id long, weight long, vector {vectors.schema['vector'].dataType.simpleString()}, filters array<long>")
@@ -77,6 +95,15 @@ def near(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
     return (a @ b.T) / (norms(a)[:, None] * norms(b)[None, :]) >= least
 
 
+def flat(column) -> tuple[np.ndarray, np.ndarray]:
+    """Values and offsets of a column of lists without nulls."""
+    lists = column.combine_chunks() if hasattr(column, "combine_chunks") else column
+    if isinstance(lists, pa.ChunkedArray):
+        lists = pa.concat_arrays(lists.chunks)
+    offsets = lists.offsets.to_numpy()
+    return lists.values.to_numpy(zero_copy_only=False), offsets
+
+
 def _linked(rows: DataFrame, least: float) -> DataFrame:
     """(a, b, n): n links of a counted here, and an edge to b, from rows (filter, left, right, block, id, weight, vector, filters)."""
     keys = ["filter", "left", "right"]
@@ -86,10 +113,11 @@ def _linked(rows: DataFrame, least: float) -> DataFrame:
             at = starts_of(table, keys)
             ids, weight, block = (table.column(c).to_numpy() for c in ("id", "weight", "block"))
             left, right, filt = (table.column(c).to_numpy() for c in ("left", "right", "filter"))
-            vectors, lists = table.column("vector").to_pylist(), table.column("filters").to_pylist()
+            vectors, v_at = flat(table.column("vector"))
+            lists, f_at = flat(table.column("filters"))
             out_a, out_b, out_n = [], [], []
             for a, b in zip(at, at[1:]):
-                v = np.array(vectors[a:b], np.float64)
+                v = vectors[v_at[a] : v_at[b]].reshape(b - a, -1).astype(np.float64)
                 v /= np.abs(v).max(1, keepdims=True)
                 hit = np.triu(near(v, v, least), 1)
                 if left[a] != right[a]:
@@ -97,18 +125,15 @@ def _linked(rows: DataFrame, least: float) -> DataFrame:
                 if not hit.any():
                     continue
                 live = np.flatnonzero(hit.any(0) | hit.any(1))
-                earlier = [[f for f in lists[a + i] if f < filt[a]] for i in live]
-                names, number = np.unique([f for e in earlier for f in e], return_inverse=True)
+                earlier = [(own := lists[f_at[a + i] : f_at[a + i + 1]])[own < filt[a]] for i in live]
+                names, number = np.unique(np.concatenate(earlier), return_inverse=True)
                 if len(names):
                     met = np.zeros((len(live), len(names)), np.float32)
                     met[np.repeat(np.arange(len(live)), [len(e) for e in earlier]), number] = 1
                     hit[np.ix_(live, live)] &= met @ met.T == 0
                 x, y = np.nonzero(hit)
                 n = np.bincount(x, weight[a + y], b - a) + np.bincount(y, weight[a + x], b - a)
-                groups = Groups(b - a)
-                for i, j in zip(x.tolist(), y.tolist()):
-                    groups.join(i, j)
-                roots = groups.roots()
+                roots = labelled(b - a, lambda i, hit=hit: hit[:i, i])
                 own = np.flatnonzero(n)
                 out_a.append(ids[a + own]), out_b.append(ids[a + roots[own]]), out_n.append(n[own].astype(np.int64))
             if out_a:
@@ -132,10 +157,11 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     rows = vectors.select(F.col(id_col).alias("id"), v.alias("vector"), fine.alias("fine"))
     classes = written(rows.where("fine").groupBy("vector").agg(F.min("id").alias("id"), F.count("*").alias("weight")).select("id", "weight", "vector"), "classes")
     small_batches(vectors.sparkSession, 2000)
-    lists = written(_filters(classes, cap), "filters")
-    named = lists.select("id", F.explode("filters").alias("filter"))
+    named = written(_filters(classes, cap).select("id", F.explode("filters").alias("filter")), "named")
     shared = named.groupBy("filter").agg(F.count("*").alias("members")).where("members > 1").hint("rebalance")
-    met = named.join(shared.withColumnRenamed("filter", "f"), F.col("filter") == F.col("f")).drop("f")
+    met = written(named.join(shared.withColumnRenamed("filter", "f"), F.col("filter") == F.col("f")).drop("f"), "met")
+    shared_lists = met.groupBy(F.col("id").alias("j")).agg(F.array_sort(F.collect_list("filter")).alias("filters"))
+    lists = classes.join(shared_lists, F.col("id") == F.col("j")).drop("j")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     met = met.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -153,3 +179,12 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
 def op7_embedding(spark, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
+#: All pairs of vectors, and what can be reached from each.
+SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.9),
+r(id, x) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.id, l.b FROM r JOIN l ON r.x = l.a)
+SELECT id AS vec_id, (SELECT count(*) FROM l WHERE a = id) AS n_links, min(x) AS component_id, id = min(x) AS kept FROM r GROUP BY id
+"""
