@@ -44,8 +44,19 @@ INVERSE = pow(BASE, -1, 1 << 64)
 BYTE = np.random.default_rng(20_240_229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
 
+_powers: dict[int, np.ndarray] = {}
+
+
 def powers(n: int, base: int) -> np.ndarray:
-    """base ** 0 to base ** (n - 1) modulo 2**64."""
+    """base ** 0 to base ** (n - 1) modulo 2**64; those for usual lengths are kept."""
+    if n <= AT_ONCE:
+        if base not in _powers:
+            _powers[base] = _all_powers(AT_ONCE, base)
+        return _powers[base][:n]
+    return _all_powers(n, base)
+
+
+def _all_powers(n: int, base: int) -> np.ndarray:
     out = np.full(max(n, 1), base, np.uint64)
     out[0] = 1
     np.multiply.accumulate(out, out=out)

@@ -41,63 +41,61 @@ def build(pieces: list[bytes] | np.ndarray, lengths: np.ndarray | None = None) -
     """(piece, length, prefix) of all suffixes of all pieces in order; prefix is shared with the suffix before.
 
     Pieces are byte strings without 0xFF, or one array of all bytes with the pieces' lengths. Equal
-    suffixes are ordered by piece; empty suffixes come first. Lengths are below 65,536.
+    suffixes are ordered by piece; empty suffixes come first. Pieces are shorter than 256 bytes. An
+    entry of the table is one number: piece, length of the suffix, prefix, and in the lowest byte
+    the symbol before the suffix (0 before a whole piece), which is the transform.
     """
     if lengths is None:
         lengths = np.array([len(p) for p in pieces], np.int64)
         pieces = np.frombuffer(b"".join(pieces), np.uint8)
+    if lengths.max(initial=0) > 255:
+        raise ValueError("pieces must be shorter than 256 bytes")
     m, ends = len(lengths), np.cumsum(lengths)
 
     def before(who: np.ndarray, j: int) -> np.ndarray:
-        """The symbol before the suffix of length j: 0 before a whole piece."""
-        out = np.zeros(len(who), np.uint8)
+        out = np.zeros(len(who), np.uint64)
         more = lengths[who] > j
-        out[more] = pieces[ends[who[more]] - j - 1] + 1
+        out[more] = pieces[ends[who[more]] - j - 1] + np.uint64(1)
         return out
 
-    who, size, prefix = np.arange(m, dtype=np.int32), np.zeros(m, np.uint16), np.zeros(m, np.uint16)
-    bwt, at = before(who, 0), np.arange(m)  # at: places of the suffixes inserted last, in order
+    entry = (np.arange(m, dtype=np.uint64) << np.uint64(24)) | before(np.arange(m), 0)
+    at = np.arange(m)  # places of the suffixes inserted last
     for j in range(1, int(lengths.max(initial=0)) + 1):
-        go = bwt[at] > 0
-        at = at[go]
-        n, k = len(bwt), len(at)
-        order = np.argsort(bwt, kind="stable")  # places by their symbol: where each suffix goes when it is extended
+        raw = entry.view(np.uint8)
+        bwt, prefix, n = raw[0::8].copy(), raw[1::8].copy(), len(entry)
+        last = np.zeros(n, bool)
+        last[at[bwt[at] > 0]] = True
+        order = np.argsort(bwt, kind="stable")  # places by their symbol: the order of all suffixes extended by it
         dollars = n - np.count_nonzero(bwt)
-        spot = _column(n, np.int64)
-        spot[order] = np.arange(n) - dollars + m
-        new = spot[at]
-        own, symbol = who[at], bwt[at]
-        back = np.argsort(new)
-        # prefixes with the neighbours that have the same symbol: one more than the least prefix between their rests
-        nth = new + dollars - m
-        same_before = np.zeros(k, bool)
-        prev, nxt = order[np.maximum(nth - 1, 0)], order[np.minimum(nth + 1, n - 1)]
+        nth = np.flatnonzero(last[order])
+        rest = order[nth]  # what is extended now
+        new, symbol, own = nth - dollars + m, bwt[rest], (entry[rest] >> np.uint64(24)).astype(np.int64)
+        # prefixes with the neighbours of the same symbol: one more than the least prefix between their rests
+        prev, nxt = order[nth - 1], order[np.minimum(nth + 1, n - 1)]
         same_before = (nth > dollars) & (bwt[prev] == symbol)
         same_after = (nth + 1 < n) & (bwt[nxt] == symbol)
-        low = np.zeros(k, np.uint16)
-        low[same_before] = _range_min(prefix, prev[same_before] + 1, at[same_before] + 1) + 1
-        high = _range_min(prefix, at[same_after] + 1, nxt[same_after] + 1) + 1
-        merged = np.zeros(n + k, bool)
-        merged[new] = True
-        old = ~merged
-        columns = []
-        for column, fresh in ((who, own), (size, np.full(k, j, np.uint16)), (prefix, low), (bwt, before(own, j))):
-            out = _column(n + k, column.dtype)
-            out[old] = column
-            out[new] = fresh
-            columns.append(out)
-        who, size, prefix, bwt = columns
-        prefix[new[same_after] + 1] = high
-        at = new[back]
-    return who, size, prefix
+        low = np.zeros(len(nth), np.uint64)
+        low[same_before] = _range_min(prefix, prev[same_before] + 1, rest[same_before] + 1) + np.uint64(1)
+        high = _range_min(prefix, rest[same_after] + 1, nxt[same_after] + 1) + np.uint8(1)
+        old = np.ones(n + len(nth), bool)
+        old[new] = False
+        merged = _column(n + len(nth), np.uint64)
+        merged[old] = entry
+        merged[new] = (own.astype(np.uint64) << np.uint64(24)) | np.uint64(j << 16) | (low << np.uint64(8)) | before(own, j)
+        merged.view(np.uint8)[(new[same_after] + 1) * 8 + 1] = high
+        entry, at = merged, new
+    return (entry >> np.uint64(24)).astype(np.int64), (entry >> np.uint64(16)).astype(np.int64) & 255, (entry >> np.uint64(8)).astype(np.int64) & 255
 
 
 def _range_min(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Least of values[lo:hi] for each range; ranges are not empty."""
     if not len(lo):
         return np.empty(0, values.dtype)
-    padded = values if hi.max() < len(values) else np.append(values, values.dtype.type(0))
-    return np.minimum.reduceat(padded, np.column_stack((lo, hi)).ravel())[::2]
+    order = np.argsort(lo)  # else what lies between two ranges is gone through too
+    padded = np.append(values, values.dtype.type(0))
+    out = np.empty(len(lo), values.dtype)
+    out[order] = np.minimum.reduceat(padded, np.column_stack((lo[order], hi[order])).ravel())[::2]
+    return out
 
 
 def pieces_of(data: np.ndarray, offsets: np.ndarray, width: int):
@@ -248,7 +246,7 @@ def _cuts(packed: DataFrame, width: int) -> DataFrame:
             who, size, prefix = build(np.frombuffer(b"".join(names), np.uint8), lengths)
             del raw
             windows = np.flatnonzero(size >= width)
-            who, size, prefix = who[windows], size[windows].astype(np.int64), prefix[windows]
+            who, size, prefix = who[windows], size[windows], prefix[windows]
             begin = np.flatnonzero(np.concatenate(([True], prefix[1:] < width)))
             first = np.repeat(np.minimum.reduceat(least[who], begin), np.diff(np.append(begin, len(who))))
             # smallest document of each window, by piece and place in it
