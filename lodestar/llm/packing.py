@@ -39,6 +39,35 @@ def _tokenizer(path: str):
     return t
 
 
+def _opening(own) -> np.ndarray:
+    """Whether a token starts with a space, by id."""
+    vocabulary = own.get_vocab()
+    out = np.zeros(max(vocabulary.values()) + 1, bool)
+    out[[i for token, i in vocabulary.items() if token[0] == "\u0120"]] = True
+    return out
+
+
+def _word_ids(own, opens: np.ndarray, words: list[str], together: int = 200):
+    """(word, its ids after a space as bytes).
+
+    Words without white space at their ends are encoded many at a time, with a space before each: a
+    token starts with a space where a word does and nowhere else.
+    """
+    joined, alone = [], []
+    for w in words:
+        (joined if w and not w[0].isspace() and not w[-1].isspace() and " " not in w else alone).append(w)
+    groups = [joined[i : i + together] for i in range(0, len(joined), together)]
+    for group, e in zip(groups, own.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)):
+        ids = array("I", e.ids)
+        at = np.flatnonzero(opens[np.frombuffer(ids, "<u4")]).tolist()
+        if len(at) != len(group):
+            alone += group
+            continue
+        raw = ids.tobytes()
+        yield from zip(group, [raw[4 * a : 4 * b] for a, b in zip(at, [*at[1:], len(ids)])])
+    yield from zip(alone, [array("I", e.ids).tobytes() for e in own.encode_batch_fast([" " + w for w in alone], add_special_tokens=False)])
+
+
 def pieces(docs: DataFrame, capacity: int, end_id: int, vocabulary: str | None, id_col: str, text_col: str) -> DataFrame:
     """(__id, piece, start, length, ids_crc32) of every document's ids and its end."""
     small_batches(docs.sparkSession, 64)
@@ -50,7 +79,7 @@ def pieces(docs: DataFrame, capacity: int, end_id: int, vocabulary: str | None,
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         own = _tokenizer(vocabulary or public.path("byte_bpe_50k.json"))
-        end, memory = np.uint32(end_id).tobytes(), {}
+        end, memory, opens = np.uint32(end_id).tobytes(), {}, _opening(own)
         for batch in batches:
             # a word after a space has the same ids wherever it stands, unless white space surrounds that space
             words = [[t] if _BLANKS.search(t) else t.split(" ") for t in ((t or "") for t in batch.column(1).to_pylist())]
@@ -58,8 +87,8 @@ def pieces(docs: DataFrame, capacity: int, end_id: int, vocabulary: str | None,
                 memory = {}
             known = [list(map(memory.get, ws[1:])) for ws in words]
             new = list({w for ws, ids in zip(words, known) if None in ids for w, x in zip(ws[1:], ids) if x is None})
-            found = [array("I", e.ids).tobytes() for e in own.encode_batch_fast([*(ws[0] for ws in words), *(" " + w for w in new)], add_special_tokens=False)]
-            memory.update(zip(new, found[len(words) :]))
+            found = [array("I", e.ids).tobytes() for e in own.encode_batch_fast([ws[0] for ws in words], add_special_tokens=False)]
+            memory.update(_word_ids(own, opens, new))
             took, starts, lengths, sums, nth = [], [], [], [], []
             for row, (ws, parts) in enumerate(zip(words, known)):
                 if None in parts:

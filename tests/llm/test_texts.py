@@ -183,3 +183,10 @@ def test_shards_follow_the_mixture(spark):
     few = spark.createDataFrame([(1, None, None), (1, None, None), (None, "", "x")], "doc_id long, text string, source string")
     assert sorted(r["slot"] for r in sharding.shard(few).collect()) == [0, 0, 0]
     assert sharding.shard(few.where("false")).count() == 0
+
+
+def test_words_encoded_together(reference):
+    own = packing._tokenizer(public.path("byte_bpe_50k.json"))
+    words = list(dict.fromkeys(w for t in odd_texts() for w in t.split(" ")))
+    got = dict(packing._word_ids(own, packing._opening(own), words, 7))
+    assert {w: np.frombuffer(b, "<u4").tolist() for w, b in got.items()} == {w: reference.encode_ordinary(" " + w) for w in words}
