@@ -12,6 +12,7 @@ import math
 import re
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,13 +59,14 @@ VOCABULARY = sorted({t for _, s in TEMPLATES for t in terms(s)})
 
 
 def notices(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, terms, counts, others): the notices of whole texts, other terms by the sum of their squares."""
+    """(id, notice, terms, counts, others, other_counts): the notices of whole texts, numbered; others are terms that no template has."""
     small_batches(docs.sparkSession)
     known = set(VOCABULARY)
 
     def run(batches):
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
-            took, names, counts, others = [], [], [], []
+            took, numbers, names, counts, others, other_counts = [], [], [], [], [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
                 low = (text or "").lower()
                 if not any(word in low for word in TELLING_PARTS):
@@ -81,13 +83,15 @@ def notices(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     for part in re.split(r"(?<=[.!?])\s+(?=\S)", line) if len(line) > 120 else [line]:
                         if TELLING.search(part):
                             f = terms(part)
-                            inside = {t: n for t, n in f.items() if t in known}
-                            took.append(row), names.append(list(inside)), counts.append(list(inside.values()))
-                            others.append(float(sum(n * n for t, n in f.items() if t not in known)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(took, pa.int32())), pa.array(names, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32())), pa.array(others, pa.float64())], names=["id", "terms", "counts", "others"])
+                            inside, outside = ({t: n for t, n in f.items() if (t in known) == own} for own in (True, False))
+                            took.append(row), numbers.append(number), names.append(list(inside)), counts.append(list(inside.values()))
+                            others.append(list(outside)), other_counts.append(list(outside.values()))
+                            number += 1
+            strings, ints = pa.list_(pa.string()), pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(took, pa.int32())), pa.array(numbers, pa.int64()), pa.array(names, strings), pa.array(counts, ints), pa.array(others, strings), pa.array(other_counts, ints)], names=["id", "notice", "terms", "counts", "others", "other_counts"])
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    return docs.select(f"`{id_col}`", f"`{text_col}`").mapInArrow(run, f"id {kind}, terms array<string>, counts array<int>, others double")
+    return docs.select(f"`{id_col}`", f"`{text_col}`").mapInArrow(run, f"id {kind}, notice long, terms array<string>, counts array<int>, others array<string>, other_counts array<int>")
 
 
 def own_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
@@ -98,16 +102,24 @@ def own_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     df = {r[0]: r[1] for r in found.select(F.explode("terms").alias("t")).groupBy("t").count().collect()}
     idf = {t: math.log((1 + n) / (1 + df.get(t, 0))) + 1 for t in VOCABULARY}
     weight = F.create_map(*[F.lit(x) for t in VOCABULARY for x in (t, idf[t])])
-    rare = math.log(1 + n) + 1  # of terms that no template has
     w = found.withColumn("w", F.map_from_arrays("terms", F.zip_with("terms", "counts", lambda t, c: c * weight[t])))
-    w = w.withColumn("norm", F.sqrt(F.aggregate(F.map_values("w"), F.lit(0.0), lambda s, x: s + x * x) + F.col("others") * rare * rare))
-    scores = []
+    w = w.withColumn("inside", F.aggregate(F.map_values("w"), F.lit(0.0), lambda s, x: s + x * x))
+    dots = []
     for name, template in TEMPLATES:
         f = {t: c * idf[t] for t, c in terms(template).items()}
         norm = math.sqrt(sum(x * x for x in f.values()))
         dot = sum((F.coalesce(F.try_element_at("w", F.lit(t)), F.lit(0.0)) * (x / norm) for t, x in f.items()), F.lit(0.0))
-        scores.append(F.struct((dot / F.col("norm")).alias("score"), F.lit(name).alias("license")))
-    each = w.where("size(terms) > 0").select("id", F.explode(F.array(*scores)).alias("s")).where(F.col("s.score") >= least)
+        dots.append(F.struct(dot.alias("dot"), F.lit(name).alias("license")))
+    # other terms only lower a cosine: notices that are under `least` without them are done
+    near = w.where("size(terms) > 0").withColumn("dots", F.filter(F.array(*dots), lambda d: d["dot"] >= (least - 1e-9) * F.sqrt("inside"))).where("size(dots) > 0")
+    near = written(near.select("id", "notice", "inside", "dots", "others", "other_counts"), "near_notices")
+    counted = near.select("notice", F.explode(F.arrays_zip("others", "other_counts")).alias("o")).select("notice", F.col("o.others").alias("term"), F.col("o.other_counts").alias("c"))
+    every = found.select(F.explode("others").alias("t")).groupBy("t").agg(F.count("*").alias("df")).hint("rebalance")
+    rare = F.log((1 + n) / (1 + F.col("df"))) + 1
+    outside = counted.join(every, F.col("term") == F.col("t")).groupBy(F.col("notice").alias("k")).agg(F.sum(F.pow(F.col("c") * rare, 2)).alias("outside"))
+    norm = F.sqrt(F.col("inside") + F.coalesce("outside", F.lit(0.0)))
+    each = near.join(outside, F.col("notice") == F.col("k"), "left").select("id", norm.alias("norm"), F.explode("dots").alias("d"))
+    each = each.select("id", F.struct((F.col("d.dot") / F.col("norm")).alias("score"), F.col("d.license").alias("license")).alias("s")).where(F.col("s.score") >= least)
     return each.groupBy("id").agg(F.min_by("s", F.struct(-F.round("s.score", 9), "s.license")).alias("s")).select("id", "s.license", F.least(F.col("s.score"), F.lit(1.0)).alias("score"))
 
 

@@ -159,6 +159,14 @@ def test_licenses(spark):
     assert license_scan.license_scan(spark.createDataFrame([], "doc_id long, text string, path string")).count() == 0
 
 
+def test_licenses_weigh_common_terms_by_their_frequency(spark):
+    notice = "This file is licensed under the Apache License, Version 2.0."
+    for n in (40, 4000):  # a quarter of all notices, in a small table and in a large one
+        rows = [(k, notice if k % 4 == 0 else f"the license of word{k} and thing{k}") for k in range(n)]
+        got = license_scan.own_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert {(r["license"], round(r["score"], 2)) for r in got} == {("Apache-2.0", 0.8)} and len(got) == n // 4
+
+
 def test_shards(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = sharding.op8_sharding(spark, sf).collect()
