@@ -2,8 +2,9 @@
 
 A rotated vector is cut into blocks; each block has a small random code of unit directions, and a
 filter is a choice of one direction for each block. A vector is listed under every filter whose
-direction it exceeds a threshold with; the list is decoded from the sorted inner products of the
-blocks, never by trying all filters. Vectors that meet in a filter are compared in double
+direction it exceeds a threshold with, or else under the best one; the list is decoded from the
+sorted inner products of the blocks, never by trying all filters. The threshold follows from the
+dimension and the least cosine. Vectors that meet in a filter are compared in double
 precision, and a pair counts in the first filter that both have.
 """
 
@@ -20,8 +21,10 @@ from .buffers import starts_of, whole_groups
 from .common import components, small_batches, written
 from .minhash import labelled
 
-#: Independent rotations, blocks of a vector, directions of a block, inner product from which a filter lists a unit vector, most rows compared in one task.
+#: Independent rotations, blocks of a vector, directions of a block, inner product from which a filter lists a unit vector of DIM dimensions, most rows compared in one task.
 TURNS, PARTS, CODE, CAP, BLOCK = 5, 2, 512, 0.47, 1024
+#: What CAP was chosen for: dimensions, least cosine.
+DIM, LEAST = 64, 0.9
 #: Vectors decoded at once.
 AT_ONCE = 200
 
@@ -36,17 +39,44 @@ def directions(dim: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     return turn, code / np.linalg.norm(code, axis=2, keepdims=True)
 
 
+def in_common(dim: int, cosine: float, cap: float) -> float:
+    """Share of all filters that list both of two unit vectors of that cosine, for at least 4 dimensions."""
+    x = np.linspace(-1, 1, 20001)
+    power = np.cumsum((1 - x * x) ** ((dim - 4) / 2))  # of a coordinate of a unit vector, with one dimension less
+    u = np.linspace(cap, 1, 2001)[:-1]
+    weight = (1 - u * u) ** ((dim - 3) / 2)
+    rest = np.sqrt(max(0.0, 1 - cosine * cosine) * (1 - u * u))
+    need = np.divide(cap - cosine * u, rest, out=np.where(cosine * u >= cap, -1.0, 1.0), where=rest > 0)
+    above = 1 - np.interp(need, x, power / power[-1])
+    y = np.linspace(-1, 1, 20001)
+    return float((weight * above).sum() * (u[1] - u[0]) / (((1 - y * y) ** ((dim - 3) / 2)).sum() * (y[1] - y[0])))
+
+
+@lru_cache(256)
+def cap_for(dim: int, least: float) -> float:
+    """CAP, or the lower inner product at which two vectors of cosine `least` have as many filters in common as CAP gives at DIM and LEAST."""
+    wanted, least = in_common(DIM, LEAST, CAP), min(least, LEAST)
+    if dim < 4 or in_common(dim, least, CAP) >= wanted:
+        return CAP
+    low, high = 0.0, CAP
+    for _ in range(40):
+        mid = (low + high) / 2
+        low, high = (mid, high) if in_common(dim, least, mid) >= wanted else (low, mid)
+    return low
+
+
 def listed(unit: np.ndarray, turn: np.ndarray, code: np.ndarray, cap: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, filter) of every filter that a unit vector exceeds, by list decoding block after block."""
+    """(row, filter) of every filter that a unit vector exceeds, or else of its best, by list decoding block after block."""
     blocks = (unit @ turn).reshape(len(unit), PARTS, -1)
     inner = np.einsum("npd,pcd->npc", blocks, code) / np.sqrt(PARTS)
     best = inner.max(2)
     rest = np.concatenate((np.cumsum(best[:, ::-1], 1)[:, ::-1], np.zeros((len(unit), 1))), 1)  # best of blocks from p on
+    cap = np.minimum(cap, rest[:, 0] - 1e-12)
     row, name, sofar = np.arange(len(unit)), np.zeros(len(unit), np.int64), np.zeros(len(unit))
     for p in range(PARTS):
         order = np.argsort(-inner[:, p], 1)
         ranked = np.take_along_axis(inner[:, p], order, 1)
-        need = cap - sofar - rest[row, p + 1]
+        need = cap[row] - sofar - rest[row, p + 1]
         many = (ranked[row] >= need[:, None]).sum(1)  # directions of this block that can still reach the cap
         k = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         row, name, sofar = (np.repeat(x, many) for x in (row, name, sofar))
@@ -67,8 +97,8 @@ def all_listed(unit: np.ndarray, cap: float) -> tuple[np.ndarray, np.ndarray]:
     return row[order], name[order]
 
 
-def _filters(vectors: DataFrame, cap: float) -> DataFrame:
-    """(id, weight, vector, filters), filters sorted."""
+def _filters(vectors: DataFrame, least: float, cap: float | None) -> DataFrame:
+    """(id, weight, vector, filters), filters sorted; without a cap that of the dimension."""
 
     def run(batches):
         for batch in batches:
@@ -80,7 +110,7 @@ def _filters(vectors: DataFrame, cap: float) -> DataFrame:
                 scale = np.abs(unit).max(1, keepdims=True)  # else squares of tiny or huge numbers vanish or overflow
                 unit = unit / scale
                 unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-                row, name = all_listed(unit, cap)
+                row, name = all_listed(unit, cap_for(dim, least) if cap is None else cap)
                 bounds = np.searchsorted(row, np.arange(len(at) + 1))
                 for i, a, b in zip(at, bounds, bounds[1:]):
                     lists[i] = name[a:b] * 1009 + dim % 1009  # vectors of other dimensions meet elsewhere
@@ -142,13 +172,14 @@ def _linked(rows: DataFrame, least: float) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long, n long")
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, cap: float = CAP) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = LEAST, cap: float | None = None) -> DataFrame:
     """One row for each row of vectors: id, n_links, component_id, kept.
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing,
     nor do vectors of different dimensions. Equal vectors are one class: they link with each other
     and share their other links. A pair at or above `least` is found with a probability that grows
-    as `cap` falls; no pair below is ever linked. Rows of null id have a null component, are kept
+    as `cap` falls, and that by default is held over all dimensions and values of `least`; lists of
+    filters grow as `least` falls. No pair below is ever linked. Rows of null id have a null component, are kept
     and link with nothing. Rows of equal id count as rows of their own in n_links. Other columns
     are not read; an empty table gives an empty result.
     """
@@ -157,7 +188,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     rows = vectors.select(F.col(id_col).alias("id"), v.alias("vector"), fine.alias("fine"))
     classes = written(rows.where("fine").groupBy("vector").agg(F.min("id").alias("id"), F.count("*").alias("weight")).select("id", "weight", "vector"), "classes")
     small_batches(vectors.sparkSession, 2000)
-    named = written(_filters(classes, cap).select("id", F.explode("filters").alias("filter")), "named")
+    named = written(_filters(classes, least, cap).select("id", F.explode("filters").alias("filter")), "named")
     shared = named.groupBy("filter").agg(F.count("*").alias("members")).where("members > 1").hint("rebalance")
     met = written(named.join(shared.withColumnRenamed("filter", "f"), F.col("filter") == F.col("f")).drop("f"), "met")
     shared_lists = met.groupBy(F.col("id").alias("j")).agg(F.array_sort(F.collect_list("filter")).alias("filters"))

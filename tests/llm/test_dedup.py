@@ -193,3 +193,24 @@ def test_vectors_odd_rows(spark):
     assert got[1] == (3, 1, True) and got[2] == (3, 1, False) and got[3] == (3, 1, False) and got[10] == (3, 1, False)
     assert all(got[k] == (0, k, True) for k in (4, 5, 6, 7, 8, 9)) and got[None] == (0, None, True)
     assert embed_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
+def test_vectors_of_more_dimensions(spark):
+    rng, rows = np.random.default_rng(4), []
+    for dim in (128, 384):  # 300 pairs of cosine 0.9 or a little more, all else far apart
+        a, z = rng.standard_normal((2, 300, dim))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        z -= (z * a).sum(1, keepdims=True) * a
+        b = 0.901 * a + (1 - 0.901**2) ** 0.5 * z / np.linalg.norm(z, axis=1, keepdims=True)
+        rows += [(dim * 1000 + 2 * i + k, x[i].tolist()) for i in range(300) for k, x in enumerate((a, b))]
+    got = embed_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    for dim in (128, 384):
+        mine = [r for r in got if r["vec_id"] // 1000 == dim]
+        assert sum(r["n_links"] for r in mine) >= 0.97 * 600 and all(r["n_links"] <= 1 and r["component_id"] in (r["vec_id"], r["vec_id"] - 1) for r in mine)
+
+
+def test_every_vector_has_a_filter_of_each_rotation():
+    unit = np.random.default_rng(5).standard_normal((50, 128))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    row, name = embed_dedup.all_listed(unit, 0.9)
+    assert len(row) == 50 * embed_dedup.TURNS == len(set(zip(row, name % embed_dedup.TURNS)))
