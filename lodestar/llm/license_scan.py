@@ -1,8 +1,8 @@
 """License scan: sparse TF-IDF cosine of notices to templates, then inheritance from the nearest ancestor directory.
 
 Every line of every text that holds a telling word of a template is a notice; its terms are
-weighted by how rare they are among all notices of the corpus, and its cosine to each template
-decides. A file without a notice of its own takes the licence of the licence file in the nearest
+weighted by how rare they are among all notices of the corpus, and the best cosine of the line or
+of one of its sentences to a template decides. A file without a notice of its own takes the licence of the licence file in the nearest
 directory above it, found by joining the paths of its ancestors.
 """
 
@@ -59,14 +59,14 @@ VOCABULARY = sorted({t for _, s in TEMPLATES for t in terms(s)})
 
 
 def notices(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, notice, terms, counts, others, other_counts): the notices of whole texts, numbered; others are terms that no template has."""
+    """(id, notice, line, terms, counts, others, other_counts): the lines of notices of whole texts and their sentences, numbered; others are terms that no template has."""
     small_batches(docs.sparkSession)
     known = set(VOCABULARY)
 
     def run(batches):
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
-            took, numbers, names, counts, others, other_counts = [], [], [], [], [], []
+            took, numbers, whole, names, counts, others, other_counts = [], [], [], [], [], [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
                 low = (text or "").lower()
                 if not any(word in low for word in TELLING_PARTS):
@@ -79,27 +79,28 @@ def notices(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     at = len(text) if end < 0 else end
                     lines.append(text[start:at])
                 for line in dict.fromkeys(lines):
-                    # a notice may stand in prose: each sentence of the line is one of its own
-                    for part in re.split(r"(?<=[.!?])\s+(?=\S)", line) if len(line) > 120 else [line]:
+                    # a notice may stand in prose: each sentence of the line is tried as well
+                    for part in dict.fromkeys([line, *re.split(r"(?<=[.!?])\s+(?=\S)", line)]):
                         if TELLING.search(part):
                             f = terms(part)
                             inside, outside = ({t: n for t, n in f.items() if (t in known) == own} for own in (True, False))
-                            took.append(row), numbers.append(number), names.append(list(inside)), counts.append(list(inside.values()))
+                            took.append(row), numbers.append(number), whole.append(part is line), names.append(list(inside)), counts.append(list(inside.values()))
                             others.append(list(outside)), other_counts.append(list(outside.values()))
                             number += 1
             strings, ints = pa.list_(pa.string()), pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(took, pa.int32())), pa.array(numbers, pa.int64()), pa.array(names, strings), pa.array(counts, ints), pa.array(others, strings), pa.array(other_counts, ints)], names=["id", "notice", "terms", "counts", "others", "other_counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(took, pa.int32())), pa.array(numbers, pa.int64()), pa.array(whole, pa.bool_()), pa.array(names, strings), pa.array(counts, ints), pa.array(others, strings), pa.array(other_counts, ints)], names=["id", "notice", "line", "terms", "counts", "others", "other_counts"])
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    return docs.select(f"`{id_col}`", f"`{text_col}`").mapInArrow(run, f"id {kind}, notice long, terms array<string>, counts array<int>, others array<string>, other_counts array<int>")
+    return docs.select(f"`{id_col}`", f"`{text_col}`").mapInArrow(run, f"id {kind}, notice long, line boolean, terms array<string>, counts array<int>, others array<string>, other_counts array<int>")
 
 
 def own_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """(id, license, score): the best template of a document's notices with a cosine of `least` or more; ties by name."""
     found = written(notices(docs, id_col, text_col), "notices")
-    n = found.count()
+    lines = found.where("line")  # frequencies are those of lines: a sentence is part of one
+    n = lines.count()
     # a count for each term of the templates: as many rows as they have terms
-    df = {r[0]: r[1] for r in found.select(F.explode("terms").alias("t")).groupBy("t").count().collect()}
+    df = {r[0]: r[1] for r in lines.select(F.explode("terms").alias("t")).groupBy("t").count().collect()}
     idf = {t: math.log((1 + n) / (1 + df.get(t, 0))) + 1 for t in VOCABULARY}
     weight = F.create_map(*[F.lit(x) for t in VOCABULARY for x in (t, idf[t])])
     w = found.withColumn("w", F.map_from_arrays("terms", F.zip_with("terms", "counts", lambda t, c: c * weight[t])))
@@ -114,7 +115,7 @@ def own_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     near = w.where("size(terms) > 0").withColumn("dots", F.filter(F.array(*dots), lambda d: d["dot"] >= (least - 1e-9) * F.sqrt("inside"))).where("size(dots) > 0")
     near = written(near.select("id", "notice", "inside", "dots", "others", "other_counts"), "near_notices")
     counted = near.select("notice", F.explode(F.arrays_zip("others", "other_counts")).alias("o")).select("notice", F.col("o.others").alias("term"), F.col("o.other_counts").alias("c"))
-    every = found.select(F.explode("others").alias("t")).groupBy("t").agg(F.count("*").alias("df")).hint("rebalance")
+    every = lines.select(F.explode("others").alias("t")).groupBy("t").agg(F.count("*").alias("df")).hint("rebalance")
     rare = F.log((1 + n) / (1 + F.col("df"))) + 1
     outside = counted.join(every, F.col("term") == F.col("t")).groupBy(F.col("notice").alias("k")).agg(F.sum(F.pow(F.col("c") * rare, 2)).alias("outside"))
     norm = F.sqrt(F.col("inside") + F.coalesce("outside", F.lit(0.0)))

@@ -167,6 +167,15 @@ def test_licenses_weigh_common_terms_by_their_frequency(spark):
         assert {(r["license"], round(r["score"], 2)) for r in got} == {("Apache-2.0", 0.8)} and len(got) == n // 4
 
 
+def test_licenses_of_short_lines_of_several_sentences(spark):
+    short = [("Part of the Foo project. Released under the MIT License.", "MIT"), ("Copyright 2021 Acme. All rights reserved.", "proprietary")]
+    split = ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "MPL-2.0")  # no sentence ends after v.
+    long = ("We wrote this project for ourselves and for all our friends, and it took us many more years than we had thought. Released under the MIT License.", "MIT")
+    rows = [(k, *x) for k, x in enumerate([*short, split, long])] + [(k, f"the license of word{k} and thing{k}", None) for k in range(4, 100)]
+    got = {r["id"]: (r["license"], round(r["score"], 6)) for r in license_scan.own_licenses(spark.createDataFrame(rows, "doc_id long, text string, want string")).collect()}
+    assert got == {k: (want, 1.0) for k, _, want in rows if want}
+
+
 def test_shards(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = sharding.op8_sharding(spark, sf).collect()
