@@ -33,7 +33,7 @@ def t1(spark, sf):
 
 
 def _linked():
-    return F.concat(F.lit("see [[Concepts/Doc-"), F.col("doc_id").cast("string"), F.lit(".md|that]] and `[[code]]` ![[picture]] [[ plain ]] "), F.substring("t", 1, 200))
+    return F.concat(F.lit("see [[Concepts/Doc-"), F.col("doc_id").cast("string"), F.lit(".md|that]] and `[[code]]` ![[picture]] [[ plain ]] "), F.col("t"))
 
 
 @query("t2_wikilinks", sql_documents(links="'concepts/doc-' || doc_id || ',plain'"))

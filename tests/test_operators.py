@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import dates, text
 from lodestar.operators import edit, graph, lint, models, publish, records, retrieval
+from lodestar.plans import scalars
 
 
 def one(spark, column):
@@ -187,3 +188,9 @@ def test_chunks(spark):
     df = spark.createDataFrame([("g", i) for i in range(11)], "g string, i int")
     assert lint.chunked(df, "g", "i").count() == 10
     assert pd.Series(range(3)).sum() == 3
+
+
+def test_wikilinks_of_whole_documents(spark, tmp_path):
+    spark.createDataFrame([(1, "x " * 5000 + "[[Far/Away]] end"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["links"] for r in scalars.t2(spark, str(tmp_path)).collect()}
+    assert got == {1: "concepts/doc-1,plain,far/away", 2: "concepts/doc-2,plain"}
