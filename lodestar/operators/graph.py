@@ -92,17 +92,19 @@ def cycles(e: DataFrame, longest: int = 4) -> DataFrame:
     return found
 
 
-def betweenness(nodes: DataFrame, e: DataFrame, rounds: int = 50) -> DataFrame:
-    """(id, score): shares of shortest paths through a node, normalised; exact, from every source, by frames of (source, node)."""
+def betweenness(nodes: DataFrame, e: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(id, score): shares of shortest paths through a node, normalised; exact, from every source, by frames of (source, node). Paths of more than `rounds` links, if given, are an error."""
     n = nodes.count()
     step = saved(e.select(F.col("src").alias("s"), F.col("dst").alias("d")))
     layers = [saved(nodes.select(F.col("id").alias("root"), F.col("id").alias("v"), F.lit(1.0).alias("paths")))]
     seen = layers[0].select("root", "v")
-    for _ in range(rounds):
+    while True:
         nxt = layers[-1].join(step, F.col("v") == F.col("s")).groupBy("root", F.col("d").alias("v")).agg(F.sum("paths").alias("paths"))
         nxt = saved(nxt.join(seen, ["root", "v"], "left_anti"))
         if nxt.isEmpty():
             break
+        if rounds is not None and len(layers) > rounds:
+            raise RuntimeError(f"shortest paths have more than {rounds} links")
         seen = saved(seen.union(nxt.select("root", "v")))
         layers.append(nxt)
     total, below = None, None

@@ -154,6 +154,13 @@ def test_bridges(spark):
     assert abs(got["c"] - 3 / 12) < 1e-9 and abs(got["b"] - 1 / 12) < 1e-9 and got["d"] == 0
 
 
+def test_bridges_do_not_end_early(spark):
+    e, n = edges_of(spark, [("a", "b"), ("b", "c"), ("c", "d")])
+    with pytest.raises(RuntimeError):
+        graph.betweenness(n, e, rounds=2)
+    assert graph.betweenness(n, e, rounds=3).count() == 4
+
+
 def test_edits(spark):
     assert edit.unlink("see [[a/b|that]] and [[a/b]] `[[a/b]]` [[c]]", ["a/b"]) == "see that and b `[[a/b]]` [[c]]"
     assert edit.link_first("x `Title` Title and Title", "title", "t") == "x `Title` [[t|Title]] and Title"
