@@ -40,8 +40,13 @@ def drop_written(df: DataFrame) -> None:
     spark = df.sparkSession
     at = df.inputFiles()
     if at and "/lodestar-" in at[0]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(at[0].rsplit("/", 1)[0])
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        drop_path(spark, at[0].rsplit("/", 1)[0])
+
+
+def drop_path(spark: SparkSession, at: str) -> None:
+    """Delete a folder, if there is one, on whatever store it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:

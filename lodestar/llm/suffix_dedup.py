@@ -3,88 +3,178 @@
 Texts are cut into overlapping pieces so that every window of `width` bytes lies in one piece: a
 piece holds consecutive windows that share a minimiser (the smallest hash of the short strings in
 a window). Equal windows have equal minimisers, so pieces are dealt by them, and only minimisers
-that several documents have are dealt at all. In each deal the suffix array of the distinct pieces
-is built in rounds: a round inserts the next symbol from the right of every piece, maps it to its
-place in the Burrows-Wheeler transform, and updates the common prefixes of neighbours by range
-minima. Runs of suffixes with common prefixes of `width` or more are equal windows; those whose
-smallest document is another one are removed. Each round reads the transform, prefixes and places
-of the round before in order and writes them anew: in memory, or in files of the task's own that
-vanish with it where a deal is large.
+that several documents have are dealt at all. The distinct pieces of a deal become the documents of
+a collection, whose suffix array is built in rounds: a round inserts the next symbol from the right
+of every piece into its pile of the Burrows-Wheeler transform, and updates the common prefixes of
+neighbours. A round reads the columns of the round before once, in order and block by block, with
+a count, a least prefix and the last occurrence carried for every symbol, and writes them anew: in
+memory, or, where a collection is large, in sequential files of the shared folder. Runs of suffixes
+with common prefixes of `width` or more are equal windows; those whose smallest document is another
+one are removed.
 """
 
 from __future__ import annotations
 
 import hashlib
-import tempfile
+import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buffers import BASE, BYTE, INVERSE, mixed, powers, spans, whole_groups
-from .common import attach, small_batches, written
+from .common import attach, drop_path, shared_dir, small_batches, written
+
+#: Bytes of the strings that minimisers are chosen from, most windows in a piece, bytes of text a deal.
+SHORT, WINDOWS, DEAL = 24, 64, 8_000_000
+#: Entries of a column read or written at once, entries of a collection that pieces of several minimisers share, entries from which columns are files.
+BLOCK, COLLECTION, IN_MEMORY = 1 << 18, 200_000, 8_000_000
+#: Bytes of text that minimisers are taken from at once, values that a task holds before it sends them on.
+SPAN, HELD = 64_000, 2_000_000
+
+
+class Column:
+    """Numbers that are written once and read in order: in memory or, beyond IN_MEMORY of them, in a file of a folder."""
+
+    def __init__(self, n: int, folder: str | None):
+        self.blocks, self.path = [], None
+        if n > IN_MEMORY and folder:
+            self.store, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder.removeprefix("file:"))
+            self.store.create_dir(base, recursive=True)
+            self.path, self.counts = f"{base}/{uuid.uuid4().hex}", []
+            self.out = self.store.open_output_stream(self.path)
+
+    def append(self, block: np.ndarray) -> None:
+        if self.path is None:
+            self.blocks.append(block)
+        else:
+            self.out.write(block.tobytes()), self.counts.append(len(block))
+
+    def read(self) -> Iterator[np.ndarray]:
+        if self.path is None:
+            yield from self.blocks
+            return
+        self.out.close()
+        with self.store.open_input_stream(self.path) as file:
+            for n in self.counts:
+                yield np.frombuffer(file.read(8 * n), np.uint64)
+
+    def drop(self) -> None:
+        self.blocks = []
+        if self.path is not None:
+            self.store.delete_file(self.path)
+
+
+def collection(pieces: np.ndarray, lengths: np.ndarray, folder: str | None = None) -> Iterator[np.ndarray]:
+    """The suffixes of all pieces in order, as blocks of entries, from all their bytes and their lengths under 256.
+
+    Equal suffixes are ordered by piece; empty suffixes come first. An entry is one number: piece,
+    length of the suffix, prefix shared with the suffix before, and in the lowest byte the symbol
+    before the suffix, which is the transform. Symbols are the ranks of the bytes that occur, from
+    1; 0 is before a whole piece.
+    """
+    if lengths.max(initial=0) > 255:
+        raise ValueError("pieces must be shorter than 256 bytes")
+    seen = np.bincount(pieces, minlength=256) > 0
+    if seen.all():
+        raise ValueError("pieces must leave out one byte value at least, as UTF-8 does")
+    pieces = np.cumsum(seen).astype(np.uint8)[pieces]
+    n, ends, symbols = len(lengths), np.cumsum(lengths), int(seen.sum()) + 1
+
+    def entries(who: np.ndarray, j: int, prefix: np.ndarray) -> np.ndarray:
+        before = np.zeros(len(who), np.uint64)
+        more = lengths[who] > j
+        before[more] = pieces[ends[who[more]] - j - 1]
+        return who.astype(np.uint64) << np.uint64(24) | np.uint64(j << 16) | prefix.astype(np.uint64) << np.uint64(8) | before
 
-#: Bytes of the strings that minimisers are chosen from, most windows in a piece, bytes of text a deal, entries from which a round's columns are files.
-SHORT, WINDOWS, DEAL, IN_MEMORY = 20, 64, 8_000_000, 30_000_000
+    column = Column(n, folder)
+    column.append(entries(np.arange(n), 0, np.zeros(n)))
+    at = np.arange(n)  # places of the suffixes inserted last
+    for j in range(1, int(lengths.max(initial=0)) + 1):
+        symbol, rank, prefix, new, who, count = _extended(column, at, n, symbols)
+        piles = np.cumsum(count) - count - count[0] + len(lengths)  # empty suffixes come first, ended pieces extend nothing
+        place = piles[symbol] + rank
+        earlier = np.cumsum(new) - new
+        column = _rewritten(column, n, place[new] - earlier[new], entries(who[new], j, prefix[new]), place[~new] - earlier[~new], prefix[~new], folder)
+        at = place[new]
+        n += len(at)
+    yield from column.read()
+    column.drop()
 
 
-def _column(n: int, dtype) -> np.ndarray:
-    if n < IN_MEMORY:
-        return np.empty(n, dtype)
-    with tempfile.TemporaryFile() as file:  # the mapping keeps it alive, and nothing else
-        return np.memmap(file, dtype, "w+", shape=(n,))
+def build(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, length, prefix) of all suffixes of all pieces in order; prefix is shared with the suffix before."""
+    entry = np.concatenate([*collection(np.frombuffer(b"".join(pieces), np.uint8), np.array([len(p) for p in pieces], np.int64))])
+    return tuple((entry >> np.uint64(k)).astype(np.int64) & mask for k, mask in ((24, -1), (16, 255), (8, 255)))
 
 
-def build(pieces: list[bytes] | np.ndarray, lengths: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(piece, length, prefix) of all suffixes of all pieces in order; prefix is shared with the suffix before.
+def _extended(column: Column, at: np.ndarray, n: int, symbols: int) -> tuple[np.ndarray, ...]:
+    """What a round changes, in the order of the piles: (symbol, rank in its pile, prefix, whether it is new, piece), and each pile's size.
 
-    Pieces are byte strings without 0xFF, or one array of all bytes with the pieces' lengths. Equal
-    suffixes are ordered by piece; empty suffixes come first. Pieces are shorter than 256 bytes. An
-    entry of the table is one number: piece, length of the suffix, prefix, and in the lowest byte
-    the symbol before the suffix (0 before a whole piece), which is the transform.
+    Changed are the suffixes that extend those at places `at`, and the prefixes of what follows
+    them in their piles: one more than the least prefix since the last suffix with that symbol.
     """
-    if lengths is None:
-        lengths = np.array([len(p) for p in pieces], np.int64)
-        pieces = np.frombuffer(b"".join(pieces), np.uint8)
-    if lengths.max(initial=0) > 255:
-        raise ValueError("pieces must be shorter than 256 bytes")
-    m, ends = len(lengths), np.cumsum(lengths)
-
-    def before(who: np.ndarray, j: int) -> np.ndarray:
-        out = np.zeros(len(who), np.uint64)
-        more = lengths[who] > j
-        out[more] = pieces[ends[who[more]] - j - 1] + np.uint64(1)
-        return out
-
-    entry = (np.arange(m, dtype=np.uint64) << np.uint64(24)) | before(np.arange(m), 0)
-    at = np.arange(m)  # places of the suffixes inserted last
-    for j in range(1, int(lengths.max(initial=0)) + 1):
+    count = np.zeros(symbols, np.int64)  # of each symbol so far
+    least = np.zeros(symbols, np.uint8)  # least prefix after a symbol's last occurrence
+    fresh = np.zeros(symbols, bool)  # whether that occurrence is extended in this round
+    found, start = [], 0
+    for entry in column.read():
+        k = len(entry)
         raw = entry.view(np.uint8)
-        bwt, prefix, n = raw[0::8].copy(), raw[1::8].copy(), len(entry)
-        last = np.zeros(n, bool)
-        last[at[bwt[at] > 0]] = True
-        order = np.argsort(bwt, kind="stable")  # places by their symbol: the order of all suffixes extended by it
-        dollars = n - np.count_nonzero(bwt)
-        nth = np.flatnonzero(last[order])
-        rest = order[nth]  # what is extended now
-        new, symbol, own = nth - dollars + m, bwt[rest], (entry[rest] >> np.uint64(24)).astype(np.int64)
-        # prefixes with the neighbours of the same symbol: one more than the least prefix between their rests
-        prev, nxt = order[nth - 1], order[np.minimum(nth + 1, n - 1)]
-        same_before = (nth > dollars) & (bwt[prev] == symbol)
-        same_after = (nth + 1 < n) & (bwt[nxt] == symbol)
-        low = np.zeros(len(nth), np.uint64)
-        low[same_before] = _range_min(prefix, prev[same_before] + 1, rest[same_before] + 1) + np.uint64(1)
-        high = _range_min(prefix, rest[same_after] + 1, nxt[same_after] + 1) + np.uint8(1)
-        old = np.ones(n + len(nth), bool)
-        old[new] = False
-        merged = _column(n + len(nth), np.uint64)
-        merged[old] = entry
-        merged[new] = (own.astype(np.uint64) << np.uint64(24)) | np.uint64(j << 16) | (low << np.uint64(8)) | before(own, j)
-        merged.view(np.uint8)[(new[same_after] + 1) * 8 + 1] = high
-        entry, at = merged, new
-    return (entry >> np.uint64(24)).astype(np.int64), (entry >> np.uint64(16)).astype(np.int64) & 255, (entry >> np.uint64(8)).astype(np.int64) & 255
+        symbol, prefix = raw[0::8].copy(), np.full(k + 1, 255, np.uint8)
+        prefix[:k] = raw[1::8]
+        mine = at[np.searchsorted(at, start) : np.searchsorted(at, start + k)] - start
+        own = np.zeros(k, bool)
+        own[mine[symbol[mine] > 0]] = True
+        order = np.argsort(symbol, kind="stable")  # by symbol, which is the order of the suffixes extended by it
+        many = np.bincount(symbol, minlength=symbols)
+        edge, there = np.cumsum(many) - many, np.flatnonzero(many)
+        own = own[order]
+        changed = own.copy()
+        changed[1:] |= own[:-1]
+        changed[edge[there]] = own[edge[there]] | fresh[there]
+        nth = np.flatnonzero(changed)
+        place = order[nth]
+        s = symbol[place]
+        first = nth == edge[s]
+        low = _range_min(prefix, np.where(first, 0, order[nth - 1] + 1), place + 1)
+        low = np.where(first, np.where(count[s] > 0, np.minimum(low, least[s]) + 1, 0), low + 1)
+        found.append((s, count[s] + nth - edge[s], low, own[nth], (entry[place] >> np.uint64(24)).astype(np.int64)))
+        count += many
+        start += k
+        if start < n:
+            after = np.minimum.accumulate(prefix[:0:-1])[::-1]  # least prefix after each place
+            least = np.minimum(least, prefix.min())
+            least[there], fresh[there] = after[order[edge[there] + many[there] - 1]], own[edge[there] + many[there] - 1]
+    s, *rest = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(s, kind="stable")
+    return s[order], *(x[order] for x in rest), count
+
+
+def _rewritten(column: Column, n: int, into: np.ndarray, entries: np.ndarray, again: np.ndarray, prefix: np.ndarray, folder: str | None) -> Column:
+    """The next column: entries inserted before the places `into` of this one, and new prefixes at the places `again`."""
+    out, start = Column(n + len(into), folder), 0
+    prefix = prefix.astype(np.uint64) << np.uint64(8)
+    for block in column.read():
+        k = len(block)
+        x, y = np.searchsorted(again, (start, start + k))
+        if y > x:
+            block, at = block.copy(), again[x:y] - start
+            block[at] = block[at] & ~np.uint64(0xFF00) | prefix[x:y]
+        x, y = np.searchsorted(into, start), np.searchsorted(into, start + k) if start + k < n else len(into)
+        whole, old = np.empty(k + y - x, np.uint64), np.ones(k + y - x, bool)
+        at = into[x:y] - start + np.arange(y - x)
+        old[at] = False
+        whole[old], whole[at] = block, entries[x:y]
+        for half in np.array_split(whole, 2) if len(whole) > 2 * BLOCK else [whole]:
+            out.append(half)
+        start += k
+    column.drop()
+    return out
 
 
 def _range_min(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -145,11 +235,50 @@ def _unpacked(b: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(b), kind)
 
 
-def _by(bucket: np.ndarray, n: int):
-    """Rows by bucket: an order, and (bucket, from, to)."""
+def _runs(sorted_: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start, and the length of all."""
+    if not len(sorted_):
+        return np.zeros(1, np.int64)
+    return np.append(np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1]))), len(sorted_))
+
+
+def _by(bucket: np.ndarray):
+    """Rows by bucket: an order, and (bucket, from, to) of those that occur."""
     order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(n + 1))
-    return order, [(b, edges[b], edges[b + 1]) for b in np.flatnonzero(edges[1:] > edges[:-1]).tolist()]
+    edges = _runs(bucket[order])
+    return order, [(int(bucket[order[a]]), a, b) for a, b in zip(edges.tolist(), edges[1:].tolist())]
+
+
+def _batch(names: str, kinds: list, rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names=names.split())
+
+
+def _sent(found: Iterable[tuple[np.ndarray, ...]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, values) of columns of numbers, the first of which is a document: a row for each bucket of documents, HELD or more values at a time."""
+    held, size = [], 0
+
+    def flush():
+        columns = [np.concatenate(c) for c in zip(*held)]
+        order, parts = _by((mixed(columns[0].view(np.uint64).copy()) % np.uint64(buckets)).astype(np.int64))
+        columns = [c[order] for c in columns]
+        return _batch("bucket values", [pa.int64(), pa.binary()], [(b, _packed(np.stack([c[x:y].view(np.int64) for c in columns]))) for b, x, y in parts])
+
+    for columns in found:
+        held.append(columns)
+        size += len(columns[0])
+        if size >= HELD:
+            yield flush()
+            held, size = [], 0
+    if size:
+        yield flush()
+
+
+def _buckets(batches, columns: int) -> Iterator[np.ndarray]:
+    """The columns of numbers of each bucket."""
+    for table in whole_groups(batches, ["bucket"]):
+        edges = _runs(table.column("bucket").to_numpy())
+        for a, b in zip(edges, edges[1:]):
+            yield np.concatenate([_unpacked(x, np.int64).reshape(columns, -1) for x in table.column("values").slice(a, b - a).to_pylist()], 1)
 
 
 def _seen(docs: DataFrame, width: int, deals: int) -> DataFrame:
@@ -157,46 +286,55 @@ def _seen(docs: DataFrame, width: int, deals: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids = batch.column("id").to_numpy()
-            for lo, _, data, offsets in spans(batch.column("text")):
+            ids, keys, docs = batch.column("id").to_numpy(), [], []
+            for lo, _, data, offsets in spans(batch.column("text"), SPAN):
                 row, key, _, _ = pieces_of(data, offsets, width)
-                order, parts = _by((key % np.uint64(deals)).astype(np.int64), deals)
-                key, doc = key[order], ids[lo + row[order]]
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in parts], pa.int32()), pa.array([key[x:y].tobytes() for _, x, y in parts], pa.binary()), pa.array([_packed(doc[x:y]) for _, x, y in parts], pa.binary())], names=["deal", "keys", "ids"])
+                keys.append(key), docs.append(ids[lo + row])
+            key, doc = np.concatenate(keys), np.concatenate(docs)
+            order, parts = _by((key % np.uint64(deals)).astype(np.int64))
+            key, doc = key[order], doc[order]
+            yield _batch("deal keys ids", [pa.int64(), pa.binary(), pa.binary()], [(b, key[x:y].tobytes(), _packed(doc[x:y])) for b, x, y in parts])
 
-    return docs.select("id", "text").mapInArrow(run, "deal int, keys binary, ids binary")
+    return docs.select("id", "text").mapInArrow(_nonempty(run), "deal long, keys binary, ids binary")
 
 
-def _repeated(seen: DataFrame) -> DataFrame:
-    """(doc, keys): the minimisers of a document that another document has too, packed."""
+def _nonempty(run):
+    return lambda batches: run(b for b in batches if b.num_rows)
 
-    def run(batches):
+
+def _repeated(seen: DataFrame, buckets: int) -> DataFrame:
+    """(doc, keys): the minimisers of a document that another document has too."""
+
+    def found(batches):
         for table in _deals(batches, ["keys", "ids"]):
             key, doc = np.concatenate([np.frombuffer(x, np.uint64) for x in table["keys"]]), np.concatenate([_unpacked(x, np.int64) for x in table["ids"]])
             order = np.argsort(key)
             key, doc = key[order], doc[order]
-            start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            many = np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start)
-            keep = np.repeat(many, np.diff(np.append(start, len(key))))
-            key, doc = key[keep], doc[keep]
+            edges = _runs(key)
+            many = np.minimum.reduceat(doc, edges[:-1]) != np.maximum.reduceat(doc, edges[:-1])
+            keep = np.repeat(many, np.diff(edges))
+            yield doc[keep], key[keep]
+
+    def run(batches):
+        for doc, key in _buckets(batches, 2):
             order = np.argsort(doc, kind="stable")
-            key, doc = key[order], doc[order]
-            edges = np.append(np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))), len(doc)) if len(doc) else np.zeros(1, np.int64)
+            doc, key = doc[order], key[order]
+            edges = _runs(doc)
             yield pa.RecordBatch.from_arrays([pa.array(doc[edges[:-1]], pa.int64()), pa.array([key[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary())], names=["doc", "keys"])
 
-    return seen.repartition("deal").sortWithinPartitions("deal").mapInArrow(run, "doc long, keys binary")
+    packed = seen.repartition("deal").sortWithinPartitions("deal").mapInArrow(lambda batches: _sent(found(batches), buckets), "bucket long, values binary")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc long, keys binary")
 
 
 def _deals(batches, columns: list[str]):
     """The packed columns of each deal."""
     for table in whole_groups(batches, ["deal"]):
-        deal = table.column("deal").to_numpy()
-        edges = np.append(np.flatnonzero(np.concatenate(([True], deal[1:] != deal[:-1]))), len(deal))
+        edges = _runs(table.column("deal").to_numpy())
         for a, b in zip(edges, edges[1:]):
             yield {c: table.column(c).slice(a, b - a).to_pylist() for c in columns}
 
 
-PACKED = "deal int, ids binary, digests binary, which binary, starts binary, counts binary, bytes binary"
+PACKED = "deal long, ids binary, digests binary, keys binary, which binary, starts binary, counts binary, bytes binary"
 
 
 def _pieces(docs: DataFrame, width: int, deals: int) -> DataFrame:
@@ -205,79 +343,103 @@ def _pieces(docs: DataFrame, width: int, deals: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids, digests = batch.column("id").to_numpy(), batch.column("digest").to_numpy()
-            wanted = batch.column("keys").to_pylist()
-            for lo, hi, data, offsets in spans(batch.column("text")):
+            wanted, found = batch.column("keys").to_pylist(), []
+            for lo, hi, data, offsets in spans(batch.column("text"), SPAN):
                 row, key, start, count = pieces_of(data, offsets, width)
                 edges = np.searchsorted(row, np.arange(hi - lo + 1))
-                keep = np.concatenate([np.isin(key[a:b], np.frombuffer(b"".join(w), np.uint64)) for a, b, w in zip(edges, edges[1:], wanted[lo:hi])]) if hi > lo else np.zeros(0, bool)
+                keep = np.concatenate([np.isin(key[a:b], np.frombuffer(w, np.uint64)) for a, b, w in zip(edges, edges[1:], wanted[lo:hi])])
                 row, key, start, count = row[keep], key[keep], start[keep], count[keep]
-                order, parts = _by((key % np.uint64(deals)).astype(np.int64), deals)
-                rows = []
-                for b, x, y in parts:
-                    at = order[x:y]
-                    there, which = np.unique(row[at], return_inverse=True)
-                    length = count[at] + width - 1
-                    inside = np.arange(length.sum()) + np.repeat(start[at] - np.cumsum(length) + length, length)
-                    rows.append((b, *map(_packed, (ids[lo + there], digests[lo + there], which.astype(np.int32), start[at] - offsets[row[at]], count[at].astype(np.int32), data[inside]))))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows))] if rows else [pa.array([], pa.int32() if i == 0 else pa.binary()) for i in range(7)], names=PACKED.replace(" int", "").replace(" binary", "").split(", "))
+                length = count + width - 1
+                inside = np.arange(length.sum()) + np.repeat(start - np.cumsum(length) + length, length)
+                found.append((lo + row, key, start - offsets[row], count, data[inside]))
+            row, key, start, count, data = (np.concatenate(x) for x in zip(*found))
+            length = count + width - 1
+            begin = np.cumsum(length) - length
+            order, parts = _by((key % np.uint64(deals)).astype(np.int64))
+            rows = []
+            for b, x, y in parts:
+                at = order[x:y]
+                there, which = np.unique(row[at], return_inverse=True)
+                inside = np.arange(length[at].sum()) + np.repeat(begin[at] - np.cumsum(length[at]) + length[at], length[at])
+                rows.append((b, *map(_packed, (ids[there], digests[there], (key[at] >> np.uint64(32)).astype(np.uint32), which.astype(np.int32), start[at], count[at].astype(np.int32), data[inside]))))
+            yield _batch(PACKED.replace(" long,", "").replace(" binary", "").replace(",", ""), [pa.int64(), *[pa.binary()] * 7], rows)
 
-    return docs.select("id", "digest", "text", "keys").mapInArrow(run, PACKED)
+    return docs.select("id", "digest", "text", "keys").mapInArrow(_nonempty(run), PACKED)
 
 
-def _cuts(packed: DataFrame, width: int) -> DataFrame:
+def _firsts(raw: bytes, edge: np.ndarray, doc: np.ndarray, group: np.ndarray, width: int, folder: str) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest document of every window of the pieces raw[edge[i]:edge[i + 1]] of documents, one after another, and where a piece's windows start.
+
+    Equal pieces are built in once, under their smallest document. Equal windows are in one group
+    of pieces. Groups of one distinct piece need no suffix array.
+    """
+    names: dict[bytes, int] = {}
+    nth = np.array([names.setdefault(raw[a:b], len(names)) for a, b in zip(edge.tolist(), edge[1:].tolist())], np.int64)
+    least = np.full(len(names), np.iinfo(np.int64).max)
+    np.minimum.at(least, nth, doc)
+    own = np.empty(len(names), group.dtype)
+    own[nth] = group
+    pieces = list(names)
+    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    windows = lengths - width + 1
+    base = np.cumsum(windows) - windows
+    out = np.repeat(least, windows)
+    order = np.argsort(own, kind="stable")
+    edges = _runs(own[order])
+    several = np.flatnonzero(np.diff(edges) > 1)
+    start = 0
+    bytes_of = np.add.reduceat(lengths[order], edges[:-1])[several] if len(order) else several
+    while start < len(several):
+        end = max(start + 1, int(np.searchsorted(np.cumsum(bytes_of[start:]), COLLECTION, "right")) + start)
+        mine = np.concatenate([order[edges[g] : edges[g + 1]] for g in several[start:end]])
+        found = [block[(block >> np.uint64(16)).astype(np.uint8) >= width] for block in collection(np.frombuffer(b"".join([pieces[i] for i in mine.tolist()]), np.uint8), lengths[mine], folder)]
+        entry = np.concatenate(found)
+        who, size, prefix = mine[(entry >> np.uint64(24)).astype(np.int64)], (entry >> np.uint64(16)).astype(np.int64) & 255, (entry >> np.uint64(8)).astype(np.uint8)
+        begin = np.flatnonzero(np.concatenate(([True], prefix[1:] < width)))
+        out[base[who] + lengths[who] - size] = np.repeat(np.minimum.reduceat(least[who], begin), np.diff(np.append(begin, len(who))))
+        start = end
+    return out, base[nth]
+
+
+def _cuts(packed: DataFrame, width: int, buckets: int, folder: str) -> DataFrame:
     """(doc, of, cuts): byte ranges to remove from a document, packed pairs of start and end."""
 
-    def run(batches):
-        for t in _deals(batches, ["ids", "digests", "which", "starts", "counts", "bytes"]):
+    def found(batches):
+        for t in _deals(batches, ["ids", "digests", "keys", "which", "starts", "counts", "bytes"]):
             read = lambda c, kind: [_unpacked(x, kind) for x in t[c]]
             which = read("which", np.int32)
             doc, of = (np.concatenate([d[w] for d, w in zip(read(c, np.int64), which)]) for c in ("ids", "digests"))
             start, count = np.concatenate(read("starts", np.int64)), np.concatenate(read("counts", np.int32)).astype(np.int64)
-            data = np.concatenate(read("bytes", np.uint8))
-            length = count + width - 1
-            edge = np.concatenate(([0], np.cumsum(length)))
-            # pieces that are equal are built into the suffix array once, under their smallest document
-            names: dict[bytes, int] = {}
-            raw = data.tobytes()
-            nth = np.array([names.setdefault(raw[a:b], len(names)) for a, b in zip(edge.tolist(), edge[1:].tolist())], np.int64)
-            least = np.full(len(names), np.iinfo(np.int64).max)
-            np.minimum.at(least, nth, doc)
-            lengths = np.fromiter(map(len, names), np.int64, len(names))
-            who, size, prefix = build(np.frombuffer(b"".join(names), np.uint8), lengths)
-            del raw
-            windows = np.flatnonzero(size >= width)
-            who, size, prefix = who[windows], size[windows], prefix[windows]
-            begin = np.flatnonzero(np.concatenate(([True], prefix[1:] < width)))
-            first = np.repeat(np.minimum.reduceat(least[who], begin), np.diff(np.append(begin, len(who))))
-            # smallest document of each window, by piece and place in it
-            base = np.concatenate(([0], np.cumsum(lengths - width + 1)))
-            by_place = np.empty(base[-1], np.int64)
-            by_place[base[who] + lengths[who] - size] = first
+            edge = np.concatenate(([0], np.cumsum(count + width - 1)))
+            raw = b"".join(zstandard.decompress(x) for x in t["bytes"])
+            first, base = _firsts(raw, edge, doc, np.concatenate(read("keys", np.uint32)), width, folder)
             inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            hit = by_place[np.repeat(base[nth], count) + inside] < np.repeat(doc, count)
-            d, o, s = (np.repeat(x, count)[hit] for x in (doc, of, start))
-            s = s + inside[hit]
-            order = np.lexsort((s, o, d))
-            d, o, s = d[order], o[order], s[order]
-            if not len(d):
+            hit = first[np.repeat(base, count) + inside] < np.repeat(doc, count)
+            which = np.repeat(np.arange(len(count)), count)[hit]
+            s = start[which] + inside[hit]
+            if not len(s):
                 continue
-            other = np.concatenate(([True], (d[1:] != d[:-1]) | (o[1:] != o[:-1])))
-            fresh = np.flatnonzero(other | np.concatenate(([True], s[1:] > s[:-1] + width)))
-            ends = s[np.append(fresh[1:], len(s)) - 1] + width
-            pairs = np.column_stack((s[fresh], ends))
-            at = np.append(np.flatnonzero(other[fresh]), len(fresh))
-            yield pa.RecordBatch.from_arrays([pa.array(d[fresh[at[:-1]]]), pa.array(o[fresh[at[:-1]]]), pa.array([pairs[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())], names=["doc", "of", "cuts"])
+            fresh = np.concatenate(([True], (which[1:] != which[:-1]) | (s[1:] > s[:-1] + width)))
+            ends = s[np.append(np.flatnonzero(fresh)[1:], len(s)) - 1] + width
+            which = which[fresh]
+            yield doc[which], of[which], s[fresh], ends
+
+    def run(batches):
+        for columns in _buckets(batches, 4):
+            doc, of, start, end = columns[:, np.lexsort(columns[2::-1])]
+            edges = np.append(np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (of[1:] != of[:-1])))), len(doc))
+            cuts = [_merged(start[a:b], end[a:b]).tobytes() for a, b in zip(edges, edges[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[edges[:-1]]), pa.array(of[edges[:-1]]), pa.array(cuts, pa.binary())], names=["doc", "of", "cuts"])
 
-    return packed.repartition("deal").sortWithinPartitions("deal").mapInArrow(run, "doc long, of long, cuts binary")
+    cuts = packed.repartition("deal").sortWithinPartitions("deal").mapInArrow(lambda batches: _sent(found(batches), buckets), "bucket long, values binary")
+    return cuts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc long, of long, cuts binary")
 
 
-def _merged(cuts: list[bytes]) -> np.ndarray:
-    """Sorted byte ranges without overlaps or touching ends."""
-    pairs = np.frombuffer(b"".join(cuts), np.int64).reshape(-1, 2)
-    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-    reach = np.maximum.accumulate(pairs[:, 1])
-    new = np.flatnonzero(np.concatenate(([True], pairs[1:, 0] > reach[:-1])))
-    return np.column_stack((pairs[new, 0], reach[np.append(new[1:], len(pairs)) - 1]))
+def _merged(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Byte ranges, sorted by start, without overlaps or touching ends."""
+    reach = np.maximum.accumulate(end)
+    new = np.flatnonzero(np.concatenate(([True], start[1:] > reach[:-1])))
+    return np.column_stack((start[new], reach[np.append(new[1:], len(start)) - 1]))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, texts: bool = False) -> DataFrame:
@@ -303,17 +465,18 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     deals = max(1, -(-total // DEAL))
     alone = docs.where(F.col("id").isNotNull() & (F.octet_length("text") >= width)).withColumn("digest", F.xxhash64("text"))
     alone = attach(alone.withColumn("k", F.struct("id", "digest")), copies.select(F.struct(F.col("c").alias("id"), F.col("cd").alias("digest")).alias("ck")), "k", "ck").where("ck IS NULL").select("id", "digest", "text")
-    again = _repeated(_seen(alone, width, deals)).groupBy("doc").agg(F.collect_list("keys").alias("keys"))
-    again = written(again, "keys")
+    again = written(_repeated(_seen(alone, width, deals), deals), "keys")
+    folder = f"{shared_dir(spark)}/lodestar-columns-{uuid.uuid4().hex}"
     packed = _pieces(attach(alone, again, "id", "doc").where("doc IS NOT NULL"), width, deals)
-    cuts = written(_cuts(packed, width).groupBy("doc", "of").agg(F.collect_list("cuts").alias("cuts")), "cuts")
+    cuts = written(_cuts(packed, width, deals, folder), "cuts")
+    drop_path(spark, folder)
     cuts = cuts.select(F.struct(F.col("doc").alias("id"), F.col("of").alias("digest")).alias("ck"), "cuts")
 
     def run(batches):
         for batch in batches:
             removed, n_spans, shas, ranges, kept_texts = [], [], [], [], []
             for text, cut in zip(batch.column("text"), batch.column("cuts")):
-                pairs = _merged(cut.as_py())
+                pairs = np.frombuffer(cut.as_py(), np.int64).reshape(-1, 2)
                 data = text.as_buffer().to_pybytes()
                 rest = b"".join(data[a:b] for a, b in zip([0, *pairs[:, 1].tolist()], [*pairs[:, 0].tolist(), len(data)]))
                 removed.append(len(data) - len(rest)), n_spans.append(len(pairs)), shas.append(hashlib.sha256(rest).hexdigest())
