@@ -1,10 +1,12 @@
 """Exact dedup by two-pass Bloom filtering, with DataFrame functions only.
 
-Pass one inserts a hash of every text into a register-blocked Bloom filter: a word number and a
-mask of three bits in that 64-bit word. Insertions that meet their own bits again form a second
-filter, of texts that may be repeated. It has at most MAX_WORDS words, so it can be broadcast
-whatever the input; a filter that is too full only lets more rows through. Pass two probes it with
-every row: rows that miss go straight to the result, only the rest are grouped by SHA-256.
+Pass one inserts the hash of every text into a register-blocked Bloom filter: one bit of one 64-bit
+register. A register also counts its insertions, and tasks merge theirs before anything is sent.
+Registers with fewer bits than insertions have met a bit twice, and so has every register of a
+repeated text. Pass two probes these with every row: rows that miss go straight to the result, and
+only the rest are shuffled and grouped by SHA-256, ids and digests without texts. There are at most
+MAX_WORDS registers, so they can be broadcast whatever the input; a filter that is too full only
+lets more rows through.
 """
 
 from __future__ import annotations
@@ -12,31 +14,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import folded, without
+from .common import attach, folded, without, written
 
-#: Bound of the broadcast filter: two longs for each word.
+#: Bound of the broadcast filter, in registers.
 MAX_WORDS = 1 << 21
 OUTPUT = ["keep_id", "group_size", "kept", "text_sha256"]
 
 
 def _words(rows: int) -> int:
-    """A power of two of words, for some 16 bits a row up to the bound."""
-    return min(MAX_WORDS, max(1024, 1 << max(0, rows // 4).bit_length()))
+    """A power of two of registers, for two rows or fewer in each up to the bound."""
+    return min(MAX_WORDS, max(1024, 1 << max(0, rows // 2).bit_length()))
 
 
-def _probe(df: DataFrame, text: str, words: int) -> DataFrame:
-    """Adds the word and mask of a hash that texts equal after folding share."""
-    h = F.xxhash64(F.lower(F.coalesce(F.col(text), F.lit(""))))
-    df = df.withColumn("__h", h)
-    bit = lambda at: F.expr(f"shiftleft(1L, cast(shiftrightunsigned(__h, {at}) & 63 as int))")
-    mask = bit(63 - 6).bitwiseOR(bit(63 - 12)).bitwiseOR(bit(63 - 18))
-    return df.withColumn("__mask", mask).withColumn("__word", F.col("__h").bitwiseAND(F.lit(words - 1))).drop("__h")
+def _word(words: int):
+    return F.xxhash64("text_sha256").bitwiseAND(F.lit(words - 1))
 
 
-def repeat_filter(docs: DataFrame, text: str, words: int) -> DataFrame:
-    """(__w, __bits): the second filter."""
-    seen = _probe(docs.select(text), text, words).groupBy("__word", "__mask").agg(F.count("*").alias("n"))
-    return seen.where("n > 1").groupBy(F.col("__word").alias("__w")).agg(F.bit_or("__mask").alias("__bits"))
+def repeat_filter(digests: DataFrame, words: int) -> DataFrame:
+    """(__w): the registers that may hold a repeated digest."""
+    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(xxhash64(text_sha256), 58) as int))")
+    registers = digests.select(_word(words).alias("__w"), bit.alias("__bit")).groupBy("__w").agg(F.count("*").alias("__n"), F.bit_or("__bit").alias("__bits"))
+    return registers.where(F.bit_count("__bits") < F.col("__n")).select("__w")
+
+
+def _decided(rows: DataFrame, id_col: str, digests: DataFrame) -> DataFrame:
+    """rows (with text_sha256) and keep_id, group_size, kept; digests are those of rows."""
+    words = _words(digests.count())
+    twice = F.broadcast(repeat_filter(digests, words))
+    marked = rows.join(twice, _word(words) == F.col("__w"), "left")
+    own = [f"`{c}`" for c in rows.columns]
+    alone = marked.where("__w IS NULL").select(*own, F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
+    again = marked.where("__w IS NOT NULL").select(*own)
+    few = digests.join(twice, _word(words) == F.col("__w"), "left_semi")
+    # a row for each group and task is shuffled; the rebalance leaves a join that Spark may split at a hot group
+    groups = few.groupBy(F.col("text_sha256").alias("__sha")).agg(F.max(id_col).alias("keep_id"), F.count("*").alias("group_size")).hint("rebalance")
+    joined = again.join(groups, F.col("text_sha256") == F.col("__sha")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")))
+    return alone.unionByName(joined.select(*alone.columns))
+
+
+def _digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text_sha256), from the only scan of the texts that pass one needs."""
+    return written(docs.select(f"`{id_col}`", F.sha2(folded(F.col(text_col)).cast("binary"), 256).alias("text_sha256")), "digests")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -48,34 +66,28 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     any case, are replaced. An empty table gives an empty result. Texts may be of any length.
     """
     docs = without(docs, OUTPUT)
-    words = _words(docs.count())
-    twice = F.broadcast(repeat_filter(docs, text_col, words))
-    probed = _probe(docs, text_col, words).join(twice, F.col("__word") == F.col("__w"), "left")
-    hit = F.coalesce(F.col("__bits").bitwiseAND(F.col("__mask")) == F.col("__mask"), F.lit(False))
-    marked = probed.withColumn("__hit", hit).drop("__word", "__mask", "__w", "__bits")
-    sha = F.sha2(folded(F.col(text_col)).cast("binary"), 256)
+    digests = _digests(docs, id_col, text_col)
+    return _decided(docs.withColumn("text_sha256", F.sha2(folded(F.col(text_col)).cast("binary"), 256)), id_col, digests)
 
-    alone = marked.where(~F.col("__hit")).drop("__hit")
-    alone = alone.select("*", F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha.alias("text_sha256"))
 
-    again = marked.where("__hit").drop("__hit").withColumn("text_sha256", sha)
-    # a row for each group and task is shuffled; the rebalance leaves a join that Spark may split at a hot group
-    groups = again.groupBy(F.col("text_sha256").alias("__sha")).agg(F.max(id_col).alias("keep_id"), F.count("*").alias("group_size")).hint("rebalance")
-    joined = again.join(groups, F.col("text_sha256") == F.col("__sha"))
-    joined = joined.withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id"))).select(*alone.columns)
-    return alone.unionByName(joined)
+def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """exact_dedup() without the columns of docs other than the id; texts are read once."""
+    digests = _digests(docs, id_col, text_col)
+    return _decided(digests, id_col, digests)
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with their own columns."""
-    # the operator replaces columns of its own names; carry the input under names that cannot clash
+    """The rows of docs that stay, with their own columns; texts of rows that a filter of the dropped ones rejects are not shuffled."""
+    # columns of docs are carried under a name that cannot clash
     safe = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("__row"), F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    return exact_dedup(safe, "__id", "__text").where("kept").select("__row.*")
+    gone = written(decisions(safe, "__id", "__text").where("NOT kept").select(F.struct("__id", "text_sha256").alias("__gone")).distinct(), "gone")
+    own = F.struct("__id", F.sha2(folded(F.col("__text")).cast("binary"), 256).alias("text_sha256"))
+    return attach(safe.select("__row", own.alias("__own")), gone, "__own", "__gone").where("__gone IS NULL").select("__row.*")
 
 
 def op1_exact_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return decisions(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 SQL = f"""
