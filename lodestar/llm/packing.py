@@ -17,13 +17,14 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, written
 
-#: Words whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 1_000_000
+#: Words whose ids a worker remembers, beyond which it starts anew; bytes of text that are looked up at once.
+REMEMBERED, AT_ONCE = 2_000_000, 8_000_000
 #: A space between white space, or between white space and the end.
 _BLANKS = re.compile(r"\s \s|\s \Z")
 #: Most items that one task packs, and the share of them by which a level must shrink to be followed by another.
@@ -47,6 +48,26 @@ def _opening(own) -> np.ndarray:
     return out
 
 
+def _byte_symbols() -> list[str]:
+    """The symbol of every byte in byte-level vocabularies: printable bytes stand for themselves, the others follow from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
+
+
+_SYMBOLS = dict(enumerate(_byte_symbols()))
+_SPACE = _SYMBOLS[32]
+@lru_cache(1)
+def _plain(own):
+    """own for text in byte symbols whose pre-tokens start with a space."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    t = Tokenizer.from_str(own.to_str())
+    t.encode_special_tokens = True
+    t.pre_tokenizer = pre_tokenizers.Split(_SPACE, "merged_with_next")
+    return t
+
+
 def _word_ids(own, opens: np.ndarray, words: list[str], together: int = 200):
     """(word, its ids after a space as bytes).
 
@@ -68,6 +89,165 @@ def _word_ids(own, opens: np.ndarray, words: list[str], together: int = 200):
     yield from zip(alone, [array("I", e.ids).tobytes() for e in own.encode_batch_fast([" " + w for w in alone], add_special_tokens=False)])
 
 
+def _filled(out: np.ndarray, to: np.ndarray, ids: np.ndarray, begin: np.ndarray, length: np.ndarray) -> None:
+    """Copies runs ids[begin:begin + length] to out, each from its place in `to` on."""
+    before = np.cumsum(length) - length
+    nth = np.arange(int(length.sum()))
+    out[nth + np.repeat(to - before, length)] = ids[nth + np.repeat(begin - before, length)]
+
+
+class Runs:
+    """Ids of distinct strings, one run after another; found again by a hash join, without an object for each."""
+
+    def __init__(self):
+        self.keys, self.n = pa.array([], pa.large_string()), 0
+        self.ids, self.start = np.empty(1 << 16, np.uint32), np.zeros((1 << 16) + 1, np.int64)
+
+    def find(self, keys: pa.Array) -> np.ndarray:
+        """The place of each key, or -1."""
+        return pc.index_in(keys, value_set=self.keys).fill_null(-1).to_numpy().astype(np.int64)
+
+    def add(self, keys: pa.Array, ids: np.ndarray, length: np.ndarray) -> None:
+        end = self.start[self.n] + len(ids)
+        while end > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
+        while self.n + len(length) >= len(self.start):
+            self.start = np.concatenate((self.start, np.zeros_like(self.start)))
+        self.ids[self.start[self.n] : end] = ids
+        self.start[self.n + 1 : self.n + 1 + len(length)] = self.start[self.n] + np.cumsum(length)
+        self.keys, self.n = pa.concat_arrays([self.keys, keys]), self.n + len(length)
+
+    def run(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and length of the runs at some places."""
+        return self.start[place], self.start[place + 1] - self.start[place]
+
+
+class Memory:
+    """Ids of words after a space that a worker has met; at most REMEMBERED words, then it starts anew.
+
+    A word of letters and punctuation after them is two pre-tokens, so its letters are looked up,
+    and encoded, on their own.
+    """
+
+    def __init__(self, own):
+        self.own, self.opens = own, _opening(own)
+        self.clear()
+
+    def clear(self) -> None:
+        self.words, self.letters, self.marks = Runs(), Runs(), Runs()
+
+    def _known(self, runs: Runs, keys: pa.Array, encode) -> np.ndarray:
+        """Places of distinct keys; those not met before are encoded."""
+        place = runs.find(keys)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            place[new] = runs.n + np.arange(len(new))
+            missing = keys.take(pa.array(new))
+            runs.add(missing, *encode(missing))
+        return place
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Places in self.words of some distinct words."""
+        if self.words.n + len(words) > REMEMBERED:
+            self.clear()
+        return self._known(self.words, words, self._words)
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number for new words."""
+        parts = pc.extract_regex(words, _MARKED)
+        split, rest = (np.flatnonzero(f(parts).to_numpy(zero_copy_only=False)) for f in (pc.is_valid, pc.is_null))
+        length, plan = np.zeros(len(words), np.int64), []
+        for runs, name, encode in ((self.letters, "letters", self._letters), (self.marks, "marks", self._marks)):
+            keys = parts.field(name).take(pa.array(split)).cast(pa.large_string()).dictionary_encode()
+            begin, own = runs.run(self._known(runs, keys.dictionary, encode)[keys.indices.to_numpy()])
+            plan.append((split, length[split], runs, begin, own))
+            length[split] += own
+        others = words.take(pa.array(rest)).to_pylist()
+        raw = dict(_word_ids(self.own, self.opens, others))
+        found = [raw[w] for w in others]
+        length[rest] = [len(x) // 4 for x in found]
+        at = np.cumsum(length) - length
+        out = np.empty(int(length.sum()), np.uint32)
+        for rows, shift, runs, begin, own in plan:
+            _filled(out, at[rows] + shift, runs.ids, begin, own)
+        _filled(out, at[rest], np.frombuffer(b"".join(found), np.uint32), np.cumsum(length[rest]) - length[rest], length[rest])
+        return out, length
+
+    def _letters(self, keys: pa.Array, together: int = 200) -> tuple[np.ndarray, np.ndarray]:
+        """Words of letters are one pre-token each: they go to the merges in byte symbols, many at a time."""
+        edges = [*range(0, len(keys), together), len(keys)]
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), keys), pa.scalar(" ", keys.type)).to_pylist()
+        found = _plain(self.own).encode_batch_fast([(" " + t).encode().decode("latin-1").translate(_SYMBOLS) for t in joined], add_special_tokens=False)
+        ids = np.frombuffer(b"".join([array("I", e.ids).tobytes() for e in found]), np.uint32)
+        at = np.flatnonzero(self.opens[ids])
+        if len(at) != len(keys):
+            raise ValueError("the vocabulary has tokens with a space after their start")
+        return ids, np.diff(at, append=len(ids))
+
+    def _marks(self, keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.own.encode_batch_fast(keys.to_pylist(), add_special_tokens=False)]
+        return np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int64)
+
+
+#: Letters of one pre-token in every version of Unicode, and punctuation after them that no contraction opens.
+_MARKED = "^(?P<letters>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)(?P<marks>[!-&(-/:-@\\[-`{-~]*)$"
+
+
+@lru_cache(1)
+def _memory(path: str) -> Memory:
+    """Once for each worker."""
+    return Memory(_tokenizer(path))
+
+
+def token_ids(texts: pa.Array, memory: Memory) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, one after another, and where each text's start and the last ends.
+
+    A word after a space has the same ids wherever it stands, unless white space surrounds that
+    space; texts that have such a place, and the first word of each text, are encoded as they are.
+    """
+    texts = texts.fill_null("").cast(pa.large_string())
+    plain = texts.to_pylist()
+    whole = [_BLANKS.search(t) is not None for t in plain]
+    split = pc.split_pattern(pc.if_else(pa.array(whole), pa.scalar("", pa.large_string()), texts), " ")
+    offsets = split.offsets.to_numpy().astype(np.int64)
+    words = split.values.slice(offsets[0], offsets[-1] - offsets[0])
+    offsets = offsets - offsets[0]
+    heads = words.take(pa.array(offsets[:-1])).to_pylist()
+    heads = [array("I", e.ids) for e in memory.own.encode_batch_fast([t if w else h for t, w, h in zip(plain, whole, heads)], add_special_tokens=False)]
+    first = np.zeros(len(words), bool)
+    first[offsets[:-1]] = True
+    words = words.dictionary_encode()
+    later = np.flatnonzero(~first)
+    code = words.indices.to_numpy()[later]
+    used = np.zeros(len(words.dictionary), bool)  # not all: some are first words only
+    used[code] = True
+    place = memory.places(words.dictionary.filter(pa.array(used)))[(np.cumsum(used) - 1)[code]]
+    begin, n = memory.words.run(place)
+    length = np.empty(len(first), np.int64)
+    length[later], length[first] = n, [len(h) for h in heads]
+    edge = np.concatenate(([0], np.cumsum(length)))
+    out = np.empty(edge[-1], np.uint32)
+    _filled(out, edge[later], memory.words.ids, begin, n)
+    n = length[first]
+    _filled(out, edge[offsets[:-1]], np.frombuffer(b"".join(h.tobytes() for h in heads), np.uint32), np.cumsum(n) - n, n)
+    return out, edge[offsets]
+
+
+def _together(batches, size: int):
+    """Record batches, several made one until the texts in their second column have `size` bytes."""
+    held, total = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        total += batch.column(1).nbytes
+        if total >= size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, total = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def pieces(docs: DataFrame, capacity: int, end_id: int, vocabulary: str | None, id_col: str, text_col: str) -> DataFrame:
     """(__id, piece, start, length, ids_crc32) of every document's ids and its end."""
     small_batches(docs.sparkSession, 64)
@@ -78,28 +258,21 @@ def pieces(docs: DataFrame, capacity: int, end_id: int, vocabulary: str | None,
         import public_tokenizers as public
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        own = _tokenizer(vocabulary or public.path("byte_bpe_50k.json"))
-        end, memory, opens = np.uint32(end_id).tobytes(), {}, _opening(own)
-        for batch in batches:
-            # a word after a space has the same ids wherever it stands, unless white space surrounds that space
-            words = [[t] if _BLANKS.search(t) else t.split(" ") for t in ((t or "") for t in batch.column(1).to_pylist())]
-            if len(memory) > REMEMBERED:
-                memory = {}
-            known = [list(map(memory.get, ws[1:])) for ws in words]
-            new = list({w for ws, ids in zip(words, known) if None in ids for w, x in zip(ws[1:], ids) if x is None})
-            found = [array("I", e.ids).tobytes() for e in own.encode_batch_fast([ws[0] for ws in words], add_special_tokens=False)]
-            memory.update(_word_ids(own, opens, new))
-            took, starts, lengths, sums, nth = [], [], [], [], []
-            for row, (ws, parts) in enumerate(zip(words, known)):
-                if None in parts:
-                    parts = map(memory.__getitem__, ws[1:])
-                ids = np.frombuffer(b"".join([found[row], *parts, end]), "<u4")
-                first = len(ids) % capacity or capacity  # the first piece may be shorter
-                edges = [0, *range(first, len(ids) + 1, capacity)]
-                for k, (a, b) in enumerate(zip(edges, edges[1:])):
-                    took.append(row), nth.append(k), starts.append(a), lengths.append(b - a)
-                    sums.append(zlib.crc32(ids[a:b].tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(took, pa.int32())), pa.array(nth, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(sums, pa.int64())], names=["__id", "piece", "start", "length", "ids_crc32"])
+        memory = _memory(vocabulary or public.path("byte_bpe_50k.json"))
+        for batch in _together(batches, AT_ONCE):
+            ids, bounds = token_ids(batch.column(1), memory)
+            bounds = bounds + np.arange(len(bounds))  # with an end each
+            ids = np.insert(ids, bounds[1:] - np.arange(1, len(bounds)), np.uint32(end_id)).astype("<u4")
+            lengths = np.diff(bounds)
+            count = -(-lengths // capacity)
+            row = np.repeat(np.arange(len(lengths)), count)
+            nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            first = lengths - (count - 1) * capacity  # the first piece may be shorter
+            start = np.where(nth == 0, 0, first[row] + (nth - 1) * capacity)
+            length = np.where(nth == 0, first[row], capacity)
+            at = bounds[row] + start
+            sums = [zlib.crc32(ids[a:b]) for a, b in zip(at.tolist(), (at + length).tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(nth, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(sums, pa.int64())], names=["__id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     return docs.select(f"`{id_col}`", f"`{text_col}`").mapInArrow(run, f"__id {kind}, piece int, start long, length long, ids_crc32 long")
