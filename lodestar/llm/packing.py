@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, written
 
 #: Words whose ids a worker remembers, beyond which it starts anew; bytes of text that are looked up at once.
-REMEMBERED, AT_ONCE = 2_000_000, 8_000_000
+REMEMBERED, AT_ONCE = 1_000_000, 4_000_000
 #: A space between white space, or between white space and the end.
 _BLANKS = re.compile(r"\s \s|\s \Z")
 #: Most items that one task packs, and the share of them by which a level must shrink to be followed by another.
