@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 STOPWORDS = "a about after also an and are as at be been being but by can could did do does each else for from had has have how if in into is it its just may might not of on or our out over shall should so such than that the their them then there these they this those through to too under was we were what when where which while who why will with would you your".split()
 #: A token: two word characters or more, hyphens inside; also right in RE2.
 TOKEN = r"[\p{L}\p{N}_][\p{L}\p{N}_-]*[\p{L}\p{N}_]"
+#: Short names of languages.
+LANGUAGES = ["c", "r", "go", "f", "d"]
 #: Names whose slugs are not their letters.
 SLUGS = {"c++": "cpp", "c#": "csharp", "f#": "fsharp", ".net": "dotnet", "c/c++": "c-cpp"}
 
@@ -25,13 +27,14 @@ def tokens(c) -> Column:
 
 def without_code(c) -> Column:
     """Fenced and inline code become a space."""
-    return F.regexp_replace(F.regexp_replace(col(c), "(?s)```.*?```", " "), "`[^`\n]*`", " ")
+    return F.regexp_replace(F.regexp_replace(col(c), "(?s)```.*?```", " "), "`[^`\n]+`", " ")
 
 
 def wikilinks(c) -> Column:
-    """Targets of [[target]] and [[target|alias]] outside code: trimmed, without .md, lower-case."""
-    raw = F.regexp_extract_all(without_code(c), F.lit(r"(?<![!\[])\[\[([^\]|]{1,500})(?:\|[^\]]+)?\]\](?!\])"), F.lit(1))
-    return F.filter(F.transform(raw, lambda t: F.regexp_replace(F.lower(F.trim(t)), r"\.md$", "")), lambda t: t != "")
+    """Targets of [[target]] and [[target|alias]] outside the header and code: trimmed, without .md, lower-case, on one line."""
+    body = F.regexp_replace(col(c), r"(?s)\A---[ \t]*\r?\n.{0,10000}?\r?\n---[ \t]*\r?\n?", " ")
+    raw = F.regexp_extract_all(without_code(body), F.lit(r"(?<![!\[])\[\[([^\]|]{1,500})(?:\|[^\]]+)?\]\](?!\])"), F.lit(1))
+    return F.filter(F.transform(raw, lambda t: F.lower(F.regexp_replace(F.regexp_replace(t, r"\A\s+|\s+\z", ""), r"\.md\z", ""))), lambda t: (t != "") & ~t.rlike(r"[\r\n]"))
 
 
 def raw_refs(c) -> Column:
@@ -52,11 +55,11 @@ def slug(c) -> Column:
     """A name for files: symbols spelt out, words joined by hyphens."""
     low = F.lower(F.trim(col(c)))
     s = F.regexp_replace(low, r"([\p{L}\p{N}_])\+\+", "$1plus")
-    s = F.regexp_replace(F.regexp_replace(s, r"([\p{L}\p{N}_])#", "$1sharp"), r"(\p{N})\.(\p{N})", "$1-$2")
+    s = F.regexp_replace(F.regexp_replace(s, r"([\p{L}\p{N}_])#", "$1sharp"), r"(?<=\p{Nd})\.(?=\p{Nd})", "-")
     s = F.regexp_replace(s, r"[^\p{L}\p{N}_\s-]", "")
     s = F.regexp_replace(F.regexp_replace(s, r"[\s_]+", "-"), "-{2,}", "-")
     s = F.regexp_replace(s, "^-+|-+$", "")
-    s = F.when(s == "", F.concat(F.lit("untitled-"), F.substring(F.sha2(F.coalesce(col(c), F.lit("")), 256), 1, 6))).otherwise(s)
+    s = F.when(s == "", F.concat(F.lit("untitled-"), F.substring(F.sha2(F.coalesce(low, F.lit("")), 256), 1, 6))).otherwise(s)
     for name, short in SLUGS.items():
         s = F.when(low == name, short).otherwise(s)
     return s
@@ -64,7 +67,7 @@ def slug(c) -> Column:
 
 def plain(c) -> Column:
     """Without bidirectional marks, byte order marks, line separators and control characters."""
-    return F.regexp_replace(col(c), "[\u200e\u200f\u202a-\u202e\u2066-\u2069\ufeff\u2028\u2029\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]", "")
+    return F.regexp_replace(col(c), "[\u202a-\u202e\u2066-\u2069\ufeff\u2028\u2029\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f\\x85]", "")
 
 
 def yaml_escaped(c) -> Column:
@@ -77,14 +80,13 @@ def yaml_escaped(c) -> Column:
 def field(c, limit: int = 2000) -> Column:
     """A value from outside: no comments, rules or headings, and no longer than limit."""
     s = F.regexp_replace(plain(c), r"(?s)<!--.*?-->", "")
-    s = F.regexp_replace(F.regexp_replace(s, r"(?m)^---[ \t]*$", ""), r"(?m)^##+ .*$", "")
-    s = F.regexp_replace(s, r"\A\s+|\s+\z", "")
-    return F.when(F.char_length(s) > limit, F.concat(F.substring(s, 1, limit), F.lit(" [truncated]"))).otherwise(s)
+    s = F.coalesce(F.regexp_replace(F.regexp_replace(s, r"(?m)^---[ \t]*$", ""), r"(?m)^##+ .*$", ""), F.lit(""))
+    return F.when(F.char_length(s) > limit, F.concat(F.substring(s, 1, limit), F.lit("... [truncated]"))).otherwise(s)
 
 
 def display(c) -> Column:
     """Text that is safe as a link's alias."""
-    return F.regexp_replace(F.regexp_replace(F.translate(col(c), "[]", "()"), r"\|", "-"), r"[\r\n]+", " ")
+    return F.replace(F.translate(col(c), "[]\r\n", "()  "), F.lit("|"), F.lit("\\|"))
 
 
 def shortened(c, limit: int) -> Column:
@@ -94,6 +96,13 @@ def shortened(c, limit: int) -> Column:
     return F.when(n <= limit, col(c)).otherwise(cut)
 
 
+def wrapped_purpose(c, limit: int = 4096) -> Column:
+    """A focus text between marks that it cannot close itself; empty for an empty one."""
+    cut = F.substring(F.regexp_replace(col(c), "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]", ""), 1, limit)
+    safe = F.regexp_replace(cut, r"(?i)<\s*/\s*purpose\s*>", "</-purpose>")
+    return F.when(F.trim(F.coalesce(col(c), F.lit(""))) == "", "").otherwise(F.concat(F.lit("<purpose>\n"), safe, F.lit("\n</purpose>")))
+
+
 def content_hash(c) -> Column:
     return F.substring(F.sha2(F.regexp_replace(col(c), "\r\n?", "\n"), 256), 1, 32)
 
@@ -106,9 +115,10 @@ def content_words(c) -> Column:
 
 def significant(c) -> Column:
     """Tokens that a contradiction may turn on: names of languages, and words of three letters and more."""
-    names = F.transform(F.regexp_extract_all(col(c), F.lit(r"(?i)(\.NET|C\+\+|C#|F#|\bGo\b|\bR\b)"), F.lit(1)), F.lower)
-    words = F.filter(F.regexp_extract_all(F.lower(col(c)), F.lit(r"[\p{L}\p{N}_]{3,}"), F.lit(0)), lambda w: ~w.isin(STOPWORDS))
-    return F.array_distinct(F.concat(names, words))
+    names = F.transform(F.regexp_extract_all(col(c), F.lit(r"(?:\.NET|[A-Z][+#a-z]*)"), F.lit(0)), F.lower)
+    names = F.filter(names, lambda w: w.rlike("[+#.]") | w.isin(LANGUAGES))
+    words = F.regexp_extract_all(F.lower(col(c)), F.lit(TOKEN), F.lit(0))
+    return F.array_distinct(F.filter(F.concat(names, F.filter(words, lambda w: F.char_length(w) > 2)), lambda w: ~w.isin(STOPWORDS)))
 
 
 def connection_terms(c) -> Column:
@@ -118,7 +128,7 @@ def connection_terms(c) -> Column:
 
 
 def overlap_terms(c, common: list[str]) -> Column:
-    s = F.transform(F.split(F.lower(col(c)), r"\s+"), lambda w: F.regexp_replace(w, r"^[.,;:!?()\[\]{}\"'*_`#>-]+|[.,;:!?()\[\]{}\"'*_`#>-]+$", ""))
+    s = F.transform(F.split(F.lower(col(c)), r"\s+"), lambda w: F.btrim(w, F.lit(".,!?()[]{}\"':-/")))
     return F.array_distinct(F.filter(s, lambda w: (F.char_length(w) > 4) & ~w.isin(common)))
 
 
@@ -148,8 +158,19 @@ def unmarked(c) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(col(c), r"\[\[[^\]|]*\|([^\]]*)\]\]", "$1"), r"\[\[([^\]]*)\]\]", "$1"), r"(?m)^##+ .*$", "")
 
 
+#: Absolute paths of Windows and of POSIX roots, the more special forms first.
+PATHS = [
+    r"(?<![A-Za-z])[A-Za-z]:[\\/][^\s'\"]+",
+    r"\\\\\?\\[^\s'\"]+",
+    r"\\\\[^\s\\'\"?]+\\[^\s\\'\"]+(?:\\[^\s'\"]*)?",
+    r"//\?/UNC/[^\s'\"?]+/[^\s'\"]+(?:/[^\s'\"]*)?",
+    r"(?<!:)//[^\s'\"?/]+/[^\s'\"?/]+/[^\s'\"]+",
+    r"/(?:home|Users|opt|var|srv|tmp|mnt|root)/[^\s'\"]+",
+]
+
+
 def redacted_paths(c) -> Column:
-    return F.regexp_replace(F.regexp_replace(col(c), r"\b[A-Za-z]:[\\\\/][^\s'\"]+", "<path>"), r"/(?:home|Users|opt|var|srv|tmp|mnt|root)/[^\s'\"]+", "<path>")
+    return F.regexp_replace(col(c), "|".join(PATHS), "<path>")
 
 
 #: Secrets that messages are cleared of, in order.
@@ -240,11 +261,21 @@ SECRETS = [
 ]
 
 
+#: Text, in lower case, without which a secret cannot occur; spares most texts most patterns.
+HINTS = {
+    "AWS access key": "akia", "AWS access key (temporary)": "asia", "AWS secret access key (env-var)": "aws_secret", "OpenAI key (project)": "sk-proj-", "Anthropic key": "sk-ant-", "OpenAI key (legacy)": "sk-",
+    "GitHub PAT (long form)": "github_pat_", "GitHub PAT": "ghp_", "Slack token": "xox", "Bearer token": "bearer", "JWT": "eyj", "Google API key": "aiza", "GCP OAuth access token": "ya29.", "GCP service account JSON": "service_account",
+    "Stripe live key": "sk_live_", "Stripe live restricted key": "rk_live_", "HuggingFace token": "hf_", "npm token": "npm_", "HTTP Basic Authorization header": "authorization:", "HTTP Bearer Authorization header": "authorization:",
+    "env-var assignment": "=", "DB connection string with password": "://", "Private key block": "private key-----", "PostgreSQL DSN with password": "postgresql://", "npm registry _authToken": ":_authtoken=",
+}
+
+
 def secret_label(c) -> Column:
     """The first secret's label, or null."""
-    out = F.lit(None).cast("string")
+    out, low = F.lit(None).cast("string"), F.lower(col(c))
     for label, pattern in reversed(SECRETS):
-        out = F.when(col(c).rlike(pattern), label).otherwise(out)
+        hit = col(c).rlike(pattern)
+        out = F.when(F.contains(low, F.lit(HINTS[label])) & hit if label in HINTS else hit, label).otherwise(out)
     return out
 
 
@@ -255,3 +286,18 @@ def secret_line(c) -> Column:
         before = F.regexp_extract(col(c), f"(?s)\\A(.*?)(?:{pattern})", 1)
         out = F.when(col(c).rlike(pattern), F.size(F.split(before, "\n"))).otherwise(out)
     return out
+
+
+def decoded_parts(c) -> Column:
+    """Array of (text, how) of what a text holds in Base64 (16 characters or more, ASCII inside) and percent-encoded (three bytes or more), in this order."""
+    raw = F.transform(F.regexp_extract_all(col(c), F.lit("[A-Za-z0-9+/=]{16,}"), F.lit(0)), lambda x: F.try_to_binary(x, F.lit("base64")))
+    raw = F.filter(raw, lambda b: b.isNotNull() & F.hex(b).rlike("^(?:[0-7][0-9A-F])*$"))
+    url = F.transform(F.regexp_extract_all(col(c), F.lit("(?:%[0-9A-Fa-f]{2}){3,}"), F.lit(0)), F.try_url_decode)
+    return F.concat(F.transform(raw, lambda b: F.struct(F.decode(b, "UTF-8").alias("text"), F.lit("base64").alias("how"))), F.transform(F.filter(url, lambda u: u.isNotNull()), lambda u: F.struct(u.alias("text"), F.lit("URL-encoded").alias("how"))))
+
+
+def secret_found(c) -> Column:
+    """(label, place) of the first secret, or null: "line n" in the text itself, or else "via" the encoding of a part that holds one."""
+    parts = F.filter(F.transform(decoded_parts(c), lambda p: F.struct(secret_label(p["text"]).alias("label"), F.concat(F.lit("via "), p["how"]).alias("place"))), lambda p: p["label"].isNotNull())
+    own = secret_label(c)
+    return F.when(own.isNotNull(), F.struct(own.alias("label"), F.concat(F.lit("line "), secret_line(c).cast("string")).alias("place"))).otherwise(F.get(parts, F.lit(0)))

@@ -12,39 +12,42 @@ from pyspark.sql.types import StringType
 
 from ..session import ship
 
-_FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})")
+_FENCE = re.compile(r"\s*(`{3,}|~{3,})")
 
 
 def mask_fences(content: str) -> str:
-    """Lines inside fences become blanks of the same length; a fence ends with one of its kind that is as long."""
+    """Lines inside fences become blanks of the same length, fence lines stay; a fence ends with one of its kind that is as long."""
     out, fence = [], ""
     for line in content.split("\n"):
         m = _FENCE.match(line)
-        if fence:
-            out.append(" " * len(line))
-            if m and m[1][0] == fence[0] and len(m[1]) >= len(fence) and not line.strip().strip(fence[0]):
-                fence = ""
-        elif m:
-            fence = m[1]
-            out.append(" " * len(line))
-        else:
+        if not fence:
+            fence = m[1] if m else ""
+            out.append(line)
+        elif m and m[1][0] == fence[0] and len(m[1]) >= len(fence) and not line[m.end() :].strip():
+            fence = ""
             out.append(line)
+        else:
+            out.append(" " * len(line))
     return "\n".join(out)
 
 
 def code_spans(content: str) -> list[tuple[int, int]]:
-    """Where code is, which no rewriting may touch."""
-    masked, spans = mask_fences(content), []
-    start = None
-    for i, (a, b) in enumerate(zip(content, masked)):
-        if a != b and start is None:
-            start = i
-        elif a == b and start is not None and a != "\n":
-            spans.append((start, i))
-            start = None
-    if start is not None:
+    """Where code is, which no rewriting may touch: fences with their lines, and inline code elsewhere."""
+    spans, at, start, fence = [], 0, 0, ""
+    for line in content.splitlines(keepends=True):
+        m = _FENCE.match(line)
+        if not fence and m:
+            start, fence = at, m[1]
+        elif fence and m and m[1][0] == fence[0] and len(m[1]) >= len(fence) and not line[m.end() :].strip():
+            spans.append((start, at + len(line)))
+            fence = ""
+        at += len(line)
+    if fence:
         spans.append((start, len(content)))
-    spans += [m.span() for m in re.finditer(r"`[^`\n]*`", masked)]
+    at = 0
+    for a, b in [*spans, (len(content), len(content))]:
+        spans += [(at + m.start(), at + m.end()) for m in re.finditer(r"`[^`\n]+`", content[at:a])]
+        at = b
     return sorted(spans)
 
 
@@ -117,16 +120,28 @@ def fix_dead_links(pages: DataFrame, issues: DataFrame) -> DataFrame:
     return pages.join(dead, F.col("id") == F.col("page")).select("id", links_removed("content", "targets").alias("content"))
 
 
-def mentions(pages: DataFrame, titles: list[tuple[str, str]]) -> DataFrame:
-    """(id, target): of up to 200 titles (title, target), the longest that a page mentions; own and linked ones are left out."""
-    if len(titles) > 200:
-        raise ValueError("titles are taken in chunks of 200")
-    ordered = sorted(titles, key=lambda t: (-len(t[0]), t[1]))
-    out = F.lit(None).cast("string")
-    for title, target in reversed(ordered):
-        hit = F.col("content").rlike(rf"(?i)(?<![\p{{L}}\p{{N}}_])\Q{title}\E(?![\p{{L}}\p{{N}}_])") & (F.col("id") != target) & ~F.contains("content", F.lit(f"[[{target}"))
-        out = F.when(hit, target).otherwise(out)
-    return pages.select("id", out.alias("target")).where("target IS NOT NULL")
+def _said(x: Column) -> Column:
+    """Whether content mentions x.title, as words of their own, and has no link to x.target."""
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), F.replace(F.lower(x["title"]), F.lit(r"\e"), F.lit(r"\E\\e\Q")), F.lit(r"\E(?![\p{L}\p{N}_])"))
+    return F.regexp_like(F.lower("content"), pattern) & ~F.contains("content", F.concat(F.lit("[["), x["target"]))
+
+
+def mentions(pages: DataFrame, titles: DataFrame) -> DataFrame:
+    """(id, target): of titles (title, target), the longest that a page mentions, of equal ones the smallest target; own and linked ones are left out.
+
+    A page that mentions a title has all its words, so titles meet the words of pages in an equal
+    join on their longest word; only what meets is looked for in the text. Titles without a letter
+    or digit are never mentioned.
+    """
+    word = F.lit(r"[\p{L}\p{N}_]+")
+    key = F.array_max(F.transform(F.regexp_extract_all(F.lower("title"), word, F.lit(0)), lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))["w"]
+    t = titles.select("title", "target", key.alias("key")).where("key IS NOT NULL").distinct()
+    words = pages.select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("content"), word, F.lit(0)))).alias("w"))
+    met = words.join(t, F.col("w") == F.col("key")).where("id <> target").groupBy("id").agg(F.collect_set(F.struct((-F.char_length("title")).alias("n"), "target", "title")).alias("found"))
+    bodies = pages.select(F.col("id").alias("i"), "content")
+    rows = met.join(bodies, F.col("id") == F.col("i"))
+    said = F.filter(F.array_sort("found"), _said)
+    return rows.select("id", F.get(said, F.lit(0))["target"].alias("target")).where("target IS NOT NULL")
 
 
 def with_evidence(content: Column, line: Column) -> Column:

@@ -6,26 +6,10 @@ the ones before, and nothing of the size of the graph reaches the driver.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def saved(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder."""
-    spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="lodestar-")
-        atexit.register(shutil.rmtree, at, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..session import drop_saved, placed, saved
 
 
 def edges(links: DataFrame, pages: DataFrame) -> DataFrame:
@@ -58,27 +42,29 @@ def pagerank(nodes: DataFrame, e: DataFrame, damping: float = 0.85, rounds: int
         nxt = now.select("id", "dead", F.col("rank").alias("old")).join(given, F.col("id") == F.col("dst"), "left").select("id", "dead", "old", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.lit(lost / n))).alias("rank"))
         nxt = saved(nxt)
         change = nxt.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
+        if k:
+            drop_saved(now)
         now = nxt.select("id", "dead", "rank")
         if change < tol * n:
             break
     return now.select("id", "rank")
 
 
-def weak_components(nodes: DataFrame, e: DataFrame, rounds: int = 60) -> DataFrame:
+def weak_components(nodes: DataFrame, e: DataFrame) -> DataFrame:
     """(id, component): the smallest id that can be reached along links in either direction."""
     both = saved(e.select("src", "dst").union(e.select("dst", "src")).distinct())
     now = saved(nodes.select("id", F.col("id").alias("component")))
-    for _ in range(rounds):
+    while True:
         near = both.join(now, F.col("src") == F.col("id")).groupBy("dst").agg(F.min("component").alias("low"))
         step = now.join(near, F.col("id") == F.col("dst"), "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("low", "component")).alias("component"))
         # and on to the label of the label, which halves what is left of long paths
         hop = step.select(F.col("id").alias("j"), F.col("component").alias("further"))
         nxt = saved(step.join(hop, F.col("component") == F.col("j"), "left").select("id", "old", F.coalesce("further", "component").alias("component")))
         moved = not nxt.where("component <> old").isEmpty()
+        drop_saved(now)
         now = nxt.select("id", "component")
         if not moved:
             return now
-    raise RuntimeError("components did not settle")
 
 
 def cycles(e: DataFrame, longest: int = 4) -> DataFrame:
@@ -140,5 +126,5 @@ def mermaid(e: DataFrame, d: DataFrame, k: int = 30) -> DataFrame:
 
 
 def ranked(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
-    """Places from 0 in a bounded list."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)) - 1)
+    """Places from 0 in a list of any length."""
+    return placed(df, order, name)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..plans.adapters import AUTHORED, BELIEF, CONFIDENCE, STATUS, TYPES
+from ..session import saved
 
 #: Directories that are made by machine, least characters of a page, largest distance of slugs that look alike.
 AUTOGEN = ["summaries/", "comparisons/", "synthesis/"]
@@ -85,24 +86,37 @@ def source_coverage(refs: DataFrame, cited: DataFrame) -> DataFrame:
     return refs.join(cited.select(F.col("ref").alias("c")).distinct(), F.col("ref") == F.col("c"), "left_anti")
 
 
+#: Characters of the strings that slugs are compared by, strings of a slug that must meet one of another, longest slug that is compared by deletions.
+GRAM, PREFIX = 2, 2 * ALIKE + 1
+SHORT = PREFIX + GRAM
+
+
 def alike_slugs(ids: DataFrame) -> DataFrame:
-    """Pairs of ids at an edit distance of 1 to ALIKE.
+    """(id, id2, distance): pairs of ids at an edit distance of 1 to ALIKE.
 
-    Two strings that near share one of ALIKE + 1 pieces, moved by at most ALIKE places; pieces of
-    each length are the keys of an equal join, so no lengths or pages meet that share nothing.
+    An edit changes at most GRAM of the two-character strings of a slug, so among the PREFIX rarest
+    strings of each of two near slugs one is in both, moved by at most ALIKE places. Strings that
+    many slugs have are never keys of long slugs. Slugs of up to SHORT characters have too few
+    strings; they and slugs up to ALIKE longer meet in what is left of them after up to ALIKE deletions.
     """
     s = ids.select("id", F.lower(F.replace("id", F.lit("_"), F.lit("-"))).alias("s")).withColumn("n", F.char_length("s"))
-    parts = ALIKE + 1
-    # piece k of a string of n characters starts at k * n // parts
-    own = s.select("id", "s", "n", F.explode(F.expr(f"transform(sequence(0, {parts - 1}), k -> named_struct('k', k, 'p', substring(s, cast(k * n div {parts} as int) + 1, cast((k + 1) * n div {parts} - k * n div {parts} as int))))")).alias("x"))
-    own = own.select("id", "s", "n", F.col("x.k").alias("k"), F.col("x.p").alias("p"))
-    # the other string, for every length the first may have and every move
-    other = s.select(F.col("id").alias("id2"), F.col("s").alias("s2"), F.col("n").alias("n2"), F.explode(F.expr(f"""
-        flatten(transform(sequence(greatest(n - {ALIKE}, 1), n + {ALIKE}), m -> flatten(transform(sequence(0, {parts - 1}), k -> transform(sequence(-{ALIKE}, {ALIKE}), d -> named_struct('m', m, 'k', k, 'p',
-          substring(s, greatest(cast(k * m div {parts} as int) + 1 + d, 1), cast((k + 1) * m div {parts} - k * m div {parts} as int))))))))""")).alias("x"))
-    other = other.select("id2", "s2", F.col("x.m").alias("m"), F.col("x.k").alias("k2"), F.col("x.p").alias("p2")).distinct()
-    met = own.join(other, (F.col("n") == F.col("m")) & (F.col("k") == F.col("k2")) & (F.col("p") == F.col("p2")) & (F.col("id") < F.col("id2"))).select("id", "s", "id2", "s2").distinct()
-    return met.withColumn("distance", F.levenshtein("s", "s2", ALIKE)).where("distance BETWEEN 1 AND 3").select("id", "id2", "distance")
+    grams = s.where(F.col("n") > SHORT).select("id", "s", "n", F.posexplode(F.expr(f"transform(sequence(1, n - {GRAM} + 1), i -> substring(s, cast(i as int), {GRAM}))")).alias("at", "g"))
+    often = grams.groupBy(F.col("g").alias("k")).agg(F.count("*").alias("df")).hint("rebalance")
+    rare = grams.join(often, F.col("g") == F.col("k")).groupBy("id", "s", "n").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "g", "at"))), 1, PREFIX).alias("p"))
+    rare = saved(rare.select("id", "s", "n", F.explode("p").alias("x")).select("id", "s", "n", F.col("x.g").alias("g"), F.col("x.at").alias("at")), "grams")
+    other = rare.select(*[F.col(c).alias(f"{c}2") for c in rare.columns])
+    near = (F.abs(F.col("n") - F.col("n2")) <= ALIKE) & (F.abs(F.col("at") - F.col("at2")) <= ALIKE) & (F.col("id") < F.col("id2"))
+    met = rare.join(other, (F.col("g") == F.col("g2")) & near).select("id", "s", "id2", "s2")
+    # every way to leave out up to ALIKE characters of a short slug
+    less = "array_distinct(flatten(transform({}, w -> array_union(array(w), transform(sequence(1, greatest(length(w), 1)), i -> concat(substring(w, 1, cast(i - 1 as int)), substring(w, cast(i + 1 as int), length(w))))))))"
+    left = "array(s)"
+    for _ in range(ALIKE):
+        left = less.format(left)
+    few = s.where(F.col("n") <= SHORT + ALIKE).select("id", "s", "n", F.explode(F.expr(left)).alias("d"))
+    few2 = few.select(*[F.col(c).alias(f"{c}2") for c in few.columns])
+    short = few.join(few2, (F.col("d") == F.col("d2")) & (F.least("n", "n2") <= SHORT) & (F.abs(F.col("n") - F.col("n2")) <= ALIKE) & (F.col("id") < F.col("id2"))).select("id", "s", "id2", "s2")
+    pairs = met.union(short).distinct()
+    return pairs.withColumn("distance", F.levenshtein("s", "s2", ALIKE)).where(f"distance BETWEEN 1 AND {ALIKE}").select("id", "id2", "distance")
 
 
 def callouts(pages: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import placed
+
 
 def hidden() -> Column:
     """Pages that are never published."""
@@ -24,14 +26,11 @@ def index_lines(pages: DataFrame) -> DataFrame:
 def within_budget(pages: DataFrame, budget: int = 5 * 1024 * 1024) -> DataFrame:
     """(id, bytes): the pages, in order of id, that fit a budget of UTF-8 bytes, the first too large one cut.
 
-    Running sums work in two levels, so the table is never sorted in one task: sums of blocks of
-    ids, and sums inside the blocks that the budget reaches. The result is as large as the budget.
+    Running sums are taken inside ranges of ids, so the table is never sorted in one task. The
+    result is as large as the budget.
     """
-    sized = kept(pages).select("id", F.octet_length("content").cast("long").alias("n")).withColumn("block", F.substring("id", 1, 12))
-    blocks = sized.groupBy("block").agg(F.sum("n").alias("all"))
-    before = blocks.withColumn("before", F.sum("all").over(Window.orderBy("block")) - F.col("all")).where(F.col("before") <= budget).select(F.col("block").alias("b"), "before")
-    inside = sized.join(before, F.col("block") == F.col("b")).withColumn("start", F.col("before") + F.sum("n").over(Window.partitionBy("block").orderBy("id")) - F.col("n"))
-    return inside.where(F.col("start") < budget).select("id", F.least(F.col("n"), F.lit(budget) - F.col("start")).alias("bytes"))
+    sized = kept(pages).select("id", F.octet_length("content").cast("long").alias("n"))
+    return placed(sized, ["id"], "start", of="n").where(F.col("start") < budget).select("id", F.least(F.col("n"), F.lit(budget) - F.col("start")).alias("bytes"))
 
 
 def jsonld(pages: DataFrame, links: DataFrame) -> DataFrame:
@@ -47,5 +46,13 @@ def siblings(pages: DataFrame) -> DataFrame:
     return kept(pages).select("id", F.concat(F.lit("# "), F.col("title"), F.lit("\n\n"), F.col("content")).alias("txt"), F.to_json(F.struct("authored_by", "belief_state", "confidence", "id", "source", "status", "title", "type", "updated")).alias("json"))
 
 
+def xml_escaped(c) -> Column:
+    for what, by in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        c = F.replace(c, F.lit(what), F.lit(by))
+    return c
+
+
 def sitemap(pages: DataFrame) -> DataFrame:
-    return kept(pages).select("id", F.concat(F.lit("<url><loc>pages/"), F.col("id"), F.lit(".txt</loc><lastmod>"), F.col("updated"), F.lit("</lastmod></url>")).alias("entry"))
+    """(id, entry) of kept pages; a page without a date has no lastmod."""
+    day = F.when(F.coalesce("updated", F.lit("")) != "", F.concat(F.lit("<lastmod>"), xml_escaped(F.col("updated")), F.lit("</lastmod>"))).otherwise("")
+    return kept(pages).select("id", F.concat(F.lit("<url><loc>pages/"), xml_escaped(F.col("id")), F.lit(".txt</loc>"), day, F.lit("</url>")).alias("entry"))

@@ -52,8 +52,8 @@ def trend(weeks: DataFrame) -> DataFrame:
 
 def gaps(feedback: DataFrame) -> DataFrame:
     """One incomplete answer for each question: longest notes, then latest, then first."""
-    best = Window.partitionBy("question").orderBy(F.desc(F.char_length("notes")), F.desc("ts"), "entry")
-    return feedback.where("rating = 'incomplete' AND question <> ''").withColumn("r", F.row_number().over(best)).where("r = 1").select("question", "entry", "page")
+    best = F.max_by(F.struct("entry", "page"), F.struct(F.char_length("notes"), "ts", -F.col("entry"))).alias("best")
+    return feedback.where("rating = 'incomplete' AND question <> ''").groupBy("question").agg(best).select("question", "best.entry", "best.page")
 
 
 def connections(pages: DataFrame, links: DataFrame, low: int = 2, high: int = 5, least: int = 3) -> DataFrame:
@@ -73,15 +73,18 @@ def sentences(df: DataFrame, c: str) -> DataFrame:
     return df.select("*", F.posexplode(F.split(F.col(c), r"(?<=[.!?])\s+")).alias("nth", "sentence")).withColumn("sentence", F.trim("sentence")).where("sentence <> ''")
 
 
-def contradictions(claims: DataFrame, pages: DataFrame, overlap: int = 2) -> DataFrame:
-    """(claim, id, nth): the first sentence of a page that shares tokens with a claim and of which just one side is negated.
+def contradictions(claims: DataFrame, pages: DataFrame, overlap: int = 2, most: int = 5) -> DataFrame:
+    """(claim, part, id, nth): for each sentence of a claim and each page, the first of the page's first `most` sentences that share tokens with it, of which just one side is negated.
 
     claims has few rows by contract (claim, text); their tokens meet the pages' in an equal join.
     """
-    c = claims.select("claim", F.col("text").rlike(SIGNAL).alias("no"), F.explode(text.significant("text")).alias("term"))
+    parts = sentences(claims.select("claim", "text"), "text").select("claim", F.col("nth").alias("part"), F.col("sentence").rlike(SIGNAL).alias("no"), text.significant("sentence").alias("terms"))
+    c = parts.where(F.size("terms") >= 2).select("claim", "part", "no", F.explode("terms").alias("term"))
     s = sentences(pages.select("id", text.unmarked("content").alias("content")), "content").select("id", "nth", F.col("sentence").rlike(SIGNAL).alias("has"), F.explode(text.significant("sentence")).alias("t"))
-    met = s.join(c, F.col("t") == F.col("term")).groupBy("claim", "id", "nth", "no", "has").agg(F.count("*").alias("n")).where((F.col("n") >= overlap) & (F.col("no") != F.col("has")))
-    return met.groupBy("claim", "id").agg(F.min("nth").alias("nth"))
+    met = s.join(c, F.col("t") == F.col("term")).groupBy("claim", "part", "id", "nth", "no", "has").agg(F.count("*").alias("n")).where(F.col("n") >= overlap)
+    # at most as many candidates as sentences of a page stand in a group
+    first = met.withColumn("k", F.row_number().over(Window.partitionBy("claim", "part", "id").orderBy("nth"))).where(F.col("k") <= most)
+    return first.where(F.col("no") != F.col("has")).groupBy("claim", "part", "id").agg(F.min("nth").alias("nth"))
 
 
 def newest(df: DataFrame, by: str, keep: int, tie: str) -> DataFrame:
@@ -97,12 +100,25 @@ def latest_state(log: DataFrame) -> DataFrame:
 def limited(calls: DataFrame, cap: int, seconds: int = 3600) -> DataFrame:
     """(entry, accepted) of calls (key, entry, at in seconds): at most cap accepted calls in a sliding window; rejected calls are not counted.
 
-    The rule depends on earlier answers, so each key's calls are folded in order of time.
+    The rule depends on earlier answers, so a key's calls are gone through in order of time. They
+    stream by in batches; what is kept of a key is its accepted calls of one window, cap at most.
     """
-    rows = calls.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "entry"))).alias("rows"))
-    fold = F.expr(f"""
-      aggregate(rows, named_struct('live', cast(array() as array<bigint>), 'out', cast(array() as array<struct<entry:bigint,accepted:boolean>>)), (acc, x) ->
-        if(size(filter(acc.live, t -> t >= x.at - {seconds})) < {cap},
-           named_struct('live', array_append(filter(acc.live, t -> t >= x.at - {seconds}), x.at), 'out', array_append(acc.out, named_struct('entry', x.entry, 'accepted', true))),
-           named_struct('live', acc.live, 'out', array_append(acc.out, named_struct('entry', x.entry, 'accepted', false))))).out""")
-    return rows.select(F.explode(fold).alias("o")).select("o.entry", "o.accepted")
+    from collections import deque
+
+    import pyarrow as pa
+
+    def run(batches):
+        key, live = None, deque()
+        for batch in batches:
+            out = []
+            for k, at in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if k != key:
+                    key, live = k, deque()
+                while live and live[0] < at - seconds:
+                    live.popleft()
+                out.append(len(live) < cap)
+                if out[-1]:
+                    live.append(at)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.bool_())], names=["entry", "accepted"])
+
+    return calls.select("key", "entry", "at").repartition("key").sortWithinPartitions("key", "at", "entry").mapInArrow(run, "entry long, accepted boolean")

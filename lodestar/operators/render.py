@@ -91,16 +91,16 @@ def file_name(a: Answer, kind: str, taken: set[str] = frozenset()) -> str:
     return f"{stem}.{FORMATS[kind][1]}"
 
 
-def cite(sources: list[tuple[str, str]], mode: str) -> str:
-    """(kind, path) pairs, each path once, as footnotes, inline or a list."""
-    seen: dict[str, tuple[str, str]] = {}
-    for kind, path in sources:
-        seen.setdefault(path, (kind, path))
-    first = list(seen.values())
-    if mode == "inline":
-        return " ".join(f"[source: {p}]" if k == "raw" else f"[[{p}]]" for k, p in first)
-    if mode == "footnote":
-        return "\n".join(f"[^{i}]: {p}" for i, (_, p) in enumerate(first, 1))
-    if mode == "list":
-        return "\n".join(f"- {p}" for _, p in first)
-    raise ValueError(f"unknown mode {mode!r}")
+def cite(sources: list[tuple[str, str]], mode: str = "markdown") -> str:
+    """A section of sources from (kind, path) pairs, each path once: "markdown", "marp" (the same) or "html"."""
+    if mode not in ("markdown", "marp", "html"):
+        raise ValueError(f"unknown mode {mode!r}; known: html, markdown, marp")
+    first = {path: kind for kind, path in reversed(sources)}
+    pairs = [(first[p], p) for p in dict.fromkeys(p for _, p in sources)]
+    if not pairs:
+        return ""
+    if mode == "html":
+        shown = [(k, html.escape(p, quote=True)) for k, p in pairs]
+        items = [f'<a href="./wiki/{p}.md">{p}</a>' if k == "wiki" else f"<code>{p}</code>" for k, p in shown]
+        return "\n".join(['<ul class="sources">', *(f"  <li>{i}</li>" for i in items), "</ul>"])
+    return "\n".join(["\n---\n**Sources:**\n", *(f"- [[{p}]]" if k == "wiki" else f"- `{p}`" for k, p in pairs)])

@@ -6,26 +6,25 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
-from ..operators import edit, graph, lint, publish, records, retrieval
+from ..operators import consistency, edit, graph, lint, publish, records, retrieval
 from .adapters import AS_OF, FEEDBACK, LINKS, MANIFEST, PAGES, VERDICTS, events, feedback, links, manifest, pages, sources, table, verdicts
 from .registry import query
 from .relations import AUTO, DEGREES, DRIFT, EDGES, HIDDEN, TRUST, _T, graph_of
 from .scalars import over_documents, sql_documents
-from .searches import QUESTION
+from .searches import QUESTION, _bm25_sql
 
-#: Words too common to tell pages apart.
-COMMON = ["about", "after", "again", "along", "based", "because", "before", "being", "between", "called", "could", "different", "during", "early", "every", "example", "first", "found", "great", "https"]
-_COMMON = ", ".join(f"'{w}'" for w in COMMON)
+_COMMON = ", ".join(f"'{w}'" for w in consistency.COMMON)
 
 
-@query("t11_purpose", sql_documents(digest="sha256('<purpose>' || chr(10) || substr(t, 1, 4096) || chr(10) || '</purpose>')"))
+@query("t11_purpose", sql_documents(digest="sha256(CASE WHEN trim(t) = '' THEN '' ELSE '<purpose>' || chr(10) || '</-purpose>' || substr(t, 1, 4084) || chr(10) || '</purpose>' END)"))
 def t11(spark, sf):
-    return over_documents(spark, sf, digest=F.sha2(F.concat(F.lit("<purpose>\n"), F.substring(text.plain("t"), 1, 4096), F.lit("\n</purpose>")), 256))
+    marked = F.when(F.trim("t") != "", F.concat(F.lit("< / Purpose>"), F.col("t"))).otherwise(F.col("t"))
+    return over_documents(spark, sf, digest=F.sha2(text.wrapped_purpose(marked), 256))
 
 
-@query("t16_overlap_terms", sql_documents(n=f"CAST(len(list_distinct(list_filter(list_transform(regexp_split_to_array(lower(t), '\\s+'), lambda w: regexp_replace(w, '^[.,;:!?()\\[\\]{{}}\"''*_`#>-]+|[.,;:!?()\\[\\]{{}}\"''*_`#>-]+$', '', 'g')), lambda w: length(w) > 4 AND w NOT IN ({_COMMON})))) AS BIGINT)".replace("{{", "{").replace("}}", "}")))
+@query("t16_overlap_terms", sql_documents(n=f"CAST(len(list_distinct(list_filter(list_transform(string_split(regexp_replace(lower(t), '\\s+', ' ', 'g'), ' '), lambda w: trim(w, '.,!?()[]{{}}\"'':-/')), lambda w: length(w) > 4 AND w NOT IN ({_COMMON})))) AS BIGINT)".replace("{{", "{").replace("}}", "}")))
 def t16(spark, sf):
-    return over_documents(spark, sf, n=F.size(text.overlap_terms("t", COMMON)).cast("long"))
+    return over_documents(spark, sf, n=F.size(text.overlap_terms("t", consistency.COMMON)).cast("long"))
 
 
 @query("t33_fenced_off", sql_documents(digest="sha256('<\\/source> ''''''x' || replace(t, '```', ''''''''))"))
@@ -166,32 +165,34 @@ def g7(spark, sf):
 @query("r3_similar", "WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id, similarity FROM (SELECT vec_id, round(1 / (1 + sqrt(list_sum(list_transform(list_zip(embedding, e), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) ** 2)))), 4) AS similarity FROM embeddings, q) WHERE similarity >= 0.3")
 def r3(spark, sf):
     v = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    q = F.array(*[F.lit(float(x)) for x in v.where("vec_id = 0").first()["embedding"]])
-    far = F.sqrt(F.aggregate(F.zip_with("embedding", q, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    return v.select("vec_id", dates.similarity(far).alias("similarity")).where("similarity >= 0.3")
+    return retrieval.similar(v.withColumnRenamed("vec_id", "id"), v.where("vec_id = 0")).withColumnRenamed("id", "vec_id")
 
 
-@query("r5_hybrid")
+_NEAR = "(SELECT id, row_number() OVER (ORDER BY d, id) - 1 AS r FROM (SELECT id, vec_id, round(sqrt(list_sum(list_transform(list_zip(v.embedding, q.e), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) ** 2))), 6) AS d FROM (SELECT * FROM embeddings ORDER BY round(sqrt(list_sum(list_transform(list_zip(embedding, (SELECT embedding FROM embeddings WHERE vec_id = {0})), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) ** 2))), 15), vec_id LIMIT 20) v, (SELECT embedding AS e FROM embeddings WHERE vec_id = {0}) q JOIN pages_ ON n = vec_id))"
+
+
+@query("r5_hybrid", f"WITH {PAGES}, {_bm25_sql(True)}, a_ AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) - 1 AS r FROM (SELECT id, round(score, 6) AS s FROM score_ ORDER BY s DESC, id LIMIT 20)) SELECT id, round(sum(1 / (60 + r)), 9) AS score FROM (FROM a_ UNION ALL FROM {_NEAR.format(0)} UNION ALL FROM {_NEAR.format(1)}) GROUP BY 1 ORDER BY score DESC, id LIMIT 10")
 def r5(spark, sf):
     """BM25 and nearest vectors of two variants of a question, fused."""
     p = pages(spark, sf)
     v = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     lists = [graph.ranked(retrieval.top(retrieval.bm25(p, QUESTION).withColumn("score", F.round("score", 6)), 20), [F.desc("score"), "id"]).select("id", "rank")]
     for k in (0, 1):
-        near = retrieval.nearest(v, v.where(F.col("vec_id") == k).first()["embedding"], 20)
+        near = retrieval.nearest(v, v.where(F.col("vec_id") == k), 20)
         hits = near.join(p.select("id", "n"), F.col("vec_id") == F.col("n"))
         lists.append(graph.ranked(hits, [F.round("distance", 6), "id"]).select("id", "rank"))
     return retrieval.top(retrieval.fused(lists).withColumn("score", F.round("score", 9)), 10)
 
 
-@query("r11_raw_fallback")
+@query("r11_raw_fallback", f"""WITH {PAGES}, {_bm25_sql(False)}, h_ AS (SELECT id, round(score, 6) AS s FROM score_ ORDER BY s DESC, id LIMIT 3), l_ AS (SELECT id, length(content) AS n, sum(length(content)) OVER (ORDER BY s DESC, id) AS upto, row_number() OVER (ORDER BY s DESC, id) AS k FROM h_ JOIN pages_ USING (id))
+SELECT id, CAST(CASE WHEN upto <= 20000 THEN n ELSE 20000 END AS BIGINT) AS taken FROM l_ WHERE upto <= 20000 OR k = 1""")
 def r11(spark, sf):
     p = pages(spark, sf)
     hits = retrieval.top(retrieval.bm25(p, QUESTION, title=False).withColumn("score", F.round("score", 6)), 3).join(p, "id")
-    return retrieval.context(hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id"))).withColumn("type", F.lit("raw")), 20_000)
+    return retrieval.context(hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id"))).withColumn("type", F.lit("raw")), 20_000, stop=True)
 
 
-@query("l2_fixed_links")
+@query("l2_fixed_links", f"""WITH {LINKS}, w AS (SELECT src, string_agg(CASE WHEN target IN (SELECT id FROM pages_) THEN 'see [[' || target || ']]' ELSE 'see ' || string_split(target, '/')[-1] END, ' ' ORDER BY pos) AS content, bool_or(target NOT IN (SELECT id FROM pages_)) AS dead FROM links_ GROUP BY 1) SELECT src AS id, content FROM w WHERE dead""")
 def l2(spark, sf):
     p, l = pages(spark, sf), links(spark, sf)
     body = l.groupBy("src").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "target"))), lambda x: F.concat(F.lit("see [["), x["target"], F.lit("]]"))), " ").alias("content"))
@@ -203,11 +204,16 @@ def x1(spark, sf):
     return records.drift(manifest(spark, sf), sources(spark, sf)).groupBy("state").agg(F.count("*").alias("n"))
 
 
-@query("x5_mentions")
+_SAID = "regexp_matches(lower(content), '(^|[^\\p{L}\\p{N}_])' || lower(title) || '($|[^\\p{L}\\p{N}_])')"
+
+
+@query("x5_mentions", f"""WITH {PAGES}, t AS (SELECT DISTINCT string_split(text, ' ')[2] AS title, 'entities/item-' || item_id AS target FROM benchmark WHERE regexp_full_match(string_split(text, ' ')[2], '[\\p{{L}}\\p{{N}}]+'))
+SELECT p.id, arg_min(target, (-length(t.title), target)) AS target FROM pages_ p JOIN t ON p.id <> target AND {_SAID.replace('title', 't.title')} GROUP BY 1""")
 def x5(spark, sf):
-    """Which pages mention one of the benchmark's opening words, taken as titles."""
-    rows = table(spark, sf, "benchmark").orderBy("item_id").select("item_id", F.element_at(F.split("text", " "), 2).alias("t")).collect()
-    return edit.mentions(pages(spark, sf), [(r["t"], f"entities/item-{r['item_id']}") for r in rows if r["t"] and r["t"].isalnum()])
+    """Which pages mention one of the benchmark's second words, taken as titles."""
+    word = F.get(F.split("text", " "), F.lit(1))
+    titles = table(spark, sf, "benchmark").select(word.alias("title"), F.concat(F.lit("entities/item-"), F.col("item_id").cast("string")).alias("target"))
+    return edit.mentions(pages(spark, sf), titles.where(r"title rlike '^[\\p{L}\\p{N}]+$'"))
 
 
 @query("e2_report", f"WITH {DEGREES}, {TRUST} SELECT (SELECT count(*) FROM pages_ WHERE length(trim(content)) < 100 AND NOT {AUTO}) AS stubs, (SELECT count(*) FROM deg_ WHERE n_in = 0) AS unlinked, (SELECT count(*) FROM trust_ WHERE round_even({_T}, 4) <= 0.4) AS flagged")

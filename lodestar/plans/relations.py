@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import dates
+from ..functions import dates, text
 from ..operators import graph, lint, publish, records
 from .adapters import AS_OF, AUTHORED, DIRS, FEEDBACK, LINKS, MANIFEST, NOW, PAGES, VERDICTS, events, feedback, links, manifest, pages, pick, sources, table, verdicts
 from .registry import query
+from .scalars import STOP, TERMS15, tokens_sql
 
 EDGES = f"""{LINKS}, edges_ AS (SELECT DISTINCT src, coalesce(p.id, b.id) AS dst FROM links_ l LEFT JOIN pages_ p ON l.target = p.id
   LEFT JOIN (SELECT string_split(id, '/')[2] AS slug, min(id) AS id FROM pages_ GROUP BY 1) b ON p.id IS NULL AND l.target = b.slug
@@ -105,7 +106,7 @@ def u1(spark, sf):
     return back.union(p.where("n <> 0").join(F.broadcast(own), F.col("source") == F.col("s"), "left_semi").select("id")).distinct()
 
 
-@query("a1_terms", None)
+@query("a1_terms", f"WITH {PAGES}, w AS (SELECT id, unnest(list_concat(list_concat({tokens_sql('title')}, {tokens_sql('title')}), list_concat({tokens_sql('title')}, {tokens_sql('content')}))) AS term FROM pages_) SELECT term, count(DISTINCT id) AS df, count(*) AS cf FROM w GROUP BY 1")
 def a1(spark, sf):
     """Document frequency of every term of the pages."""
     from ..operators.retrieval import postings
@@ -256,10 +257,10 @@ def l8(spark, sf):
     return lint.authored_drift(p)
 
 
-@query("l12_alike_slugs", f"WITH {PAGES}, s AS (SELECT DISTINCT 'p-' || regexp_replace(lower(substr(title, 1, 12)), '[^a-z. -]', 'x', 'g') AS id FROM pages_ WHERE length(title) > 0) SELECT a.id, b.id AS id2, CAST(levenshtein(a.id, b.id) AS INT) AS distance FROM s a JOIN s b ON a.id < b.id AND abs(length(a.id) - length(b.id)) <= 3 WHERE levenshtein(a.id, b.id) BETWEEN 1 AND 3")
+@query("l12_alike_slugs", f"WITH {PAGES}, s AS (SELECT DISTINCT regexp_replace(lower(replace(title, '_', '-')), '[^a-z. -]', 'x', 'g') AS id FROM pages_ WHERE length(title) > 0) SELECT a.id, b.id AS id2, CAST(levenshtein(a.id, b.id) AS INT) AS distance FROM s a JOIN s b ON a.id < b.id AND abs(length(a.id) - length(b.id)) <= 3 WHERE levenshtein(a.id, b.id) BETWEEN 1 AND 3")
 def l12(spark, sf):
-    """Letters beyond ASCII become x, as the distance is one of bytes in the other engine."""
-    ids = pages(spark, sf).where("title <> ''").select(F.concat(F.lit("p-"), F.regexp_replace(F.lower(F.substring("title", 1, 12)), "[^a-z. -]", "x")).alias("id")).distinct()
+    """Whole titles as slugs; letters beyond ASCII become x, as the distance is one of bytes in the other engine."""
+    ids = pages(spark, sf).where("title <> ''").select(F.regexp_replace(F.lower(F.replace(F.col("title"), F.lit("_"), F.lit("-"))), "[^a-z. -]", "x").alias("id")).distinct()
     return lint.alike_slugs(ids)
 
 
@@ -336,7 +337,17 @@ def a3(spark, sf):
     return d.agg(F.count("*").alias("nodes"), F.sum("n_in").alias("edges"), n("n_in = 0 AND n_out > 0").alias("no_inbound"), n("n_in = 0 AND n_out = 0").alias("isolated"))
 
 
-@query("g2_pagerank")
+def _pagerank_sql(rounds: int) -> str:
+    """Power iteration written out, round after round."""
+    steps = ["n_ AS (SELECT count(*)::DOUBLE AS total FROM pages_)", "out_ AS (SELECT src, count(*)::DOUBLE AS k FROM edges_ GROUP BY 1)", "r0 AS MATERIALIZED (SELECT id, 1 / total AS rank FROM pages_, n_)"]
+    for i in range(1, rounds + 1):
+        lost = f"(SELECT coalesce(sum(rank), 0) FROM r{i - 1} WHERE id NOT IN (SELECT src FROM out_))"
+        got = f"(SELECT dst, sum(rank / k) AS got FROM edges_ JOIN out_ USING (src) JOIN r{i - 1} ON id = src GROUP BY 1)"
+        steps.append(f"r{i} AS MATERIALIZED (SELECT id, 0.15 / total + 0.85 * (coalesce(got, 0) + {lost} / total) AS rank FROM pages_ LEFT JOIN {got} ON dst = id, n_)")
+    return ", ".join(steps)
+
+
+@query("g2_pagerank", f"WITH {EDGES}, {_pagerank_sql(20)} SELECT id, round(rank, 9) AS rank FROM r20")
 def g2(spark, sf):
     p, _, e = graph_of(spark, sf)
     return graph.pagerank(p, e, rounds=20, tol=0.0).select("id", F.round("rank", 9).alias("rank"))
@@ -356,20 +367,40 @@ def g5(spark, sf):
 TERMS_MIN = 3
 
 
-@query("e1_connections")
+@query("e1_connections", f"""WITH {EDGES}, t AS (SELECT id, unnest({TERMS15.format('content')}) AS term FROM pages_), d AS (SELECT term FROM t GROUP BY 1 HAVING count(*) BETWEEN 2 AND 5),
+p AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM t x JOIN t y ON x.term = y.term AND x.id < y.id WHERE x.term IN (FROM d) GROUP BY 1, 2 HAVING count(*) >= 3)
+SELECT a, b, shared FROM p WHERE NOT EXISTS (SELECT 1 FROM edges_ WHERE least(src, dst) = a AND greatest(src, dst) = b)""")
 def e1(spark, sf):
     return records.connections(pages(spark, sf), graph_of(spark, sf)[2])
 
 
-@query("x12_contradictions")
+def _sentences_sql(c: str) -> str:
+    return f"string_split(regexp_replace({c}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+
+
+_SIGNIFICANT = f"""list_distinct(list_filter(list_concat(list_filter(list_transform(regexp_extract_all(s, '\\.NET|[A-Z][+#a-z]*'), lambda x: lower(x)), lambda x: regexp_matches(x, '[+#.]') OR x IN ('c', 'r', 'go', 'f', 'd')),
+  list_filter(regexp_extract_all(lower(s), '{text.TOKEN}'), lambda x: length(x) > 2)), lambda x: x NOT IN ({STOP})))"""
+_NEGATED = "regexp_matches(s, '(?i)(^|[^\\p{L}\\p{N}_])(not|never|no longer|instead|rather than|unlike|contrary|wrong|incorrect|false|replaced|deprecated|obsolete|outdated)([^\\p{L}\\p{N}_]|$)')"
+
+
+@query("x12_contradictions", f"""WITH {PAGES}, c0 AS (SELECT item_id AS claim, unnest({_sentences_sql('text')}) AS s, generate_subscripts({_sentences_sql('text')}, 1) - 1 AS part FROM benchmark),
+c AS (SELECT claim, part, trim(s) AS s FROM c0 WHERE trim(s) <> ''), ct AS (SELECT claim, part, {_NEGATED} AS no, {_SIGNIFICANT} AS terms FROM c),
+b AS (SELECT id, CASE WHEN n % 3 = 0 THEN replace(content, '.', ' not.') ELSE content END AS content FROM pages_),
+p0 AS (SELECT id, unnest({_sentences_sql('content')}) AS s, generate_subscripts({_sentences_sql('content')}, 1) - 1 AS nth FROM b), p AS (SELECT id, nth, trim(s) AS s FROM p0 WHERE trim(s) <> ''),
+x AS (SELECT claim, part, no, unnest(terms) AS t FROM ct WHERE len(terms) >= 2), y AS (SELECT id, nth, {_NEGATED} AS has, unnest({_SIGNIFICANT}) AS t FROM p),
+m AS (SELECT claim, part, id, nth, no, has FROM x JOIN y USING (t) GROUP BY ALL HAVING count(*) >= 2), k AS (SELECT *, row_number() OVER (PARTITION BY claim, part, id ORDER BY nth) AS r FROM m)
+SELECT claim, CAST(part AS INT) AS part, id, CAST(min(nth) AS INT) AS nth FROM k WHERE r <= 5 AND no <> has GROUP BY 1, 2, 3""")
 def x12(spark, sf):
-    """Claims are the first sentences of the benchmark's passages."""
-    claims = table(spark, sf, "benchmark").select(F.col("item_id").alias("claim"), F.split("text", r"(?<=[.!?])\s+")[0].alias("text"))
-    p = pages(spark, sf).withColumn("content", F.when(F.col("n") % 3 == 0, F.regexp_replace("content", r"\.", " not.")).otherwise(F.col("content")))
+    """Claims are the benchmark's passages, whole; in a third of the pages every sentence is negated."""
+    claims = table(spark, sf, "benchmark").select(F.col("item_id").alias("claim"), "text")
+    p = pages(spark, sf).withColumn("content", F.when(F.col("n") % 3 == 0, F.replace(F.col("content"), F.lit("."), F.lit(" not."))).otherwise(F.col("content")))
     return records.contradictions(claims, p)
 
 
-@query("s1_rate_limit")
+@query("s1_rate_limit", """WITH RECURSIVE c AS (SELECT user_id AS key, event_id AS entry, epoch_us(ts) // 1000000 AS sec, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000, event_id) AS k FROM events),
+f(key, k, entry, accepted, live) AS (SELECT key, k, entry, true, [sec] FROM c WHERE k = 1 UNION ALL
+  SELECT c.key, c.k, c.entry, len(list_filter(live, lambda t: t >= sec - 3600)) < 2, CASE WHEN len(list_filter(live, lambda t: t >= sec - 3600)) < 2 THEN list_append(list_filter(live, lambda t: t >= sec - 3600), sec) ELSE live END FROM f JOIN c ON c.key = f.key AND c.k = f.k + 1)
+SELECT entry, accepted FROM f""")
 def s1(spark, sf):
     calls = events(spark, sf).select(F.col("user_id").alias("key"), F.col("event_id").alias("entry"), F.col("ts").cast("long").alias("at"))
     return records.limited(calls, 2)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import graph, retrieval
+from ..session import shared_dir
 from .adapters import AS_OF, PAGES, links, pages, table
 from .registry import query
+from .relations import EDGES, _pagerank_sql
 from .scalars import tokens_sql
 
 QUESTION = "inger heat ened tionin nter"
@@ -32,6 +36,25 @@ def r1_all(spark, sf):
     return retrieval.bm25(pages(spark, sf), QUESTION).select("id", F.round("score", 6).alias("score"))
 
 
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def index_of(spark, sf) -> str:
+    """The index of the pages, written once for each application below the shared folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _indexes:
+        at = f"{shared_dir(spark)}/lodestar-index-{uuid.uuid4().hex}"
+        retrieval.write_index(pages(spark, sf), at)
+        _indexes[key] = at
+    return _indexes[key]
+
+
+@query("r1_indexed", f"WITH {PAGES}, {_bm25_sql(True)} SELECT id, round(score, 6) AS score FROM score_ ORDER BY round(score, 6) DESC, id LIMIT 10")
+def r1_indexed(spark, sf):
+    hits = retrieval.ask_index(spark, index_of(spark, sf), QUESTION).withColumn("score", F.round("score", 6))
+    return retrieval.top(hits, 10)
+
+
 @query("r2_raw_search", f"WITH {PAGES}, {_bm25_sql(False)} SELECT id, round(score, 6) AS score FROM score_ ORDER BY round(score, 6) DESC, id LIMIT 5")
 def r2(spark, sf):
     hits = retrieval.bm25(pages(spark, sf), QUESTION, title=False).withColumn("score", F.round("score", 6))
@@ -41,8 +64,7 @@ def r2(spark, sf):
 @query("v3_nearest", "WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(distance, 5) AS distance FROM (SELECT vec_id, sqrt(list_sum(list_transform(list_zip(embedding, e), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) ** 2))) AS distance FROM embeddings, q) ORDER BY round(distance, 5), vec_id LIMIT 20")
 def v3(spark, sf):
     v = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    q = v.where("vec_id = 0").first()["embedding"]
-    return retrieval.nearest(v, q, 40).select("vec_id", F.round("distance", 5).alias("distance")).orderBy("distance", "vec_id").limit(20)
+    return retrieval.nearest(v, v.where("vec_id = 0"), 20, 5).select("vec_id", "distance")
 
 
 @query("r4_fusion", "WITH a AS (SELECT vec_id AS id, row_number() OVER (ORDER BY label, vec_id) - 1 AS r FROM embeddings), b AS (SELECT vec_id AS id, row_number() OVER (ORDER BY label DESC, vec_id) - 1 AS r FROM embeddings WHERE vec_id % 2 = 0) SELECT id, round(sum(1 / (60 + r)), 9) AS score FROM (FROM a UNION ALL FROM b) GROUP BY 1")
@@ -84,26 +106,49 @@ def a13(spark, sf):
     from ..functions.dates import similarity
 
     v = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    q = F.array(*[F.lit(float(x)) for x in v.where("vec_id = 0").first()["embedding"]])
-    s = v.select(similarity(F.sqrt(F.aggregate(F.zip_with("embedding", q, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))).alias("s")).where("s >= 0.3")
+    s = retrieval.distances(v, v.where("vec_id = 0")).select(similarity("distance").alias("s")).where("s >= 0.3")
     return s.agg(F.round(F.avg("s"), 4).alias("confidence"), (F.avg("s") < 0.45).alias("low"))
 
 
-@query("r7_search")
+#: Words that results are compared by, and the fold of results (k, id, type, words, score) from the best: alike ones of a type go, then types over their share.
+_WORDS = "list_distinct(list_filter(regexp_split_to_array(lower(content), '\\s+'), lambda w: length(w) > 2))"
+_FOLD = """a_(k, kept) AS (SELECT 0::BIGINT, []::STRUCT(id VARCHAR, type VARCHAR, w VARCHAR[], score DOUBLE)[] UNION ALL
+  SELECT i.k, CASE WHEN len(list_filter(kept, lambda y: y.type = i.type AND len(list_intersect(i.words, y.w)) / greatest(len(list_distinct(list_concat(i.words, y.w))), 1) > 0.85)) > 0 THEN kept ELSE list_append(kept, {'id': i.id, 'type': i.type, 'w': i.words, 'score': i.score}) END FROM a_ JOIN items_ i ON i.k = a_.k + 1),
+o_ AS (SELECT kept FROM a_ ORDER BY k DESC LIMIT 1), u_ AS (SELECT unnest(kept) AS x, generate_subscripts(kept, 1) AS k FROM o_),
+b_(k, kept) AS (SELECT 0::BIGINT, []::STRUCT(id VARCHAR, type VARCHAR, score DOUBLE)[] UNION ALL
+  SELECT u_.k, CASE WHEN len(list_filter(kept, lambda y: y.type = u_.x.type)) >= greatest(1, ceil((len(kept) + 1) * 0.6)) THEN kept ELSE list_append(kept, {'id': u_.x.id, 'type': u_.x.type, 'score': u_.x.score}) END FROM b_ JOIN u_ ON u_.k = b_.k + 1),
+q_ AS (SELECT kept FROM b_ ORDER BY k DESC LIMIT 1), r_ AS (SELECT unnest(kept) AS x, generate_subscripts(kept, 1) - 1 AS rank FROM q_)"""
+_HITS = "hits_ AS (SELECT id, round(score, 6) AS score FROM score_ ORDER BY round(score, 6) DESC, id LIMIT {})"
+
+
+def _search_sql() -> str:
+    """BM25 and page rank over its candidates, fused, boosted, folded."""
+    return f"""s1_ AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS r FROM (SELECT id, round(score, 4) AS score FROM score_) ORDER BY score DESC, id LIMIT 20),
+s2_ AS (SELECT id, row_number() OVER (ORDER BY coalesce(round(rank, 12), 0) DESC, r) - 1 AS r FROM s1_ LEFT JOIN r20 USING (id)),
+f_ AS (SELECT id, round(sum(1 / (60 + r)), 12) AS score FROM (FROM s1_ UNION ALL FROM s2_) GROUP BY 1 ORDER BY score DESC, id LIMIT 20),
+h_ AS (SELECT id, type, content, score * CASE WHEN status IN ('mature', 'evergreen') THEN 1.05 ELSE 1 END * CASE WHEN authored_by IN ('human', 'hybrid') THEN 1.02 ELSE 1 END AS score FROM f_ JOIN pages_ USING (id)),
+items_ AS (SELECT row_number() OVER (ORDER BY score DESC, id) AS k, id, type, {_WORDS} AS words, score::DOUBLE AS score FROM h_)"""
+
+
+@query("r7_search", f"WITH RECURSIVE {EDGES}, {_pagerank_sql(20)}, {_bm25_sql(True)}, {_search_sql()}, {_FOLD} SELECT CAST(rank AS INT) AS rank, x.id AS id, x.type AS type, round(x.score, 6) AS score FROM r_ WHERE rank < 10")
 def r7(spark, sf):
     p = pages(spark, sf)
     e = graph.edges(links(spark, sf), p)
-    return retrieval.search(p, QUESTION, graph.pagerank(p, e, rounds=20, tol=0.0)).select("rank", "id", F.round("score", 6).alias("score"))
+    return retrieval.search(p, QUESTION, graph.pagerank(p, e, rounds=20, tol=0.0)).select("rank", "id", "type", F.round("score", 6).alias("score"))
 
 
-@query("r8_dedup")
+@query("r8_dedup", f"WITH RECURSIVE {PAGES}, {_bm25_sql(True)}, {_HITS.format(200)}, items_ AS (SELECT row_number() OVER (ORDER BY score DESC, id) AS k, id, type, {_WORDS} AS words, score::DOUBLE AS score FROM hits_ JOIN pages_ USING (id)), {_FOLD} SELECT CAST(rank AS INT) AS rank, x.id AS id, x.type AS type FROM r_")
 def r8(spark, sf):
     p = pages(spark, sf)
     hits = retrieval.top(retrieval.bm25(p, QUESTION).withColumn("score", F.round("score", 6)), 200).join(p, "id")
     return retrieval.deduped(hits).select("rank", "id", "type")
 
 
-@query("r10_context")
+@query("r10_context", f"""WITH RECURSIVE {PAGES}, {_bm25_sql(True)}, {_HITS.format(60)}, l_ AS (SELECT row_number() OVER (ORDER BY CASE WHEN type = 'summary' THEN 0 ELSE 1 END, score DESC, id) AS k, id, type = 'summary' AS early, length(content) AS n FROM hits_ JOIN pages_ USING (id)),
+c_(k, used, got) AS (SELECT 0::BIGINT, 0::BIGINT, []::STRUCT(id VARCHAR, taken BIGINT)[] UNION ALL
+  SELECT l_.k, CASE WHEN NOT (early AND used + n > 12000 AND (len(got) > 0 OR n <= 80000)) AND used + n <= 80000 THEN used + n WHEN len(got) = 0 AND n > 80000 THEN 80000 ELSE used END,
+    CASE WHEN NOT (early AND used + n > 12000 AND (len(got) > 0 OR n <= 80000)) AND used + n <= 80000 THEN list_append(got, {{'id': id, 'taken': n}}) WHEN len(got) = 0 AND n > 80000 THEN list_append(got, {{'id': id, 'taken': 80000::BIGINT}}) ELSE got END FROM c_ JOIN l_ ON l_.k = c_.k + 1),
+g_ AS (SELECT unnest(got) AS x FROM (SELECT got FROM c_ ORDER BY k DESC LIMIT 1)) SELECT x.id AS id, x.taken AS taken FROM g_""")
 def r10(spark, sf):
     p = pages(spark, sf)
     hits = retrieval.top(retrieval.bm25(p, QUESTION).withColumn("score", F.round("score", 6)), 60).join(p, "id")

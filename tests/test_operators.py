@@ -164,7 +164,7 @@ def test_bridges_do_not_end_early(spark):
 def test_edits(spark):
     assert edit.unlink("see [[a/b|that]] and [[a/b]] `[[a/b]]` [[c]]", ["a/b"]) == "see that and b `[[a/b]]` [[c]]"
     assert edit.link_first("x `Title` Title and Title", "title", "t") == "x `Title` [[t|Title]] and Title"
-    assert edit.mask_fences("a\n```\nb\n~~~\n```\nc") == "a\n   \n \n   \n   \nc"
+    assert edit.mask_fences("a\n```\nb\n~~~\n```\nc") == "a\n```\n \n   \n```\nc"
     p = spark.createDataFrame([("p", "[[gone]] x")], "id string, content string")
     bad = spark.createDataFrame([("p", "gone")], "page string, target string")
     assert edit.fix_dead_links(p, bad).first()["content"] == "gone x"
@@ -173,8 +173,14 @@ def test_edits(spark):
 
 def test_mentions(spark):
     p = spark.createDataFrame([("a", "Deep Learning and learning"), ("b", "unlearning"), ("c", "see [[x]] learning")], "id string, content string")
-    got = {r["id"]: r["target"] for r in edit.mentions(p, [("learning", "x"), ("deep learning", "y")]).collect()}
+    titles = spark.createDataFrame([("learning", "x"), ("deep learning", "y"), ("deep learning", "z"), ("+", "q"), ("see [[", "w")], "title string, target string")
+    got = {r["id"]: r["target"] for r in edit.mentions(p, titles).collect()}
     assert got == {"a": "y"}
+    many = spark.range(500).selectExpr("concat('word', id) AS title", "concat('t', id) AS target")
+    said = spark.createDataFrame([("p", "word7, WORD499 and a\\E|b"), ("t3", "word3 Word12")], "id string, content string")
+    assert {r["id"]: r["target"] for r in edit.mentions(said, many).collect()} == {"p": "t499", "t3": "t12"}
+    odd = spark.createDataFrame([("a\\E|b", "o")], "title string, target string")
+    assert [r["id"] for r in edit.mentions(said, odd).collect()] == ["p"]
 
 
 def test_models(spark):

@@ -25,4 +25,3 @@ def test_formats():
 def test_names():
     assert render.file_name(A, "html") == "2025-01-15-what-is-it.html"
     assert render.free_name("a", {"a", "a-2"}) == "a-3" and render.safe_name("CON") == "con-file"
-    assert render.cite([("raw", "raw/a.md"), ("wiki", "b"), ("raw", "raw/a.md")], "inline") == "[source: raw/a.md] [[b]]"
