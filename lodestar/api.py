@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import graph, lint, publish, records, retrieval
+from .operators import answering, capture, consistency, graph, ingest, lint, models, publish, records, retrieval
 
 
 class Wiki:
@@ -28,11 +28,34 @@ class Wiki:
     def stats(self) -> DataFrame:
         return self.pages.groupBy("type").agg(F.count("*").alias("pages"))
 
-    def lint(self) -> DataFrame:
-        """All rules' issues."""
-        found = lint.dead_links(self.links, self.pages).unionByName(lint.orphans(self.pages, self.edges)).unionByName(lint.stubs(self.pages))
-        found = found.unionByName(lint.issues(lint.stale(self.pages, self.as_of), "staleness", "info")).unionByName(lint.mature_stale(self.pages, self.as_of))
-        return found.unionByName(lint.authored_drift(self.pages))
+    def ask(self, question: str, model=models.stub, **context) -> DataFrame:
+        """An answer with what it cites; see answering.ask."""
+        return answering.ask(self.pages, question, model, as_of=self.as_of, **context)
+
+    def lint(self, sources: DataFrame | None = None) -> DataFrame:
+        """The issues of all checks."""
+        return lint.run_all(self.pages, self.links, self.edges, self.as_of, sources)
+
+    def lint_report(self, sources: DataFrame | None = None) -> DataFrame:
+        return lint.summary_lines(self.lint(sources))
+
+    def check_page(self, page: str, cited: DataFrame, sources: DataFrame, kind: str = "fidelity") -> DataFrame:
+        return consistency.checks(self.pages.where(F.col("id") == page), cited.where(F.col("id") == page), sources, kind)
+
+    def consistency_report(self, cited: DataFrame) -> DataFrame:
+        found = consistency.groups(cited, graph.weak_components(self.pages, self.edges), consistency.overlapping(self.pages))
+        return consistency.report(found, self.pages)
+
+    def ingest(self, sources: DataFrame, manifest: DataFrame, extractions: DataFrame) -> dict[str, DataFrame]:
+        """What new sources change; see ingest.taken_in."""
+        return ingest.taken_in(sources, manifest, extractions, self.pages, self.as_of)
+
+    def capture(self, inputs: DataFrame, taken: DataFrame, model=capture.stub) -> tuple[DataFrame, DataFrame]:
+        return capture.capture(inputs, taken, model)
+
+    def index(self, path: str) -> None:
+        """Write the search index; retrieval.ask_index() asks it."""
+        retrieval.write_index(self.pages, path)
 
     def evolve(self) -> dict[str, DataFrame]:
         new = lint.dead_links(self.links, self.pages).groupBy("target").agg(F.count("*").alias("n"))

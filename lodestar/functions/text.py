@@ -51,6 +51,16 @@ def frontmatter(c) -> tuple[Column, Column]:
     return head, body
 
 
+def listed(head, name: str) -> Column:
+    """The values of a field of a header: lines with hyphens below it, a list in brackets, or one value; quotes around a value go."""
+    bare = lambda v: F.regexp_replace(F.trim(v), r"^[\"'](.*)[\"']$", "$1")
+    below = F.regexp_extract_all(F.regexp_extract(col(head), rf"(?m)^{name}:[ \t]*\n((?:[ \t]*- [^\n]*(?:\n|\z))+)", 1), F.lit(r"(?m)^[ \t]*- (.*)$"), F.lit(1))
+    one = F.trim(F.regexp_extract(col(head), rf"(?m)^{name}:[ \t]*([^\n]*)$", 1))
+    inside = F.split(F.regexp_replace(one, r"^\[|\]$", ""), ",")
+    found = F.when(F.size(below) > 0, below).when(one.rlike(r"^\[.*\]$"), inside).otherwise(F.array(one))
+    return F.filter(F.transform(found, bare), lambda v: v != "")
+
+
 def slug(c) -> Column:
     """A name for files: symbols spelt out, words joined by hyphens."""
     low = F.lower(F.trim(col(c)))

@@ -119,9 +119,67 @@ def alike_slugs(ids: DataFrame) -> DataFrame:
     return pairs.withColumn("distance", F.levenshtein("s", "s2", ALIKE)).where(f"distance BETWEEN 1 AND {ALIKE}").select("id", "id2", "distance")
 
 
+#: Callouts of a page, and of a report.
+CALLOUTS, ALL_CALLOUTS = 500, 10_000
+
+
 def callouts(pages: DataFrame) -> DataFrame:
-    found = pages.select("id", F.posexplode(text.callouts("content")).alias("nth", "c")).where("nth < 500")
-    return found.select("id", F.col("c.line").cast("long").alias("line"), F.col("c.marker").alias("marker"))
+    """(id, line, marker): the first CALLOUTS of each page; a page with more has a row "__truncated__" of line 0 after them."""
+    found = pages.select("id", text.callouts("content").alias("c"))
+    more = F.array(F.struct(F.lit(0).alias("line"), F.lit("__truncated__").alias("marker")))
+    cut = F.when(F.size("c") > CALLOUTS, F.concat(F.slice("c", 1, CALLOUTS), more)).otherwise(F.col("c"))
+    return found.select("id", F.explode(cut).alias("c")).select("id", F.col("c.line").cast("long").alias("line"), F.col("c.marker").alias("marker"))
+
+
+def callout_report(pages: DataFrame, most: int = ALL_CALLOUTS) -> DataFrame:
+    """The first `most` callouts in order of page and line, and a row "__truncated__" if there are more: a report of a fixed size."""
+    rows = callouts(pages).orderBy("id", (F.col("marker") == "__truncated__").cast("int"), "line").limit(most + 1)
+    nth = rows.withColumn("k", F.row_number().over(Window.orderBy("id", (F.col("marker") == "__truncated__").cast("int"), "line")))
+    last = F.col("k") > most
+    return nth.select(F.when(last, "__truncated__").otherwise(F.col("id")).alias("id"), F.when(last, 0).otherwise(F.col("line")).alias("line"), F.when(last, "__truncated__").otherwise(F.col("marker")).alias("marker"))
+
+
+def file_stale(pages: DataFrame) -> DataFrame:
+    """Pages whose file (file_day) is younger than their date."""
+    return issues(pages.where(F.col("file_day") > F.try_to_date("updated")), "frontmatter_stale", "info")
+
+
+def run_all(pages: DataFrame, links: DataFrame, edges: DataFrame, as_of: str, sources: DataFrame | None = None, longest: int = 4, slugs: bool = True) -> DataFrame:
+    """The issues of all twelve checks: dead links, orphans, stubs, staleness by date, by file and of mature pages, drift of authors, metadata, uncited sources, cycles, slugs that look alike, callouts.
+
+    pages are (id, type, title, content, source, created, updated, status, confidence, belief_state,
+    authored_by) and file_day where it is known; sources are (ref).
+    """
+    from . import graph
+
+    found = [dead_links(links, pages), orphans(pages, edges), stubs(pages), mature_stale(pages, as_of), authored_drift(pages)]
+    old = stale(pages, as_of)
+    found.append(old.select(F.lit("staleness").alias("check"), "severity", F.col("id").alias("page"), F.lit("").alias("target"), F.lit("").alias("message")))
+    if "file_day" in pages.columns:
+        found.append(file_stale(pages))
+    wrong = pages.select("id", F.explode(frontmatter_errors()).alias("e"))
+    found.append(issues(wrong, "frontmatter", "error", message=F.col("e")))
+    if sources is not None:
+        found.append(issues(source_coverage(sources.select("ref"), pages.select(F.col("source").alias("ref"))), "source_coverage", "warning", "ref"))
+    found.append(issues(graph.cycles(edges, longest), "cycle", "info", "path"))
+    if slugs:
+        found.append(issues(alike_slugs(pages.select("id")), "duplicate_slug", "warning", target=F.col("id2"), message=F.concat(F.lit("distance "), F.col("distance").cast("string"))))
+    found.append(issues(callout_report(pages), "inline_callout", "info", message=F.concat("marker", F.lit(" at line "), F.col("line").cast("string"))))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def summary_lines(found: DataFrame, most: int = 1000) -> DataFrame:
+    """(nth, line): a report of issues: totals by severity, counts by check, and the first `most` issues, errors first."""
+    by = found.groupBy("severity").agg(F.count("*").alias("n")).select(F.lit(1).alias("part"), F.expr("CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END").alias("o"), F.concat(F.lit("- "), "severity", F.lit(": "), F.col("n").cast("string")).alias("line"))
+    checks = found.groupBy("check").agg(F.count("*").alias("n")).select(F.lit(2).alias("part"), F.lit(0).alias("o"), F.concat(F.lit("- "), "check", F.lit(": "), F.col("n").cast("string"), F.lit(" issues")).alias("line"))
+    rank = F.expr("CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END")
+    text_ = F.concat_ws(" ", F.concat(F.lit("- ["), F.col("check"), F.lit("]")), "page", F.nullif(F.col("target"), F.lit("")), F.nullif(F.col("message"), F.lit("")))
+    listed = found.select(F.lit(3).alias("part"), rank.alias("o"), text_.alias("line")).orderBy("o", "line").limit(most)
+    lines = by.union(checks).union(listed)  # severities, checks and `most` issues
+    return lines.withColumn("nth", F.row_number().over(Window.orderBy("part", "o", "line"))).select("nth", "line")
 
 
 def rollup(found: DataFrame) -> DataFrame:

@@ -87,6 +87,11 @@ def contradictions(claims: DataFrame, pages: DataFrame, overlap: int = 2, most:
     return first.where(F.col("no") != F.col("has")).groupBy("claim", "part", "id").agg(F.min("nth").alias("nth"))
 
 
+def failing(verdicts: DataFrame) -> DataFrame:
+    """(page) of pages with a failed check, each once."""
+    return verdicts.where("verdict = 'fail'").select("page").distinct()
+
+
 def newest(df: DataFrame, by: str, keep: int, tie: str) -> DataFrame:
     """The newest `keep` rows of a log."""
     return df.orderBy(F.desc(by), F.desc(tie)).limit(keep)

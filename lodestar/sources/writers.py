@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 #: Bytes from which a log's month starts a further part.
 LOG_BYTES = 500_000
 
@@ -30,6 +32,33 @@ def append_log(df: DataFrame, path: str) -> None:
     df.select(F.date_format("ts", "yyyy-MM").alias("month"), line.alias("line")).write.mode("append").partitionBy("month").text(path)
 
 
+def rotate_log(spark, path: str, month: str, limit: int = LOG_BYTES) -> str | None:
+    """A month's part of a log that is over the limit is put away as month.1, month.2 and so on; its new name, or None."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    own = jvm.org.apache.hadoop.fs.Path(f"{path}/month={month}")
+    fs = own.getFileSystem(conf)
+    if not fs.exists(own) or fs.getContentSummary(own).getLength() <= limit:
+        return None
+    n = 1
+    while fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/month={month}.{n}")):
+        n += 1
+    fs.rename(own, jvm.org.apache.hadoop.fs.Path(f"{path}/month={month}.{n}"))
+    return f"{month}.{n}"
+
+
+def append_audit(lines: DataFrame, path: str) -> None:
+    """Append lines (line) of JSON, as ingest.audit() gives them."""
+    lines.select("line").write.mode("append").text(path)
+
+
+def page_text(fields: Column, content: Column) -> Column:
+    """A page as a file has it: fields, an array of (key, values) in their order, as a header, and the content. One value stands beside its key, several below it."""
+    quoted = lambda v: F.concat(F.lit('"'), text.yaml_escaped(v), F.lit('"'))
+    many = lambda x: F.concat(F.lit("\n"), F.array_join(F.transform(x["values"], lambda v: F.concat(F.lit("  - "), quoted(v))), "\n"))
+    line = lambda x: F.concat(x["key"], F.lit(":"), F.when(F.size(x["values"]) == 1, F.concat(F.lit(" "), quoted(F.get(x["values"], F.lit(0))))).when(F.size(x["values"]) == 0, F.lit(" []")).otherwise(many(x)))
+    return F.concat(F.lit("---\n"), F.array_join(F.transform(fields, line), "\n"), F.lit("\n---\n"), content)
+
+
 def files_by_type(df: DataFrame, path: str) -> None:
     """Lines (type, line), a folder for each type."""
     df.repartition("type").sortWithinPartitions("type", "id").select("type", "line").write.mode("overwrite").partitionBy("type").text(path)
