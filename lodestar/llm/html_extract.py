@@ -32,43 +32,119 @@ TAGS = sorted(BLOCK | set("a b button em i label span strong".split()))
 #: Words in class and id attributes that say what an element is for.
 CUES = "ad ads advert advertisement article banner body breadcrumb breadcrumbs byline comment comments consent content cookie cookies disclaimer discussion entry feedback footer form header legal login main menu meta nav navbar navigation newsletter notice notification notifications pagination popup post promo promoted reader related reply replies respond search share sharing sidebar signup social sponsor sponsored story subscribe tags text toolbar widget".split()
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_UNTIL = re.compile("[>\"']")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
+_LISTS = {"li", "ul", "ol", "menu"}
+
+
+class Element:
+    """An open element: its tag, and what it and its ancestors say of a block inside."""
+
+    __slots__ = ("tag", "marks", "own", "article", "mixed", "title", "_features")
+
+    def __init__(self, tag: str, cues: tuple, parent: Element | None):
+        self.tag, self._features = tag, None
+        marks = parent.marks if parent else frozenset()
+        new = {f"in:{tag}", *(f"cue:{c}" for c in cues)} & _INDEX.keys()
+        self.marks = marks if new <= marks else marks | new
+        self.own = tag if tag in BLOCK else parent.own if parent else None
+        self.article = tag in ("article", "main") or bool(parent and parent.article)
+        inside = parent is not None and "in:article" in parent.marks
+        self.mixed = bool(parent and parent.mixed) or inside and tag in ("section", "aside", "form", "footer", "nav", "header")
+        self.title = tag == "h1" or bool(parent and parent.title)
+
+    def features(self) -> tuple:
+        if self._features is None:
+            f = set(self.marks)
+            if self.own:
+                f.add(f"own:{self.own}")
+            if self.own == "p":
+                f.add("parent_p")
+            if not self.article:
+                f.add("no_article")
+            if self.mixed:
+                f.add("article_then_section")
+            self._features = tuple(sorted(_INDEX[x] for x in f if x in _INDEX))
+        return self._features
+
+
+def _tags(page: str, seek: list[int]):
+    """(start, end, tag, whether it closes, attributes) of the tags of a page, in one pass from seek[0] on; comments and declarations have no tag.
+
+    A quote in a tag reaches to its closing quote; where there is none, to the tag's end.
+    """
+    at, size, unclosed = 0, len(page), {}
+    while (start := page.find("<", max(at, seek[0]))) >= 0:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = size if end < 0 else end + 3
+            yield start, at, "", False, ""
+            continue
+        if page.startswith(("<!", "<?"), start):
+            end = page.find(">", start)
+            at = size if end < 0 else end + 1
+            yield start, at, "", False, ""
+            continue
+        m = _NAME.match(page, start + 1)
+        if not m:
+            at = start + 1
+            continue
+        at = m.end()
+        while (stop := _UNTIL.search(page, at)) and stop[0] != ">":
+            quote, at = stop[0], stop.end()
+            end = -1 if unclosed.get(quote) else page.find(quote, at)
+            if end < 0:
+                unclosed[quote] = True
+            else:
+                at = end + 1
+        if not stop:  # the page ends inside a tag
+            return
+        at = stop.end()
+        closes = m[0][0] == "/"
+        yield start, at, m[0].lstrip("/").lower(), closes, page[m.end() : at - 1]
 
 
-def blocks(page: str) -> list[tuple[str, tuple, int]]:
-    """(text, ancestors, characters inside links) of the leaf blocks; an ancestor is (tag, cues)."""
-    out, stack, text, hidden, linked, links = [], [], [], 0, 0, 0
-    at, lower = 0, None
+def blocks(page: str) -> list[tuple[str, Element | None, int]]:
+    """(text, innermost element, characters inside links) of the leaf blocks. Time is linear in the page."""
+    out, stack, text, lists = [], [], [], []
+    hidden = linked = links = 0
+    open_: dict[str, int] = {}  # how many of a tag are open
+    lower = None
 
     def flush():
         nonlocal links
         if text and (s := " ".join(entities.unescape("".join(text)).split())):
-            out.append((s, tuple(x for x in stack), links))
+            out.append((s, stack[-1] if stack else None, links))
         text.clear()
         links = 0
 
     def pop(k):
         nonlocal hidden, linked
-        for tag, _ in stack[k:]:
-            hidden -= tag in HIDDEN
-            linked -= tag == "a"
+        for e in stack[k:]:
+            hidden -= e.tag in HIDDEN
+            linked -= e.tag == "a"
+            open_[e.tag] -= 1
         del stack[k:]
+        while lists and lists[-1] >= k:
+            lists.pop()
 
-    for m in _TOKEN.finditer(page):
-        if m.start() < at:
-            continue
-        if m.start() > at and not hidden:
-            part = page[at : m.start()]
+    def place(tag):
+        """Where the innermost open element of a tag is; what lies above it is popped by all who ask."""
+        return next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), None) if open_.get(tag) else None
+
+    at, seek = 0, [0]
+    for start, end, tag, closes, attributes in _tags(page, seek):
+        if start > at and not hidden:
+            part = page[at:start]
             text.append(part)
             links += linked and len(part)
-        at = m.end()
-        tag = (m[2] or "").lower()
+        at = end
         if not tag:
             continue
-        if m[1]:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+        if closes:
+            k = place(tag)
             if tag in BLOCK:
                 flush()
             if k is not None:
@@ -78,24 +154,26 @@ def blocks(page: str) -> list[tuple[str, tuple, int]]:
             text.append("\n")
         if tag in CLOSES_P:
             flush()
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
-            if k is not None:
+            if (k := place("p")) is not None:
                 pop(k)
-            if tag == "li":
-                k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in ("li", "ul", "ol", "menu")), None)
-                if k is not None and stack[k][0] == "li":
-                    pop(k)
+            if tag == "li" and lists and stack[lists[-1]].tag == "li":
+                pop(lists[-1])
         if tag == "body":
-            pop(next((i for i, x in enumerate(stack) if x[0] == "head"), len(stack)))
-        if tag in VOID or m[3].rstrip().endswith("/") and tag not in BLOCK:
+            k = next((i for i, e in enumerate(stack[:8]) if e.tag == "head"), None)
+            if k is not None:
+                pop(k)
+        if tag in VOID or attributes.rstrip().endswith("/") and tag not in BLOCK:
             continue
         if tag in RAW:
             lower = lower or page.lower()
             end = lower.find(f"</{tag}", at)
-            at = len(page) if end < 0 else end
+            at = seek[0] = len(page) if end < 0 else end
             continue
-        cues = tuple(w for n in _NAMES.finditer(m[3]) for w in _WORD.findall((n[1] or n[2] or n[3] or "").lower())) if m[3] else ()
-        stack.append((tag, cues))
+        cues = tuple(w for n in _NAMES.finditer(attributes) for w in _WORD.findall((n[1] or n[2] or n[3] or "").lower())) if attributes else ()
+        if tag in _LISTS:
+            lists.append(len(stack))
+        stack.append(Element(tag, cues, stack[-1] if stack else None))
+        open_[tag] = open_.get(tag, 0) + 1
         hidden += tag in HIDDEN
         linked += tag == "a"
     if at < len(page) and not hidden:
@@ -108,27 +186,11 @@ _TEXT = ["bias", "first", "last", "is_title", "ends_stop", "has_stop", "only_lin
 _INDEX = {name: i for i, name in enumerate([*_TEXT, *(f"in:{t}" for t in TAGS), *(f"own:{t}" for t in TAGS), *(f"cue:{c}" for c in CUES)])}
 
 
-@lru_cache(20_000)
-def _of_ancestors(stack: tuple) -> tuple:
-    names = [t for t, _ in stack]
-    f = {f"in:{t}" for t in names} | {f"cue:{c}" for _, cues in stack for c in cues}
-    own = next((t for t in reversed(names) if t in BLOCK), None)
-    if own:
-        f.add(f"own:{own}")
-    if own == "p":
-        f.add("parent_p")
-    if "article" not in names and "main" not in names:
-        f.add("no_article")
-    if "article" in names and {"section", "aside", "form", "footer", "nav", "header"} & set(names[names.index("article") :]):
-        f.add("article_then_section")
-    return tuple(i for x in f if (i := _INDEX.get(x)) is not None)
-
-
-def features(found: list[tuple[str, tuple, int]]) -> list[list[int]]:
-    title = next((s for s, stack, _ in found if stack and any(t == "h1" for t, _ in stack)), "")
-    article = any(t in ("article", "main") for _, stack, _ in found for t, _ in stack)
+def features(found: list[tuple[str, Element | None, int]]) -> list[list[int]]:
+    title = next((s for s, e, _ in found if e and e.title), "")
+    article = any(e and e.article for _, e, _ in found)
     out = []
-    for i, (s, stack, links) in enumerate(found):
+    for i, (s, e, links) in enumerate(found):
         n, f = s.count(" ") + 1, ["bias"]
         f.append("words_1" if n < 2 else "words_2" if n < 5 else "words_5" if n < 15 else "words_15" if n < 40 else "words_40")
         if i == 0:
@@ -143,14 +205,18 @@ def features(found: list[tuple[str, tuple, int]]) -> list[list[int]]:
             f.append("has_stop")
         if links:
             f.append("only_link" if links >= 0.9 * len(s) else "mostly_link" if links > 0.5 * len(s) else "some_link")
-        if "©" in s or "copyright" in s[:200].lower():
+        if "©" in s or "copyright" in s.lower():
             f.append("copyright")
         if article:
             f.append("page_has_article")
-        out.append([*(_INDEX[x] for x in f), *_of_ancestors(stack)])
+        out.append([*(_INDEX[x] for x in f), *(e.features() if e else _BARE)])
     return out
 
 
+#: Features of text outside all elements.
+_BARE = (_INDEX["no_article"],)
+
+
 def labelled_pages(n: int = PAGES, seed: int = 3) -> list[tuple[str, list[str]]]:
     """Invented pages of many layouts, with the blocks of their articles."""
     rng = random.Random(seed)
@@ -167,7 +233,7 @@ def labelled_pages(n: int = PAGES, seed: int = 3) -> list[tuple[str, list[str]]]
         return f"<{tag}{name}><ul>" + "".join(f"<li>{link()}</li>" for _ in range(rng.randint(2, 9))) + f"</ul></{tag}>"
 
     def chaff():
-        kind = rng.randrange(9)
+        kind = rng.randrange(12)
         if kind == 0:
             return f'<div class="{pick(["ad", "ads", "advert", "banner", "sponsored", "promo"])}">{pick([sentence(), para(), f"<p>{para()}</p>"])}</div>'
         if kind == 1:
@@ -184,6 +250,12 @@ def labelled_pages(n: int = PAGES, seed: int = 3) -> list[tuple[str, list[str]]]
             return menu()
         if kind == 7:
             return f'<section class="{pick(["newsletter", "promo", "related", "signup"])}"><h2>{some(1, 4)}</h2><p>{para()}</p></section>'
+        if kind == 8:
+            return f'<div{pick(["", f" id={word()}", f" class={word()}"])}>' + pick([" ", " | ", ""]).join(link() for _ in range(rng.randint(2, 9))) + "</div>"
+        if kind == 9:
+            return f'<div class="{pick(["newsletter", "subscribe", "signup", "promo", "related", "social", "feedback", "login"])}">{pick([f"<p>{sentence()}</p>", sentence(), f"<h4>{some(1, 4)}</h4><p>{para()}</p>"])}</div>'
+        if kind == 10:
+            return f'<{(t := pick(["p", "div", "section"]))} class="{pick(["legal", "disclaimer", "copyright", "footer", "meta", "byline", "tags"])}">{pick([sentence(), para(), link()])}</{t}>'
         return f'<p class="{pick(["ad", "notice", "promo", "sponsored"])}">{para()}</p>'
 
     def comments():
@@ -194,8 +266,9 @@ def labelled_pages(n: int = PAGES, seed: int = 3) -> list[tuple[str, list[str]]]
     pages = []
     for _ in range(n):
         kept, body = [], []
+        paragraph = pick(["p"] * 6 + ["div", "div class=x1", "section", 'div class="txt"'])
         title = pick([some(2, 9).capitalize(), sentence()])
-        open_, close = pick([("<article>", "</article>")] * 4 + [("<main>", "</main>"), ("<main><article>", "</article></main>"), ('<div class="content">', "</div>"), ('<div id="main"><div class="post entry">', "</div></div>"), ('<div class="article-body">', "</div>"), ('<div class="story text">', "</div>"), ("<div>", "</div>"), ("", "")])
+        open_, close = pick([("<article>", "</article>")] * 4 + [("<main>", "</main>"), ("<main><article>", "</article></main>"), ('<div class="content">', "</div>"), ('<div id="main"><div class="post entry">', "</div></div>"), ('<div class="article-body">', "</div>"), ('<div class="story text">', "</div>"), ("<div>", "</div>"), ('<div class="txt">', "</div>"), (f'<div class="{word()}">', "</div>"), (f'<div id="{word()}"><div>', "</div></div>"), ("<table><tr><td>", "</td></tr></table>"), (f'<table><tr><td class={pick(["menu", "nav", "sidebar", word()])}>{" ".join(link() for _ in range(rng.randint(2, 8)))}</td><td>', "</td></tr></table>"), ("", "")])
 
         def add(tag, text):
             shown = text
@@ -204,7 +277,8 @@ def labelled_pages(n: int = PAGES, seed: int = 3) -> list[tuple[str, list[str]]]
                 text = text.replace(" ", f" {w} ", 1)
             if rng.random() < 0.1:
                 shown, text = shown + " &amp; &#233;", text + " & é"
-            body.append(pick([f"<{tag}>{shown}</{tag}>"] * 5 + [f"<{tag}><b>{shown}<br>"] * (tag == "p")))
+            end = tag.split()[0]
+            body.append(pick([f"<{tag}>{shown}</{end}>"] * 5 + [f"<{tag}><b>{shown}<br>"] * (tag == "p")))
             kept.append(" ".join(text.split()))
 
         if rng.random() < 0.9:
@@ -212,7 +286,7 @@ def labelled_pages(n: int = PAGES, seed: int = 3) -> list[tuple[str, list[str]]]
         for _ in range(rng.choice([0, 1, 2, 4, 8, 15])):
             kind = rng.random()
             if kind < 0.72:
-                add("p", para())
+                add(paragraph, para())
             elif kind < 0.79:
                 add(pick(["h2", "h3"]), some(1, 6).capitalize())
             elif kind < 0.84:
