@@ -1,127 +1,242 @@
-"""License scan: sparse TF-IDF cosine of notices to templates, then inheritance from the nearest ancestor directory.
+"""License scan: sparse TF-IDF cosine of headers and licence files to templates, then inheritance from the nearest ancestor directory.
 
-Every line of every text that holds a telling word of a template is a notice; its terms are
-weighted by how rare they are among all notices of the corpus, and the best cosine of the line or
-of one of its sentences to a template decides. A file without a notice of its own takes the licence of the licence file in the nearest
-directory above it, found by joining the paths of its ancestors.
+A text is compared as a whole, by its blocks between blank lines, by its lines and by the sentences
+of its lines, so a licence file, a header of several lines and a notice in prose are all found.
+Every such unit is a sparse vector of terms, weighted by how rare they are among all documents of
+the corpus; the best cosine to a template decides. No unit is left out beforehand: a bound that no
+weight can exceed drops those that cannot reach the least cosine. A file without a licence of its
+own takes that of the licence file in the nearest directory above it, found by joining the paths of
+its ancestors.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, written
 
-#: Least cosine of a notice to a template.
+#: Least cosine of a unit to a template.
 LEAST = 0.6
 
-#: Templates: short notices, and opening passages as licence files have them.
+#: Licences by their identifiers, with the notices and passages that stand for them in headers and licence files.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Apache License Version 2.0, January 2004 http www apache org licenses"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
     ("MIT", "Released under the MIT License."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", "Creative Commons Attribution NonCommercial 4.0 International"),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("ISC", "Licensed under the ISC License."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. Zero-Clause BSD"),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted. Licensed under the BSD 3-Clause License."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted. Licensed under the BSD 3-Clause License."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)"),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("WTFPL", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE Version 2, December 2004 Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed."),
+    ("Artistic-2.0", "The Artistic License 2.0 Copyright (c) 2000-2006, The Perl Foundation. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("CC0-1.0", "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide under CC0 1.0 Universal. This software is distributed without any warranty."),
+    ("CC0-1.0", "Creative Commons CC0 1.0 Universal Public Domain Dedication"),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International"),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International"),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution NonCommercial 4.0 International"),
     ("proprietary", "All rights reserved."),
+    ("WTFPL", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE Version 2, December 2004"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    ("Artistic-2.0", "The Artistic License 2.0"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("MIT", "The MIT License (MIT)"),
+    ("ISC", "ISC License"),
+]
+#: Licences whose headers differ in a name and a version only, and the sentences of these headers.
+FAMILY = [("GPL-2.0", "program", "General", "2"), ("GPL-3.0", "program", "General", "3"), ("LGPL-2.1", "library", "Lesser General", "2.1"), ("LGPL-3.0", "program", "Lesser General", "3"), ("AGPL-3.0", "program", "Affero General", "3")]
+HEADER = [
+    "This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1} Public License as published by the Free Software Foundation, either version {2} of the License, or (at your option) any later version.",
+    "This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1} Public License for more details.",
+    "You should have received a copy of the GNU {1} Public License along with this {0}. If not, see <https://www.gnu.org/licenses/>.",
 ]
-#: A line is a notice if it has one of these; each template has one.
-TELLING = re.compile(r"licen[sc]e|permission is hereby|redistribution and use|creative commons|public domain|rights reserved|unencumbered|general public", re.I)
-#: One of these is in every match of TELLING.
-TELLING_PARTS = ["licen", "permission is", "redistribution", "creative commons", "public", "rights reserved", "unencumbered"]
+#: Identifiers in tags: each licence also has a template of its tag.
+TAGGED = sorted({name for name, *_ in [*TEMPLATES, *FAMILY]} - {"proprietary"})
 _TERM = re.compile(r"[^\W_]+(?:\.\d+)?")
+_STOP = re.compile(r"(?<=[.!?])\s+(?=\S)")
 OUTPUT = ["license", "score", "origin"]
 
 
-def terms(line: str) -> dict[str, int]:
-    out: dict[str, int] = {}
-    for t in _TERM.findall(line.lower()):
-        out[t] = out.get(t, 0) + 1
-    return out
+def templates() -> list[tuple[str, str]]:
+    headers = [(name, " ".join(HEADER[:k]).format(*rest)) for name, *rest in FAMILY for k in (1, 2, 3)]
+    return [*TEMPLATES, *headers, *((name, f"SPDX-License-Identifier: {name}") for name in TAGGED)]
+
+
+def terms(s: str) -> list[str]:
+    """Words and numbers in order; the parts of a dotted number stay together."""
+    return _TERM.findall(s.lower())
+
 
+def _weight(n: int, df):
+    return math.log((1 + n) / (1 + df)) + 1
 
-VOCABULARY = sorted({t for _, s in TEMPLATES for t in terms(s)})
 
+@lru_cache(1)
+def _vocabulary() -> dict[str, int]:
+    return {t: i for i, t in enumerate(sorted({t for _, s in templates() for t in terms(s)}))}
 
-def notices(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, notice, line, terms, counts, others, other_counts): the lines of notices of whole texts and their sentences, numbered; others are terms that no template has."""
+
+def frequencies(docs: DataFrame, text_col: str) -> DataFrame:
+    """(term, df): in how many documents each term is, over whole texts; a task sends one row for a term of some hundreds of documents."""
     small_batches(docs.sparkSession)
-    known = set(VOCABULARY)
 
     def run(batches):
-        number = TaskContext.get().partitionId() << 40
         for batch in batches:
-            took, numbers, whole, names, counts, others, other_counts = [], [], [], [], [], [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                low = (text or "").lower()
-                if not any(word in low for word in TELLING_PARTS):
-                    continue
-                lines, at = [], 0
-                for m in TELLING.finditer(text):
-                    if m.start() < at:
-                        continue
-                    start, end = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.start())
-                    at = len(text) if end < 0 else end
-                    lines.append(text[start:at])
-                for line in dict.fromkeys(lines):
-                    # a notice may stand in prose: each sentence of the line is tried as well
-                    for part in dict.fromkeys([line, *re.split(r"(?<=[.!?])\s+(?=\S)", line)]):
-                        if TELLING.search(part):
-                            f = terms(part)
-                            inside, outside = ({t: n for t, n in f.items() if (t in known) == own} for own in (True, False))
-                            took.append(row), numbers.append(number), whole.append(part is line), names.append(list(inside)), counts.append(list(inside.values()))
-                            others.append(list(outside)), other_counts.append(list(outside.values()))
-                            number += 1
-            strings, ints = pa.list_(pa.string()), pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(took, pa.int32())), pa.array(numbers, pa.int64()), pa.array(whole, pa.bool_()), pa.array(names, strings), pa.array(counts, ints), pa.array(others, strings), pa.array(other_counts, ints)], names=["id", "notice", "line", "terms", "counts", "others", "other_counts"])
+            seen: Counter = Counter()
+            for text in batch.column(0).to_pylist():
+                if text:
+                    seen.update(set(terms(text)))
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
+
+    return docs.select(f"`{text_col}`").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
+
+
+def _units(text: str):
+    """The sentences of a text as lists of terms, with the numbers of their lines and blocks."""
+    found, line_of, block_of = [], [], []
+    line = block = 0
+    blank = True
+    for s in text.split("\n"):
+        if not s.strip():
+            blank = True
+            continue
+        block += blank
+        blank = False
+        line += 1
+        for part in _STOP.split(s):
+            found.append(terms(part)), line_of.append(line), block_of.append(block)
+    return found, line_of, block_of
 
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-    return docs.select(f"`{id_col}`", f"`{text_col}`").mapInArrow(run, f"id {kind}, notice long, line boolean, terms array<string>, counts array<int>, others array<string>, other_counts array<int>")
+
+def _matrix(idf: np.ndarray) -> np.ndarray:
+    """Unit vectors of the templates: terms x templates."""
+    vocabulary, all_ = _vocabulary(), templates()
+    out = np.zeros((len(vocabulary), len(all_)))
+    for k, (_, s) in enumerate(all_):
+        for t, c in Counter(terms(s)).items():
+            out[vocabulary[t], k] = c * idf[vocabulary[t]]
+    return out / np.linalg.norm(out, axis=0)
+
+
+def near_units(text: str, idf: np.ndarray, matrix: np.ndarray, least: float) -> dict[bytes, tuple]:
+    """By key, (terms that no template has, their counts, squared norm of the others, dot products, templates) of the units that may reach the least cosine.
+
+    Terms that no template has weigh 1 at least and only lower a cosine; what stays under `least`
+    with that weight is done.
+    """
+    vocabulary = _vocabulary()
+    sentences, line_of, block_of = _units(text)
+    if not sentences:
+        return {}
+    sizes = np.array([len(s) for s in sentences])
+    place = np.array([vocabulary.get(t, -1) for s in sentences for t in s], np.int64)
+    of = np.repeat(np.arange(len(sentences)), sizes)
+    ends = np.cumsum(sizes)
+    out: dict[bytes, tuple] = {}
+    for level in (np.arange(len(sentences)), np.array(line_of) - 1, np.array(block_of) - 1, np.zeros(len(sentences), np.int64)):
+        inside = place >= 0
+        unit, v = level[of][inside], place[inside]
+        if not len(v):
+            return {}
+        pair, count = np.unique(unit * len(vocabulary) + v, return_counts=True)
+        unit, v = pair // len(vocabulary), pair % len(vocabulary)
+        starts = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
+        w = count * idf[v]
+        own = np.add.reduceat(w * w, starts)
+        who = unit[starts]
+        other = np.bincount(level[of][~inside], minlength=int(level[-1]) + 1)[who]
+        # no dot product exceeds the norm of what is shared
+        fine = np.flatnonzero(own >= least * least * (own + other) * (1 - 1e-9))
+        for i in fine.tolist():
+            a, b = starts[i], starts[i + 1] if i + 1 < len(starts) else len(w)
+            dots = w[a:b] @ matrix[v[a:b]]
+            hit = np.flatnonzero(dots >= least * math.sqrt(own[i] + other[i]) * (1 - 1e-9))
+            if not len(hit):
+                continue
+            first, last = np.searchsorted(level, who[i]), np.searchsorted(level, who[i], "right")
+            words = Counter(t for s in sentences[first:last] for t in s if t not in vocabulary)
+            names = sorted(words)
+            key = xxhash.xxh3_128_digest(np.concatenate((v[a:b], count[a:b])).tobytes() + "\0".join(f"{t} {words[t]}" for t in names).encode())
+            out[key] = (names, [words[t] for t in names], float(own[i]), dots[hit].tolist(), hit.tolist())
+    return out
 
 
 def own_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
-    """(id, license, score): the best template of a document's notices with a cosine of `least` or more; ties by name."""
-    found = written(notices(docs, id_col, text_col), "notices")
-    lines = found.where("line")  # frequencies are those of lines: a sentence is part of one
-    n = lines.count()
+    """(id, license, score): the best template of a document's units with a cosine of `least` or more; ties by name."""
+    n = docs.count()
+    counted = written(frequencies(docs, text_col), "frequencies")
+    vocabulary = _vocabulary()
     # a count for each term of the templates: as many rows as they have terms
-    df = {r[0]: r[1] for r in lines.select(F.explode("terms").alias("t")).groupBy("t").count().collect()}
-    idf = {t: math.log((1 + n) / (1 + df.get(t, 0))) + 1 for t in VOCABULARY}
-    weight = F.create_map(*[F.lit(x) for t in VOCABULARY for x in (t, idf[t])])
-    w = found.withColumn("w", F.map_from_arrays("terms", F.zip_with("terms", "counts", lambda t, c: c * weight[t])))
-    w = w.withColumn("inside", F.aggregate(F.map_values("w"), F.lit(0.0), lambda s, x: s + x * x))
-    dots = []
-    for name, template in TEMPLATES:
-        f = {t: c * idf[t] for t, c in terms(template).items()}
-        norm = math.sqrt(sum(x * x for x in f.values()))
-        dot = sum((F.coalesce(F.try_element_at("w", F.lit(t)), F.lit(0.0)) * (x / norm) for t, x in f.items()), F.lit(0.0))
-        dots.append(F.struct(dot.alias("dot"), F.lit(name).alias("license")))
-    # other terms only lower a cosine: notices that are under `least` without them are done
-    near = w.where("size(terms) > 0").withColumn("dots", F.filter(F.array(*dots), lambda d: d["dot"] >= (least - 1e-9) * F.sqrt("inside"))).where("size(dots) > 0")
-    near = written(near.select("id", "notice", "inside", "dots", "others", "other_counts"), "near_notices")
-    counted = near.select("notice", F.explode(F.arrays_zip("others", "other_counts")).alias("o")).select("notice", F.col("o.others").alias("term"), F.col("o.other_counts").alias("c"))
-    every = lines.select(F.explode("others").alias("t")).groupBy("t").agg(F.count("*").alias("df")).hint("rebalance")
-    rare = F.log((1 + n) / (1 + F.col("df"))) + 1
-    outside = counted.join(every, F.col("term") == F.col("t")).groupBy(F.col("notice").alias("k")).agg(F.sum(F.pow(F.col("c") * rare, 2)).alias("outside"))
-    norm = F.sqrt(F.col("inside") + F.coalesce("outside", F.lit(0.0)))
-    each = near.join(outside, F.col("notice") == F.col("k"), "left").select("id", norm.alias("norm"), F.explode("dots").alias("d"))
-    each = each.select("id", F.struct((F.col("d.dot") / F.col("norm")).alias("score"), F.col("d.license").alias("license")).alias("s")).where(F.col("s.score") >= least)
-    return each.groupBy("id").agg(F.min_by("s", F.struct(-F.round("s.score", 9), "s.license")).alias("s")).select("id", "s.license", F.least(F.col("s.score"), F.lit(1.0)).alias("score"))
+    df = {r["term"]: r["df"] for r in counted.where(F.col("term").isin(list(vocabulary))).collect()}
+    idf = np.array([_weight(n, df.get(t, 0)) for t in vocabulary])
+    matrix = _matrix(idf)
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            took, rows = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                for key, unit in near_units(text or "", idf, matrix, least).items():
+                    took.append(i), rows.append((key, *unit))
+            kinds = [pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(took, pa.int32())), *(pa.array(c, kind) for c, kind in zip(zip(*rows) if rows else [[]] * 6, kinds))], names=["id", "key", "others", "counts", "inside", "dots", "which"])
+
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
+    schema = f"id {kind}, key binary, others array<string>, counts array<int>, inside double, dots array<double>, which array<int>"
+    found = written(docs.select(f"`{id_col}`", f"`{text_col}`").mapInArrow(run, schema), "units")
+    # equal units are scored once, however many documents have them
+    once = found.groupBy("key").agg(*[F.first(c).alias(c) for c in ("others", "counts", "inside", "dots", "which")])
+    outer = once.select("key", F.explode(F.arrays_zip("others", "counts")).alias("o")).select("key", F.col("o.others").alias("t"), F.col("o.counts").alias("c"))
+    weight = F.log((1 + n) / (1 + F.col("df"))) + 1
+    outside = outer.join(counted, F.col("t") == F.col("term")).groupBy(F.col("key").alias("k")).agg(F.sum(F.pow(F.col("c") * weight, 2)).alias("outside"))
+    names = F.array(*[F.lit(name) for name, _ in templates()])
+    scored = once.join(outside, F.col("key") == F.col("k"), "left").withColumn("norm", F.sqrt(F.col("inside") + F.coalesce("outside", F.lit(0.0))))
+    each = scored.select("key", "norm", F.explode(F.arrays_zip("dots", "which")).alias("d")).select("key", F.struct((F.col("d.dots") / F.col("norm")).alias("score"), F.get(names, F.col("d.which")).alias("license")).alias("s")).where(F.col("s.score") >= least)
+    better = lambda c: F.min_by(c, F.struct(-F.round(f"{c}.score", 9), f"{c}.license"))
+    best = each.groupBy(F.col("key").alias("b")).agg(better("s").alias("s")).hint("rebalance")
+    mine = found.select("id", "key").join(best, F.col("key") == F.col("b")).groupBy("id").agg(better("s").alias("s"))
+    return mine.select("id", "s.license", F.least(F.col("s.score"), F.lit(1.0)).alias("score"))
 
 
 def license_scan(files: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path", is_license=None) -> DataFrame:
@@ -130,7 +245,8 @@ def license_scan(files: DataFrame, id_col: str = "doc_id", text_col: str = "text
     origin is the path that the licence was found in: the file's own, or that of the licence file
     in the nearest directory above it (or beside it); of several there the smallest path. Rows
     without either have nulls. `is_license` is a Column that marks licence files; by default those
-    named LICENSE, LICENCE, COPYING or NOTICE. Null and empty texts have no notice; a null path
+    named LICENSE, LICENCE, COPYING or NOTICE. Null and empty texts have no licence of their own; texts
+    of any length are read whole, a line, block and sentence at a time; a null path
     inherits nothing. Repeated rows get equal results; an empty table gives an empty result. Other
     columns are not read. Hot directories are safe: the join on a directory is one that Spark may
     split, and only ids and paths are shuffled.
