@@ -1,8 +1,9 @@
 """Language identification as inference of a multilingual mixture.
 
 A document is a bag of byte trigrams, each drawn from one of the learned languages. Expectation
-maximisation estimates the document's proportions; the set of languages is the one of highest
-likelihood less a penalty for each language in it, and the prediction is its largest member.
+maximisation estimates the document's proportions; the set of languages grows by the one that fits
+best, and the set of highest likelihood less a penalty for each language in it is chosen. The
+prediction is its largest member, the score that language's proportion in the set.
 """
 
 from __future__ import annotations
@@ -38,8 +39,10 @@ def _bags(data: np.ndarray, offsets: np.ndarray):
     n = len(offsets) - 1
     if n == 1 and len(data) > PART:
         bag = np.zeros(PLACES, np.int64)
-        for at in range(0, len(data), PART):
-            part = _TABLE[data[at : at + PART + 2]]
+        space = np.array([32], np.uint8)
+        for at in range(0, len(data), PART):  # the places of a part's trigrams in the text with its spaces
+            part = _TABLE[data[max(0, at - 1) : at + PART + 1]]
+            part = np.concatenate((space[: at == 0], part, space[: at + PART + 1 > len(data)]))
             bag += np.bincount(_grams(part), minlength=PLACES)
         gram = np.flatnonzero(bag)
         return np.zeros(len(gram), np.int64), gram, bag[gram]
@@ -113,12 +116,13 @@ def infer(row: np.ndarray, gram: np.ndarray, count: np.ndarray, logp: np.ndarray
     p = np.exp(lp - lp.max(1, keepdims=True))
     tops = np.log(np.maximum(p, 1e-30)) * count[:, None]
     single = np.add.reduceat(tops, starts)
-    pi, fit = _mixture(p, count, starts, inner, np.full((len(starts), k), 1 / k, np.float32), STEPS)
+    _, fit = _mixture(p, count, starts, inner, np.full((len(starts), k), 1 / k, np.float32), STEPS)
     cost = COST * np.log(np.maximum(np.add.reduceat(count, starts), 2))
-    order = np.argsort(-pi, 1)
-    chosen, score = single.argmax(1), single.max(1) - cost
+    chosen, score, part = single.argmax(1), single.max(1) - cost, np.ones(len(starts))
     # no set can fit better than all languages do: only rows in which two might win are looked at further
     open_ = np.flatnonzero(fit - 2 * cost > score)
+    member = np.zeros((len(starts), k), bool)
+    member[np.arange(len(starts)), chosen] = True
     for size in range(2, k + 1):
         if not len(open_):
             break
@@ -127,17 +131,20 @@ def infer(row: np.ndarray, gram: np.ndarray, count: np.ndarray, logp: np.ndarray
         sel = keep[inner]
         sub = np.cumsum(keep)[inner[sel]] - 1
         edges = np.flatnonzero(np.concatenate(([True], sub[1:] != sub[:-1])))
-        start = np.zeros((len(open_), k), np.float32)
-        np.put_along_axis(start, order[open_, :size], 1 / size, 1)
-        mix, fits = _mixture(p[sel], count[sel], edges, sub, start, STEPS)
+        # the set grows by the language that makes it fit best
+        fits, mixes, added = np.full(len(open_), -np.inf), np.zeros((len(open_), k)), np.zeros(len(open_), int)
+        for j in range(k):
+            sets = member[open_] | (np.arange(k) == j)
+            mix, f = _mixture(p[sel], count[sel], edges, sub, (sets / sets.sum(1, keepdims=True)).astype(np.float32), STEPS)
+            f = np.where(member[open_, j], -np.inf, f)
+            better = f > fits
+            fits[better], mixes[better], added[better] = f[better], mix[better], j
+        member[open_, added] = True
         better = fits - size * cost[open_] > score[open_]
         at = open_[better]
-        score[at] = (fits - size * cost[open_])[better]
-        chosen[at] = mix[better].argmax(1)
-        pi[at] = mix[better]
+        score[at], chosen[at], part[at] = (fits - size * cost[open_])[better], mixes[better].argmax(1), mixes[better].max(1)
         open_ = open_[fit[open_] - (size + 1) * cost[open_] > score[open_]]
-    best[rows] = chosen
-    share[rows] = np.clip(np.take_along_axis(pi, chosen[:, None], 1)[:, 0], 0, 1)
+    best[rows], share[rows] = chosen, np.clip(part, 0, 1)
     return best, share
 
 
@@ -145,7 +152,8 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     """docs with lang_pred and score, from whole texts alone.
 
     `und` with score 0 where the text is null, empty or has no letter, or nothing was learned. The
-    score is the language's estimated share of the document. Columns of docs with these names, in
+    score is the language's estimated share of the document within the chosen set: 1 where that is one
+    language. Texts of any length are read whole. Columns of docs with these names, in
     any case, are replaced. Repeated rows get equal results; an empty table gives an empty one.
     """
     from .common import without
