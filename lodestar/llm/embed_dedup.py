@@ -18,22 +18,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buffers import starts_of, whole_groups
-from .common import components, small_batches, written
+from .common import components, drop_written, small_batches, written
 from .minhash import labelled
 
 #: Independent rotations, blocks of a vector, directions of a block, inner product from which a filter lists a unit vector of DIM dimensions, most rows compared in one task.
 TURNS, PARTS, CODE, CAP, BLOCK = 5, 2, 512, 0.47, 1024
 #: What CAP was chosen for: dimensions, least cosine.
 DIM, LEAST = 64, 0.9
-#: Vectors decoded at once.
-AT_ONCE = 200
+#: Vectors decoded at once; dimensions that vectors of fewer are turned into.
+AT_ONCE, FEWEST = 200, 16
 
 
 @lru_cache(32)
 def directions(dim: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """A random rotation, and the codes of the blocks: PARTS x CODE x (dim / PARTS, rounded up)."""
+    """A random rotation into FEWEST dimensions or more, and the codes of the blocks: PARTS x CODE x (dimensions / PARTS)."""
     rng = np.random.default_rng(seed)
-    wide = -(-dim // PARTS) * PARTS
+    wide = -(-max(dim, FEWEST) // PARTS) * PARTS
     turn = np.linalg.qr(rng.standard_normal((wide, wide)))[0][:dim]
     code = rng.standard_normal((PARTS, CODE, wide // PARTS))
     return turn, code / np.linalg.norm(code, axis=2, keepdims=True)
@@ -54,11 +54,9 @@ def in_common(dim: int, cosine: float, cap: float) -> float:
 
 @lru_cache(256)
 def cap_for(dim: int, least: float) -> float:
-    """CAP, or the lower inner product at which two vectors of cosine `least` have as many filters in common as CAP gives at DIM and LEAST."""
-    wanted, least = in_common(DIM, LEAST, CAP), min(least, LEAST)
-    if dim < 4 or in_common(dim, least, CAP) >= wanted:
-        return CAP
-    low, high = 0.0, CAP
+    """The inner product at which two vectors of cosine `least` have as many filters in common as CAP gives at DIM and LEAST; higher in few dimensions, lower in many."""
+    dim, least, wanted = max(dim, FEWEST), min(least, LEAST), in_common(DIM, LEAST, CAP)
+    low, high = 0.0, 0.999
     for _ in range(40):
         mid = (low + high) / 2
         low, high = (mid, high) if in_common(dim, least, mid) >= wanted else (low, mid)
@@ -98,7 +96,7 @@ def all_listed(unit: np.ndarray, cap: float) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _filters(vectors: DataFrame, least: float, cap: float | None) -> DataFrame:
-    """(id, weight, vector, filters), filters sorted; without a cap that of the dimension."""
+    """(id, dim, filters), filters sorted; without a cap that of the dimension."""
 
     def run(batches):
         for batch in batches:
@@ -113,10 +111,10 @@ def _filters(vectors: DataFrame, least: float, cap: float | None) -> DataFrame:
                 row, name = all_listed(unit, cap_for(dim, least) if cap is None else cap)
                 bounds = np.searchsorted(row, np.arange(len(at) + 1))
                 for i, a, b in zip(at, bounds, bounds[1:]):
-                    lists[i] = name[a:b] * 1009 + dim % 1009  # vectors of other dimensions meet elsewhere
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(lists, pa.list_(pa.int64()))], names=["id", "weight", "vector", "filters"])
+                    lists[i] = name[a:b].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(v) for v in kept], pa.int32()), pa.array(lists, pa.list_(pa.int32()))], names=["id", "dim", "filters"])
 
-    return vectors.mapInArrow(run, f"id long, weight long, vector {vectors.schema['vector'].dataType.simpleString()}, filters array<long>")
+    return vectors.select("id", "weight", "vector").mapInArrow(run, "id long, dim int, filters array<int>")
 
 
 def near(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
@@ -135,8 +133,8 @@ def flat(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _linked(rows: DataFrame, least: float) -> DataFrame:
-    """(a, b, n): n links of a counted here, and an edge to b, from rows (filter, left, right, block, id, weight, vector, filters)."""
-    keys = ["filter", "left", "right"]
+    """(a, b, n): n links of a counted here, and an edge to b, from rows (dim, filter, left, right, block, id, weight, vector, filters)."""
+    keys = ["dim", "filter", "left", "right"]
 
     def run(batches):
         for table in whole_groups(batches, keys):
@@ -180,24 +178,27 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     and share their other links. A pair at or above `least` is found with a probability that grows
     as `cap` falls, and that by default is held over all dimensions and values of `least`; lists of
     filters grow as `least` falls. No pair below is ever linked. Rows of null id have a null component, are kept
-    and link with nothing. Rows of equal id count as rows of their own in n_links. Other columns
-    are not read; an empty table gives an empty result.
+    and link with nothing. Rows of equal id count as rows of their own in n_links. Vectors may have
+    any number of dimensions, also different ones in a table. Other columns are not read; an empty
+    table gives an empty result.
     """
     v = F.col(vector_col)
     fine = F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False)) & F.col(id_col).isNotNull()
     rows = vectors.select(F.col(id_col).alias("id"), v.alias("vector"), fine.alias("fine"))
     classes = written(rows.where("fine").groupBy("vector").agg(F.min("id").alias("id"), F.count("*").alias("weight")).select("id", "weight", "vector"), "classes")
     small_batches(vectors.sparkSession, 2000)
-    named = written(_filters(classes, least, cap).select("id", F.explode("filters").alias("filter")), "named")
-    shared = named.groupBy("filter").agg(F.count("*").alias("members")).where("members > 1").hint("rebalance")
-    met = written(named.join(shared.withColumnRenamed("filter", "f"), F.col("filter") == F.col("f")).drop("f"), "met")
+    # vectors of other dimensions meet elsewhere, though filters have the same numbers
+    named = written(_filters(classes, least, cap).select("id", "dim", F.explode("filters").alias("filter")), "named")
+    shared = named.groupBy(F.col("dim").alias("e"), F.col("filter").alias("f")).agg(F.count("*").cast("int").alias("members")).where("members > 1").hint("rebalance")
+    met = written(named.join(shared, (F.col("dim") == F.col("e")) & (F.col("filter") == F.col("f"))).drop("e", "f"), "met")
+    drop_written(named)
     shared_lists = met.groupBy(F.col("id").alias("j")).agg(F.array_sort(F.collect_list("filter")).alias("filters"))
     lists = classes.join(shared_lists, F.col("id") == F.col("j")).drop("j")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     met = met.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    met = met.select("filter", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "id")
-    full = met.join(lists.withColumnRenamed("id", "i"), F.col("id") == F.col("i")).select("filter", "left", "right", "block", "id", "weight", "vector", "filters")
+    met = met.select("dim", "filter", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "id")
+    full = met.join(lists.withColumnRenamed("id", "i"), F.col("id") == F.col("i")).select("dim", "filter", "left", "right", "block", "id", "weight", "vector", "filters")
     links = written(_linked(full, least), "links")
     counts = links.groupBy(F.col("a").alias("c")).agg(F.sum("n").alias("n"))
     found = components(links.select("a", "b")).withColumnRenamed("node", "d")

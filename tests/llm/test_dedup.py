@@ -195,18 +195,35 @@ def test_vectors_odd_rows(spark):
     assert embed_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
-def test_vectors_of_more_dimensions(spark):
-    rng, rows = np.random.default_rng(4), []
-    for dim in (128, 384):  # 300 pairs of cosine 0.9 or a little more, all else far apart
-        a, z = rng.standard_normal((2, 300, dim))
-        a /= np.linalg.norm(a, axis=1, keepdims=True)
-        z -= (z * a).sum(1, keepdims=True) * a
-        b = 0.901 * a + (1 - 0.901**2) ** 0.5 * z / np.linalg.norm(z, axis=1, keepdims=True)
-        rows += [(dim * 1000 + 2 * i + k, x[i].tolist()) for i in range(300) for k, x in enumerate((a, b))]
-    got = embed_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
-    for dim in (128, 384):
-        mine = [r for r in got if r["vec_id"] // 1000 == dim]
-        assert sum(r["n_links"] for r in mine) >= 0.97 * 600 and all(r["n_links"] <= 1 and r["component_id"] in (r["vec_id"], r["vec_id"] - 1) for r in mine)
+def pairs_of(rng, dim, n, cosine):
+    """n pairs of unit vectors of a cosine, all else far apart where the dimensions allow it."""
+    a, z = rng.standard_normal((2, n, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    z -= (z * a).sum(1, keepdims=True) * a
+    return a, cosine * a + (1 - cosine**2) ** 0.5 * z / np.linalg.norm(z, axis=1, keepdims=True)
+
+
+def test_vectors_of_any_dimension(spark):
+    """All dimensions in one table, each against brute force on its own rows."""
+    rng, rows, own = np.random.default_rng(4), [], {}
+    for dim, n in ((3, 60), (16, 300), (64, 300), (128, 300), (384, 300), (1024, 200), (1073, 50), (2082, 50)):
+        own[dim] = np.concatenate(pairs_of(rng, dim, n, 0.905))
+        rows += [(dim * 10_000 + i, x.tolist()) for i, x in enumerate(own[dim])]
+    got = {r["vec_id"]: r["n_links"] for r in embed_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(8)).collect()}
+    true, found = 0, 0
+    for dim, x in own.items():
+        want = (x @ x.T / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(x, axis=1)) >= 0.9).sum(1) - 1
+        mine = np.array([got[dim * 10_000 + i] for i in range(len(x))])
+        assert (mine <= want).all() and mine.sum() >= 0.975 * want.sum(), dim
+        true, found = true + want.sum(), found + mine.sum()
+    assert found >= 0.985 * true
+
+
+@pytest.mark.parametrize("dim", [8, 16, 32, 64, 128, 384, 1024])
+def test_lists_stay_short(dim):
+    unit = np.random.default_rng(6).standard_normal((40, dim))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    assert len(embed_dedup.all_listed(unit, embed_dedup.cap_for(dim, 0.9))[0]) <= 200 * 40
 
 
 def test_every_vector_has_a_filter_of_each_rotation():
