@@ -138,6 +138,7 @@ def test_near(spark, monkeypatch):
 def test_near_in_blocks(spark, monkeypatch):
     """Groups larger than a block are linked over all their blocks."""
     monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "EXACT", 8)
     rng = random.Random(8)
     base = [f"w{i}" for i in range(120)]
     rows = []
@@ -150,6 +151,33 @@ def test_near_in_blocks(spark, monkeypatch):
     assert got == near_brute(rows)
 
 
+def test_near_in_blocks_of_many_groups(spark, monkeypatch):
+    """Loose groups of several linked ones, with buckets and heads beyond a block."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "EXACT", 4)
+    monkeypatch.setattr(minhash, "PLAUSIBLE", 400)
+    rng, rows = random.Random(9), []
+    base = [f"w{i}" for i in range(60)]
+    for g in range(12):
+        own = list(base)
+        for k in range(0, 60, 5):
+            if rng.random() < 0.35:
+                own[k] = f"g{g}x{k}"
+        for i in range(6):
+            one = list(own)
+            one[rng.randrange(60)] = f"y{g}{i}"
+            rows.append((g * 10 + i, " ".join(one)))
+    got = {r["doc_id"]: tuple(r)[1:] for r in minhash.near_dedup(frame(spark, rows), width=4).collect()}
+    assert got == near_brute(rows)
+
+
+def test_near_odd_rows(spark):
+    same = " ".join(f"w{i}" for i in range(30))
+    rows = [(None, same, "x"), (5, same, "x"), (5, "other words that stand here", "y"), (6, "other words that stand here", "z"), (7, "w " * 200_000, "z"), (8, "w " * 200_001, None), (7, same, "q")]
+    got = minhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string, KEPT string"), width=4).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in got) == [(0, 0, True), (5, 5, True), (5, 5, True), (6, 5, False), (7, 5, False), (7, 5, False), (8, 5, False)]
+
+
 def test_near_of_supplied_documents(spark, sf):
     rows = [tuple(r) for r in supplied(spark, sf).collect()]
     assert {r["doc_id"]: tuple(r)[1:] for r in minhash.op4_minhash(spark, sf).collect()} == near_brute(rows)
