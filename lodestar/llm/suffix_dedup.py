@@ -30,7 +30,7 @@ from .buffers import BASE, BYTE, INVERSE, mixed, powers, spans, whole_groups
 from .common import attach, drop_path, shared_dir, small_batches, written
 
 #: Bytes of the strings that minimisers are chosen from, most windows in a piece, bytes of text a deal.
-SHORT, WINDOWS, DEAL = 24, 64, 8_000_000
+SHORT, WINDOWS, DEAL = 24, 64, 5_000_000
 #: Entries of a column read or written at once, entries of a collection that pieces of several minimisers share, entries from which columns are files.
 BLOCK, COLLECTION, IN_MEMORY = 1 << 18, 200_000, 8_000_000
 #: Bytes of text that minimisers are taken from at once, values that a task holds before it sends them on.

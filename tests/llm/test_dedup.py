@@ -81,6 +81,32 @@ def test_passages_of_supplied_documents(spark, sf):
     assert {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.op3_suffix(spark, sf).collect()} == passages_brute(rows)
 
 
+def test_passages_of_odd_rows(spark):
+    """Null ids give and take nothing, rows of equal id nothing to each other; other columns are not read."""
+    p, q = "p" * 20 + "passage one, long enough to be found again" + "z" * 10, "another passage, of fifty bytes and some more of them"
+    rows = [(None, p, 1), (None, p, 2), (1, "x " + p, 3), (1, "y " + p, 4), (2, p + " end", 5), (2, p + " end", 5), (3, q, 6), (3, "a" + q, 7), (4, None, 8), (4, q + "!", 9)]
+    got = suffix_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string, N_BYTES int")).collect()
+    seen = sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in got)
+    assert seen == sorted([(0, len(p), 0)] * 2 + [(1, len(p) + 2, 0)] * 2 + [(2, len(p) + 4, len(p))] * 2 + [(3, len(q), 0), (3, len(q) + 1, 0), (4, 0, 0), (4, len(q) + 1, len(q))])
+
+
+def test_passages_through_files(spark, monkeypatch):
+    """Columns beyond memory are files of the shared folder; results are the same and nothing is left there."""
+    import glob
+
+    rng = random.Random(12)
+    shared = "".join(rng.choice("ab") for _ in range(400))
+    texts = [shared[: rng.randint(60, 400)] + "".join(rng.choice("abc") for _ in range(60)) for _ in range(12)]
+    pieces = [t.encode()[i : i + 90] for t in texts for i in range(0, len(t) - 50, 7)]
+    args = np.frombuffer(b"".join(pieces), np.uint8), np.array([len(p) for p in pieces])
+    want = np.concatenate([*suffix_dedup.collection(*args)])
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file:") + "/columns"
+    monkeypatch.setattr(suffix_dedup, "IN_MEMORY", 500)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 300)
+    assert (np.concatenate([*suffix_dedup.collection(*args, folder)]) == want).all()
+    assert glob.glob(folder + "/*") == []
+
+
 def test_suffix_array():
     rng = random.Random(1)
     for _ in range(40):

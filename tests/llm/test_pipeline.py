@@ -69,3 +69,40 @@ def test_packed_whole(stages):
     before, after = stages["best-fit packing"]
     assert {r["doc_id"] for r in after.collect()} == {r["doc_id"] for r in before.collect()}
     assert re.fullmatch(r"doc_id,piece,start,length,ids_crc32,sequence_id,offset", ",".join(after.columns))
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, KEPT string, __row int, score double"
+
+
+def odd(spark):
+    words = " ".join(f"w{i}" for i in range(40))
+    passage = "a passage that stands in two documents and is longer than fifty bytes, as can be seen"
+    rows = [
+        (1, None, None, None, None, "a", 1, 0.5), (2, "", "en", "s", 0, "a", 1, None), (3, "?!", "en", "s", 2, None, 1, None), (4, words, "en", "s", 1, "b", 2, 1.0), (4, words, "en", "s", 1, "b", 2, 1.0),
+        (5, words.upper(), "en", "s", 1, "c", 3, 1.0), (6, words + " more", "en", None, 1, "d", 4, 1.0), (None, words, "en", "s", 1, "e", 5, 1.0), (7, passage + " first.", "en", "s", 1, None, 6, 1.0), (8, "Then " + passage, "en", "s", 1, None, 7, 1.0),
+        (9, "x" * 300_000, "en", "s", 1, None, 8, 1.0),
+    ]
+    return spark.createDataFrame(rows, ODD)
+
+
+@pytest.mark.parametrize("stage", [0, 1, 2, 3])
+def test_stages_keep_odd_rows_and_columns(spark, sf, stage):
+    name, fn = corpus_pipeline.STAGES[stage]
+    docs = odd(spark)
+    out = fn(spark, docs, sf)
+    rows = out.collect()
+    assert out.columns == docs.columns
+    ids = sorted(r["doc_id"] or 0 for r in rows)
+    assert ids == {0: [0, 4, 4, 5, 6, 7, 8, 9], 1: [2, 3, 5, 6, 7, 8, 9], 2: [0, 1, 2, 3, 4, 4, 7, 9], 3: [0, 1, 2, 3, 4, 4, 5, 6, 7, 8, 9]}[stage]
+    by = {r["doc_id"]: r for r in rows}
+    if stage == 3:
+        assert by[8]["text"] == "Then " and by[6]["text"] == "" or by[6]["text"].endswith("more")
+        assert by[7]["text"].endswith("first.") and by[1]["text"] is None and by[None]["text"].startswith("w0") and by[9]["n_chars"] == 300_000
+    assert fn(spark, docs.where("false"), sf).count() == 0
+
+
+def test_packing_of_odd_rows(spark, sf):
+    _, fn = corpus_pipeline.STAGES[4]
+    rows = fn(spark, odd(spark), sf).collect()
+    assert sorted({r["doc_id"] or 0 for r in rows}) == [0, 1, 2, 3, 4, 5, 6, 7, 8, 9] and sum(r["doc_id"] == 4 for r in rows) == 2
+    assert fn(spark, odd(spark).where("false"), sf).count() == 0
