@@ -9,21 +9,20 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
 
 from .common import small_batches
+from .words import AT_ONCE, Memory, filled, flat, together, token_ids
 
-#: Encodings of words that a worker remembers; beyond that it starts anew. Longer words are not remembered.
-REMEMBERED, LONGEST = 800_000, 48
-#: Keys a bucket of the perfect hash, on average.
-A_BUCKET = 3
+#: Keys a bucket of the perfect hash, on average; ids that are decoded and digested at once, unless one text alone has more.
+A_BUCKET, DIGESTED = 3, 200_000
 
 
 def _place(x: int, y: int, d: int) -> int:
@@ -79,49 +78,13 @@ class Tokenizer:
         self.hash = hash_ or PerfectHash(keys)
         self.keys = [keys[i] for i in self.hash.slots]
         self.ids = [ranks[k] for k in self.keys]
-        self.words = {i: k for k, i in ranks.items()}
-        self.shown = {i: f" {i}" for i in self.words}
         self.split = regex.compile(pattern).findall
-        tokenizer = self
-
-        class Memory(dict):
-            """(ids, ids in decimal after spaces, decoded bytes) of a word after a space."""
-
-            def __missing__(self, word: str) -> tuple:
-                found = tokenizer.entry(" " + word)
-                if len(word) <= LONGEST:
-                    self[word] = found
-                return found
-
-        class Tokens(dict):
-            """Ids of a pre-token, which stands in words with other marks too."""
-
-            def __missing__(self, token: str) -> tuple:
-                found = tokenizer.token(token.encode("utf-8", "replace"))
-                if len(token) <= LONGEST:
-                    self[token] = found
-                return found
-
-        self.memory, self.tokens = Memory(), Tokens()
-
-    def entry(self, text: str) -> tuple:
-        ids = tuple(chain.from_iterable(map(self.tokens.__getitem__, self.split(text))))
-        return ids, "".join(map(self.shown.__getitem__, ids)), self.decode(ids)
-
-    def entries(self, text: str):
-        """The entries of a text's words, in order.
-
-        The pattern never joins what stands before a space to what follows it, unless white space
-        surrounds that space; texts that have such a place are taken whole.
-        """
-        if len(self.memory) > REMEMBERED:
-            self.memory.clear()
-        if len(self.tokens) > REMEMBERED // 2:
-            self.tokens.clear()
-        if _BLANKS.search(text):
-            return [self.entry(text)]
-        first, *rest = text.split(" ")
-        return [self.entry(first), *map(self.memory.__getitem__, rest)]
+        top = max(ranks.values(), default=0) + 1
+        words = [b""] * top
+        for k, i in ranks.items():
+            words[i] = k
+        #: Bytes of every id, and its decimal digits after a space.
+        self.words, self.shown = Table(words), Table([b" %d" % i for i in range(top)])
 
     def token(self, token: bytes) -> tuple:
         """Ids of one pre-token."""
@@ -156,14 +119,44 @@ class Tokenizer:
         return tuple(out)
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids, _, _ in self.entries(text) for i in ids]
+        return list(chain.from_iterable(self.token(t.encode("utf-8", "replace")) for t in self.split(text)))
 
     def decode(self, ids) -> bytes:
-        return b"".join(map(self.words.__getitem__, ids))
+        return self.words.joined(np.asarray(ids, np.int64))[0].tobytes()
+
+
+class Table:
+    """Byte strings by number."""
+
+    def __init__(self, strings: list[bytes]):
+        self.length = np.array([len(x) for x in strings], np.int64)
+        self.begin = np.cumsum(self.length) - self.length
+        self.bytes = np.frombuffer(b"".join(strings), np.uint8)
+
+    def joined(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The strings of some numbers, one after another, and where each starts and the last ends."""
+        length = self.length[numbers]
+        edge = np.concatenate(([0], np.cumsum(length)))
+        out = np.empty(edge[-1], np.uint8)
+        filled(out, edge[:-1], self.bytes, self.begin[numbers], length)
+        return out, edge
+
+
+class BpeMemory(Memory):
+    """Words encoded by a Tokenizer: what the memory has not met goes to the perfect hash, and then to the heap."""
+
+    def __init__(self, own: Tokenizer):
+        self.own = own
+        super().__init__()
+
+    def whole(self, texts: list[str]) -> list:
+        return list(map(self.own.encode, texts))
+
+    def letters(self, keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """A word of letters after a space is one pre-token."""
+        return flat([self.own.token(b" " + w.encode()) for w in keys.to_pylist()])
 
 
-#: A space between white space, or between white space and the end.
-_BLANKS = re.compile(r"\s \s|\s \Z")
 _hashes: dict = {}
 
 
@@ -191,21 +184,31 @@ def tokenizer(path: str | None = None, hash_: PerfectHash | None = None) -> Toke
     return _tokenizers[path]
 
 
+_memories: dict = {}
+
+
+def memory(path: str | None, hash_: PerfectHash) -> BpeMemory:
+    """The words that a worker has met."""
+    if path not in _memories:
+        _memories[path] = BpeMemory(tokenizer(path, hash_))
+    return _memories[path]
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """One row for each row of docs: the id column and ids (array<int>), over whole texts.
+    """One row for each row of docs: the id column and ids (array<int>), over whole texts of any length.
 
     Null and empty texts give an empty array. vocabulary is a path that every executor can open;
     by default the installed public file. Other columns of docs are not read, repeated rows give
     repeated results, and an empty table gives an empty one.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 64)
     shared = docs.sparkSession.sparkContext.broadcast(perfect_hash(vocabulary))
 
     def run(batches):
-        own = tokenizer(vocabulary, shared.value)
-        for batch in batches:
-            ids = [own.encode(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["__id", "ids"])
+        own = memory(vocabulary, shared.value)
+        for batch in together(batches, AT_ONCE):
+            ids, bounds = token_ids(batch.column(1), own)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32)))], names=["__id", "ids"])
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     return docs.select(f"`{id_col}`", f"`{text_col}`").mapInArrow(run, f"__id {kind}, ids array<int>").withColumnRenamed("__id", id_col)
@@ -213,19 +216,23 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """encode() and decode() in one pass, giving n_tokens and the SHA-256 of the ids and of the decoded bytes."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 64)
     shared = docs.sparkSession.sparkContext.broadcast(perfect_hash(vocabulary))
 
     def run(batches):
-        own = tokenizer(vocabulary, shared.value)
-        for batch in batches:
-            counts, ids_sha, text_sha = [], [], []
-            for text in batch.column(1).to_pylist():
-                ids, shown, decoded = zip(*own.entries(text or ""))
-                counts.append(sum(map(len, ids)))
-                ids_sha.append(hashlib.sha256("".join(shown)[1:].encode()).hexdigest())
-                text_sha.append(hashlib.sha256(b"".join(decoded)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["__id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        own = memory(vocabulary, shared.value)
+        for batch in together(batches, AT_ONCE):
+            ids, bounds = token_ids(batch.column(1), own)
+            ids_sha, text_sha, lo = [], [], 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + DIGESTED, "right")) - 1)
+                some, own_bounds = ids[bounds[lo] : bounds[hi]].astype(np.int64), bounds[lo : hi + 1] - bounds[lo]
+                for table, out, skip in ((own.own.shown, ids_sha, 1), (own.own.words, text_sha, 0)):
+                    data, edge = table.joined(some)
+                    at = edge[own_bounds].tolist()
+                    out += [hashlib.sha256(data[min(a + skip, b) : b]).hexdigest() for a, b in zip(at, at[1:])]
+                lo = hi
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds), pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["__id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     return docs.select(f"`{id_col}`", f"`{text_col}`").mapInArrow(run, f"__id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("__id", id_col)

@@ -1,6 +1,6 @@
 """Best-fit packing of token sequences by hierarchical residual packing.
 
-Every partition packs its pieces best-fit, largest first. Bins that are nearly full are final; the
+Every partition packs its pieces where they are, best-fit, largest first. Bins that are nearly full are final; the
 others go on as items to a coarser level, where the bins of several groups meet and are packed
 again, and so on up a tree. A level has as many groups as keep each under GROUP items, and the
 tree ends when a level joins almost nothing more, so no task ever holds more than GROUP items.
@@ -8,7 +8,6 @@ tree ends when a level joins almost nothing more, so no task ever holds more tha
 
 from __future__ import annotations
 
-import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -22,11 +21,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, written
+from .words import AT_ONCE, Memory, flat, together, token_ids
 
-#: Words whose ids a worker remembers, beyond which it starts anew; bytes of text that are looked up at once.
-REMEMBERED, AT_ONCE = 1_000_000, 4_000_000
-#: A space between white space, or between white space and the end.
-_BLANKS = re.compile(r"\s \s|\s \Z")
 #: Most items that one task packs, and the share of them by which a level must shrink to be followed by another.
 GROUP, LEAST = 100_000, 0.002
 
@@ -89,163 +85,36 @@ def _word_ids(own, opens: np.ndarray, words: list[str], together: int = 200):
     yield from zip(alone, [array("I", e.ids).tobytes() for e in own.encode_batch_fast([" " + w for w in alone], add_special_tokens=False)])
 
 
-def _filled(out: np.ndarray, to: np.ndarray, ids: np.ndarray, begin: np.ndarray, length: np.ndarray) -> None:
-    """Copies runs ids[begin:begin + length] to out, each from its place in `to` on."""
-    before = np.cumsum(length) - length
-    nth = np.arange(int(length.sum()))
-    out[nth + np.repeat(to - before, length)] = ids[nth + np.repeat(begin - before, length)]
-
-
-class Runs:
-    """Ids of distinct strings, one run after another; found again by a hash join, without an object for each."""
-
-    def __init__(self):
-        self.keys, self.n = pa.array([], pa.large_string()), 0
-        self.ids, self.start = np.empty(1 << 16, np.uint32), np.zeros((1 << 16) + 1, np.int64)
-
-    def find(self, keys: pa.Array) -> np.ndarray:
-        """The place of each key, or -1."""
-        return pc.index_in(keys, value_set=self.keys).fill_null(-1).to_numpy().astype(np.int64)
-
-    def add(self, keys: pa.Array, ids: np.ndarray, length: np.ndarray) -> None:
-        end = self.start[self.n] + len(ids)
-        while end > len(self.ids):
-            self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
-        while self.n + len(length) >= len(self.start):
-            self.start = np.concatenate((self.start, np.zeros_like(self.start)))
-        self.ids[self.start[self.n] : end] = ids
-        self.start[self.n + 1 : self.n + 1 + len(length)] = self.start[self.n] + np.cumsum(length)
-        self.keys, self.n = pa.concat_arrays([self.keys, keys]), self.n + len(length)
-
-    def run(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Begin and length of the runs at some places."""
-        return self.start[place], self.start[place + 1] - self.start[place]
+class HubMemory(Memory):
+    """Words encoded by a tokenizer of the `tokenizers` library."""
 
+    def __init__(self, own):
+        self.own, self.opens = own, _opening(own)
+        super().__init__()
 
-class Memory:
-    """Ids of words after a space that a worker has met; at most REMEMBERED words, then it starts anew.
+    def whole(self, texts: list[str]) -> list:
+        return [e.ids for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
 
-    A word of letters and punctuation after them is two pre-tokens, so its letters are looked up,
-    and encoded, on their own.
-    """
+    def others(self, words: list[str]) -> list:
+        raw = dict(_word_ids(self.own, self.opens, words))
+        return [array("I", raw[w]) for w in words]
 
-    def __init__(self, own):
-        self.own, self.opens = own, _opening(own)
-        self.clear()
-
-    def clear(self) -> None:
-        self.words, self.letters, self.marks = Runs(), Runs(), Runs()
-
-    def _known(self, runs: Runs, keys: pa.Array, encode) -> np.ndarray:
-        """Places of distinct keys; those not met before are encoded."""
-        place = runs.find(keys)
-        new = np.flatnonzero(place < 0)
-        if len(new):
-            place[new] = runs.n + np.arange(len(new))
-            missing = keys.take(pa.array(new))
-            runs.add(missing, *encode(missing))
-        return place
-
-    def places(self, words: pa.Array) -> np.ndarray:
-        """Places in self.words of some distinct words."""
-        if self.words.n + len(words) > REMEMBERED:
-            self.clear()
-        return self._known(self.words, words, self._words)
-
-    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and their number for new words."""
-        parts = pc.extract_regex(words, _MARKED)
-        split, rest = (np.flatnonzero(f(parts).to_numpy(zero_copy_only=False)) for f in (pc.is_valid, pc.is_null))
-        length, plan = np.zeros(len(words), np.int64), []
-        for runs, name, encode in ((self.letters, "letters", self._letters), (self.marks, "marks", self._marks)):
-            keys = parts.field(name).take(pa.array(split)).cast(pa.large_string()).dictionary_encode()
-            begin, own = runs.run(self._known(runs, keys.dictionary, encode)[keys.indices.to_numpy()])
-            plan.append((split, length[split], runs, begin, own))
-            length[split] += own
-        others = words.take(pa.array(rest)).to_pylist()
-        raw = dict(_word_ids(self.own, self.opens, others))
-        found = [raw[w] for w in others]
-        length[rest] = [len(x) // 4 for x in found]
-        at = np.cumsum(length) - length
-        out = np.empty(int(length.sum()), np.uint32)
-        for rows, shift, runs, begin, own in plan:
-            _filled(out, at[rows] + shift, runs.ids, begin, own)
-        _filled(out, at[rest], np.frombuffer(b"".join(found), np.uint32), np.cumsum(length[rest]) - length[rest], length[rest])
-        return out, length
-
-    def _letters(self, keys: pa.Array, together: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    def letters(self, keys: pa.Array, together: int = 200) -> tuple[np.ndarray, np.ndarray]:
         """Words of letters are one pre-token each: they go to the merges in byte symbols, many at a time."""
         edges = [*range(0, len(keys), together), len(keys)]
         joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), keys), pa.scalar(" ", keys.type)).to_pylist()
         found = _plain(self.own).encode_batch_fast([(" " + t).encode().decode("latin-1").translate(_SYMBOLS) for t in joined], add_special_tokens=False)
-        ids = np.frombuffer(b"".join([array("I", e.ids).tobytes() for e in found]), np.uint32)
+        ids, _ = flat([e.ids for e in found])
         at = np.flatnonzero(self.opens[ids])
         if len(at) != len(keys):
             raise ValueError("the vocabulary has tokens with a space after their start")
         return ids, np.diff(at, append=len(ids))
 
-    def _marks(self, keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.own.encode_batch_fast(keys.to_pylist(), add_special_tokens=False)]
-        return np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int64)
-
-
-#: Letters of one pre-token in every version of Unicode, and punctuation after them that no contraction opens.
-_MARKED = "^(?P<letters>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)(?P<marks>[!-&(-/:-@\\[-`{-~]*)$"
-
 
 @lru_cache(1)
-def _memory(path: str) -> Memory:
+def _memory(path: str) -> HubMemory:
     """Once for each worker."""
-    return Memory(_tokenizer(path))
-
-
-def token_ids(texts: pa.Array, memory: Memory) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts, one after another, and where each text's start and the last ends.
-
-    A word after a space has the same ids wherever it stands, unless white space surrounds that
-    space; texts that have such a place, and the first word of each text, are encoded as they are.
-    """
-    texts = texts.fill_null("").cast(pa.large_string())
-    plain = texts.to_pylist()
-    whole = [_BLANKS.search(t) is not None for t in plain]
-    split = pc.split_pattern(pc.if_else(pa.array(whole), pa.scalar("", pa.large_string()), texts), " ")
-    offsets = split.offsets.to_numpy().astype(np.int64)
-    words = split.values.slice(offsets[0], offsets[-1] - offsets[0])
-    offsets = offsets - offsets[0]
-    heads = words.take(pa.array(offsets[:-1])).to_pylist()
-    heads = [array("I", e.ids) for e in memory.own.encode_batch_fast([t if w else h for t, w, h in zip(plain, whole, heads)], add_special_tokens=False)]
-    first = np.zeros(len(words), bool)
-    first[offsets[:-1]] = True
-    words = words.dictionary_encode()
-    later = np.flatnonzero(~first)
-    code = words.indices.to_numpy()[later]
-    used = np.zeros(len(words.dictionary), bool)  # not all: some are first words only
-    used[code] = True
-    place = memory.places(words.dictionary.filter(pa.array(used)))[(np.cumsum(used) - 1)[code]]
-    begin, n = memory.words.run(place)
-    length = np.empty(len(first), np.int64)
-    length[later], length[first] = n, [len(h) for h in heads]
-    edge = np.concatenate(([0], np.cumsum(length)))
-    out = np.empty(edge[-1], np.uint32)
-    _filled(out, edge[later], memory.words.ids, begin, n)
-    n = length[first]
-    _filled(out, edge[offsets[:-1]], np.frombuffer(b"".join(h.tobytes() for h in heads), np.uint32), np.cumsum(n) - n, n)
-    return out, edge[offsets]
-
-
-def _together(batches, size: int):
-    """Record batches, several made one until the texts in their second column have `size` bytes."""
-    held, total = [], 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        total += batch.column(1).nbytes
-        if total >= size:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, total = [], 0
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    return HubMemory(_tokenizer(path))
 
 
 def pieces(docs: DataFrame, capacity: int, end_id: int, vocabulary: str | None, id_col: str, text_col: str) -> DataFrame:
@@ -259,7 +128,7 @@ def pieces(docs: DataFrame, capacity: int, end_id: int, vocabulary: str | None,
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         memory = _memory(vocabulary or public.path("byte_bpe_50k.json"))
-        for batch in _together(batches, AT_ONCE):
+        for batch in together(batches, AT_ONCE):
             ids, bounds = token_ids(batch.column(1), memory)
             bounds = bounds + np.arange(len(bounds))  # with an end each
             ids = np.insert(ids, bounds[1:] - np.arange(1, len(bounds)), np.uint32(end_id)).astype("<u4")
@@ -302,27 +171,45 @@ def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def _level(items: DataFrame, groups: int, capacity: int, level: int) -> DataFrame:
-    """items (item, size) with their bin at this level and its fill."""
+def _packed(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
+    """Items (item, size) with their bin, named by its largest item, and its fill."""
+    pdf = pdf.sort_values(["size", "item"], ascending=[False, True])
+    nth = best_fit(pdf["size"].to_numpy(), capacity)
+    first = pdf["item"].to_numpy()[np.unique(nth, return_index=True)[1]]
+    fill = np.bincount(nth, weights=pdf["size"]).astype(np.int64)
+    return pd.DataFrame({"item": pdf["item"], "size": pdf["size"], "bin": first[nth], "fill": fill[nth]})
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "item"], ascending=[False, True])
-        nth = best_fit(pdf["size"].to_numpy(), capacity)
-        first = pdf["item"].to_numpy()[np.unique(nth, return_index=True)[1]]
-        fill = np.bincount(nth, weights=pdf["size"]).astype(np.int64)
-        return pd.DataFrame({"item": pdf["item"], "size": pdf["size"], "bin": first[nth], "fill": fill[nth]})
 
+def _local(items: DataFrame, capacity: int) -> DataFrame:
+    """The first level: items are packed where they are, GROUP / 8 at a time, without a shuffle."""
+
+    def run(batches):
+        held, n = [], 0
+        for pdf in batches:
+            held.append(pdf)
+            n += len(pdf)
+            if n >= GROUP // 8:
+                yield _packed(pd.concat(held), capacity)
+                held, n = [], 0
+        if n:
+            yield _packed(pd.concat(held), capacity)
+
+    return items.mapInPandas(run, "item long, size long, bin long, fill long")
+
+
+def _level(items: DataFrame, groups: int, capacity: int, level: int) -> DataFrame:
+    """A further level: the bins of several groups meet."""
     group = F.pmod(F.xxhash64("item", F.lit(level)), F.lit(groups))
-    return items.groupBy(group.alias("g")).applyInPandas(run, "item long, size long, bin long, fill long")
+    return items.groupBy(group.alias("g")).applyInPandas(lambda pdf: _packed(pdf, capacity), "item long, size long, bin long, fill long")
 
 
-def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", slack: int = 0) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", slack: int = 1) -> DataFrame:
     """One row for each piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null or empty text is the end id alone. Only documents over the capacity are cut; their first
     piece may be shorter. Repeated rows are packed each on its own, also with equal or null ids. A
-    bin with at most `slack` tokens of room is final. An empty table gives an empty result; other
-    columns of docs are not read.
+    bin with at most `slack` tokens of room is final. Texts of any length are read whole. An empty
+    table gives an empty result; other columns of docs are not read.
     """
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
@@ -332,8 +219,8 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabulary: str
     n, final, chain = live.count(), [], live.select(F.col("item").alias("leaf"), "item")
     level = 0
     while n > 0:
-        groups = max(1, -(-n // GROUP)) if level else max(1, -(-n // (GROUP // 8)))
-        packed = written(_level(live, groups, capacity, level), "bins")
+        groups = max(1, -(-n // GROUP)) if level else 0
+        packed = written(_level(live, groups, capacity, level) if level else _local(live, capacity), "bins")
         chain = written(chain.join(packed.select("item", "bin", "fill"), "item").select("leaf", F.col("bin").alias("item"), "fill"), "chain")
         done = F.col("fill") >= capacity - slack
         bins = packed.select(F.col("bin").alias("item"), F.col("fill").alias("size")).distinct()
