@@ -3,7 +3,9 @@
 Texts are cut into overlapping pieces so that every window of `width` bytes lies in one piece: a
 piece holds consecutive windows that share a minimiser (the smallest hash of the short strings in
 a window). Equal windows have equal minimisers, so pieces are dealt by them, and only minimisers
-that several documents have are dealt at all. The distinct pieces of a deal become the documents of
+that several documents have are dealt at all. Minimisers that very many documents have, found in a
+sample, are dealt in parts: parts send their distinct pieces, each under its smallest document, to
+one construction, and get the answers for their pieces back. The distinct pieces of a deal become the documents of
 a collection, whose suffix array is built in rounds: a round inserts the next symbol from the right
 of every piece into its pile of the Burrows-Wheeler transform, and updates the common prefixes of
 neighbours. A round reads the columns of the round before once, in order and block by block, with
@@ -26,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buffers import BASE, BYTE, INVERSE, mixed, powers, spans, whole_groups
+from .buffers import BASE, BYTE, INVERSE, mixed, powers, spans, starts_of, whole_groups
 from .common import attach, drop_path, shared_dir, small_batches, written
 
 #: Bytes of the strings that minimisers are chosen from, most windows in a piece, bytes of text a deal.
@@ -35,6 +37,8 @@ SHORT, WINDOWS, DEAL = 24, 64, 5_000_000
 BLOCK, COLLECTION, IN_MEMORY = 1 << 18, 200_000, 8_000_000
 #: Bytes of text that minimisers are taken from at once, values that a task holds before it sends them on.
 SPAN, HELD = 64_000, 2_000_000
+#: One of so many documents is looked at for minimisers of very many documents; pieces that make one of those; parts that they are dealt in.
+SAMPLED, HOT, PARTS = 64, 200_000, 256
 
 
 class Column:
@@ -281,8 +285,33 @@ def _buckets(batches, columns: int) -> Iterator[np.ndarray]:
             yield np.concatenate([_unpacked(x, np.int64).reshape(columns, -1) for x in table.column("values").slice(a, b - a).to_pylist()], 1)
 
 
-def _seen(docs: DataFrame, width: int, deals: int) -> DataFrame:
-    """(deal, keys, ids): minimisers of pieces and their documents, packed."""
+def _hot(docs: DataFrame, width: int, total: int) -> np.ndarray:
+    """Minimisers of some HOT pieces or more, by a sample of documents, sorted; whatever the sample says changes no result.
+
+    The least number grows with the bytes of all texts, so there are some 10,000 at most.
+    """
+
+    def run(batches):
+        for batch in batches:
+            keys = np.concatenate([pieces_of(data, offsets, width)[1] for _, _, data, offsets in spans(batch.column("text"), SPAN)])
+            key, n = np.unique(keys, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n, pa.int64())], names=["key", "n"])
+
+    some = docs.where(F.pmod(F.xxhash64("id", F.lit(31)), F.lit(SAMPLED)) == 0).select("text").mapInArrow(_nonempty(run), "key long, n long")
+    least = max(HOT, total // 100_000)
+    found = some.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") * SAMPLED >= least).select("key").toArrow()
+    return np.sort(found["key"].to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _within(key: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+    """Whether each key is among sorted ones."""
+    if not len(sorted_):
+        return np.zeros(len(key), bool)
+    return sorted_[np.minimum(np.searchsorted(sorted_, key), len(sorted_) - 1)] == key
+
+
+def _seen(docs: DataFrame, width: int, deals: int, hot: np.ndarray) -> DataFrame:
+    """(deal, keys, ids): minimisers of pieces that are not hot and their documents, packed."""
 
     def run(batches):
         for batch in batches:
@@ -291,6 +320,8 @@ def _seen(docs: DataFrame, width: int, deals: int) -> DataFrame:
                 row, key, _, _ = pieces_of(data, offsets, width)
                 keys.append(key), docs.append(ids[lo + row])
             key, doc = np.concatenate(keys), np.concatenate(docs)
+            cold = ~_within(key, hot)
+            key, doc = key[cold], doc[cold]
             order, parts = _by((key % np.uint64(deals)).astype(np.int64))
             key, doc = key[order], doc[order]
             yield _batch("deal keys ids", [pa.int64(), pa.binary(), pa.binary()], [(b, key[x:y].tobytes(), _packed(doc[x:y])) for b, x, y in parts])
@@ -334,20 +365,24 @@ def _deals(batches, columns: list[str]):
             yield {c: table.column(c).slice(a, b - a).to_pylist() for c in columns}
 
 
-PACKED = "deal long, ids binary, digests binary, keys binary, which binary, starts binary, counts binary, bytes binary"
+PACKED = "deal long, part int, ids binary, digests binary, keys binary, which binary, starts binary, counts binary, bytes binary"
+
 
+def _pieces(docs: DataFrame, width: int, deals: int, hot: np.ndarray | None = None) -> DataFrame:
+    """The pieces of docs (id, digest, text, keys) whose minimisers are among the row's keys, packed, in part 0.
 
-def _pieces(docs: DataFrame, width: int, deals: int) -> DataFrame:
-    """The pieces of docs (id, digest, text, keys) whose minimisers are among the row's keys, packed."""
+    With `hot`, those whose minimisers are among these: a deal for each, in PARTS parts by documents.
+    """
 
     def run(batches):
         for batch in batches:
             ids, digests = batch.column("id").to_numpy(), batch.column("digest").to_numpy()
-            wanted, found = batch.column("keys").to_pylist(), []
+            wanted, found = batch.column("keys").to_pylist() if hot is None else [], []
+            part = 0 if hot is None else int(mixed(ids[:1].astype(np.int64).view(np.uint64).copy())[0] % np.uint64(PARTS))
             for lo, hi, data, offsets in spans(batch.column("text"), SPAN):
                 row, key, start, count = pieces_of(data, offsets, width)
                 edges = np.searchsorted(row, np.arange(hi - lo + 1))
-                keep = np.concatenate([np.isin(key[a:b], np.frombuffer(w, np.uint64)) for a, b, w in zip(edges, edges[1:], wanted[lo:hi])])
+                keep = np.concatenate([np.isin(key[a:b], np.frombuffer(w, np.uint64)) for a, b, w in zip(edges, edges[1:], wanted[lo:hi])]) if hot is None else _within(key, hot)
                 row, key, start, count = row[keep], key[keep], start[keep], count[keep]
                 length = count + width - 1
                 inside = np.arange(length.sum()) + np.repeat(start - np.cumsum(length) + length, length)
@@ -355,37 +390,30 @@ def _pieces(docs: DataFrame, width: int, deals: int) -> DataFrame:
             row, key, start, count, data = (np.concatenate(x) for x in zip(*found))
             length = count + width - 1
             begin = np.cumsum(length) - length
-            order, parts = _by((key % np.uint64(deals)).astype(np.int64))
+            order, parts = _by((key % np.uint64(deals) if hot is None else np.searchsorted(hot, key)).astype(np.int64))
             rows = []
             for b, x, y in parts:
                 at = order[x:y]
                 there, which = np.unique(row[at], return_inverse=True)
                 inside = np.arange(length[at].sum()) + np.repeat(begin[at] - np.cumsum(length[at]) + length[at], length[at])
-                rows.append((b, *map(_packed, (ids[there], digests[there], (key[at] >> np.uint64(32)).astype(np.uint32), which.astype(np.int32), start[at], count[at].astype(np.int32), data[inside]))))
-            yield _batch(PACKED.replace(" long,", "").replace(" binary", "").replace(",", ""), [pa.int64(), *[pa.binary()] * 7], rows)
+                rows.append((b, part, *map(_packed, (ids[there], digests[there], (key[at] >> np.uint64(32)).astype(np.uint32), which.astype(np.int32), start[at], count[at].astype(np.int32), data[inside]))))
+            yield _batch(" ".join(f.split()[0] for f in PACKED.split(", ")), [pa.int64(), pa.int32(), *[pa.binary()] * 7], rows)
 
-    return docs.select("id", "digest", "text", "keys").mapInArrow(_nonempty(run), PACKED)
+    return docs.select("id", "digest", "text", *(["keys"] if hot is None else [])).mapInArrow(_nonempty(run), PACKED)
 
 
-def _firsts(raw: bytes, edge: np.ndarray, doc: np.ndarray, group: np.ndarray, width: int, folder: str) -> tuple[np.ndarray, np.ndarray]:
-    """The smallest document of every window of the pieces raw[edge[i]:edge[i + 1]] of documents, one after another, and where a piece's windows start.
+def _firsts(pieces: list[bytes], least: np.ndarray, group: np.ndarray, width: int, folder: str) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest document of every window of distinct pieces, one after another, and where a piece's windows start.
 
-    Equal pieces are built in once, under their smallest document. Equal windows are in one group
-    of pieces. Groups of one distinct piece need no suffix array.
+    A piece has its smallest document and a group; equal windows are in one group. Groups of one
+    piece need no suffix array.
     """
-    names: dict[bytes, int] = {}
-    nth = np.array([names.setdefault(raw[a:b], len(names)) for a, b in zip(edge.tolist(), edge[1:].tolist())], np.int64)
-    least = np.full(len(names), np.iinfo(np.int64).max)
-    np.minimum.at(least, nth, doc)
-    own = np.empty(len(names), group.dtype)
-    own[nth] = group
-    pieces = list(names)
     lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
     windows = lengths - width + 1
     base = np.cumsum(windows) - windows
     out = np.repeat(least, windows)
-    order = np.argsort(own, kind="stable")
-    edges = _runs(own[order])
+    order = np.argsort(group, kind="stable")
+    edges = _runs(group[order])
     several = np.flatnonzero(np.diff(edges) > 1)
     start = 0
     bytes_of = np.add.reduceat(lengths[order], edges[:-1])[several] if len(order) else several
@@ -398,31 +426,115 @@ def _firsts(raw: bytes, edge: np.ndarray, doc: np.ndarray, group: np.ndarray, wi
         begin = np.flatnonzero(np.concatenate(([True], prefix[1:] < width)))
         out[base[who] + lengths[who] - size] = np.repeat(np.minimum.reduceat(least[who], begin), np.diff(np.append(begin, len(who))))
         start = end
-    return out, base[nth]
+    return out, base
+
+
+class Occurrences:
+    """The pieces of one deal, or of a part of one, from its packed rows."""
+
+    def __init__(self, t: dict, width: int):
+        read = lambda c, kind: [_unpacked(x, kind) for x in t[c]]
+        which = read("which", np.int32)
+        self.doc, self.of = (np.concatenate([d[w] for d, w in zip(read(c, np.int64), which)]) for c in ("ids", "digests"))
+        self.start, self.count = np.concatenate(read("starts", np.int64)), np.concatenate(read("counts", np.int32)).astype(np.int64)
+        self.key = np.concatenate(read("keys", np.uint32))
+        self.raw = b"".join(zstandard.decompress(x) for x in t["bytes"])
+        self.edge = np.concatenate(([0], np.cumsum(self.count + width - 1)))
+        self.width = width
+
+    def distinct(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The distinct pieces, the number of each piece among them, and the smallest document of each."""
+        names: dict[bytes, int] = {}
+        nth = np.array([names.setdefault(self.raw[a:b], len(names)) for a, b in zip(self.edge.tolist(), self.edge[1:].tolist())], np.int64)
+        least = np.full(len(names), np.iinfo(np.int64).max)
+        np.minimum.at(least, nth, self.doc)
+        return list(names), nth, least
+
+    def cuts(self, first: np.ndarray, base: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(doc, of, start, end) of what goes: `first` has the smallest documents of windows, from base on for each piece."""
+        inside = np.arange(self.count.sum()) - np.repeat(np.cumsum(self.count) - self.count, self.count)
+        hit = first[np.repeat(base, self.count) + inside] < np.repeat(self.doc, self.count)
+        which = np.repeat(np.arange(len(self.count)), self.count)[hit]
+        s = self.start[which] + inside[hit]
+        if not len(s):
+            return
+        fresh = np.concatenate(([True], (which[1:] != which[:-1]) | (s[1:] > s[:-1] + self.width)))
+        ends = s[np.append(np.flatnonzero(fresh)[1:], len(s)) - 1] + self.width
+        which = which[fresh]
+        yield self.doc[which], self.of[which], s[fresh], ends
 
 
-def _cuts(packed: DataFrame, width: int, buckets: int, folder: str) -> DataFrame:
-    """(doc, of, cuts): byte ranges to remove from a document, packed pairs of start and end."""
+COLUMNS = ["ids", "digests", "keys", "which", "starts", "counts", "bytes"]
+
+
+def _found(packed: DataFrame, width: int, buckets: int, folder: str) -> DataFrame:
+    """(bucket, values): cuts of the deals, packed by documents."""
 
     def found(batches):
-        for t in _deals(batches, ["ids", "digests", "keys", "which", "starts", "counts", "bytes"]):
-            read = lambda c, kind: [_unpacked(x, kind) for x in t[c]]
-            which = read("which", np.int32)
-            doc, of = (np.concatenate([d[w] for d, w in zip(read(c, np.int64), which)]) for c in ("ids", "digests"))
-            start, count = np.concatenate(read("starts", np.int64)), np.concatenate(read("counts", np.int32)).astype(np.int64)
-            edge = np.concatenate(([0], np.cumsum(count + width - 1)))
-            raw = b"".join(zstandard.decompress(x) for x in t["bytes"])
-            first, base = _firsts(raw, edge, doc, np.concatenate(read("keys", np.uint32)), width, folder)
-            inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            hit = first[np.repeat(base, count) + inside] < np.repeat(doc, count)
-            which = np.repeat(np.arange(len(count)), count)[hit]
-            s = start[which] + inside[hit]
-            if not len(s):
-                continue
-            fresh = np.concatenate(([True], (which[1:] != which[:-1]) | (s[1:] > s[:-1] + width)))
-            ends = s[np.append(np.flatnonzero(fresh)[1:], len(s)) - 1] + width
-            which = which[fresh]
-            yield doc[which], of[which], s[fresh], ends
+        for t in _deals(batches, COLUMNS):
+            own = Occurrences(t, width)
+            pieces, nth, least = own.distinct()
+            group = np.empty(len(pieces), np.uint32)
+            group[nth] = own.key
+            first, base = _firsts(pieces, least, group, width, folder)
+            yield from own.cuts(first, base[nth])
+
+    return packed.repartition("deal").sortWithinPartitions("deal").mapInArrow(lambda batches: _sent(found(batches), buckets), "bucket long, values binary")
+
+
+def _found_in_parts(packed: DataFrame, width: int, buckets: int, folder: str) -> DataFrame:
+    """_found() for deals of any size: no task has more than a part's occurrences, or a deal's distinct pieces."""
+    keys = ["deal", "part"]
+
+    def parts(batches):
+        for table in whole_groups(batches, keys):
+            at = starts_of(table, keys)
+            for a, b in zip(at, at[1:]):
+                yield table.slice(a, 1), {c: table.column(c).slice(a, b - a).to_pylist() for c in table.column_names}
+
+    def gathered(batches):
+        for row, t in parts(batches):
+            pieces, _, least = Occurrences(t, width).distinct()
+            yield pa.RecordBatch.from_arrays([row.column(k).combine_chunks() for k in keys] + [pa.array([pieces], pa.list_(pa.binary())), pa.array([least], pa.list_(pa.int64()))], names=[*keys, "pieces", "least"])
+
+    def answered(batches):
+        for table in whole_groups(batches, ["deal"]):
+            at = starts_of(table, ["deal"])
+            for a, b in zip(at, at[1:]):
+                deal, lists, leasts = (table.column(c).slice(a, b - a).to_pylist() for c in ("part", "pieces", "least"))
+                every = {}
+                for pieces, least in zip(lists, leasts):
+                    for piece, doc in zip(pieces, least):
+                        every[piece] = min(doc, every.get(piece, doc))
+                all_ = list(every)
+                first, base = _firsts(all_, np.array([every[x] for x in all_]), np.zeros(len(all_), np.uint32), width, folder)
+                at_of = {x: (i, i + len(x) - width + 1) for x, i in zip(all_, base.tolist())}
+                for part, pieces in zip(deal, lists):
+                    values = [first[slice(*at_of[x])].tobytes() for x in pieces]
+                    yield pa.RecordBatch.from_arrays([table.column("deal").slice(a, 1).combine_chunks(), pa.array([part], pa.int32()), pa.array([pieces], pa.list_(pa.binary())), pa.array([values], pa.list_(pa.binary()))], names=[*keys, "pieces", "firsts"])
+
+    forms = written(packed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(gathered, "deal long, part int, pieces array<binary>, least array<long>"), "forms")
+    answers = forms.repartition("deal").sortWithinPartitions("deal").mapInArrow(answered, "deal long, part int, pieces array<binary>, firsts array<binary>")
+    none = F.lit(None).cast("binary")
+    both = packed.select("*", F.lit(None).cast("array<binary>").alias("pieces"), F.lit(None).cast("array<binary>").alias("firsts"))
+    both = both.unionByName(answers.select(*keys, *[none.alias(c) for c in COLUMNS], "pieces", "firsts"))
+
+    def found(batches):
+        for _, t in parts(batches):
+            rows = [i for i, p in enumerate(t["pieces"]) if p is None]
+            answer = next(i for i, p in enumerate(t["pieces"]) if p is not None)
+            own = Occurrences({c: [t[c][i] for i in rows] for c in COLUMNS}, width)
+            pieces, nth, _ = own.distinct()
+            known = dict(zip(t["pieces"][answer], t["firsts"][answer]))
+            lists = [np.frombuffer(known[x], np.int64) for x in pieces]
+            base = np.cumsum([0, *map(len, lists)])[:-1]
+            yield from own.cuts(np.concatenate(lists), base[nth])
+
+    return both.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda batches: _sent(found(batches), buckets), "bucket long, values binary")
+
+
+def _cuts(found: DataFrame) -> DataFrame:
+    """(doc, of, cuts): byte ranges to remove from a document, packed pairs of start and end."""
 
     def run(batches):
         for columns in _buckets(batches, 4):
@@ -431,8 +543,7 @@ def _cuts(packed: DataFrame, width: int, buckets: int, folder: str) -> DataFrame
             cuts = [_merged(start[a:b], end[a:b]).tobytes() for a, b in zip(edges, edges[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(doc[edges[:-1]]), pa.array(of[edges[:-1]]), pa.array(cuts, pa.binary())], names=["doc", "of", "cuts"])
 
-    cuts = packed.repartition("deal").sortWithinPartitions("deal").mapInArrow(lambda batches: _sent(found(batches), buckets), "bucket long, values binary")
-    return cuts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc long, of long, cuts binary")
+    return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc long, of long, cuts binary")
 
 
 def _merged(start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -465,10 +576,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     deals = max(1, -(-total // DEAL))
     alone = docs.where(F.col("id").isNotNull() & (F.octet_length("text") >= width)).withColumn("digest", F.xxhash64("text"))
     alone = attach(alone.withColumn("k", F.struct("id", "digest")), copies.select(F.struct(F.col("c").alias("id"), F.col("cd").alias("digest")).alias("ck")), "k", "ck").where("ck IS NULL").select("id", "digest", "text")
-    again = written(_repeated(_seen(alone, width, deals), deals), "keys")
+    hot = _hot(alone, width, total)
+    again = written(_repeated(_seen(alone, width, deals, hot), deals), "keys")
     folder = f"{shared_dir(spark)}/lodestar-columns-{uuid.uuid4().hex}"
-    packed = _pieces(attach(alone, again, "id", "doc").where("doc IS NOT NULL"), width, deals)
-    cuts = written(_cuts(packed, width, deals, folder), "cuts")
+    found = _found(_pieces(attach(alone, again, "id", "doc").where("doc IS NOT NULL"), width, deals), width, deals, folder)
+    if len(hot):
+        found = found.union(_found_in_parts(written(_pieces(alone, width, deals, hot), "hot"), width, deals, folder))
+    cuts = written(_cuts(found), "cuts")
     drop_path(spark, folder)
     cuts = cuts.select(F.struct(F.col("doc").alias("id"), F.col("of").alias("digest")).alias("ck"), "cuts")
 

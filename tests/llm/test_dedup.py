@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestar.llm import embed_dedup, exact_dedup, minhash, suffix_dedup
 from lodestar.llm.common import components
@@ -90,6 +91,25 @@ def test_passages_of_odd_rows(spark):
     assert seen == sorted([(0, len(p), 0)] * 2 + [(1, len(p) + 2, 0)] * 2 + [(2, len(p) + 4, len(p))] * 2 + [(3, len(q), 0), (3, len(q) + 1, 0), (4, 0, 0), (4, len(q) + 1, len(q))])
 
 
+def test_passages_of_hot_minimisers(spark, sf, monkeypatch):
+    """Minimisers that many documents have are dealt in parts."""
+    monkeypatch.setattr(suffix_dedup, "SAMPLED", 1)
+    monkeypatch.setattr(suffix_dedup, "HOT", 12)
+    monkeypatch.setattr(suffix_dedup, "PARTS", 5)
+    rng = random.Random(21)
+    common = "".join(rng.choice("abcdefgh ") for _ in range(150))
+    rows = []
+    for i in range(300):
+        a, b = sorted(rng.sample(range(151), 2))
+        rows.append((i, "".join(rng.choice("ijkl ") for _ in range(rng.randint(0, 40))) + common[a:b] + "".join(rng.choice("mnop ") for _ in range(rng.randint(0, 40)))))
+    rows += [(1000 + r["doc_id"], r["text"]) for r in supplied(spark, sf).limit(100).collect()]
+    df = frame(spark, rows).repartition(9)
+    docs = df.select(F.col("doc_id").alias("id"), "text")
+    assert len(suffix_dedup._hot(docs, 50, 0)) > 3
+    got = {r["doc_id"]: tuple(r)[1:5] for r in suffix_dedup.repeated_passages(df).collect()}
+    assert got == passages_brute(rows)
+
+
 def test_passages_through_files(spark, monkeypatch):
     """Columns beyond memory are files of the shared folder; results are the same and nothing is left there."""
     import glob
