@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once, unless one text alone has more.
-AT_ONCE = 2_000_000
+AT_ONCE = 500_000
 
 
 def spans(column: pa.Array, limit: int = AT_ONCE):

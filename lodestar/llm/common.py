@@ -2,53 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import drop_path, shared_dir, ship  # noqa: F401  operators take them from here
+from ..session import drop_saved as drop_written
+from ..session import saved as written
 
 #: The letters that the contracts fold, and no others.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests), a folder of our own is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="lodestar-")
-        atexit.register(shutil.rmtree, at, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a table in the shared folder, read again: cuts lineage and survives a lost executor."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/lodestar-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
-
-
-def drop_written(df: DataFrame) -> None:
-    """Delete the table behind a frame that written() returned and that is not needed again."""
-    spark = df.sparkSession
-    at = df.inputFiles()
-    if at and "/lodestar-" in at[0]:
-        drop_path(spark, at[0].rsplit("/", 1)[0])
-
-
-def drop_path(spark: SparkSession, at: str) -> None:
-    """Delete a folder, if there is one, on whatever store it is."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Arrow batches of so many rows, for whole long texts in bounded memory, in workers that know this package."""
     ship(spark)
@@ -66,7 +31,7 @@ def folded(text):
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of edges (a, b): the smallest node reachable.
 
     Alternating large-star and small-star rounds, each written to the shared folder, until every
@@ -76,7 +41,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = written(e, "cc")
-    for _ in range(rounds):
+    while True:
         # settled: nobody has two roots, or a root and followers
         roles = e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("v", F.lit(0), F.lit(1)))
         if roles.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)").isEmpty():
@@ -92,8 +57,6 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         nxt = written(pairs.where("u <> v").distinct(), "cc")
         drop_written(e)
         e = nxt
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
