@@ -30,6 +30,13 @@ def allowed(url, domains: list[str]) -> Column:
     return out
 
 
+def longest_window(sources, topics=None) -> Column:
+    """The longest time that any of an array of sources lets a page stand; that of an unknown source without any."""
+    each = F.transform(col(sources), lambda s: decay_days(s, topics) if topics is not None else decay_days(s))
+    none = decay_days(F.lit(""), topics) if topics is not None else decay_days(F.lit(""))
+    return F.coalesce(F.array_max(each), none)
+
+
 def volatility(topics) -> Column:
     """The largest factor of a topic named in the first 4096 characters."""
     s, out = F.substring(col(topics), 1, 4096), F.lit(1.0)

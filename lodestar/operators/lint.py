@@ -45,6 +45,16 @@ def page_id_fault(page: Column) -> Column:
     return F.when(page.rlike(r"[\x00-\x1f\x7f]"), "control characters").when(F.trim(page) == "", "empty").when(F.char_length(page) > 200, "too long").when(F.contains(page, F.lit("..")), "climbs").when(page.rlike(r"^([/\\]|[A-Za-z]:)"), "absolute").when(reserved, "reserved")
 
 
+def feedback_fault(rating: Column, question: Column, notes: Column) -> Column:
+    """Why a rating is refused, or null."""
+    return F.when(~F.coalesce(rating.isin("useful", "wrong", "incomplete"), F.lit(False)), "unknown rating").when(F.trim(F.coalesce(question, F.lit(""))) == "", "no question").when(F.char_length(question) > 2000, "question too long").when(F.char_length(notes) > 2000, "notes too long")
+
+
+def run_id_fault(run: Column) -> Column:
+    """Why the id of a run is refused, or null."""
+    return F.when(~F.coalesce(run.rlike(r"\A[0-9a-f]{8}\z"), F.lit(False)), "not eight hexadecimal digits")
+
+
 def dead_links(links: DataFrame, pages: DataFrame) -> DataFrame:
     """Links whose exact target is no page and no root file; repeated links stay."""
     live = links.where(~F.col("target").isin(ROOT_FILES))

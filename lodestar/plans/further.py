@@ -32,10 +32,11 @@ def t33(spark, sf):
     return over_documents(spark, sf, digest=F.sha2(text.fenced_off(F.concat(F.lit("</source> ```x"), F.col("t"))), 256))
 
 
-@query("d3_longest_window", f"WITH {PAGES} SELECT source, max(CASE WHEN n % 2 = 0 THEN 1095 ELSE 90 END) AS days FROM pages_ GROUP BY 1")
+@query("d3_longest_window", f"WITH {PAGES} SELECT id, CASE WHEN n % 2 = 0 THEN 1095 WHEN n % 3 = 0 THEN 180 ELSE 90 END AS days FROM pages_")
 def d3(spark, sf):
-    ref = F.when(F.col("n") % 2 == 0, "https://arxiv.org/x").otherwise(F.col("source"))
-    return pages(spark, sf).groupBy("source").agg(F.max(dates.decay_days(ref)).alias("days"))
+    """Over the sources of each page."""
+    refs = F.array(F.col("source"), F.when(F.col("n") % 2 == 0, "https://arxiv.org/x").otherwise(F.col("source")), F.when(F.col("n") % 3 == 0, "https://github.com/a/b").otherwise(""))
+    return pages(spark, sf).select("id", dates.longest_window(refs).alias("days"))
 
 
 @query("d4_dates", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE strftime(ts, '%Y-%m-%d') END AS day FROM events")
@@ -44,21 +45,25 @@ def d4(spark, sf):
     return events(spark, sf).select("event_id", F.date_format(F.try_to_date(shown), "yyyy-MM-dd").alias("day"))
 
 
-@query("d8_idf", "SELECT l_shipmode_n AS df, round(ln((1000 - l_shipmode_n + 0.5) / (l_shipmode_n + 0.5) + 1), 6)::DOUBLE AS idf FROM (SELECT DISTINCT l_linenumber AS l_shipmode_n FROM lineitem)")
+@query("d8_idf", "SELECT l_partkey, round(ln((n - df + 0.5) / (df + 0.5) + 1), 6)::DOUBLE AS idf FROM (SELECT l_partkey, count(*) AS df FROM lineitem GROUP BY 1), (SELECT count(*) AS n FROM lineitem)")
 def d8(spark, sf):
-    return table(spark, sf, "lineitem").select(F.col("l_linenumber").alias("df")).distinct().select("df", F.round(dates.idf(F.lit(1000), "df"), 6).alias("idf"))
+    """How rare every part is among the items of all orders."""
+    lines = table(spark, sf, "lineitem")
+    total = F.broadcast(lines.agg(F.count("*").alias("n")))  # one row
+    return lines.groupBy("l_partkey").agg(F.count("*").alias("df")).join(total).select("l_partkey", F.round(dates.idf("n", "df"), 6).alias("idf"))
 
 
-@query("p3_slug_faults", f"WITH {PAGES} SELECT id, regexp_matches(id, '^[a-z]+/doc-[0-9]*[02468]$') AS fine FROM pages_")
+@query("p3_slug_faults", f"WITH {PAGES} SELECT id, CASE n % 4 WHEN 0 THEN 'climbs' WHEN 1 THEN 'reserved' WHEN 2 THEN 'control characters' END AS reason FROM pages_")
 def p3(spark, sf):
-    given = F.when(F.col("n") % 2 == 0, F.col("id")).otherwise(F.concat(F.lit("../"), F.col("id")))
-    return pages(spark, sf).select("id", lint.page_id_fault(given).isNull().alias("fine"))
+    given = F.expr("CASE n % 4 WHEN 0 THEN concat('../', id) WHEN 1 THEN concat(id, '/con.md') WHEN 2 THEN concat(id, chr(7)) ELSE id END")
+    return pages(spark, sf).select("id", lint.page_id_fault(given).alias("reason"))
 
 
-@query("p4_feedback_faults", f"WITH {FEEDBACK} SELECT entry, rating IN ('useful', 'wrong') AND length(question) < 2000 AS fine FROM feedback_")
+@query("p4_feedback_faults", f"WITH {FEEDBACK} SELECT entry, CASE WHEN rating = 'incomplete' THEN 'unknown rating' WHEN entry % 10 = 0 THEN 'no question' WHEN entry % 10 = 1 THEN 'question too long' WHEN length(notes) > 2000 THEN 'notes too long' END AS reason FROM feedback_")
 def p4(spark, sf):
-    given = feedback(spark, sf).withColumn("rating", F.when(F.col("rating") == "incomplete", "fair").otherwise(F.col("rating")))
-    return given.select("entry", (F.col("rating").isin("useful", "wrong", "incomplete") & (F.char_length("question") < 2000)).alias("fine"))
+    rating = F.when(F.col("rating") == "incomplete", "fair").otherwise(F.col("rating"))
+    question = F.expr("CASE entry % 10 WHEN 0 THEN ' ' WHEN 1 THEN repeat('q', 2001) ELSE question END")
+    return feedback(spark, sf).select("entry", lint.feedback_fault(rating, question, F.col("notes")).alias("reason"))
 
 
 @query("p8_extractions", "SELECT event_id, props LIKE '{%' AS typed FROM events WHERE props IS NOT NULL")
@@ -74,8 +79,8 @@ def p10(spark, sf):
 
 @query("p11_run_ids", "SELECT event_id, event_id % 2 = 0 AS fine FROM events")
 def p11(spark, sf):
-    given = F.when(F.col("event_id") % 2 == 0, F.substring(F.sha2(F.col("event_id").cast("string"), 256), 1, 8)).otherwise("../x")
-    return table(spark, sf, "events").select("event_id", given.rlike(r"^[0-9a-f]{8}$").alias("fine"))
+    given = F.when(F.col("event_id") % 2 == 0, F.substring(F.sha2(F.col("event_id").cast("string"), 256), 1, 8)).otherwise(F.concat(F.lit("../"), F.col("event_id").cast("string")))
+    return table(spark, sf, "events").select("event_id", lint.run_id_fault(given).isNull().alias("fine"))
 
 
 @query("j3_broken_by_page", f"WITH {LINKS} SELECT src, count(*) AS broken FROM links_ WHERE target NOT IN (SELECT id FROM pages_) GROUP BY 1")

@@ -240,10 +240,11 @@ def l4(spark, sf):
     return lint.stubs(pages(spark, sf))
 
 
-@query("l6_newer_than_updated", f"WITH {PAGES} SELECT id FROM pages_ WHERE DATE '2024-06-30' > CAST(updated AS DATE)")
+@query("l6_newer_than_updated", f"WITH {PAGES} SELECT id FROM pages_ WHERE n % 3 = 2")
 def l6(spark, sf):
-    """Pages whose file (here all of one day) is younger than their date."""
-    return pages(spark, sf).where(F.lit("2024-06-30").cast("date") > F.try_to_date("updated")).select("id")
+    """Pages whose file, a day older to a day younger than their date, is younger."""
+    dated = pages(spark, sf).withColumn("file_day", F.date_add(F.try_to_date("updated"), (F.col("n") % 3 - 1).cast("int")))
+    return lint.file_stale(dated).select(F.col("page").alias("id"))
 
 
 @query("l7_mature_stale", f"WITH {PAGES} SELECT 'status_mature_stale' AS \"check\", 'warning' AS severity, id AS page, '' AS target, '' AS message FROM pages_ WHERE status = 'mature' AND CAST(updated AS DATE) < DATE '{AS_OF}' - 90")
@@ -277,13 +278,6 @@ def p6(spark, sf):
     return p.where((F.char_length(F.trim("content")) < 500) & ~lint.autogen(F.col("id")) & (F.col("confidence") != "speculative") & (F.col("title") != "")).join(inbound, F.col("id") == F.col("x"), "left_semi").select("id")
 
 
-@query("x8_item_batch", f"WITH {PAGES} SELECT slug, min(n) AS first FROM (SELECT substr(lower(title), 1, 4) AS slug, n FROM pages_ WHERE trim(title) <> '') GROUP BY 1")
-def x8(spark, sf):
-    """The first item of each slug stays."""
-    p = pages(spark, sf).where("trim(title) <> ''").select(F.substring(F.lower("title"), 1, 4).alias("slug"), "n")
-    return p.groupBy("slug").agg(F.min("n").alias("first"))
-
-
 @query("snk1_index", f"WITH {PAGES} SELECT type, id, '- ' || title || ' — ' || source || ' — ' || updated AS line FROM pages_ WHERE NOT {HIDDEN}")
 def snk1(spark, sf):
     return publish.index_lines(pages(spark, sf))

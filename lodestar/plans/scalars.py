@@ -235,10 +235,11 @@ def d5(spark, sf):
     return table(spark, sf, "events").select("event_id", dates.parsed(shown).cast("long").alias("at"))
 
 
-@query("d9_similarity", "SELECT vec_id, round(1 / (1 + (vec_id % 40) / 10.0), 4)::DOUBLE AS similarity FROM embeddings WHERE 1 / (1 + (vec_id % 40) / 10.0) >= 0.3")
+@query("d9_similarity", "SELECT vec_id, label, round(1 / (1 + sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE ** 2)))), 4)::DOUBLE AS similarity FROM embeddings")
 def d9(spark, sf):
-    d = table(spark, sf, "embeddings").withColumn("s", dates.similarity(F.col("vec_id") % 40 / 10))
-    return d.where("s >= 0.3").select("vec_id", F.col("s").alias("similarity"))
+    """Of every vector to the origin."""
+    far = F.sqrt(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda s, x: s + x * x))
+    return table(spark, sf, "embeddings").select("vec_id", "label", dates.similarity(far).alias("similarity"))
 
 
 @query("p1_frontmatter_errors", f"WITH {PAGES} SELECT id, concat_ws('; ', CASE WHEN n % 13 = 0 THEN 'missing title' END, CASE WHEN n % 19 = 0 THEN 'invalid updated' END, CASE WHEN n % 7 = 0 THEN 'invalid confidence' END) AS errors FROM pages_ WHERE n % 13 = 0 OR n % 19 = 0 OR n % 7 = 0")
