@@ -30,6 +30,11 @@ def allowed(url, domains: list[str]) -> Column:
     return out
 
 
+def backoff(attempt, first: float = 1.0, most: float = 30.0) -> Column:
+    """Seconds to wait before a further attempt (from 0): twice as long each time, up to a limit."""
+    return F.least(F.lit(most), F.lit(first) * F.pow(F.lit(2.0), col(attempt)))
+
+
 def longest_window(sources, topics=None) -> Column:
     """The longest time that any of an array of sources lets a page stand; that of an unknown source without any."""
     each = F.transform(col(sources), lambda s: decay_days(s, topics) if topics is not None else decay_days(s))

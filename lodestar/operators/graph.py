@@ -109,6 +109,17 @@ def betweenness(nodes: DataFrame, e: DataFrame, rounds: int | None = None) -> Da
     return nodes.select("id").join(sums, F.col("id") == F.col("v"), "left").select("id", (F.coalesce("part", F.lit(0.0)) * scale).alias("score"))
 
 
+def stats(nodes: DataFrame, e: DataFrame, k: int = 10) -> DataFrame:
+    """One row: nodes, edges, components, pages without links to them, isolated pages, and the k most linked ones."""
+    d = degrees(nodes, e)
+    n = lambda c: F.sum(F.expr(c).cast("long"))
+    one = d.agg(F.count("*").alias("nodes"), F.sum("n_in").alias("edges"), n("n_in = 0 AND n_out > 0").alias("no_inbound"), n("n_in = 0 AND n_out = 0").alias("isolated"))
+    parts = weak_components(nodes, e).where("id = component").agg(F.count("*").alias("components"))
+    most = d.orderBy(F.desc("n_in"), "id").limit(k)  # a list of k
+    listed = most.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n_in")).alias("o"), "id"))), lambda x: x["id"]).alias("most_linked"))
+    return one.join(F.broadcast(parts)).join(F.broadcast(listed))  # one row each
+
+
 def top_degrees(d: DataFrame, k: int) -> DataFrame:
     return d.select("id", (F.col("n_in") + F.col("n_out")).alias("degree")).orderBy(F.desc("degree"), "id").limit(k)
 

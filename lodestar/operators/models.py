@@ -45,8 +45,26 @@ def extraction_schema(specs: list[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.ArrayType(T.StringType()) if many else T.StringType(), n not in needed) for n, many in fields])
 
 
+def patient(model: Callable[[str], str], attempts: int = 3, first: float = 1.0, most: float = 30.0) -> Callable[[str], str]:
+    """The model, asked again after a failure, `attempts` times in all, with longer and longer waits; the last failure is raised."""
+
+    def call(prompt: str) -> str:
+        import time
+
+        for k in range(attempts):
+            try:
+                return model(prompt)
+            except Exception:  # noqa: BLE001  whatever a model's client raises
+                if k == attempts - 1:
+                    raise
+                time.sleep(min(most, first * 2**k))
+        raise ValueError("attempts must be 1 or more")
+
+    return call
+
+
 def ask(df: DataFrame, prompt_col: str, model: Callable[[str], str] = stub) -> DataFrame:
-    """df with a reply to each prompt; the function is called in batches on the executors."""
+    """df with a reply to each prompt; the function is called in batches on the executors. Null and empty prompts have null replies."""
 
     ship(df.sparkSession)
 

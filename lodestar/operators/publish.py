@@ -23,6 +23,15 @@ def index_lines(pages: DataFrame) -> DataFrame:
     return kept(pages).select("type", "id", F.concat(F.lit("- "), F.col("title"), F.lit(" — "), source, F.lit(" — "), F.col("updated")).alias("line"))
 
 
+def index_text(pages: DataFrame) -> DataFrame:
+    """(place, line) of the whole index: a heading for each type, its lines by id, and how many pages are left out."""
+    lines = index_lines(pages).select("type", F.lit(1).alias("part"), "id", "line")
+    heads = lines.select("type").distinct().select("type", F.lit(0).alias("part"), F.lit("").alias("id"), F.concat(F.lit("## "), F.col("type")).alias("line"))
+    gone = pages.where(F.coalesce(hidden(), F.lit(False))).agg(F.count("*").alias("n")).where("n > 0")
+    foot = gone.select(F.lit("\U0010ffff").alias("type"), F.lit(2).alias("part"), F.lit("").alias("id"), F.concat(F.lit("[!excluded] "), F.col("n").cast("string"), F.lit(" pages")).alias("line"))
+    return placed(lines.union(heads).union(foot), ["type", "part", "id"]).select("place", "line")
+
+
 def within_budget(pages: DataFrame, budget: int = 5 * 1024 * 1024) -> DataFrame:
     """(id, bytes): the pages, in order of id, that fit a budget of UTF-8 bytes, the first too large one cut.
 

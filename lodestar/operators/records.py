@@ -97,6 +97,26 @@ def newest(df: DataFrame, by: str, keep: int, tie: str) -> DataFrame:
     return df.orderBy(F.desc(by), F.desc(tie)).limit(keep)
 
 
+def swept(reviews: DataFrame, now: str, hours: int = 168, delete: bool = False) -> DataFrame:
+    """Reviews (status, attempt_id, ts, ...) after a sweep: pending ones older than `hours` are marked failed, or left out; rows without an attempt stay."""
+    old = F.col("ts") < F.lit(now).cast("timestamp") - F.make_interval(hours=F.lit(hours))
+    stale = F.coalesce((F.col("status") == "pending") & old & (F.coalesce("attempt_id", F.lit("")) != ""), F.lit(False))
+    return reviews.where(~stale) if delete else reviews.withColumn("status", F.when(stale, "failed").otherwise(F.col("status")))
+
+
+def begun(manifest: DataFrame, sources: DataFrame) -> DataFrame:
+    """The manifest (key, value) as a compile run begins: sources (ref, hash) to come are in progress."""
+    come = sources.select(F.col("ref").alias("key"), F.concat(F.lit("in_progress:"), F.col("hash")).alias("value"))
+    return manifest.join(come.select("key"), "key", "left_anti").unionByName(come)
+
+
+def ended(manifest: DataFrame, outcomes: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """The manifest after a run: sources (ref, hash, ok) have their hash, or failed: and their hash. With existing (ref), a full run, keys of sources that are gone go."""
+    done = outcomes.select(F.col("ref").alias("key"), F.when(F.col("ok"), F.col("hash")).otherwise(F.concat(F.lit("failed:"), F.col("hash"))).alias("value"))
+    new = manifest.join(done.select("key"), "key", "left_anti").unionByName(done)
+    return new if existing is None else new.join(existing.select(F.col("ref").alias("key")), "key", "left_semi")
+
+
 def latest_state(log: DataFrame) -> DataFrame:
     """(item, state): the last state of each item in an append-only log (item, ts, state, nth)."""
     return log.groupBy("item").agg(F.max_by("state", F.struct("ts", "nth")).alias("state"))

@@ -283,6 +283,11 @@ def snk1(spark, sf):
     return publish.index_lines(pages(spark, sf))
 
 
+@query("snk1_index_text", f"WITH {PAGES}, k AS (SELECT * FROM pages_ WHERE NOT {HIDDEN}), a AS (SELECT type, 1 AS part, id, '- ' || title || ' — ' || source || ' — ' || updated AS line FROM k UNION ALL SELECT DISTINCT type, 0, '', '## ' || type FROM k UNION ALL SELECT chr(1114111), 2, '', '[!excluded] ' || count(*) || ' pages' FROM pages_ WHERE {HIDDEN} HAVING count(*) > 0) SELECT row_number() OVER (ORDER BY type, part, id) - 1 AS place, line FROM a")
+def snk1_text(spark, sf):
+    return publish.index_text(pages(spark, sf))
+
+
 @query("snk2_full_text", f"WITH {PAGES}, s AS (SELECT id, strlen(content) AS n, sum(strlen(content)) OVER (ORDER BY id) - strlen(content) AS start FROM pages_ WHERE NOT {HIDDEN}) SELECT id, CAST(least(n, 5242880 - start) AS BIGINT) AS bytes FROM s WHERE start < 5242880")
 def snk2(spark, sf):
     return publish.within_budget(pages(spark, sf))
@@ -323,12 +328,10 @@ def snk12(spark, sf):
     return graph.mermaid(e, graph.degrees(p, e))
 
 
-@query("a3_graph_stats", f"WITH {DEGREES} SELECT count(*) AS nodes, (SELECT count(*) FROM edges_) AS edges, count(*) FILTER (n_in = 0 AND n_out > 0) AS no_inbound, count(*) FILTER (n_in = 0 AND n_out = 0) AS isolated FROM deg_")
+@query("a3_graph_stats", f"WITH RECURSIVE {DEGREES}, both_ AS (SELECT src AS a, dst AS b FROM edges_ UNION SELECT dst, src FROM edges_), r(id, x) AS (SELECT id, id FROM pages_ UNION SELECT r.id, both_.b FROM r JOIN both_ ON r.x = both_.a), c AS (SELECT id, min(x) AS component FROM r GROUP BY 1), t AS (SELECT id, n_in FROM deg_ ORDER BY n_in DESC, id LIMIT 10) SELECT count(*) AS nodes, (SELECT count(*) FROM edges_) AS edges, count(*) FILTER (n_in = 0 AND n_out > 0) AS no_inbound, count(*) FILTER (n_in = 0 AND n_out = 0) AS isolated, (SELECT count(*) FROM c WHERE id = component) AS components, (SELECT string_agg(id, ' ' ORDER BY n_in DESC, id) FROM t) AS most_linked FROM deg_")
 def a3(spark, sf):
     p, _, e = graph_of(spark, sf)
-    d = graph.degrees(p, e)
-    n = lambda c: F.sum(F.expr(c).cast("long"))
-    return d.agg(F.count("*").alias("nodes"), F.sum("n_in").alias("edges"), n("n_in = 0 AND n_out > 0").alias("no_inbound"), n("n_in = 0 AND n_out = 0").alias("isolated"))
+    return graph.stats(p.select("id"), e).withColumn("most_linked", F.array_join("most_linked", " "))
 
 
 def _pagerank_sql(rounds: int) -> str:

@@ -32,6 +32,15 @@ def append_log(df: DataFrame, path: str) -> None:
     df.select(F.date_format("ts", "yyyy-MM").alias("month"), line.alias("line")).write.mode("append").partitionBy("month").text(path)
 
 
+def wipe(spark, paths: list[str]) -> None:
+    """Delete derived tables, so that they are built anew, and forget what is cached."""
+    from ..session import drop_path
+
+    for path in paths:
+        drop_path(spark, path)
+    spark.catalog.clearCache()
+
+
 def rotate_log(spark, path: str, month: str, limit: int = LOG_BYTES) -> str | None:
     """A month's part of a log that is over the limit is put away as month.1, month.2 and so on; its new name, or None."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

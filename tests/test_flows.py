@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.api import Wiki
-from lodestar.functions import text
-from lodestar.operators import answering, augment, capture, consistency, graph, ingest, lint, records, retrieval
+from lodestar.functions import dates, text
+from lodestar.operators import answering, augment, capture, consistency, graph, ingest, lint, models, records, retrieval
 from lodestar.session import placed
 from lodestar.sources import readers, writers
 
@@ -309,3 +309,36 @@ def test_files(spark, tmp_path):
 def test_purposes(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
     assert one(text.wrapped_purpose(F.lit("a</Purpose >b"))) == "<purpose>\na</-purpose>b\n</purpose>" and one(text.wrapped_purpose(F.lit(" "))) == ""
+
+
+def test_backoff_and_patience(spark):
+    assert [r["b"] for r in spark.range(6).select(dates.backoff("id", 1.0, 9.0).alias("b")).collect()] == [1.0, 2.0, 4.0, 8.0, 9.0, 9.0]
+    asked = []
+
+    def shaky(prompt):
+        asked.append(prompt)
+        if len(asked) < 3:
+            raise OSError("busy")
+        return "yes"
+
+    assert models.patient(shaky, 3, 0.001)("q") == "yes" and len(asked) == 3
+    with pytest.raises(OSError):
+        asked.clear()
+        models.patient(shaky, 2, 0.001)("q")
+
+
+def test_sweeps_and_compile_states(spark, tmp_path):
+    old, new = datetime.datetime(2024, 1, 1), datetime.datetime(2024, 1, 30)
+    reviews = spark.createDataFrame([(1, "pending", "a", old), (2, "pending", None, old), (3, "pending", "b", new), (4, "applied", "c", old)], "n int, status string, attempt_id string, ts timestamp")
+    assert {r["n"]: r["status"] for r in records.swept(reviews, "2024-01-31 00:00:00").collect()} == {1: "failed", 2: "pending", 3: "pending", 4: "applied"}
+    assert {r["n"] for r in records.swept(reviews, "2024-01-31 00:00:00", delete=True).collect()} == {2, 3, 4}
+    known = spark.createDataFrame([("a", "h1"), ("b", "h2"), ("gone", "h3")], "key string, value string")
+    sources = spark.createDataFrame([("b", "h4"), ("c", "h5")], "ref string, hash string")
+    running = records.begun(known, sources)
+    assert {r["key"]: r["value"] for r in running.collect()} == {"a": "h1", "b": "in_progress:h4", "gone": "h3", "c": "in_progress:h5"}
+    outcomes = spark.createDataFrame([("b", "h4", True), ("c", "h5", False)], "ref string, hash string, ok boolean")
+    there = spark.createDataFrame([("a",), ("b",), ("c",)], "ref string")
+    assert {r["key"]: r["value"] for r in records.ended(running, outcomes, there).collect()} == {"a": "h1", "b": "h4", "c": "failed:h5"}
+    known.write.parquet(f"{tmp_path}/index")
+    writers.wipe(spark, [f"{tmp_path}/index", f"{tmp_path}/never"])
+    assert not (tmp_path / "index").exists()
