@@ -289,15 +289,19 @@ def secret_label(c) -> Column:
     return out
 
 
-def secret_line(c) -> Column:
-    """The 1-based line on which the first secret starts, or null."""
+def secret_line_of(c, label: Column) -> Column:
+    """The 1-based line on which a labelled secret starts."""
     out = F.lit(None).cast("int")
-    for _, pattern in reversed(SECRETS):
-        before = F.regexp_extract(col(c), f"(?s)\\A(.*?)(?:{pattern})", 1)
-        out = F.when(col(c).rlike(pattern), F.size(F.split(before, "\n"))).otherwise(out)
+    for name, pattern in reversed(SECRETS):
+        out = F.when(label == name, F.size(F.split(F.regexp_extract(col(c), f"(?s)\\A(.*?)(?:{pattern})", 1), "\n"))).otherwise(out)
     return out
 
 
+def secret_line(c) -> Column:
+    """The 1-based line on which the first secret starts, or null."""
+    return F.get(F.transform(F.array(secret_label(c)), lambda label: secret_line_of(c, label)), F.lit(0))
+
+
 def decoded_parts(c) -> Column:
     """Array of (text, how) of what a text holds in Base64 (16 characters or more, ASCII inside) and percent-encoded (three bytes or more), in this order."""
     raw = F.transform(F.regexp_extract_all(col(c), F.lit("[A-Za-z0-9+/=]{16,}"), F.lit(0)), lambda x: F.try_to_binary(x, F.lit("base64")))
@@ -308,6 +312,6 @@ def decoded_parts(c) -> Column:
 
 def secret_found(c) -> Column:
     """(label, place) of the first secret, or null: "line n" in the text itself, or else "via" the encoding of a part that holds one."""
-    parts = F.filter(F.transform(decoded_parts(c), lambda p: F.struct(secret_label(p["text"]).alias("label"), F.concat(F.lit("via "), p["how"]).alias("place"))), lambda p: p["label"].isNotNull())
-    own = secret_label(c)
-    return F.when(own.isNotNull(), F.struct(own.alias("label"), F.concat(F.lit("line "), secret_line(c).cast("string")).alias("place"))).otherwise(F.get(parts, F.lit(0)))
+    here = F.transform(F.array(secret_label(c)), lambda label: F.when(label.isNotNull(), F.struct(label.alias("label"), F.concat(F.lit("line "), secret_line_of(c, label).cast("string")).alias("place"))))
+    parts = F.transform(decoded_parts(c), lambda p: F.struct(secret_label(p["text"]).alias("label"), F.concat(F.lit("via "), p["how"]).alias("place")))
+    return F.coalesce(F.get(here, F.lit(0)), F.get(F.filter(parts, lambda p: p["label"].isNotNull()), F.lit(0)))
