@@ -111,12 +111,6 @@ class HubMemory(Memory):
         return ids, np.diff(at, append=len(ids))
 
 
-@lru_cache(1)
-def _memory(path: str) -> HubMemory:
-    """Once for each worker."""
-    return HubMemory(_tokenizer(path))
-
-
 def pieces(docs: DataFrame, capacity: int, end_id: int, vocabulary: str | None, id_col: str, text_col: str) -> DataFrame:
     """(__id, piece, start, length, ids_crc32) of every document's ids and its end."""
     small_batches(docs.sparkSession, 64)
@@ -127,7 +121,7 @@ def pieces(docs: DataFrame, capacity: int, end_id: int, vocabulary: str | None,
         import public_tokenizers as public
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        memory = _memory(vocabulary or public.path("byte_bpe_50k.json"))
+        memory = HubMemory(_tokenizer(vocabulary or public.path("byte_bpe_50k.json")))
         for batch in together(batches, AT_ONCE):
             ids, bounds = token_ids(batch.column(1), memory)
             bounds = bounds + np.arange(len(bounds))  # with an end each
@@ -142,6 +136,9 @@ def pieces(docs: DataFrame, capacity: int, end_id: int, vocabulary: str | None,
             at = bounds[row] + start
             sums = [zlib.crc32(ids[a:b]) for a, b in zip(at.tolist(), (at + length).tolist())]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(nth, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(sums, pa.int64())], names=["__id", "piece", "start", "length", "ids_crc32"])
+        # the worker lives on, and other stages need its memory
+        del memory
+        pa.default_memory_pool().release_unused()
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     return docs.select(f"`{id_col}`", f"`{text_col}`").mapInArrow(run, f"__id {kind}, piece int, start long, length long, ids_crc32 long")

@@ -36,7 +36,7 @@ SHORT, WINDOWS, DEAL = 24, 64, 5_000_000
 #: Entries of a column read or written at once, entries of a collection that pieces of several minimisers share, entries from which columns are files.
 BLOCK, COLLECTION, IN_MEMORY = 1 << 18, 200_000, 8_000_000
 #: Bytes of text that minimisers are taken from at once, values that a task holds before it sends them on.
-SPAN, HELD = 64_000, 2_000_000
+SPAN, HELD = 64_000, 500_000
 #: One of so many documents is looked at for minimisers of very many documents; pieces that make one of those; parts that they are dealt in.
 SAMPLED, HOT, PARTS = 64, 200_000, 256
 

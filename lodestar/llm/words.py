@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words whose ids a worker remembers, beyond which it starts anew; bytes of text that are looked up at once.
+#: Words whose ids are remembered, beyond which a memory starts anew; bytes of text that are looked up at once.
 REMEMBERED, AT_ONCE = 1_000_000, 4_000_000
 #: A space between white space, or between white space and the end.
 _BLANKS = re.compile(r"\s \s|\s \Z")
@@ -56,7 +56,7 @@ class Runs:
 
 
 class Memory:
-    """Ids of words after a space that a worker has met; at most REMEMBERED words, then it starts anew.
+    """Ids of words after a space that have been met; at most REMEMBERED words, then it starts anew.
 
     A word of letters and punctuation after them is two pre-tokens, so its letters are looked up,
     and encoded, on their own. Subclasses say how texts are encoded.
