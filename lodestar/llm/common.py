@@ -14,6 +14,11 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
+def settle(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps whose results are written: it does so when the driver collects what refers to them."""
+    spark._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Arrow batches of so many rows, for whole long texts in bounded memory, in workers that know this package."""
     ship(spark)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buffers import BASE, BYTE, INVERSE, mixed, powers, spans, starts_of, whole_groups
-from .common import attach, drop_path, shared_dir, small_batches, written
+from .common import attach, drop_path, drop_written, settle, shared_dir, small_batches, written
 
 #: Bytes of the strings that minimisers are chosen from, most windows in a piece, bytes of text a deal.
 SHORT, WINDOWS, DEAL = 24, 64, 5_000_000
@@ -571,6 +571,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # whole texts that are equal are one: all but the smallest id lose every byte
     firsts = digests.where("id IS NOT NULL").groupBy(F.col("sha").alias("s")).agg(F.min("id").alias("least")).hint("rebalance")
     known = written(digests.join(firsts, F.col("sha") == F.col("s"), "left").withColumn("copy", F.coalesce(F.col("id") > F.col("least"), F.lit(False)) & (F.col("n") >= width)).select("id", "n", "sha", "digest", "copy"), "known")
+    drop_written(digests)
     copies = known.where("copy").select(F.col("id").alias("c"), F.col("digest").alias("cd")).distinct()
     total = known.agg(F.sum("n")).first()[0] or 0
     deals = max(1, -(-total // DEAL))
@@ -582,7 +583,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     found = _found(_pieces(attach(alone, again, "id", "doc").where("doc IS NOT NULL"), width, deals), width, deals, folder)
     if len(hot):
         found = found.union(_found_in_parts(written(_pieces(alone, width, deals, hot), "hot"), width, deals, folder))
+    settle(spark)
     cuts = written(_cuts(found), "cuts")
+    drop_written(again)
+    settle(spark)
     drop_path(spark, folder)
     cuts = cuts.select(F.struct(F.col("doc").alias("id"), F.col("of").alias("digest")).alias("ck"), "cuts")
 
