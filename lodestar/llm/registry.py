@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embed_dedup, exact_dedup, html_extract, langid, license_scan, minhash, packing, sharding, suffix_dedup
+from . import bpe, embed_dedup, exact_dedup, hard_negatives, html_extract, langid, license_scan, line_dedup, merkle, minhash, packing, sharding, suffix_dedup
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_sharding": sharding.op8_sharding,
         "op9_html": html_extract.op9_html,
         "op10_packing": packing.op10_packing,
+        "op11_line_dedup": line_dedup.op11_line_dedup,
+        "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+        "op13_merkle": merkle.op13_merkle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.SQL, "op3_suffix": suffix_dedup.SQL, "op4_minhash": minhash.SQL, "op7_embedding": embed_dedup.SQL}
+    return {"op1_exact_dedup": exact_dedup.SQL, "op3_suffix": suffix_dedup.SQL, "op4_minhash": minhash.SQL, "op7_embedding": embed_dedup.SQL, "op11_line_dedup": line_dedup.SQL, "op12_hard_negatives": hard_negatives.SQL, "op13_merkle": merkle.SQL}
