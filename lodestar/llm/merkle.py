@@ -118,7 +118,9 @@ def manifest(docs: DataFrame, forge=tampered) -> DataFrame:
         F.when(false.isNotNull(), leaf_of([*[field[c] for c in FIELDS[:-1]], false])).alias("forged"),
     )
     extra = ["doc_id", "forged"]
+    leaves = written(leaves, "leaves")  # else texts are hashed once more, to find the ranges
     levels, tops = _tree(leaves, extra)
+    drop_written(leaves)
     # subroots by group, numbered over ranges as leaves are
     heads = tops.select(F.lit("").alias("grp"), F.col("grp").alias("doc_id"), F.col("h").alias("leaf"), F.lit(None).cast("string").alias("forged"))
     upper, root = _tree(heads, ["doc_id"])
