@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import flows, further, registry, relations, scalars, searches  # noqa: F401  they register their queries
+from .plans import flows, further, registry, relations, scalars, searches, stored  # noqa: F401  they register their queries
 
 
 def queries() -> dict:

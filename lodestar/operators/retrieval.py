@@ -197,6 +197,22 @@ def similar(vectors: DataFrame, query: list[float] | DataFrame, least: float = S
     return near.where(F.col("similarity") >= least)
 
 
+def asked_index(index, question: str, k: int, least: float = SIMILAR, embed=None, exact: bool = False) -> DataFrame:
+    """(id, similarity) of the k pages of a vector index that are nearest to a question and similar enough.
+
+    embed gives the vectors of a frame (id, content), as vectors.embedded() does, and must be what the index was
+    built with. A question without terms has no direction, so no page is near it.
+    """
+    from . import vectors
+
+    one = index.spark.createDataFrame([("", question)], "id string, content string")
+    q = (embed or vectors.embedded)(one).first()["embedding"]  # one row
+    if q is None or not any(q):
+        return index.spark.createDataFrame([], "id string, similarity double")
+    near = index.ask(q, k, exact=exact).select("id", F.round(dates.similarity("distance"), 9).alias("similarity"))
+    return near.where(F.col("similarity") >= least)
+
+
 def search(pages: DataFrame, question: str, ranks: DataFrame | None = None, k: int = 10, near: DataFrame | None = None, as_of: str | None = None) -> DataFrame:
     """The k best pages (rank, id, type, score): BM25, nearest vectors and page rank over the candidates of both, fused, boosted and without repeats.
 

@@ -112,12 +112,13 @@ def a13(spark, sf):
 
 #: Words that results are compared by, and the fold of results (k, id, type, words, score) from the best: alike ones of a type go, then types over their share.
 _WORDS = "list_distinct(list_filter(regexp_split_to_array(lower(content), '\\s+'), lambda w: length(w) > 2))"
-_FOLD = """a_(k, kept) AS (SELECT 0::BIGINT, []::STRUCT(id VARCHAR, type VARCHAR, w VARCHAR[], score DOUBLE)[] UNION ALL
-  SELECT i.k, CASE WHEN len(list_filter(kept, lambda y: y.type = i.type AND len(list_intersect(i.words, y.w)) / greatest(len(list_distinct(list_concat(i.words, y.w))), 1) > 0.85)) > 0 THEN kept ELSE list_append(kept, {'id': i.id, 'type': i.type, 'w': i.words, 'score': i.score}) END FROM a_ JOIN items_ i ON i.k = a_.k + 1),
-o_ AS (SELECT kept FROM a_ ORDER BY k DESC LIMIT 1), u_ AS (SELECT unnest(kept) AS x, generate_subscripts(kept, 1) AS k FROM o_),
-b_(k, kept) AS (SELECT 0::BIGINT, []::STRUCT(id VARCHAR, type VARCHAR, score DOUBLE)[] UNION ALL
-  SELECT u_.k, CASE WHEN len(list_filter(kept, lambda y: y.type = u_.x.type)) >= greatest(1, ceil((len(kept) + 1) * 0.6)) THEN kept ELSE list_append(kept, {'id': u_.x.id, 'type': u_.x.type, 'score': u_.x.score}) END FROM b_ JOIN u_ ON u_.k = b_.k + 1),
-q_ AS (SELECT kept FROM b_ ORDER BY k DESC LIMIT 1), r_ AS (SELECT unnest(kept) AS x, generate_subscripts(kept, 1) - 1 AS rank FROM q_)"""
+_FOLD = """near_ AS MATERIALIZED (SELECT a.k AS i, list(b.k) AS js FROM items_ a JOIN items_ b ON a.type = b.type AND b.k < a.k AND len(list_intersect(a.words, b.words)) / greatest(len(list_distinct(list_concat(a.words, b.words))), 1) > 0.85 GROUP BY 1),
+c_ AS MATERIALIZED (SELECT k, type, coalesce(js, []::BIGINT[]) AS js FROM items_ LEFT JOIN near_ ON i = k),
+a_(k, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT c_.k, CASE WHEN len(list_intersect(kept, js)) > 0 THEN kept ELSE list_append(kept, c_.k) END FROM a_ JOIN c_ ON c_.k = a_.k + 1),
+o_ AS MATERIALIZED (SELECT kept FROM a_ ORDER BY k DESC LIMIT 1), u_ AS MATERIALIZED (SELECT n.item, n.k, type FROM (SELECT unnest(kept) AS item, generate_subscripts(kept, 1) AS k FROM o_) n JOIN c_ ON c_.k = n.item),
+b_(k, kept, types) AS (SELECT 0::BIGINT, []::BIGINT[], []::VARCHAR[] UNION ALL
+  SELECT u_.k, CASE WHEN len(list_filter(types, lambda y: y = type)) >= greatest(1, ceil((len(types) + 1) * 0.6)) THEN kept ELSE list_append(kept, u_.item) END, CASE WHEN len(list_filter(types, lambda y: y = type)) >= greatest(1, ceil((len(types) + 1) * 0.6)) THEN types ELSE list_append(types, type) END FROM b_ JOIN u_ ON u_.k = b_.k + 1),
+q_ AS MATERIALIZED (SELECT kept FROM b_ ORDER BY k DESC LIMIT 1), r_ AS (SELECT {'id': i.id, 'type': i.type, 'score': i.score} AS x, n.rank FROM (SELECT unnest(kept) AS item, generate_subscripts(kept, 1) - 1 AS rank FROM q_) n JOIN items_ i ON i.k = n.item)"""
 _HITS = "hits_ AS (SELECT id, round(score, 6) AS score FROM score_ ORDER BY round(score, 6) DESC, id LIMIT {})"
 
 
@@ -127,7 +128,7 @@ def _search_sql() -> str:
 s2_ AS (SELECT id, row_number() OVER (ORDER BY coalesce(round(rank, 12), 0) DESC, r) - 1 AS r FROM s1_ LEFT JOIN r20 USING (id)),
 f_ AS (SELECT id, round(sum(1 / (60 + r)), 12) AS score FROM (FROM s1_ UNION ALL FROM s2_) GROUP BY 1 ORDER BY score DESC, id LIMIT 20),
 h_ AS (SELECT id, type, content, score * CASE WHEN status IN ('mature', 'evergreen') THEN 1.05 ELSE 1 END * CASE WHEN authored_by IN ('human', 'hybrid') THEN 1.02 ELSE 1 END AS score FROM f_ JOIN pages_ USING (id)),
-items_ AS (SELECT row_number() OVER (ORDER BY score DESC, id) AS k, id, type, {_WORDS} AS words, score::DOUBLE AS score FROM h_)"""
+items_ AS MATERIALIZED (SELECT row_number() OVER (ORDER BY score DESC, id) AS k, id, type, {_WORDS} AS words, score::DOUBLE AS score FROM h_)"""
 
 
 @query("r7_search", f"WITH RECURSIVE {EDGES}, {_pagerank_sql(20)}, {_bm25_sql(True)}, {_search_sql()}, {_FOLD} SELECT CAST(rank AS INT) AS rank, x.id AS id, x.type AS type, round(x.score, 6) AS score FROM r_ WHERE rank < 10")
@@ -137,14 +138,14 @@ def r7(spark, sf):
     return retrieval.search(p, QUESTION, graph.pagerank(p, e, rounds=20, tol=0.0)).select("rank", "id", "type", F.round("score", 6).alias("score"))
 
 
-@query("r8_dedup", f"WITH RECURSIVE {PAGES}, {_bm25_sql(True)}, {_HITS.format(200)}, items_ AS (SELECT row_number() OVER (ORDER BY score DESC, id) AS k, id, type, {_WORDS} AS words, score::DOUBLE AS score FROM hits_ JOIN pages_ USING (id)), {_FOLD} SELECT CAST(rank AS INT) AS rank, x.id AS id, x.type AS type FROM r_")
+@query("r8_dedup", f"WITH RECURSIVE {PAGES}, {_bm25_sql(True)}, {_HITS.format(200)}, items_ AS MATERIALIZED (SELECT row_number() OVER (ORDER BY score DESC, id) AS k, id, type, {_WORDS} AS words, score::DOUBLE AS score FROM hits_ JOIN pages_ USING (id)), {_FOLD} SELECT CAST(rank AS INT) AS rank, x.id AS id, x.type AS type FROM r_")
 def r8(spark, sf):
     p = pages(spark, sf)
     hits = retrieval.top(retrieval.bm25(p, QUESTION).withColumn("score", F.round("score", 6)), 200).join(p, "id")
     return retrieval.deduped(hits).select("rank", "id", "type")
 
 
-@query("r10_context", f"""WITH RECURSIVE {PAGES}, {_bm25_sql(True)}, {_HITS.format(60)}, l_ AS (SELECT row_number() OVER (ORDER BY CASE WHEN type = 'summary' THEN 0 ELSE 1 END, score DESC, id) AS k, id, type = 'summary' AS early, length(content) AS n FROM hits_ JOIN pages_ USING (id)),
+@query("r10_context", f"""WITH RECURSIVE {PAGES}, {_bm25_sql(True)}, {_HITS.format(60)}, l_ AS MATERIALIZED (SELECT row_number() OVER (ORDER BY CASE WHEN type = 'summary' THEN 0 ELSE 1 END, score DESC, id) AS k, id, type = 'summary' AS early, length(content) AS n FROM hits_ JOIN pages_ USING (id)),
 c_(k, used, got) AS (SELECT 0::BIGINT, 0::BIGINT, []::STRUCT(id VARCHAR, taken BIGINT)[] UNION ALL
   SELECT l_.k, CASE WHEN NOT (early AND used + n > 12000 AND (len(got) > 0 OR n <= 80000)) AND used + n <= 80000 THEN used + n WHEN len(got) = 0 AND n > 80000 THEN 80000 ELSE used END,
     CASE WHEN NOT (early AND used + n > 12000 AND (len(got) > 0 OR n <= 80000)) AND used + n <= 80000 THEN list_append(got, {{'id': id, 'taken': n}}) WHEN len(got) = 0 AND n > 80000 THEN list_append(got, {{'id': id, 'taken': 80000::BIGINT}}) ELSE got END FROM c_ JOIN l_ ON l_.k = c_.k + 1),

@@ -6,24 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .versions import Versioned
 
 #: Bytes from which a log's month starts a further part.
 LOG_BYTES = 500_000
 
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """Write beside the table, then swap: readers see the old rows or the new ones."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    new, old, at = (jvm.org.apache.hadoop.fs.Path(path + x) for x in (".new", ".old", ""))
-    fs = at.getFileSystem(conf)
-    df.write.mode("overwrite").parquet(path + ".new")
-    fs.delete(old, True)
-    if fs.exists(at):
-        fs.rename(at, old)
-    if not fs.rename(new, at):
-        raise OSError(f"cannot put the new table at {path}")
-    fs.delete(old, True)
+def replace_table(df: DataFrame, path: str, batch: int | None = None) -> int:
+    """Put df in place of a table's rows: readers (see read_table) see the old rows or the new ones, whenever a writer dies; the version's number."""
+    return Versioned(df.sparkSession, path).replace(df, batch)
+
+
+def read_table(spark, path: str) -> DataFrame | None:
+    """The rows that replace_table() put in place last; None if it never did."""
+    return Versioned(spark, path).read()
 
 
 def append_log(df: DataFrame, path: str) -> None:

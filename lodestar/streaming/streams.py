@@ -49,20 +49,21 @@ def limited(calls: DataFrame, cap: int, seconds: int = 3600) -> DataFrame:
     return calls.groupBy("key").applyInPandasWithState(fold, "entry long, accepted boolean", "live array<long>", "append", "NoTimeout")
 
 
-def compile_batches(sources: DataFrame, path: str, checkpoint: str):
-    """Each micro-batch of sources (ref, hash) is merged into the manifest at path; a batch that is replayed changes nothing."""
-    from ..sources.writers import replace_table
-
-    def merge(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        new = batch.groupBy(F.col("ref").alias("key")).agg(F.max("hash").alias("value"))
-        try:
-            old = spark.read.parquet(path)
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = None
-        both = new if old is None else old.join(new.select("key"), "key", "left_anti").unionByName(new)
-        replace_table(both, path)
+def compile_batches(sources: DataFrame, path: str, checkpoint: str, ingest=None, now: str | None = None):
+    """Each micro-batch of sources (ref, hash) is compiled into the tables at path (see operators.compiling); a batch that is replayed changes nothing.
+
+    The batch's number is in the manifest's pointer, so it is known after a restart too. Of several hashes of
+    one source in a batch the largest counts. Without ingest, sources are only noted as done.
+    """
+    from ..operators.compiling import Compiler
+
+    none = "cast(array() as array<struct<id:string,type:string,title:string,content:string>>)"
+
+    def noted(todo: DataFrame) -> DataFrame:
+        return todo.select("ref", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"), F.expr(none).alias("pages"))
+
+    def merge(batch: DataFrame, number: int) -> None:
+        once = batch.groupBy("ref").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "ref"]), "hash").alias("s")).select("ref", "s.*")
+        Compiler(batch.sparkSession, path).compile(once, ingest or noted, batch=number, now=now)
 
     return sources.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
