@@ -142,15 +142,36 @@ def overlap_terms(c, common: list[str]) -> Column:
     return F.array_distinct(F.filter(s, lambda w: (F.char_length(w) > 4) & ~w.isin(common)))
 
 
+#: The two forms of a citation, [source: x] or [ref: x], and [[x]].
+CITED = r"\[(source|ref):\s*([\w/_.-]+)\]|\[\[([\w/_.-]+)\]\]"
+#: Characters on either side of a citation that are its context.
+AROUND = 50
+
+
 def citations(c) -> Column:
-    """Array of (kind, path) cited as [source: x], [ref: x] or [[x]]; unsafe paths are left out, the first of equal ones stays."""
-    found = F.regexp_extract_all(col(c), F.lit(r"(\[(?:source|ref):\s*[^\]\n]+\]|\[\[[^\]|\n]+\]\])"), F.lit(1))
+    """Array of (kind, path, context) in order: [source: x] and [[x]] are wiki, [ref: x] is raw, and so is any path under raw/.
+
+    Paths that lead upward or to the root, or with an empty part or one that begins with a dot, are left
+    out. Of equal kind and path the first stays. The context is the citation with what stands around it,
+    trimmed. A null text has no citations.
+    """
+    # groups: before, whole, form, path, path, after; a look back of every length up to AROUND finds all that is there
+    around = rf"(?Us)(?=\[)(?<=(.{{{AROUND}}}|\A.{{0,{AROUND - 1}}}))({CITED})(?=(.{{0,{AROUND}}}))"
+    text = F.coalesce(col(c), F.lit(""))
+    part = lambda k: F.regexp_extract_all(text, F.lit(around), F.lit(k))
+    before, whole, form, old, new, after = (part(k) for k in range(1, 7))
+    found = F.arrays_zip(before.alias("before"), whole.alias("whole"), form.alias("form"), old.alias("old"), new.alias("new"), after.alias("after"))
 
     def one(x):
-        path = F.trim(F.regexp_replace(x, r"^\[(?:source|ref):|^\[\[|\]\]?$", ""))
-        return F.struct(F.when(F.startswith(path, F.lit("raw/")) | F.startswith(x, F.lit("[source")), "raw").otherwise("wiki").alias("kind"), path.alias("path"))
-
-    return F.array_distinct(F.filter(F.transform(found, one), lambda s: ~F.contains(s["path"], F.lit("..")) & ~s["path"].rlike(r"^/|^\.|//|/\.|^$")))
+        path = F.concat(x["old"], x["new"])
+        kind = F.when((x["form"] == "ref") | F.startswith(path, F.lit("raw/")), "raw").otherwise("wiki")
+        return F.struct(kind.alias("kind"), path.alias("path"), F.regexp_replace(F.concat(x["before"], x["whole"], x["after"]), r"(?U)\A\s+|\s+\z", "").alias("context"))
+
+    safe = F.filter(F.transform(found, one), lambda s: ~F.contains(s["path"], F.lit("..")) & ~s["path"].rlike(r"\A[/.]|//|/\.|/\z"))
+    key = lambda s: F.concat(s["kind"], F.lit(":"), s["path"])
+    # the lambda binds the list, so that it is made once
+    first = lambda all_: F.filter(all_, lambda s, i: F.array_position(F.transform(all_, key), key(s)) == i + 1)
+    return F.element_at(F.transform(F.array(safe), first), 1)
 
 
 #: Kinds of callouts.

@@ -74,7 +74,7 @@ def ask(pages: DataFrame, question: str, model: Callable[[str], str] = models.st
     answer = F.when(empty, NOTHING).when(low, F.concat(F.lit("Coverage "), F.format_number("coverage_confidence", 2), F.lit(f" below threshold {retrieval.COVERED}. Consider rephrasing or widening the query."))).otherwise(F.col("reply"))
     stale = F.transform(F.filter("f", lambda x: x["stale"] & F.array_contains("context_pages", x["id"])), lambda x: x["id"])
     return replied.withColumn("answer", answer).select(
-        F.lit(question).alias("question"), F.lit(asked).alias("asked"), "answer", F.when(empty, F.array().cast("array<struct<kind:string,path:string>>")).otherwise(text.citations("answer")).alias("citations"),
+        F.lit(question).alias("question"), F.lit(asked).alias("asked"), "answer", F.when(empty, F.array().cast("array<struct<kind:string,path:string,context:string>>")).otherwise(text.citations("answer")).alias("citations"),
         F.transform("f", lambda x: x["id"]).alias("source_pages"), "context_pages", stale.alias("stale_citations"), "search_mode", "coverage_confidence", low.alias("low_confidence"),
         F.when(low, rephrasings(F.lit(asked), F.transform("f", lambda x: x["title"]))).otherwise(F.array().cast("array<string>")).alias("rephrasings"),
     )

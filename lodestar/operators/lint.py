@@ -96,27 +96,36 @@ def source_coverage(refs: DataFrame, cited: DataFrame) -> DataFrame:
     return refs.join(cited.select(F.col("ref").alias("c")).distinct(), F.col("ref") == F.col("c"), "left_anti")
 
 
-#: Characters of the strings that slugs are compared by, strings of a slug that must meet one of another, longest slug that is compared by deletions.
-GRAM, PREFIX = 2, 2 * ALIKE + 1
-SHORT = PREFIX + GRAM
+#: Longest slug that is compared by deletions; shortest slugs of which strings of 4 and of 5 characters are compared.
+SHORT, FOUR, FIVE = 12, 16, 32
+#: Strings of a slug that are looked up: one more than edits can spoil.
+KEYS = ALIKE + 1
 
 
-def alike_slugs(ids: DataFrame) -> DataFrame:
-    """(id, id2, distance): pairs of ids at an edit distance of 1 to ALIKE.
+def _grams(s: DataFrame, q: str, where: str) -> DataFrame:
+    """(id, s, n, q, at, g): all strings of q characters of slugs (id, s, n)."""
+    made = f"transform(sequence(1, n - {q} + 1), i -> substring(s, cast(i as int), {q}))"
+    return s.where(where).select("id", "s", "n", F.expr(q).alias("q"), F.posexplode(F.expr(made)).alias("at", "g"))
 
-    An edit changes at most GRAM of the two-character strings of a slug, so among the PREFIX rarest
-    strings of each of two near slugs one is in both, moved by at most ALIKE places. Strings that
-    many slugs have are never keys of long slugs. Slugs of up to SHORT characters have too few
-    strings; they and slugs up to ALIKE longer meet in what is left of them after up to ALIKE deletions.
-    """
-    s = ids.select("id", F.lower(F.replace("id", F.lit("_"), F.lit("-"))).alias("s")).withColumn("n", F.char_length("s"))
-    grams = s.where(F.col("n") > SHORT).select("id", "s", "n", F.posexplode(F.expr(f"transform(sequence(1, n - {GRAM} + 1), i -> substring(s, cast(i as int), {GRAM}))")).alias("at", "g"))
+
+def alike_candidates(ids: DataFrame) -> DataFrame:
+    """(id, s, id2, s2): the pairs that alike_slugs() measures, each once."""
+    s = saved(ids.select("id", F.lower(F.replace("id", F.lit("_"), F.lit("-"))).alias("s")).withColumn("n", F.char_length("s")), "slugs")
+    own = f"CASE WHEN n < {FOUR} THEN 3 WHEN n < {FIVE} THEN 4 ELSE 5 END"
+    # strings of every length that a slug of a near length may be looked up by
+    every = [_grams(s, str(q), f"n > {SHORT} AND n BETWEEN {low} AND {high}") for q, low, high in ((3, 0, FOUR - 1 + ALIKE), (4, FOUR - ALIKE, FIVE - 1 + ALIKE), (5, FIVE - ALIKE, 1 << 30))]
+    grams = saved(every[0].unionByName(every[1]).unionByName(every[2]), "grams")
     often = grams.groupBy(F.col("g").alias("k")).agg(F.count("*").alias("df")).hint("rebalance")
-    rare = grams.join(often, F.col("g") == F.col("k")).groupBy("id", "s", "n").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "g", "at"))), 1, PREFIX).alias("p"))
-    rare = saved(rare.select("id", "s", "n", F.explode("p").alias("x")).select("id", "s", "n", F.col("x.g").alias("g"), F.col("x.at").alias("at")), "grams")
-    other = rare.select(*[F.col(c).alias(f"{c}2") for c in rare.columns])
+    mine = grams.where(f"q = {own}").join(often, F.col("g") == F.col("k"))
+    listed = mine.groupBy("id", "s", "n", "q").agg(F.array_sort(F.collect_list(F.struct("df", "g", "at"))).alias("p"))
+    # the rarest strings that do not overlap: an edit spoils one of them at most. Where a slug is too short for a free choice they begin at multiples of their length
+    free = F.expr(f"""aggregate(p, cast(array() as array<struct<df:bigint,g:string,at:int>>), (acc, x) ->
+      if(size(acc) < {KEYS} AND NOT exists(acc, y -> abs(y.at - x.at) < q), array_append(acc, x), acc))""")
+    tiled = F.slice(F.filter("p", lambda x: x["at"] % F.col("q") == 0), 1, KEYS)
+    keys = listed.select("id", "s", "n", F.explode(F.when(F.col("n") >= (KEYS - 1) * (2 * F.col("q") - 1) + F.col("q"), free).otherwise(tiled)).alias("x")).select("id", "s", "n", F.col("x.g").alias("g"), F.col("x.at").alias("at"))
+    other = grams.select(F.col("id").alias("id2"), F.col("s").alias("s2"), F.col("n").alias("n2"), F.col("g").alias("g2"), F.col("at").alias("at2"))
     near = (F.abs(F.col("n") - F.col("n2")) <= ALIKE) & (F.abs(F.col("at") - F.col("at2")) <= ALIKE) & (F.col("id") < F.col("id2"))
-    met = rare.join(other, (F.col("g") == F.col("g2")) & near).select("id", "s", "id2", "s2")
+    met = keys.join(other, (F.col("g") == F.col("g2")) & near).select("id", "s", "id2", "s2")
     # every way to leave out up to ALIKE characters of a short slug
     less = "array_distinct(flatten(transform({}, w -> array_union(array(w), transform(sequence(1, greatest(length(w), 1)), i -> concat(substring(w, 1, cast(i - 1 as int)), substring(w, cast(i + 1 as int), length(w))))))))"
     left = "array(s)"
@@ -125,8 +134,18 @@ def alike_slugs(ids: DataFrame) -> DataFrame:
     few = s.where(F.col("n") <= SHORT + ALIKE).select("id", "s", "n", F.explode(F.expr(left)).alias("d"))
     few2 = few.select(*[F.col(c).alias(f"{c}2") for c in few.columns])
     short = few.join(few2, (F.col("d") == F.col("d2")) & (F.least("n", "n2") <= SHORT) & (F.abs(F.col("n") - F.col("n2")) <= ALIKE) & (F.col("id") < F.col("id2"))).select("id", "s", "id2", "s2")
-    pairs = met.union(short).distinct()
-    return pairs.withColumn("distance", F.levenshtein("s", "s2", ALIKE)).where(f"distance BETWEEN 1 AND {ALIKE}").select("id", "id2", "distance")
+    return met.union(short).distinct()
+
+
+def alike_slugs(ids: DataFrame) -> DataFrame:
+    """(id, id2, distance): pairs of ids at an edit distance of 1 to ALIKE.
+
+    ALIKE edits spoil at most ALIKE of a slug's strings that do not overlap, so of any KEYS of them one
+    stands in the other slug, moved by at most ALIKE places. The rarest ones are looked up, by equal
+    joins, so what many slugs share, such as a prefix, is no key. Slugs of up to SHORT characters have
+    too few strings; they and slugs up to ALIKE longer meet in what is left of them after deletions.
+    """
+    return alike_candidates(ids).withColumn("distance", F.levenshtein("s", "s2", ALIKE)).where(f"distance BETWEEN 1 AND {ALIKE}").select("id", "id2", "distance")
 
 
 #: Callouts of a page, and of a report.

@@ -128,10 +128,19 @@ def t15(spark, sf):
     return over_documents(spark, sf, n=F.size(text.connection_terms("t")).cast("long"))
 
 
-@query("t17_citations", sql_documents(cited="'raw:raw/a' || doc_id || '.md,wiki:concepts/b'"))
+_CITING = "x [source: concepts/a{}] y [ref: papers/b] [[concepts/b]] [ref:concepts/b] [[concepts/b]] [source: concepts/b] [[raw/c.md]] [source: raw/d_1.md] [ref: ../c] [ref: a/.hidden] [source: e//f] [ref: /g] [[h/]] [source: i j] [[k|l]] [[m]]"
+
+
+@query("t17_citations", f"""WITH d AS (SELECT doc_id, {HEAD} || chr(10) || '{_CITING.split("{}")[0]}' || doc_id || '{_CITING.split("{}")[1]}' || chr(10) || {TAIL} AS t FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+m AS (SELECT DISTINCT doc_id, t, unnest(regexp_extract_all(t, '\\[(?:source|ref):\\s*[\\p{{L}}\\p{{N}}/_.-]+\\]|\\[\\[[\\p{{L}}\\p{{N}}/_.-]+\\]\\]')) AS w FROM d),
+k AS (SELECT doc_id, t, w, instr(t, w) AS spot, regexp_replace(w, '^\\[\\[|^\\[(source|ref):\\s*|\\]+$', '', 'g') AS path FROM m),
+f AS (SELECT *, CASE WHEN w LIKE '[ref%' OR path LIKE 'raw/%' THEN 'raw' ELSE 'wiki' END AS kind FROM k WHERE path NOT LIKE '%..%' AND len(list_filter(string_split(path, '/'), lambda s: s = '' OR s LIKE '.%')) = 0)
+SELECT doc_id, kind, path, regexp_replace(arg_min(substr(t, greatest(spot - {text.AROUND}, 1), spot - greatest(spot - {text.AROUND}, 1) + length(w) + {text.AROUND}), spot), '^\\s+|\\s+$', '', 'g') AS context FROM f GROUP BY 1, 2, 3""")
 def t17(spark, sf):
-    marker = F.concat(F.lit("x [source: raw/a"), F.col("doc_id").cast("string"), F.lit(".md] y [[concepts/b]] z [[concepts/b]] [ref: ../c] [ref: .hidden]"))
-    return over_documents(spark, sf, cited=F.array_join(F.transform(text.citations(planted(marker)), lambda c: F.concat(c["kind"], F.lit(":"), c["path"])), ","))
+    """Citations of all forms among the words of every text, with what stands around them."""
+    head, tail = _CITING.split("{}")
+    found = over_documents(spark, sf, cited=text.citations(planted(F.concat(F.lit(head), F.col("doc_id").cast("string"), F.lit(tail)))))
+    return found.select("doc_id", F.inline("cited"))
 
 
 @query("t19_callouts", "SELECT doc_id, length(t) - length(replace(t, chr(10), '')) + 2 AS line, 'gap' AS marker FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WHERE length(t) < 1000000")
