@@ -67,46 +67,157 @@ def weak_components(nodes: DataFrame, e: DataFrame) -> DataFrame:
             return now
 
 
-def cycles(e: DataFrame, longest: int = 4) -> DataFrame:
-    """Simple cycles of 2 to `longest` pages, each from its smallest id, as text."""
-    walk, found = e.select(F.col("src").alias("head"), F.col("dst").alias("tail"), F.array("src", "dst").alias("path")).where("head < tail"), None
-    step = e.select(F.col("src").alias("s"), F.col("dst").alias("d"))
-    for _ in range(2, longest + 1):
-        closed = walk.join(step, (F.col("tail") == F.col("s")) & (F.col("d") == F.col("head"))).select(F.size("path").cast("long").alias("length"), F.array_join("path", " > ").alias("path"))
-        found = closed if found is None else found.union(closed)
-        walk = walk.join(step, F.col("tail") == F.col("s")).where("d > head AND NOT array_contains(path, d)").select("head", F.col("d").alias("tail"), F.array_append("path", F.col("d")).alias("path"))
+def _trimmed(e: DataFrame, rounds: int = 2) -> DataFrame:
+    """Edges (src, dst) without those whose ends have no way in or no way on, as a table: none of these is in a cycle. A few rounds take most of them."""
+    for _ in range(rounds):
+        cut = e.join(e.select(F.col("dst").alias("x")).distinct(), F.col("src") == F.col("x"), "left_semi")
+        cut = saved(cut.join(e.select(F.col("src").alias("x")).distinct(), F.col("dst") == F.col("x"), "left_semi"), "edges")
+        drop_saved(e)
+        e = cut
+    return e
+
+
+def _first_before(e: DataFrame) -> DataFrame:
+    """(id, c) of every node of e (src, dst): the smallest id that reaches it along e, as a table.
+
+    What reaches a node's label reaches the node, so each round takes a step and then the label of the
+    label: the way that a label has come doubles from round to round.
+    """
+    now = saved(e.select(F.col("src").alias("id")).union(e.select("dst")).distinct().select("id", F.col("id").alias("c")), "labels")
+    while True:
+        low = e.join(now.select(F.col("id").alias("i"), F.col("c").alias("low")), F.col("src") == F.col("i")).groupBy("dst").agg(F.min("low").alias("low"))
+        step = now.join(low, F.col("id") == F.col("dst"), "left").select("id", F.least("c", F.coalesce("low", "c")).alias("c"), F.col("c").alias("was"))
+        # labels of the round before are no larger than needed: they reach their nodes too
+        jump = now.select(F.col("id").alias("j"), F.col("c").alias("further"))
+        nxt = saved(step.join(jump, F.col("c") == F.col("j"), "left").select("id", F.least("c", F.coalesce("further", "c")).alias("c"), "was"), "labels")
+        moved = not nxt.where("c <> was").isEmpty()
+        drop_saved(now)
+        now = nxt.select("id", "c")
+        if not moved:
+            return now
+
+
+def strong_components(e: DataFrame) -> DataFrame:
+    """(id, component) of the nodes that are in a cycle: each component by its smallest id.
+
+    The smallest id that reaches a node is its colour. Nodes that reach that id back, inside the colour,
+    are its component; they are taken out, and what is left is coloured anew.
+    """
+    left = _trimmed(saved(e.select("src", "dst").where("src <> dst").distinct(), "edges"))
+    found = saved(left.select(F.col("src").alias("id"), F.col("src").alias("component")).where("false"), "strong")
+    while not left.isEmpty():
+        colour = _first_before(left)
+        of = lambda end: colour.select(F.col("id").alias(f"{end}_id"), F.col("c").alias(f"{end}_c"))
+        same = left.join(of("src"), F.col("src") == F.col("src_id")).join(of("dst"), (F.col("dst") == F.col("dst_id")) & (F.col("src_c") == F.col("dst_c")))
+        same = saved(same.select("src", "dst"), "edges")
+        # the smallest id that a node reaches inside its colour; the colour is the smallest there is
+        back = _first_before(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        own = saved(back.select("id", F.col("c").alias("component")).join(colour.select(F.col("id").alias("i"), "c"), (F.col("id") == F.col("i")) & (F.col("component") == F.col("c"))).select("id", "component"), "own")
+        many = own.groupBy(F.col("component").alias("k")).agg(F.count("*").alias("n")).where("n > 1")
+        joined = saved(found.union(own.join(many, F.col("component") == F.col("k"), "left_semi")), "strong")
+        # a colour's own id is done with too, though nothing leads back to it
+        done = own.select("id").union(colour.where("id = c").select("id")).distinct()
+        rest = left.join(done.select(F.col("id").alias("x")), F.col("src") == F.col("x"), "left_anti").join(done.select(F.col("id").alias("y")), F.col("dst") == F.col("y"), "left_anti")
+        rest = saved(rest, "edges")
+        for table in (found, left, colour, same, back, own):
+            drop_saved(table)
+        found, left = joined, _trimmed(rest)
     return found
 
 
-def betweenness(nodes: DataFrame, e: DataFrame, rounds: int | None = None) -> DataFrame:
-    """(id, score): shares of shortest paths through a node, normalised; exact, from every source, by frames of (source, node). Paths of more than `rounds` links, if given, are an error."""
+def cycles(e: DataFrame, longest: int | None = None, most: int = 100) -> DataFrame:
+    """(length, path): simple cycles, each from its smallest id, as text; the first `most` by length and path, and then a row (0, "__truncated__") if there may be more.
+
+    Walks stay inside strongly connected components and grow by a link a round, from their smallest id
+    over larger ones, so a cycle is found once. Rounds end when `most` are found, at `longest` links if
+    that is given, or when no walk goes on.
+    """
+    part = strong_components(e)
+    of = lambda end: part.select(F.col("id").alias(f"{end}_id"), F.col("component").alias(f"{end}_c"))
+    inside = e.join(of("src"), F.col("src") == F.col("src_id")).join(of("dst"), (F.col("dst") == F.col("dst_id")) & (F.col("src_c") == F.col("dst_c")))
+    inside = saved(inside.where("src <> dst").select("src", "dst").distinct(), "inside")
+    step = inside.select(F.col("src").alias("s"), F.col("dst").alias("d"))
+    walk = inside.where("src < dst").select(F.col("src").alias("head"), F.col("dst").alias("tail"), F.array("src", "dst").alias("path"))
+    found, total, length = [], 0, 2
+    while True:
+        # walks that close, and walks that go on, by one join
+        on = walk.join(step, F.col("tail") == F.col("s")).where("d = head OR (d > head AND NOT array_contains(path, d))")
+        on = saved(on.select("head", F.col("d").alias("tail"), F.col("path").alias("own"), (F.col("d") == F.col("head")).alias("closes")), "walks")
+        found.append(on)
+        counts = on.agg(F.coalesce(F.sum(F.col("closes").cast("long")), F.lit(0)).alias("closed"), F.count("*").alias("n")).first()
+        total += counts["closed"]
+        if total >= most or length == longest or counts["closed"] == counts["n"]:
+            break
+        walk = on.where("NOT closes").select("head", "tail", F.array_append("own", F.col("tail")).alias("path"))
+        length += 1
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    out = out.where("closes").select(F.size("own").cast("long").alias("length"), F.array_join("own", " > ").alias("path"))
+    out = saved(out.orderBy("length", "path").limit(most), "cycles")  # a list of `most`
+    for done in (part, inside, *found):
+        drop_saved(done)
+    return out if total < most else out.union(e.sparkSession.range(1).select(F.lit(0).cast("long"), F.lit("__truncated__")))
+
+
+#: Sources that scores are taken from exactly, or estimated by; and sources that are followed at once.
+PIVOTS, BATCH = 500, 250
+
+
+def betweenness(nodes: DataFrame, e: DataFrame, rounds: int | None = None, pivots: int = PIVOTS, batch: int = BATCH, seed: int = 0) -> DataFrame:
+    """(id, score): shares of shortest paths through a node, normalised: from every source up to `pivots` nodes, else from so many that their ids' digests choose.
+
+    Sources are followed in batches, forward by layers of (source, node) that count paths, and back by
+    layers that share them out, so what is held at once is `batch` rows a node. Paths of more than
+    `rounds` links, if given, are an error. A graph of fewer than three nodes has scores of 0.
+    """
     n = nodes.count()
-    step = saved(e.select(F.col("src").alias("s"), F.col("dst").alias("d")))
-    layers = [saved(nodes.select(F.col("id").alias("root"), F.col("id").alias("v"), F.lit(1.0).alias("paths")))]
-    seen = layers[0].select("root", "v")
+    roots = nodes.select("id") if n <= pivots else nodes.select("id").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "id")), "id").limit(pivots)
+    # a list of `pivots` ids
+    roots = saved(roots.withColumn("nth", F.row_number().over(Window.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "id")), "id")) - 1), "roots")
+    step = saved(e.select(F.col("src").alias("s"), F.col("dst").alias("d")), "links")
+    parts = [_shares(roots.where(F.expr(f"nth div {batch} = {k}")).select("id"), step, rounds) for k in range(-(-min(n, pivots) // batch))]
+    scale = (1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0) * (n / pivots if n > pivots else 1.0)
+    total = None
+    for part in parts:
+        total = part if total is None else total.union(part)
+    if total is None:
+        return nodes.select("id", F.lit(0.0).alias("score"))
+    sums = total.groupBy("v").agg(F.sum("part").alias("part"))
+    return nodes.select("id").join(sums, F.col("id") == F.col("v"), "left").select("id", (F.coalesce("part", F.lit(0.0)) * scale).alias("score"))
+
+
+def _shares(roots: DataFrame, step: DataFrame, rounds: int | None) -> DataFrame:
+    """(v, part): what the paths from some sources give to every node between."""
+    layers = [saved(roots.select(F.col("id").alias("root"), F.col("id").alias("v"), F.lit(1.0).alias("paths")), "layer")]
+    seen = saved(layers[0].select("root", "v"), "seen")
     while True:
         nxt = layers[-1].join(step, F.col("v") == F.col("s")).groupBy("root", F.col("d").alias("v")).agg(F.sum("paths").alias("paths"))
-        nxt = saved(nxt.join(seen, ["root", "v"], "left_anti"))
+        nxt = saved(nxt.join(seen, ["root", "v"], "left_anti"), "layer")
         if nxt.isEmpty():
             break
         if rounds is not None and len(layers) > rounds:
             raise RuntimeError(f"shortest paths have more than {rounds} links")
-        seen = saved(seen.union(nxt.select("root", "v")))
+        more = saved(seen.union(nxt.select("root", "v")), "seen")
+        drop_saved(seen)
+        seen = more
         layers.append(nxt)
-    total, below = None, None
+    total, below, done = None, None, [nxt, seen]
     for upper, lower in zip(reversed(layers[:-1]), reversed(layers[1:])):
         low = lower.withColumn("part", F.lit(0.0)) if below is None else below
         up = upper.withColumnRenamed("paths", "own")
         flow = up.join(step, F.col("v") == F.col("s")).join(low.select(F.col("root").alias("r"), F.col("v").alias("w"), "paths", "part"), (F.col("root") == F.col("r")) & (F.col("d") == F.col("w")))
         flow = flow.groupBy("root", "v").agg(F.sum(F.col("own") / F.col("paths") * (1 + F.col("part"))).alias("part"))
-        below = saved(upper.join(flow, ["root", "v"], "left").withColumn("part", F.coalesce("part", F.lit(0.0))))
-        mine = below.where("root <> v").select("v", "part")
+        below = saved(upper.join(flow, ["root", "v"], "left").withColumn("part", F.coalesce("part", F.lit(0.0))), "below")
+        done.append(below)
+        mine = below.where("root <> v").groupBy("v").agg(F.sum("part").alias("part"))
         total = mine if total is None else total.union(mine)
-    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    sums = total.groupBy("v").agg(F.sum("part").alias("part")) if total is not None else None
-    if sums is None:
-        return nodes.select("id", F.lit(0.0).alias("score"))
-    return nodes.select("id").join(sums, F.col("id") == F.col("v"), "left").select("id", (F.coalesce("part", F.lit(0.0)) * scale).alias("score"))
+    if total is None:
+        total = layers[0].select("v", F.lit(0.0).alias("part"))
+    out = saved(total.groupBy("v").agg(F.sum("part").alias("part")), "shares")
+    for table in [*layers, *done]:
+        drop_saved(table)
+    return out
 
 
 def stats(nodes: DataFrame, e: DataFrame, k: int = 10) -> DataFrame:

@@ -173,7 +173,7 @@ def file_stale(pages: DataFrame) -> DataFrame:
     return issues(pages.where(F.col("file_day") > F.try_to_date("updated")), "frontmatter_stale", "info")
 
 
-def run_all(pages: DataFrame, links: DataFrame, edges: DataFrame, as_of: str, sources: DataFrame | None = None, longest: int = 4, slugs: bool = True) -> DataFrame:
+def run_all(pages: DataFrame, links: DataFrame, edges: DataFrame, as_of: str, sources: DataFrame | None = None, longest: int | None = None, slugs: bool = True) -> DataFrame:
     """The issues of all twelve checks: dead links, orphans, stubs, staleness by date, by file and of mature pages, drift of authors, metadata, uncited sources, cycles, slugs that look alike, callouts.
 
     pages are (id, type, title, content, source, created, updated, status, confidence, belief_state,
@@ -190,7 +190,9 @@ def run_all(pages: DataFrame, links: DataFrame, edges: DataFrame, as_of: str, so
     found.append(issues(wrong, "frontmatter", "error", message=F.col("e")))
     if sources is not None:
         found.append(issues(source_coverage(sources.select("ref"), pages.select(F.col("source").alias("ref"))), "source_coverage", "warning", "ref"))
-    found.append(issues(graph.cycles(edges, longest), "cycle", "info", "path"))
+    circles = saved(graph.cycles(edges, longest), "cycles")  # a list of a hundred
+    found.append(issues(circles.where("length > 0"), "cycle", "info", "path"))
+    found.append(issues(circles.where("length = 0"), "cycle", "warning", "path", F.lit("there may be more cycles than are listed")))
     if slugs:
         found.append(issues(alike_slugs(pages.select("id")), "duplicate_slug", "warning", target=F.col("id2"), message=F.concat(F.lit("distance "), F.col("distance").cast("string"))))
     found.append(issues(callout_report(pages), "inline_callout", "info", message=F.concat("marker", F.lit(" at line "), F.col("line").cast("string"))))

@@ -356,11 +356,28 @@ def g3(spark, sf):
     return graph.weak_components(p, e)
 
 
-@query("g5_cycles", f"WITH {EDGES} SELECT 2::BIGINT AS length, a.src || ' > ' || a.dst AS path FROM edges_ a JOIN edges_ b ON b.src = a.dst AND b.dst = a.src WHERE a.src < a.dst UNION ALL SELECT 3, a.src || ' > ' || a.dst || ' > ' || b.dst FROM edges_ a JOIN edges_ b ON b.src = a.dst AND b.dst > a.src AND b.dst <> a.dst JOIN edges_ c ON c.src = b.dst AND c.dst = a.src WHERE a.src < a.dst UNION ALL SELECT 4, a.src || ' > ' || a.dst || ' > ' || b.dst || ' > ' || c.dst FROM edges_ a JOIN edges_ b ON b.src = a.dst AND b.dst > a.src AND b.dst <> a.dst JOIN edges_ c ON c.src = b.dst AND c.dst > a.src AND c.dst NOT IN (a.dst, b.dst) JOIN edges_ d ON d.src = c.dst AND d.dst = a.src WHERE a.src < a.dst")
+@query("g5_cycles", f"""WITH RECURSIVE {EDGES}, k_ AS MATERIALIZED (FROM edges_), w_(head, tail, path) AS (SELECT src, dst, [src, dst] FROM k_ WHERE src < dst UNION ALL SELECT head, dst, list_append(path, dst) FROM w_ JOIN k_ ON src = tail WHERE dst > head AND NOT list_contains(path, dst) AND len(path) < 24),
+c_ AS (SELECT CAST(len(path) AS BIGINT) AS length, array_to_string(path, ' > ') AS path FROM w_ JOIN k_ ON src = tail AND dst = head ORDER BY 1, 2 LIMIT 100)
+SELECT * FROM c_ UNION ALL SELECT 0, '__truncated__' WHERE (SELECT count(*) FROM c_) = 100""")
 def g5(spark, sf):
+    """The first hundred cycles of any length."""
     return graph.cycles(graph_of(spark, sf)[2])
 
 
+@query("g4_bridges", f"""WITH RECURSIVE {EDGES}, k_ AS MATERIALIZED (FROM edges_), root_ AS MATERIALIZED (SELECT id AS root FROM pages_ ORDER BY md5('0:' || id), id LIMIT {graph.PIVOTS}),
+far_(root, v, d) USING KEY (root, v) AS (SELECT root, root, 0 FROM root_ UNION SELECT f.root, dst, min(d) + 1 FROM far_ f JOIN k_ ON src = v WHERE NOT EXISTS (SELECT 1 FROM recurring.far_ r WHERE r.root = f.root AND r.v = dst) GROUP BY 1, 2),
+at_ AS MATERIALIZED (FROM far_), way_ AS MATERIALIZED (SELECT a.root, a.v AS a, b.v AS b, a.d AS d FROM at_ a JOIN k_ ON src = a.v JOIN at_ b ON b.root = a.root AND b.v = dst AND b.d = a.d + 1),
+paths_(root, v, n) AS (SELECT root, root, 1::DOUBLE FROM root_ UNION ALL SELECT w.root, w.b, sum(n) FROM paths_ p JOIN way_ w ON w.root = p.root AND w.a = p.v GROUP BY 1, 2), n_ AS MATERIALIZED (FROM paths_),
+share_(k, root, v, part) AS (SELECT d, root, v, 0::DOUBLE FROM at_ WHERE d = (SELECT max(d) FROM at_) UNION ALL
+  SELECT t.d, t.root, t.v, coalesce(sum(x.part), 0) FROM (SELECT min(k) - 1 AS k FROM share_) l JOIN at_ t ON t.d = l.k LEFT JOIN (SELECT w.root, w.a, up.n / low.n * (1 + s.part) AS part FROM share_ s JOIN way_ w ON w.root = s.root AND w.b = s.v JOIN n_ up ON up.root = w.root AND up.v = w.a JOIN n_ low ON low.root = w.root AND low.v = w.b) x ON x.root = t.root AND x.a = t.v GROUP BY 1, 2, 3),
+sum_ AS (SELECT v, sum(part) AS part FROM share_ WHERE root <> v GROUP BY 1), one_ AS (SELECT count(*)::DOUBLE AS total FROM pages_)
+SELECT id, round(coalesce(part, 0) / ((total - 1) * (total - 2)) * greatest(total / {graph.PIVOTS}, 1), 8) AS score FROM pages_ CROSS JOIN one_ LEFT JOIN sum_ ON v = id""")
+def g4(spark, sf):
+    """How much every page lies between others, from all pages or from as many as PIVOTS."""
+    p, _, e = graph_of(spark, sf)
+    return graph.betweenness(p, e, batch=graph.PIVOTS).select("id", F.round("score", 8).alias("score"))
+
+
 TERMS_MIN = 3
 
 
