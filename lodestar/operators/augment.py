@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
+from ..session import drop_saved, saved, ship
 from . import models
 
 #: Fetches an hour in all, of a host, and of a run; largest page; characters of a text that relevance is judged by.
@@ -22,25 +23,33 @@ COMPLETE = ["done", *ENDS]
 def fetch_limited(calls: DataFrame, an_hour: int = AN_HOUR, a_host: int = A_HOST, a_run: int = A_RUN, seconds: int = 3600) -> DataFrame:
     """(entry, accepted, retry) of fetches (run, host, entry, at in seconds): limits of a run, of all hosts and of one host; retry is the seconds to wait.
 
-    An answer depends on all answers of the hour before, so the calls are gone through in order of
-    time by one task, which by the limits keeps an_hour times and the counts of runs; calls stream by.
+    An answer depends on all answers of the hour before, so the calls of a segment (see records.segments)
+    are gone through in order of time; segments are gone through apart, and calls stream by. A run's limit
+    holds across segments: each begins with what earlier ones have accepted, taken from the round before,
+    until a round changes nothing of it. The first segment is right at once, and each round makes the next
+    one right that the limit of a run reaches into, so rounds end, and with the answers of one single pass.
     """
     from collections import deque
 
     import pyarrow as pa
+    from pyspark.sql import Window
+
+    from . import records
 
     def run(batches):
-        every, hosts, runs = deque(), {}, {}
+        own, every, hosts, runs = None, deque(), {}, {}
         for batch in batches:
             ok, wait = [], []
-            for r, host, at in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3))):
+            for segment, r, host, at, before in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 4, 5))):
+                if segment != own:
+                    own, every, hosts, runs = segment, deque(), {}, {}
                 while every and every[0][0] < at - seconds:  # what leaves the window leaves its host too
                     _, h = every.popleft()
                     hosts[h].popleft()
                     if not hosts[h]:
                         del hosts[h]
                 full = every if len(every) >= an_hour else hosts.get(host, ()) if len(hosts.get(host, ())) >= a_host else None
-                spent = runs.get(r, 0) >= a_run
+                spent = runs.get(r, 0) + before >= a_run
                 ok.append(not spent and full is None)
                 first = None if full is None else full[0][0] if full is every else full[0]
                 wait.append(0 if spent or first is None else max(1, first + seconds - at + 1))
@@ -48,9 +57,29 @@ def fetch_limited(calls: DataFrame, an_hour: int = AN_HOUR, a_host: int = A_HOST
                     every.append((at, host))
                     hosts.setdefault(host, deque()).append(at)
                     runs[r] = runs.get(r, 0) + 1
-            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(ok, pa.bool_()), pa.array(wait, pa.int64())], names=["entry", "accepted", "retry"])
-
-    return calls.select("run", "host", "entry", "at").coalesce(1).sortWithinPartitions("at", "entry").mapInArrow(run, "entry long, accepted boolean, retry long")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(ok, pa.bool_()), pa.array(wait, pa.int64())], names=["segment", "run", "entry", "accepted", "retry"])
+
+    cut = saved(records.segments(calls.select("run", "host", "entry", "at"), seconds, []), "calls")
+    kinds = {c: cut.schema[c].dataType.simpleString() for c in ("segment", "run", "entry")}
+    shape = ", ".join([*(f"{c} {k}" for c, k in kinds.items()), "accepted boolean, retry long"])
+    carried = saved(cut.select(F.col("run").alias("__run"), F.col("segment").alias("__segment"), F.lit(0).cast("long").alias("before")).where("false"), "carried")
+    while True:
+        met = cut.join(carried, F.col("run").eqNullSafe(F.col("__run")) & (F.col("segment") == F.col("__segment")), "left")
+        met = met.select("segment", "run", "host", "entry", "at", F.coalesce("before", F.lit(0)).cast("long").alias("before"))
+        out = saved(met.repartition("segment").sortWithinPartitions("segment", "at", "entry").mapInArrow(run, shape), "answers")
+        earlier = Window.partitionBy("run").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+        sums = out.groupBy("run", "segment").agg(F.sum(F.col("accepted").cast("long")).alias("n"))
+        # beyond the limit, how far does not matter
+        sums = sums.select(F.col("run").alias("__run"), F.col("segment").alias("__segment"), F.least(F.coalesce(F.sum("n").over(earlier), F.lit(0)), F.lit(a_run)).cast("long").alias("before")).where("before > 0")
+        now = saved(sums, "carried")
+        same = now.count() == carried.count() and now.exceptAll(carried).isEmpty()
+        drop_saved(carried)
+        if same:
+            drop_saved(now)
+            drop_saved(cut)
+            return out.select("entry", "accepted", "retry")
+        drop_saved(out)
+        carried = now
 
 
 def advances(log: DataFrame) -> DataFrame:
@@ -132,16 +161,60 @@ def quality(pages: DataFrame) -> DataFrame:
     return pages.select("id", F.when(reason.isNull(), "pass").otherwise("fail").alias("verdict"), reason.alias("reason"))
 
 
-def proposal_text() -> Column:
-    """A proposal (id, title, action, urls, reason) as a Markdown section."""
-    urls = F.array_join(F.transform("urls", lambda u: F.concat(F.lit("\n- "), u)), "")
-    return F.concat(F.lit("## "), F.col("id"), F.lit("\n\nTitle: "), F.translate("title", "\r\n", "  "), F.lit("\nAction: "), F.col("action"), F.lit("\nReason: "), F.translate(F.coalesce("reason", F.lit("")), "\r\n", "  "), F.lit("\nURLs:"), urls, F.lit("\n"))
+#: The lines of a proposal file, by what they hold.
+HEAD, TITLE, ACTION, URLS = r"##\s+\d+\.\s+(.+?)\s*", r"-\s+\*\*Title:\*\*\s+(.+?)\s*", r"-\s+\*\*Action:\*\*\s+(.+?)\s*", "- **URLs:**"
+URL, RATIONALE, REASON = r"\s{2}-\s+(\S+)\s*", r"-\s+\*\*Rationale:\*\*\s*(.*?)\s*", r"-\s+\*\*Reason:\*\*\s*(.*?)\s*"
+PROPOSAL = "id string, title string, action string, urls array<string>, rationale string, reason string"
+
+
+def proposal_text(nth: Column) -> Column:
+    """A proposal (id, title, action, urls, reason), and rationale if there is such a column's value, as a section of a proposal file; line breaks in a field become spaces."""
+    line = lambda name, c: F.concat(F.lit(f"- **{name}:** "), F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\R", " "), F.lit("\n"))
+    urls = F.array_join(F.transform("urls", lambda u: F.concat(F.lit("  - "), u, F.lit("\n"))), "")
+    told = F.when(F.col("action") == "propose", F.concat(F.lit(f"{URLS}\n"), urls, line("Rationale", "reason"))).otherwise(line("Reason", "reason"))
+    return F.concat(F.lit("## "), nth.cast("string"), F.lit(". "), F.col("id"), F.lit("\n"), line("Title", "title"), line("Action", "action"), told)
+
+
+def proposal_files(rows: DataFrame, at: str) -> DataFrame:
+    """(run, text): the proposal file of each run, from rows (run, nth, and a proposal's columns); a run has few proposals by its own limit."""
+    one = rows.select("run", F.struct("nth", proposal_text(F.col("nth")).alias("s")).alias("p"))
+    head = F.concat(F.lit("# Augment Proposals - run `"), F.substring("run", 1, 8), F.lit(f"`\nGenerated: {at}\n\nReview each proposal below; run `kb lint --augment --execute` to fetch + save to `raw/`.\n\n"))
+    return one.groupBy("run").agg(F.array_sort(F.collect_list("p")).alias("p")).select("run", F.concat(head, F.array_join("p.s", "\n")).alias("text"))
+
+
+class _Proposals:
+    """Rows of one proposal file: a table function, since a field's meaning depends on the lines before it."""
+
+    def eval(self, text: str):
+        import re
+
+        fields = [("title", re.compile(TITLE)), ("action", re.compile(ACTION)), ("rationale", re.compile(RATIONALE)), ("reason", re.compile(REASON))]
+        head, url = re.compile(HEAD), re.compile(URL)
+        found, listing = None, False
+        for line in [*(text or "").splitlines(), None]:
+            opens = line is not None and head.fullmatch(line)
+            if line is None or opens:
+                if found and "title" in found and "action" in found and (found["action"] != "propose" or found["urls"]):
+                    yield tuple(found.get(c) for c in ("id", "title", "action", "urls", "rationale", "reason"))
+                found, listing = {"id": opens[1].strip(), "urls": []} if opens else None, False
+            elif found is not None:
+                if listing and (one := url.fullmatch(line)):
+                    found["urls"].append(one[1])
+                    continue
+                listing = line.strip() == URLS
+                for name, form in fields:
+                    if one := form.fullmatch(line):
+                        found[name] = one[1].strip()
+                        break
 
 
 def proposals_of(texts: DataFrame, c: str = "text") -> DataFrame:
-    """(id, title, action, urls, reason) of the sections of proposal texts; what has no such form is left out."""
-    part = F.explode(F.split(F.concat(F.lit("\n"), F.col(c)), r"\n(?=## )"))
-    rows = texts.select(part.alias("s")).where(r"s rlike '^## [^\n]+\n'")
-    one = lambda name: F.regexp_extract("s", rf"(?m)^{name}: (.*)$", 1)
-    urls = F.regexp_extract_all(F.regexp_extract("s", r"(?s)\nURLs:(.*)", 1), F.lit(r"(?m)^- (\S+)$"), F.lit(1))
-    return rows.select(F.regexp_extract("s", r"^## ([^\n]+)", 1).alias("id"), one("Title").alias("title"), one("Action").alias("action"), urls.alias("urls"), F.nullif(one("Reason"), F.lit("")).alias("reason"))
+    """The columns of texts and those of PROPOSAL, a row for each section of a proposal file.
+
+    A section without a title or an action, or that proposes without an URL, is left out; lines of no known
+    form are passed over, and end a list of URLs. The last of several lines of one field counts. A null
+    text has no rows.
+    """
+    ship(texts.sparkSession)
+    parse = F.udtf(_Proposals, returnType=PROPOSAL)
+    return texts.lateralJoin(parse(F.col(c).outer()))

@@ -47,8 +47,8 @@ def checked(inputs: DataFrame, an_hour: int = AN_HOUR) -> DataFrame:
     """inputs (id, content, label, at) with line ends made equal, provenance, and why one is refused: size, secrets, or more than an_hour calls in an hour."""
     rows = inputs.withColumn("content", F.regexp_replace("content", "\r\n?", "\n")).withColumn("provenance", provenance(F.col("label"), F.col("at"), F.col("id")))
     rows = rows.withColumn("secret", text.secret_found(F.col("content"))).withColumn("reason", rejected(F.col("content"), F.col("secret"))).drop("secret")
-    calls = rows.where("reason IS NULL").select(F.lit(0).alias("key"), F.col("id").alias("entry"), F.col("at").cast("long").alias("at"))
-    late = records.limited(calls, an_hour).where("NOT accepted").select(F.col("entry").alias("e"))
+    calls = rows.where("reason IS NULL").select(F.col("id").alias("entry"), F.col("at").cast("long").alias("at"))
+    late = records.limited(calls, an_hour, by=[]).where("NOT accepted").select(F.col("entry").alias("e"))
     return rows.join(late, F.col("id") == F.col("e"), "left").withColumn("reason", F.when(F.col("e").isNotNull(), "rate limit").otherwise(F.col("reason"))).drop("e")
 
 

@@ -118,11 +118,10 @@ def alike_candidates(ids: DataFrame) -> DataFrame:
     often = grams.groupBy(F.col("g").alias("k")).agg(F.count("*").alias("df")).hint("rebalance")
     mine = grams.where(f"q = {own}").join(often, F.col("g") == F.col("k"))
     listed = mine.groupBy("id", "s", "n", "q").agg(F.array_sort(F.collect_list(F.struct("df", "g", "at"))).alias("p"))
-    # the rarest strings that do not overlap: an edit spoils one of them at most. Where a slug is too short for a free choice they begin at multiples of their length
-    free = F.expr(f"""aggregate(p, cast(array() as array<struct<df:bigint,g:string,at:int>>), (acc, x) ->
-      if(size(acc) < {KEYS} AND NOT exists(acc, y -> abs(y.at - x.at) < q), array_append(acc, x), acc))""")
-    tiled = F.slice(F.filter("p", lambda x: x["at"] % F.col("q") == 0), 1, KEYS)
-    keys = listed.select("id", "s", "n", F.explode(F.when(F.col("n") >= (KEYS - 1) * (2 * F.col("q") - 1) + F.col("q"), free).otherwise(tiled)).alias("x")).select("id", "s", "n", F.col("x.g").alias("g"), F.col("x.at").alias("at"))
+    # of every way to begin, strings one after another do not overlap, so an edit spoils one of them at most; the way of which KEYS are rarest
+    tiles = f"slice(filter(p, x -> x.at % q = o), 1, {KEYS})"
+    ways = F.expr(f"filter(transform(sequence(0, q - 1), o -> named_struct('worst', try_element_at({tiles}, {KEYS}).df, 'tiles', {tiles})), y -> y.worst IS NOT NULL)")
+    keys = listed.select("id", "s", "n", F.explode(F.array_min(ways)["tiles"]).alias("x")).select("id", "s", "n", F.col("x.g").alias("g"), F.col("x.at").alias("at"))
     other = grams.select(F.col("id").alias("id2"), F.col("s").alias("s2"), F.col("n").alias("n2"), F.col("g").alias("g2"), F.col("at").alias("at2"))
     near = (F.abs(F.col("n") - F.col("n2")) <= ALIKE) & (F.abs(F.col("at") - F.col("at2")) <= ALIKE) & (F.col("id") < F.col("id2"))
     met = keys.join(other, (F.col("g") == F.col("g2")) & near).select("id", "s", "id2", "s2")
@@ -142,8 +141,10 @@ def alike_slugs(ids: DataFrame) -> DataFrame:
 
     ALIKE edits spoil at most ALIKE of a slug's strings that do not overlap, so of any KEYS of them one
     stands in the other slug, moved by at most ALIKE places. The rarest ones are looked up, by equal
-    joins, so what many slugs share, such as a prefix, is no key. Slugs of up to SHORT characters have
-    too few strings; they and slugs up to ALIKE longer meet in what is left of them after deletions.
+    joins, so what many slugs share, such as a prefix, is no key as long as KEYS strings lie outside it;
+    where they don't, a shared one is a key, and the slugs that share it are all compared. Slugs of up to
+    SHORT characters have too few strings; they and slugs up to ALIKE longer meet in what is left of them
+    after deletions.
     """
     return alike_candidates(ids).withColumn("distance", F.levenshtein("s", "s2", ALIKE)).where(f"distance BETWEEN 1 AND {ALIKE}").select("id", "id2", "distance")
 

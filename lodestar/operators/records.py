@@ -122,21 +122,42 @@ def latest_state(log: DataFrame) -> DataFrame:
     return log.groupBy("item").agg(F.max_by("state", F.struct("ts", "nth")).alias("state"))
 
 
-def limited(calls: DataFrame, cap: int, seconds: int = 3600) -> DataFrame:
-    """(entry, accepted) of calls (key, entry, at in seconds): at most cap accepted calls in a sliding window; rejected calls are not counted.
+def segments(calls: DataFrame, seconds: int, by: list[str]) -> DataFrame:
+    """calls with segment: a number that changes, within the columns of by, wherever no call came for longer than `seconds`.
 
-    The rule depends on earlier answers, so a key's calls are gone through in order of time. They
-    stream by in batches; what is kept of a key is its accepted calls of one window, cap at most.
+    After such a gap nothing of a sliding window is left, so segments can be gone through apart. There are
+    no such gaps inside a stretch of `seconds`, so only each stretch's first and last call are compared.
+    """
+    bins = calls.groupBy(*[F.col(c).alias(f"__{c}") for c in by], F.floor(F.col("at") / seconds).alias("__bin")).agg(F.min("at").alias("__lo"), F.max("at").alias("__hi"))
+    # a row for each stretch of time, whatever the number of calls
+    order = Window.partitionBy(*[f"__{c}" for c in by]).orderBy("__bin")
+    begins = F.coalesce(F.col("__lo") - F.lag("__hi").over(order) > seconds, F.lit(True))
+    bins = bins.withColumn("__new", begins).withColumn("segment", F.last(F.when(F.col("__new"), F.col("__bin")), ignorenulls=True).over(order)).drop("__new", "__lo", "__hi")
+    on = F.floor(F.col("at") / seconds) == F.col("__bin")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return calls.join(bins.hint("rebalance"), on).drop("__bin", *[f"__{c}" for c in by])
+
+
+def limited(calls: DataFrame, cap: int, seconds: int = 3600, by: list[str] | None = None) -> DataFrame:
+    """(entry, accepted) of calls (key, entry, at in seconds): at most cap accepted calls of a key in a sliding window; rejected calls are not counted.
+
+    With by, other columns stand for the key; none, and the limit is one for all calls. The rule depends
+    on earlier answers, so the calls of a segment (see segments) are gone through in order of time. They
+    stream by in batches; what is kept is the accepted calls of one window, cap at most.
     """
     from collections import deque
 
     import pyarrow as pa
 
+    by = ["key"] if by is None else by
+
     def run(batches):
         key, live = None, deque()
         for batch in batches:
             out = []
-            for k, at in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+            *keys, entries, times = batch.columns
+            for at, *k in zip(times.to_pylist(), *(c.to_pylist() for c in keys)):
                 if k != key:
                     key, live = k, deque()
                 while live and live[0] < at - seconds:
@@ -144,6 +165,7 @@ def limited(calls: DataFrame, cap: int, seconds: int = 3600) -> DataFrame:
                 out.append(len(live) < cap)
                 if out[-1]:
                     live.append(at)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.bool_())], names=["entry", "accepted"])
+            yield pa.RecordBatch.from_arrays([entries, pa.array(out, pa.bool_())], names=["entry", "accepted"])
 
-    return calls.select("key", "entry", "at").repartition("key").sortWithinPartitions("key", "at", "entry").mapInArrow(run, "entry long, accepted boolean")
+    cut = segments(calls.select(*by, "entry", "at"), seconds, by).select(*by, "segment", "entry", "at")
+    return cut.repartition(*by, "segment").sortWithinPartitions(*by, "segment", "at", "entry").mapInArrow(run, f"entry {calls.schema['entry'].dataType.simpleString()}, accepted boolean")

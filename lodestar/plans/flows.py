@@ -152,13 +152,14 @@ def f6(spark, sf):
     return augment.quality(pages(spark, sf)).select("id", "verdict")
 
 
-@query("f7_proposals", f"WITH {PAGES} SELECT id, replace(replace(title, chr(13), ' '), chr(10), ' ') AS title, CASE WHEN n % 3 = 0 THEN 'abstain' ELSE 'propose' END AS action, CASE WHEN n % 3 = 0 THEN '' ELSE 'https://a.org/' || n || ' https://b.org/' END AS urls FROM pages_ WHERE trim(title) <> ''")
+@query("f7_proposals", f"""WITH {PAGES} SELECT id, regexp_replace(regexp_replace(title, '[\\r\\n]', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS title, CASE WHEN n % 3 = 0 THEN 'abstain' ELSE 'propose' END AS action,
+CASE WHEN n % 3 = 0 THEN '' ELSE 'https://a.org/' || n || ' https://b.org/' END AS urls, CASE WHEN n % 3 = 0 THEN 'none of ' || n ELSE NULL END AS reason, CASE WHEN n % 3 = 0 THEN NULL ELSE 'none of ' || n END AS rationale FROM pages_ WHERE regexp_replace(title, '\\s', '', 'g') <> ''""")
 def f7(spark, sf):
-    """Proposals written as text and read again."""
-    p = pages(spark, sf).where("trim(title) <> ''")
+    """Proposals written as files, one for every ten, and read again."""
+    p = pages(spark, sf).where(r"regexp_replace(title, '\\s', '') <> ''")
     urls = F.when(F.col("n") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("https://a.org/"), F.col("n").cast("string")), F.lit("https://b.org/")))
-    rows = p.select("id", "title", F.when(F.col("n") % 3 == 0, "abstain").otherwise("propose").alias("action"), urls.alias("urls"), F.lit("why").alias("reason"))
-    return augment.proposals_of(rows.select(augment.proposal_text().alias("text"))).select("id", "title", "action", F.array_join("urls", " ").alias("urls"))
+    rows = p.select("id", "title", F.when(F.col("n") % 3 == 0, "abstain").otherwise("propose").alias("action"), urls.alias("urls"), F.concat(F.lit("none of "), F.col("n").cast("string")).alias("reason"), (F.col("n") % 10 + 1).alias("nth"), F.expr("cast(n div 10 as string)").alias("run"))
+    return augment.proposals_of(augment.proposal_files(rows, AS_OF)).select("id", "title", "action", F.array_join("urls", " ").alias("urls"), "reason", "rationale")
 
 
 @query("src10_fetched", "SELECT page_id, CASE WHEN regexp_matches(url, '^https?://([^/@]*@)?([^/]*\\.)?example\\.com([:/?#]|$)') THEN strlen(html) <= 5242880 ELSE false END AS inside FROM pages")

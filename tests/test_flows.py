@@ -120,7 +120,7 @@ def test_proposals(spark):
     assert rows["entities/a b"]["urls"] == ["https://arxiv.org/1"] and rows["entities/a b"]["action"] == "propose"
     assert rows["entities/c"]["action"] == "abstain" and rows["entities/c"]["reason"] == "no allowlisted URLs in proposer response"
     assert {r["reason"] for r in augment.proposals(gaps, ["arxiv.org"]).collect()} == {"no model"}
-    back = augment.proposals_of(augment.proposals(gaps, ["arxiv.org"], model).select(augment.proposal_text().alias("text"))).collect()
+    back = augment.proposals_of(augment.proposals(gaps, ["arxiv.org"], model).select(augment.proposal_text(F.lit(1)).alias("text"))).collect()
     assert {(r["id"], r["action"], tuple(r["urls"])) for r in back} == {("entities/a b", "propose", ("https://arxiv.org/1",)), ("entities/c", "abstain", ())}
     assert [r["score"] for r in augment.relevance(gaps.withColumn("content", F.lit("x"))).collect()] == [0.5, 0.5]
     assert [r["score"] for r in augment.relevance(gaps.withColumn("content", F.lit("x")), lambda p: "none").collect()] == [0.0, 0.0]
