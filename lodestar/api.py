@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import answering, capture, consistency, graph, ingest, lint, models, publish, records, retrieval
+from .operators import answering, capture, compiling, consistency, graph, ingest, linking, lint, models, publish, records, retrieval, vectors
 
 
 class Wiki:
@@ -57,6 +57,28 @@ class Wiki:
         """Write the search index; retrieval.ask_index() asks it."""
         retrieval.write_index(self.pages, path)
 
+    def compile(self, path: str, sources: DataFrame, take_in, **how) -> compiling.Report:
+        """Take in what is new or changed of sources into the tables at path; see compiling.Compiler.compile."""
+        return compiling.Compiler(sources.sparkSession, path).compile(sources, take_in, **how)
+
+    def rebuild(self, path: str, now: str) -> dict[str, str]:
+        """Wipe what is derived from the tables at path and build its indexes anew."""
+        return compiling.Compiler(self.pages.sparkSession, path).rebuild(now)
+
+    def index_vectors(self, path: str) -> None:
+        """Build the index of the pages' vectors at path; hybrid() asks it."""
+        vectors.VectorIndex(self.pages.sparkSession, path).build(vectors.embedded(self.pages))
+
+    def hybrid(self, path: str, question: str, limit: int = 10) -> DataFrame:
+        """search() by terms and by the vectors of the index at path."""
+        k = max(1, min(limit, 100))
+        near = retrieval.asked_index(vectors.VectorIndex(self.pages.sparkSession, path), question, 2 * k)
+        return retrieval.search(self.pages, question, None, k, near=near)
+
+    def link_titles(self, titles: DataFrame) -> DataFrame:
+        """Pages with links to the titles (nth, title, target) that they mention."""
+        return linking.injected(self.pages, titles)
+
     def evolve(self) -> dict[str, DataFrame]:
         new = lint.dead_links(self.links, self.pages).groupBy("target").agg(F.count("*").alias("n"))
         return {"connections": records.connections(self.pages, self.edges), "new_pages": new, "stubs": lint.stubs(self.pages)}

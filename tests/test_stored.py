@@ -214,3 +214,16 @@ def test_an_index_is_swapped_whole(spark, tmp_path):
     assert index.ask([1.0, 0.0]).collect() == [] and index.ask_all(one.withColumnRenamed("id", "question")).collect() == []
     with pytest.raises(ValueError):
         index.build(spark.createDataFrame([("a", [])], "id string, embedding array<double>"))
+
+
+def test_the_facade_asks_the_index(spark, tmp_path):
+    from lodestar.api import Wiki
+
+    rows = [("c/a", "concept", "Alpha", "alpha beta gamma"), ("c/b", "concept", "Delta", "delta epsilon"), ("c/c", "concept", "Zeta", "zeta alpha")]
+    pages = spark.createDataFrame(rows, "id string, type string, title string, content string").withColumns({"status": F.lit("seed"), "authored_by": F.lit("llm"), "source": F.lit("raw/x.md"), "updated": F.lit("2024-01-01")})
+    wiki = Wiki(pages, spark.createDataFrame([], "src string, pos int, target string"), "2025-01-15")
+    wiki.index_vectors(f"{tmp_path}/v")
+    assert wiki.hybrid(f"{tmp_path}/v", "delta epsilon", 1).first()["id"] == "c/b"
+    assert wiki.hybrid(f"{tmp_path}/v", "the", 3).collect() == []
+    linked = wiki.link_titles(spark.createDataFrame([(0, "Alpha", "c/a")], "nth int, title string, target string")).collect()
+    assert [(r["id"], r["content"]) for r in linked] == [("c/c", "zeta [[c/a|Alpha]]")]
