@@ -146,7 +146,7 @@ def test_components_and_cycles_of_any_length(spark):
 
 
 def test_bridges_by_batches_and_pivots(spark):
-    pairs = random_pairs(5, 14, 40)
+    pairs = random_pairs(5, 10, 24)
     e, n = graph_of(spark, pairs)
     names, out = [r["id"] for r in n.collect()], defaultdict(list)
     for a, b in pairs:
