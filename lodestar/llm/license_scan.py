@@ -3,10 +3,14 @@
 A text is compared as a whole, by its blocks between blank lines, by its lines and by the sentences
 of its lines, so a licence file, a header of several lines and a notice in prose are all found.
 Every such unit is a sparse vector of terms, weighted by how rare they are among all documents of
-the corpus; the best cosine to a template decides. No unit is left out beforehand: a bound that no
-weight can exceed drops those that cannot reach the least cosine. A file without a licence of its
-own takes that of the licence file in the nearest directory above it, found by joining the paths of
-its ancestors.
+the corpus. A unit names the template of the best cosine, and any other whose terms it has in full.
+What a unit has of a template must say more than a licence that this one includes (the first lines
+of BSD-3 are those of BSD-2). Among what a text's units name, a licence gives way to one whose wording includes its own (BSD-2 to
+BSD-3, a reserved right to any licence), and of the rest that with the most matched weight leads: a
+whole licence outranks a short line beside it. No unit is left out beforehand: a bound that no weight
+can exceed drops those that cannot reach the least cosine. A file without a licence of its own takes
+that of the licence file in the nearest directory above it, found by joining the paths of its
+ancestors.
 """
 
 from __future__ import annotations
@@ -27,6 +31,11 @@ from .common import small_batches, written
 #: Least cosine of a unit to a template.
 LEAST = 0.6
 
+#: Disclaimers that several licences share.
+_ISC_DISCLAIMER = "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+_BSD_DISCLAIMER = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_BSD_CLAUSES = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_THIRD = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
 #: Licences by their identifiers, with the notices and passages that stand for them in headers and licence files.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -36,13 +45,18 @@ TEMPLATES = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("ISC", "Licensed under the ISC License."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("ISC", f"Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. {_ISC_DISCLAIMER}"),
     ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. Zero-Clause BSD"),
+    ("0BSD", f"Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. {_ISC_DISCLAIMER}"),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
-    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-2-Clause", _BSD_CLAUSES),
+    ("BSD-2-Clause", f"{_BSD_CLAUSES} {_BSD_DISCLAIMER}"),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted. Licensed under the BSD 3-Clause License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD-3-Clause", f"{_BSD_CLAUSES} 3. {_BSD_THIRD}"),
+    ("BSD-3-Clause", f"{_BSD_CLAUSES} 3. {_BSD_THIRD} {_BSD_DISCLAIMER}"),
+    ("BSD-3-Clause", _BSD_THIRD),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
@@ -82,6 +96,7 @@ TEMPLATES = [
     ("BSD-3-Clause", "BSD 3-Clause License"),
     ("BSD-2-Clause", "BSD 2-Clause License"),
     ("MIT", "The MIT License (MIT)"),
+    ("0BSD", "BSD Zero Clause License"),
     ("ISC", "ISC License"),
 ]
 #: Licences whose headers differ in a name and a version only, and the sentences of these headers.
@@ -95,7 +110,8 @@ HEADER = [
 TAGGED = sorted({name for name, *_ in [*TEMPLATES, *FAMILY]} - {"proprietary"})
 _TERM = re.compile(r"[^\W_]+(?:\.\d+)?")
 _STOP = re.compile(r"(?<=[.!?])\s+(?=\S)")
-OUTPUT = ["license", "score", "origin"]
+#: What gives way to every licence.
+LAST_RESORT = "proprietary"
 
 
 def templates() -> list[tuple[str, str]]:
@@ -117,6 +133,39 @@ def _vocabulary() -> dict[str, int]:
     return {t: i for i, t in enumerate(sorted({t for _, s in templates() for t in terms(s)}))}
 
 
+@lru_cache(1)
+def _support() -> tuple[np.ndarray, np.ndarray]:
+    """Terms x templates: whether the template has the term; and how many terms each has."""
+    vocabulary, all_ = _vocabulary(), templates()
+    out = np.zeros((len(vocabulary), len(all_)), bool)
+    for k, (_, s) in enumerate(all_):
+        out[[vocabulary[t] for t in terms(s)], k] = True
+    return out, out.sum(0)
+
+
+@lru_cache(1)
+def yields() -> list[list[str]]:
+    """By template, the licences that it gives way to: those whose templates together have all of its terms."""
+    all_ = templates()
+    own = [set(terms(s)) for _, s in all_]
+    wording: dict[str, set] = {}
+    for (name, _), t in zip(all_, own):
+        wording.setdefault(name, set()).update(t)
+    return [[other for other in sorted(wording) if other != name and other != LAST_RESORT and (name == LAST_RESORT or t <= wording[other])] for (name, _), t in zip(all_, own)]
+
+
+@lru_cache(1)
+def rivals() -> list[np.ndarray]:
+    """By template, the terms (licences x terms) of the licences that its licence includes: what a text has of the template must not be all in one of them."""
+    (support, _), all_, give = _support(), templates(), yields()
+    wording = {name: np.any(support[:, [k for k, (other, _) in enumerate(all_) if other == name]], axis=1) for name, _ in all_}
+    out = []
+    for k, (name, _) in enumerate(all_):
+        inner = sorted({all_[j][0] for j, other in enumerate(give) if name in other} - {LAST_RESORT})
+        out.append(np.array([wording[x] for x in inner if not wording[x][support[:, k]].all()], bool).reshape(-1, len(support)))
+    return out
+
+
 def frequencies(docs: DataFrame, text_col: str) -> DataFrame:
     """(term, df): in how many documents each term is, over whole texts; a task sends one row for a term of some hundreds of documents."""
     small_batches(docs.sparkSession)
@@ -149,23 +198,24 @@ def _units(text: str):
     return found, line_of, block_of
 
 
-def _matrix(idf: np.ndarray) -> np.ndarray:
-    """Unit vectors of the templates: terms x templates."""
+def _matrix(idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of the templates, terms x templates, and the norms they had."""
     vocabulary, all_ = _vocabulary(), templates()
     out = np.zeros((len(vocabulary), len(all_)))
     for k, (_, s) in enumerate(all_):
         for t, c in Counter(terms(s)).items():
             out[vocabulary[t], k] = c * idf[vocabulary[t]]
-    return out / np.linalg.norm(out, axis=0)
+    norms = np.linalg.norm(out, axis=0)
+    return out / norms, norms
 
 
 def near_units(text: str, idf: np.ndarray, matrix: np.ndarray, least: float) -> dict[bytes, tuple]:
-    """By key, (terms that no template has, their counts, squared norm of the others, dot products, templates) of the units that may reach the least cosine.
+    """By key, (terms that no template has, their counts, squared norm of the others, dot products, templates, whether the unit has all of a template's terms) of the units that may reach the least cosine.
 
     Terms that no template has weigh 1 at least and only lower a cosine; what stays under `least`
     with that weight is done.
     """
-    vocabulary = _vocabulary()
+    vocabulary, (support, full) = _vocabulary(), _support()
     sentences, line_of, block_of = _units(text)
     if not sentences:
         return {}
@@ -192,25 +242,30 @@ def near_units(text: str, idf: np.ndarray, matrix: np.ndarray, least: float) ->
             a, b = starts[i], starts[i + 1] if i + 1 < len(starts) else len(w)
             dots = w[a:b] @ matrix[v[a:b]]
             hit = np.flatnonzero(dots >= least * math.sqrt(own[i] + other[i]) * (1 - 1e-9))
+            hit = hit[[not rivals()[k][:, v[a:b][support[v[a:b], k]]].all(1).any() for k in hit]] if len(hit) else hit
             if not len(hit):
                 continue
             first, last = np.searchsorted(level, who[i]), np.searchsorted(level, who[i], "right")
             words = Counter(t for s in sentences[first:last] for t in s if t not in vocabulary)
             names = sorted(words)
             key = xxhash.xxh3_128_digest(np.concatenate((v[a:b], count[a:b])).tobytes() + "\0".join(f"{t} {words[t]}" for t in names).encode())
-            out[key] = (names, [words[t] for t in names], float(own[i]), dots[hit].tolist(), hit.tolist())
+            out[key] = (names, [words[t] for t in names], float(own[i]), dots[hit].tolist(), hit.tolist(), (support[v[a:b]][:, hit].sum(0) == full[hit]).tolist())
     return out
 
 
 def own_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
-    """(id, license, score): the best template of a document's units with a cosine of `least` or more; ties by name."""
+    """(id, license, score, licenses) of documents that name a licence by a cosine of `least` or more.
+
+    `license` has the most matched weight (cosine times the smaller norm of unit and template; ties by
+    name), `score` is its cosine, `licenses` are all that are named, in order of names.
+    """
     n = docs.count()
     counted = written(frequencies(docs, text_col), "frequencies")
     vocabulary = _vocabulary()
     # a count for each term of the templates: as many rows as they have terms
     df = {r["term"]: r["df"] for r in counted.where(F.col("term").isin(list(vocabulary))).collect()}
     idf = np.array([_weight(n, df.get(t, 0)) for t in vocabulary])
-    matrix = _matrix(idf)
+    matrix, norms = _matrix(idf)
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -219,30 +274,48 @@ def own_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for i, text in enumerate(batch.column(1).to_pylist()):
                 for key, unit in near_units(text or "", idf, matrix, least).items():
                     took.append(i), rows.append((key, *unit))
-            kinds = [pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(took, pa.int32())), *(pa.array(c, kind) for c, kind in zip(zip(*rows) if rows else [[]] * 6, kinds))], names=["id", "key", "others", "counts", "inside", "dots", "which"])
+            kinds = [pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.bool_())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(took, pa.int32())), *(pa.array(c, kind) for c, kind in zip(zip(*rows) if rows else [[]] * 7, kinds))], names=["id", "key", "others", "counts", "inside", "dots", "which", "full"])
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    schema = f"id {kind}, key binary, others array<string>, counts array<int>, inside double, dots array<double>, which array<int>"
+    schema = f"id {kind}, key binary, others array<string>, counts array<int>, inside double, dots array<double>, which array<int>, full array<boolean>"
     found = written(docs.select(f"`{id_col}`", f"`{text_col}`").mapInArrow(run, schema), "units")
     # equal units are scored once, however many documents have them
-    once = found.groupBy("key").agg(*[F.first(c).alias(c) for c in ("others", "counts", "inside", "dots", "which")])
+    once = found.groupBy("key").agg(*[F.first(c).alias(c) for c in ("others", "counts", "inside", "dots", "which", "full")])
     outer = once.select("key", F.explode(F.arrays_zip("others", "counts")).alias("o")).select("key", F.col("o.others").alias("t"), F.col("o.counts").alias("c"))
     weight = F.log((1 + n) / (1 + F.col("df"))) + 1
     outside = outer.join(counted, F.col("t") == F.col("term")).groupBy(F.col("key").alias("k")).agg(F.sum(F.pow(F.col("c") * weight, 2)).alias("outside"))
-    names = F.array(*[F.lit(name) for name, _ in templates()])
+    all_ = templates()
+    name = F.array(*[F.lit(n) for n, _ in all_])
+    weigh = F.array(*[F.lit(float(x)) for x in norms])
+    gives_way = F.array(*[F.array(*[F.lit(x) for x in other]).cast("array<string>") for other in yields()])
     scored = once.join(outside, F.col("key") == F.col("k"), "left").withColumn("norm", F.sqrt(F.col("inside") + F.coalesce("outside", F.lit(0.0))))
-    each = scored.select("key", "norm", F.explode(F.arrays_zip("dots", "which")).alias("d")).select("key", F.struct((F.col("d.dots") / F.col("norm")).alias("score"), F.get(names, F.col("d.which")).alias("license")).alias("s")).where(F.col("s.score") >= least)
-    better = lambda c: F.min_by(c, F.struct(-F.round(f"{c}.score", 9), f"{c}.license"))
-    best = each.groupBy(F.col("key").alias("b")).agg(better("s").alias("s")).hint("rebalance")
-    mine = found.select("id", "key").join(best, F.col("key") == F.col("b")).groupBy("id").agg(better("s").alias("s"))
-    return mine.select("id", "s.license", F.least(F.col("s.score"), F.lit(1.0)).alias("score"))
+
+    def named(d):
+        score = d["dots"] / F.col("norm")
+        return F.struct(score.alias("score"), F.get(name, d["which"]).alias("license"), d["which"].alias("which"), d["full"].alias("full"), (score * F.least(F.col("norm"), F.get(weigh, d["which"]))).alias("mass"))
+
+    hits = F.filter(F.transform(F.arrays_zip("dots", "which", "full"), named), lambda x: x["score"] >= least)
+    # at most as many as there are templates: of a unit, and of a document
+    order = F.array_sort(hits, lambda a, b: F.when(F.round(a["score"], 9) != F.round(b["score"], 9), F.signum(F.round(b["score"], 9) - F.round(a["score"], 9)).cast("int")).when(a["license"] != b["license"], F.when(a["license"] < b["license"], -1).otherwise(1)).otherwise(a["which"] - b["which"]))
+    units = scored.select(F.col("key").alias("b"), order.alias("hits")).where("size(hits) > 0")
+    first = F.get("hits", F.lit(0))
+    own = F.filter("hits", lambda x: (x["which"] == first["which"]) | x["full"] & ~F.array_contains(F.get(gives_way, x["which"]), first["license"]))
+    best = units.select("b", own.alias("own")).hint("rebalance")
+    each = found.select("id", "key").join(best, F.col("key") == F.col("b")).select("id", F.explode("own").alias("s"))
+    most = lambda c: F.min_by(c, F.struct(-F.round(f"{c}.mass", 9), -F.round(f"{c}.score", 9)))
+    found_in = each.groupBy("id", "s.which").agg(most("s").alias("s")).groupBy("id").agg(F.collect_list("s").alias("all"))
+    beaten = lambda x: F.exists("all", lambda y: F.array_contains(F.get(gives_way, x["which"]), y["license"]) & ~F.array_contains(F.get(gives_way, y["which"]), x["license"]))
+    left = found_in.select("id", F.filter("all", lambda x: ~beaten(x)).alias("all"))
+    lead = F.array_min(F.transform("all", lambda x: F.struct((-F.round(x["mass"], 9)).alias("m"), x["license"].alias("license"), (-x["score"]).alias("score"))))
+    return left.select("id", lead.alias("lead"), F.array_sort(F.array_distinct(F.transform("all", lambda x: x["license"]))).alias("licenses")).select("id", "lead.license", F.least(-F.col("lead.score"), F.lit(1.0)).alias("score"), "licenses")
 
 
 def license_scan(files: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path", is_license=None) -> DataFrame:
-    """One row for each row of files: id, license, score, origin.
+    """One row for each row of files: id, license, score, origin, licenses.
 
-    origin is the path that the licence was found in: the file's own, or that of the licence file
+    `licenses` are all that the text names (`MIT OR Apache-2.0` names two), `license` the one with the
+    most matched weight, ties by name. origin is the path that the licence was found in: the file's own, or that of the licence file
     in the nearest directory above it (or beside it); of several there the smallest path. Rows
     without either have nulls. `is_license` is a Column that marks licence files; by default those
     named LICENSE, LICENCE, COPYING or NOTICE. Null and empty texts have no licence of their own; texts
@@ -256,13 +329,13 @@ def license_scan(files: DataFrame, id_col: str = "doc_id", text_col: str = "text
     own = written(own_licenses(files, id_col, text_col), "own")
     with_own = rows.join(own.withColumnRenamed("id", "o"), F.col("id") == F.col("o"), "left").drop("o")
     directory = F.regexp_replace("path", "[^/]*$", "")
-    granted = with_own.where("named AND license IS NOT NULL AND path IS NOT NULL").groupBy(directory.alias("dir")).agg(F.min_by(F.struct("license", "score", "path"), F.struct("path", "license")).alias("l")).hint("rebalance")
+    granted = with_own.where("named AND license IS NOT NULL AND path IS NOT NULL").groupBy(directory.alias("dir")).agg(F.min_by(F.struct("license", "score", "path", "licenses"), F.struct("path", "license")).alias("l")).hint("rebalance")
     # every directory above a file, with its depth
     up = F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(F.split("path", "/"), F.lit(1), k - 1), "/").alias("d")))
     bare = with_own.where("license IS NULL AND path IS NOT NULL").select("path").distinct().select("path", F.explode(up).alias("u")).select("path", "u.depth", F.when(F.col("u.d") == "", F.lit("")).otherwise(F.concat("u.d", F.lit("/"))).alias("d"))
     taken = bare.join(granted, F.col("d") == F.col("dir")).groupBy(F.col("path").alias("p")).agg(F.max_by("l", "depth").alias("l"))
     out = with_own.join(taken, F.col("license").isNull() & (F.col("path") == F.col("p")), "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("license", "l.license").alias("license"), F.coalesce("score", "l.score").alias("score"), F.when(F.col("license").isNotNull(), F.col("path")).otherwise(F.col("l.path")).alias("origin"))
+    return out.select(F.col("id").alias(id_col), F.coalesce("license", "l.license").alias("license"), F.coalesce("score", "l.score").alias("score"), F.when(F.col("license").isNotNull(), F.col("path")).otherwise(F.col("l.path")).alias("origin"), F.coalesce("licenses", "l.licenses").alias("licenses"))
 
 
 def with_paths(docs: DataFrame) -> DataFrame:
@@ -274,4 +347,4 @@ def with_paths(docs: DataFrame) -> DataFrame:
 
 def op2_license(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return license_scan(with_paths(docs)).select("doc_id", "license", F.round("score", 6).alias("score"), "origin")
+    return license_scan(with_paths(docs)).select("doc_id", "license", F.round("score", 6).alias("score"), "origin", "licenses")

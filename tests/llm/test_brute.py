@@ -62,7 +62,7 @@ def units_of(text):
 
 
 def licences_brute(rows):
-    """(license, score) by id: every unit of every text against every template, in full."""
+    """(license, score, licenses) by id: every unit of every text against every template, in full."""
     n, df = len(rows), Counter()
     for _, text in rows:
         df.update(set(license_scan.terms(text or "")))
@@ -70,23 +70,76 @@ def licences_brute(rows):
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
     all_ = [(name, weigh(s)) for name, s in license_scan.templates()]
     norms = [norm(v) for _, v in all_]
+    wording = {name: {t for other, v in all_ if other == name for t in v} for name, _ in all_}
+
+    def includes(name, template):
+        """Whether a licence's wording has all terms of another's template; every licence does so of a reserved right."""
+        return name != template[0] and name != "proprietary" and (template[0] == "proprietary" or template[1].keys() <= wording[name])
+
+    inner_of = {name: {o[0] for o in all_ if o[0] != "proprietary" and includes(name, o)} for name in wording}
     out = {}
     for d, text in rows:
-        best = None
+        named = []
         for unit in set(units_of(text or "")):
             u = weigh(unit)
             if not u:
                 continue
             length = norm(u)
-            for (name, v), size in zip(all_, norms):
+            hits = []
+            for k, ((name, v), size) in enumerate(zip(all_, norms)):
                 cos = sum(x * v.get(t, 0.0) for t, x in u.items()) / (length * size)
-                if cos >= license_scan.LEAST and (best is None or (-round(cos, 9), name) < (-round(best[1], 9), best[0])):
-                    best = (name, min(cos, 1.0))
-        if best:
-            out[d] = best
+                shared = u.keys() & v.keys()
+                silent = lambda: any(shared <= wording[o] and not v.keys() <= wording[o] for o in inner_of[name])  # noqa: E731, B023
+                if cos >= license_scan.LEAST and not silent():
+                    hits.append((-round(cos, 9), name, k, cos, cos * min(length, size)))
+            hits.sort()
+            named += [h for h in hits[:1]] + [h for h in hits[1:] if all_[h[2]][1].keys() <= u.keys() and not includes(hits[0][1], all_[h[2]])]
+        rules = lambda h, g: includes(g[1], all_[h[2]]) and not includes(h[1], all_[g[2]])
+        left = [h for h in named if not any(rules(h, g) for g in named)]
+        if left:
+            lead = min((-round(h[4], 9), h[1], -h[3]) for h in left)
+            out[d] = (lead[1], min(-lead[2], 1.0), sorted({h[1] for h in left}))
     return out
 
 
+#: Licence files and headers as projects have them, by what they grant; none is a template as it stands.
+RESERVED = "Copyright (c) 2015, Jo Doe\nAll rights reserved.\n\n"
+GRANT = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n"
+CLAUSES = "1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n\n"
+THIRD = "3. Neither the name of Acme nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n\n"
+AS_IS = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"\nAND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE\nIMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE\nDISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE\nFOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL\nDAMAGES.\n'
+MIT = 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n'
+APACHE = '// Licensed under the Apache License, Version 2.0 (the "License");\n// you may not use this file except in compliance with the License.\n// You may obtain a copy of the License at\n//\n//     http://www.apache.org/licenses/LICENSE-2.0\n'
+FILES = [
+    (RESERVED + GRANT + CLAUSES + THIRD + AS_IS, "BSD-3-Clause", ["BSD-3-Clause"]),
+    (RESERVED + GRANT + CLAUSES + AS_IS, "BSD-2-Clause", ["BSD-2-Clause"]),
+    (RESERVED + "Some words on how to build this project and whom to ask.\n\n" + GRANT + CLAUSES + THIRD, "BSD-3-Clause", ["BSD-3-Clause"]),
+    ("The MIT License (MIT)\n\n" + RESERVED + MIT, "MIT", ["MIT"]),
+    (RESERVED + MIT, "MIT", ["MIT"]),
+    ("// Copyright 2020 Acme. All rights reserved.\n" + APACHE + "package x\n", "Apache-2.0", ["Apache-2.0"]),
+    ("// Copyright 2009 The Go Authors. All rights reserved.\n// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file.\n\npackage y\n", "BSD-3-Clause", ["BSD-3-Clause"]),
+    ("// SPDX-License-Identifier: MIT OR Apache-2.0\nfn main() {}\n", "Apache-2.0", ["Apache-2.0", "MIT"]),
+    ('BSD Zero Clause License\n\nCopyright (c) 2022 Jo\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted.\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH\nREGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY\nAND FITNESS.\n', "0BSD", ["0BSD"]),
+    (RESERVED + "This program is ours.\n", "proprietary", ["proprietary"]),
+]
+
+
+def test_licences_of_whole_files(spark, sf):
+    prose = [(i, r["text"]) for i, r in enumerate(spark.read.parquet(f"{sf}/documents.parquet").select("text").limit(150).collect())]
+    rows = [*prose, *((1000 + i, f[0]) for i, f in enumerate(FILES))]
+    got = {r["id"]: (r["license"], r["licenses"]) for r in license_scan.own_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got.get(1000 + i) for i in range(len(FILES))] == [(name, all_) for _, name, all_ in FILES]
+    want = licences_brute(rows)
+    assert got == {d: (x[0], x[2]) for d, x in want.items()}
+
+
+def test_every_template_names_its_licence(spark):
+    rows = [(i, s) for i, (_, s) in enumerate(license_scan.templates())]
+    got = {r["id"]: r["license"] for r in license_scan.own_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    shared = {i for i, (name, s) in enumerate(license_scan.templates()) if any(name != other and set(license_scan.terms(s)) <= set(license_scan.terms(t)) for other, t in license_scan.templates())}
+    assert all(got[i] == name for i, (name, _) in enumerate(license_scan.templates()) if i not in shared)
+
+
 NOTICES = {
     "GPL-3.0": "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n#\n# This program is distributed in the hope that it will be useful,\n# but WITHOUT ANY WARRANTY; without even the implied warranty of\n# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\n# GNU General Public License for more details.\n\nimport os\n",
     "GPL-2.0": "/* This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. */\nint main() {}\n",
@@ -107,9 +160,9 @@ def test_licences_of_the_supplied_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()]
     want = licences_brute(rows)
-    got = {r["id"]: (r["license"], r["score"]) for r in license_scan.own_licenses(docs).collect()}
+    got = {r["id"]: (r["license"], r["score"], r["licenses"]) for r in license_scan.own_licenses(docs).collect()}
     assert got.keys() == want.keys() and len(want) > 0
-    assert all(got[d][0] == want[d][0] and abs(got[d][1] - want[d][1]) < 1e-9 for d in want)
+    assert all(got[d][0] == want[d][0] and abs(got[d][1] - want[d][1]) < 1e-9 and got[d][2] == want[d][2] for d in want)
 
 
 def test_notices_as_files_have_them(spark, sf):
