@@ -20,17 +20,17 @@ from pyspark.sql import DataFrame
 from .common import small_batches
 
 #: Pages learned from, gradient steps, step size, weight decay.
-PAGES, EPOCHS, STEP, DECAY = 600, 150, 0.1, 1e-4
+PAGES, EPOCHS, STEP, DECAY = 900, 200, 0.1, 1e-4
 
 #: Element names of HTML by what they do to the text.
 BLOCK = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-HIDDEN = set("script style noscript template svg math iframe object textarea select title head".split())
+HIDDEN = set("script style noscript template svg math iframe object textarea select button title head".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title iframe noscript".split())
 CLOSES_P = BLOCK - {"body", "html"}
 TAGS = sorted(BLOCK | set("a b button em i label span strong".split()))
 #: Words in class and id attributes that say what an element is for.
-CUES = "ad ads advert advertisement article banner body breadcrumb breadcrumbs byline comment comments consent content cookie cookies disclaimer discussion entry feedback footer form header legal login main menu meta nav navbar navigation newsletter notice notification notifications pagination popup post promo promoted reader related reply replies respond search share sharing sidebar signup social sponsor sponsored story subscribe tags text toolbar widget".split()
+CUES = "ad ads advert advertisement article banner body breadcrumb breadcrumbs byline comment comments consent content cookie cookies crumbs disclaimer discussion disqus entry feedback footer form ft gdpr hd header legal login main masthead menu meta modal nav navbar navigation newsletter notice notification notifications paging pagination popup post promo promoted reader related reply replies respond response responses reviews search share sharing sidebar signup social sponsor sponsored story subscribe tags text thread toolbar topbar trackbacks widget".split()
 
 _NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
 _UNTIL = re.compile("[>\"']")
@@ -229,7 +229,9 @@ def labelled_pages(n: int = PAGES, seed: int = 3) -> list[tuple[str, list[str]]]
     pick = rng.choice
 
     def menu():
-        tag, name = pick([("nav", ""), ("nav", ' class="menu"'), ("div", ' class="navbar"'), ("ul", ' id="menu"'), ("div", ' class="breadcrumb"'), ("div", ' role="navigation"')])
+        tag, name = pick([("nav", ""), ("nav", ' class="menu"'), ("div", ' class="navbar"'), ("ul", ' id="menu"'), ("div", ' class="breadcrumb"'), ("div", ' role="navigation"'), ("div", f' id="{pick(["hd", "masthead", "topbar", "crumbs"])}"')])
+        if rng.random() < 0.3:  # a row of links, or of their words alone
+            return f"<{tag}{name}>" + pick([" ", " | "]).join(pick([link, lambda: some(1, 2).title()])() for _ in range(rng.randint(2, 6))) + f"</{tag}>"
         return f"<{tag}{name}><ul>" + "".join(f"<li>{link()}</li>" for _ in range(rng.randint(2, 9))) + f"</ul></{tag}>"
 
     def chaff():
@@ -259,13 +261,27 @@ def labelled_pages(n: int = PAGES, seed: int = 3) -> list[tuple[str, list[str]]]
         return f'<p class="{pick(["ad", "notice", "promo", "sponsored"])}">{para()}</p>'
 
     def comments():
-        tag, name = pick([("section", "comments"), ("div", "comments"), ("div", "comment-list"), ("ol", "commentlist comments"), ("section", "discussion"), ("div", "reader-comments"), ("ul", "replies")])
-        inner = pick([lambda: f'<div class="comment"><p>{para()}</p></div>', lambda: f"<p>{para()}</p>", lambda: f'<article class="comment"><p>{para()}</p></article>', lambda: f'<li class="comment"><b>{word()}</b> <p>{para()}</p></li>'])
+        tag, name = pick([("section", "comments"), ("div", "comments"), ("div", "comment-list"), ("ol", "commentlist comments"), ("section", "discussion"), ("div", "reader-comments"), ("ul", "replies"), ("div", "disqus_thread"), ("div", "responses"), ("div", "reviews"), ("section", "trackbacks")])
+        inner = pick([lambda: f'<div class="comment"><p>{para()}</p></div>', lambda: f"<p>{para()}</p>", lambda: f'<article class="comment"><p>{para()}</p></article>', lambda: f'<li class="comment"><b>{word()}</b> <p>{para()}</p></li>', sentence, lambda: f"<div>{para()}</div>"])
         return f'<{tag} {pick(["class", "id"])}="{name}"><h3>{some(1, 3)}</h3>' + "".join(inner() for _ in range(rng.randint(1, 5))) + f"</{tag}>"
 
+    def plain():
+        lines = [pick([para(), sentence(), some(2, 6).capitalize() + "."]) for _ in range(rng.randint(1, 6))]
+        head = [some(1, 8).capitalize()] if rng.random() < 0.6 else []
+        open_, close = pick([("", ""), ("<center>", "</center>"), ("<center><font size=2>", "</font></center>"), ("<font face=arial>", "</font>"), ("<div align=center>", "</div>"), ("<div>", "</div>")])
+        top = "".join(f"<h1>{t}</h1>" for t in head)
+        if rng.random() < 0.5:
+            inner, kept = pick(["<br>", "<br><br>\n"]).join(lines), [" ".join(" ".join(lines).split())]
+        else:
+            inner, kept = "".join(f"<p>{t}{pick(['</p>', ''])}" for t in lines), [" ".join(t.split()) for t in lines]
+        return f"<html><head><title>{some(1, 5)}</title></head><body>{top}{open_}{inner}{close}</body></html>", head + kept
+
     pages = []
     for _ in range(n):
         kept, body = [], []
+        if rng.random() < 0.12:  # a page of text and nothing else, in old markup or in paragraphs only
+            pages.append(plain())
+            continue
         paragraph = pick(["p"] * 6 + ["div", "div class=x1", "section", 'div class="txt"'])
         title = pick([some(2, 9).capitalize(), sentence()])
         open_, close = pick([("<article>", "</article>")] * 4 + [("<main>", "</main>"), ("<main><article>", "</article></main>"), ('<div class="content">', "</div>"), ('<div id="main"><div class="post entry">', "</div></div>"), ('<div class="article-body">', "</div>"), ('<div class="story text">', "</div>"), ("<div>", "</div>"), ('<div class="txt">', "</div>"), (f'<div class="{word()}">', "</div>"), (f'<div id="{word()}"><div>', "</div></div>"), ("<table><tr><td>", "</td></tr></table>"), (f'<table><tr><td class={pick(["menu", "nav", "sidebar", word()])}>{" ".join(link() for _ in range(rng.randint(2, 8)))}</td><td>', "</td></tr></table>"), ("", "")])
@@ -285,24 +301,24 @@ def labelled_pages(n: int = PAGES, seed: int = 3) -> list[tuple[str, list[str]]]
             pick([lambda: add("h1", title), lambda: (body.append("<header>"), add("h1", title), body.append("</header>"))] if "article" in open_ else [lambda: add("h1", title)])()
         for _ in range(rng.choice([0, 1, 2, 4, 8, 15])):
             kind = rng.random()
-            if kind < 0.72:
+            if kind < 0.62:
                 add(paragraph, para())
-            elif kind < 0.79:
+            elif kind < 0.69:
                 add(pick(["h2", "h3"]), some(1, 6).capitalize())
-            elif kind < 0.84:
+            elif kind < 0.74:
                 add("blockquote", para())
-            elif kind < 0.9:
+            elif kind < 0.8:
                 tag = pick(["ul", "ol"])
                 body.append(f"<{tag}>")
                 for _ in range(rng.randint(1, 4)):
                     add("li", pick([sentence(), some(1, 5)]))
                 body.append(f"</{tag}>")
-            elif kind < 0.93:
+            elif kind < 0.83:
                 body.append("<table><tr>")
                 for _ in range(rng.randint(2, 6)):
                     add("td", some(1, 3))
                 body.append("</tr></table>")
-            elif kind < 0.96:
+            elif kind < 0.86:
                 body.append("<section>"), add("h2", some(1, 5)), add("p", para()), body.append("</section>")
             else:
                 body.append(chaff())

@@ -1,5 +1,6 @@
 """Pages of layouts written by hand, and broken pages."""
 
+import itertools
 import random
 import time
 
@@ -69,7 +70,27 @@ def letters(r):
     return f"<html><body><header class=site><p>The Daily</p>{links(r, 5)}</header><article class='story'><header><h1>{t}</h1></header><p>{ps[0]}</p><blockquote>{quote}</blockquote><p>{ps[1]}</p><ul><li>{ps[2]}</li></ul></article><section class='comments'><article><p>{sentence(r)}</p></article><article><p>{sentence(r)}</p></article></section></body></html>", [t, ps[0], quote, ps[1], ps[2]]
 
 
-@pytest.mark.parametrize("layout", [blog, divs, news, table, notice, manual, letters])
+def bare(r):
+    t, ps = title(r), [para(r), sentence(r, 3, 6), sentence(r, 2, 4)]
+    return f"<html><body><h1>{t}</h1>" + "".join(f"<p>{p}</p>" for p in ps) + "</body></html>", [t, *ps]
+
+
+def old(r):
+    ps = [para(r) for _ in range(3)]
+    return f"<html><head><title>{title(r)}</title></head><body bgcolor=white><center><font size=2>" + "<br>\n".join(ps) + "<br></font></center></body></html>", [" ".join(ps)]
+
+
+def hosted(r):
+    t, ps = title(r), [para(r) for _ in range(3)]
+    return f"<html><body><div id=hd>{r.choice(WORDS).title()} {r.choice(WORDS).title()}</div><div id=main><h1>{t}</h1>" + "".join(f"<p>{p}</p>" for p in ps) + f"<button>Share</button></div><div id=disqus_thread><p>{sentence(r)}</p></div></body></html>", [t, *ps]
+
+
+def answered(r):
+    t, ps = title(r), [para(r) for _ in range(3)]
+    return f"<html><body><div class=masthead>{links(r, 3)}</div><article><h1>{t}</h1>" + "".join(f"<p>{p}</p>" for p in ps) + f"</article><div class=responses><p>{sentence(r)}</p><p>{sentence(r)}</p></div></body></html>", [t, *ps]
+
+
+@pytest.mark.parametrize("layout", [blog, divs, news, table, notice, manual, letters, bare, old, hosted, answered])
 def test_layouts_by_hand(crf, layout):
     r, right = random.Random(11), []
     for _ in range(30):
@@ -78,6 +99,22 @@ def test_layouts_by_hand(crf, layout):
     assert np.mean(right) >= 0.9
 
 
+def test_best_labels_are_those_of_all_labelings():
+    rng = np.random.default_rng(5)
+    for n in [1, 2, 3, 7, 9]:
+        for _ in range(20):
+            e, trans = rng.normal(size=(n, 2)), rng.normal(size=(2, 2))
+            worth = lambda y: sum(e[t, k] for t, k in enumerate(y)) + sum(trans[a, b] for a, b in zip(y, y[1:]))  # noqa: E731, B023
+            assert tuple(html_extract.viterbi(e, trans)) == max(itertools.product(range(2), repeat=n), key=worth)
+
+
+def test_repeated_rows_and_long_pages(spark):
+    page = "<h1>A title of this page</h1>" + "<p>A paragraph of some words, which says a thing. And another.</p>" * 20_000
+    rows = [(1, "u", page), (1, "u", page), (2, None, None), (3, "v", "")]
+    got = sorted((r["page_id"], r["n_chars"], len(r["text"].split("\n"))) for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got[0] == got[1] and got[0][2] == 20_001 and got[2:] == [(2, 0, 1), (3, 0, 1)]
+
+
 BROKEN = {
     "open elements": lambda n: "<div>x" * n,
     "open quotes": lambda n: '<div class="' * n,
