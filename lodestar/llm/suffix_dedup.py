@@ -22,6 +22,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
@@ -546,6 +547,12 @@ def _cuts(found: DataFrame) -> DataFrame:
     return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc long, of long, cuts binary")
 
 
+def _rest(data: bytes, cuts: bytes) -> tuple[bytes, np.ndarray]:
+    """What is left of a text, and the ranges that go."""
+    pairs = np.frombuffer(cuts, np.int64).reshape(-1, 2)
+    return b"".join(data[a:b] for a, b in zip([0, *pairs[:, 1].tolist()], [*pairs[:, 0].tolist(), len(data)])), pairs
+
+
 def _merged(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Byte ranges, sorted by start, without overlaps or touching ends."""
     reach = np.maximum.accumulate(end)
@@ -553,30 +560,21 @@ def _merged(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.column_stack((start[new], reach[np.append(new[1:], len(start)) - 1]))
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, texts: bool = False) -> DataFrame:
-    """One row for each row of docs: id, n_bytes, n_removed, n_spans, kept_sha256, and spans (start, end of bytes).
-
-    A byte goes if a string of `width` bytes that covers it also starts in a document of a smaller
-    id; strings are judged on the input and never cross documents. Null counts as empty; empty and
-    short texts keep all. Rows of null id lose nothing and take nothing from others. Rows of equal
-    id take nothing from each other. With `texts`, the column kept_text has the remaining bytes as
-    a string, without the rests of characters cut in two. Other columns are not read; an empty
-    table gives an empty result.
-    """
+def _fates(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Of docs (id, text): the rows as they are known, (id, n, sha, digest, copy); the key of copies, which lose all; the cuts of the others by key, and these others."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     raw = F.col("text").cast("binary")
     digests = written(docs.select("id", F.octet_length("text").cast("long").alias("n"), F.sha2(raw, 256).alias("sha"), F.xxhash64("text").alias("digest")), "digests")
     # whole texts that are equal are one: all but the smallest id lose every byte
     firsts = digests.where("id IS NOT NULL").groupBy(F.col("sha").alias("s")).agg(F.min("id").alias("least")).hint("rebalance")
     known = written(digests.join(firsts, F.col("sha") == F.col("s"), "left").withColumn("copy", F.coalesce(F.col("id") > F.col("least"), F.lit(False)) & (F.col("n") >= width)).select("id", "n", "sha", "digest", "copy"), "known")
     drop_written(digests)
-    copies = known.where("copy").select(F.col("id").alias("c"), F.col("digest").alias("cd")).distinct()
+    copies = known.where("copy").select(F.struct("id", "digest").alias("ck")).distinct()
     total = known.agg(F.sum("n")).first()[0] or 0
     deals = max(1, -(-total // DEAL))
     alone = docs.where(F.col("id").isNotNull() & (F.octet_length("text") >= width)).withColumn("digest", F.xxhash64("text"))
-    alone = attach(alone.withColumn("k", F.struct("id", "digest")), copies.select(F.struct(F.col("c").alias("id"), F.col("cd").alias("digest")).alias("ck")), "k", "ck").where("ck IS NULL").select("id", "digest", "text")
+    alone = attach(alone.withColumn("k", F.struct("id", "digest")), copies, "k", "ck").where("ck IS NULL").select("id", "digest", "text")
     hot = _hot(alone, width, total)
     again = written(_repeated(_seen(alone, width, deals, hot), deals), "keys")
     folder = f"{shared_dir(spark)}/lodestar-columns-{uuid.uuid4().hex}"
@@ -589,22 +587,34 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     settle(spark)
     drop_path(spark, folder)
     cuts = cuts.select(F.struct(F.col("doc").alias("id"), F.col("of").alias("digest")).alias("ck"), "cuts")
+    return known, copies, cuts, alone
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50) -> DataFrame:
+    """One row for each row of docs: id, n_bytes, n_removed, n_spans, kept_sha256, and spans (start, end of bytes).
+
+    A byte goes if a string of `width` bytes that covers it also starts in a document of a smaller
+    id; strings are judged on the input and never cross documents. Null counts as empty; empty and
+    short texts keep all. Rows of null id lose nothing and take nothing from others. Rows of equal
+    id take nothing from each other. Other columns are not read; an empty
+    table gives an empty result.
+    """
+    docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    known, copies, cuts, alone = _fates(docs, width)
 
     def run(batches):
         for batch in batches:
-            removed, n_spans, shas, ranges, kept_texts = [], [], [], [], []
+            removed, n_spans, shas, ranges = [], [], [], []
             for text, cut in zip(batch.column("text"), batch.column("cuts")):
-                pairs = np.frombuffer(cut.as_py(), np.int64).reshape(-1, 2)
                 data = text.as_buffer().to_pybytes()
-                rest = b"".join(data[a:b] for a, b in zip([0, *pairs[:, 1].tolist()], [*pairs[:, 0].tolist(), len(data)]))
+                rest, pairs = _rest(data, cut.as_py())
                 removed.append(len(data) - len(rest)), n_spans.append(len(pairs)), shas.append(hashlib.sha256(rest).hexdigest())
                 ranges.append([{"start": a, "end": b} for a, b in pairs.tolist()])
-                kept_texts.append(rest.decode("utf-8", "ignore") if texts else None)
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(shas, pa.string()), pa.array(ranges, kind), pa.array(kept_texts, pa.string())], names=["i", "d", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(shas, pa.string()), pa.array(ranges, kind)], names=["i", "d", "n_removed", "n_spans", "kept_sha256", "spans"])
 
     hit = attach(alone.withColumn("k", F.struct("id", "digest")), cuts, "k", "ck").where("ck IS NOT NULL").select("id", "digest", "text", "cuts")
-    cut = hit.mapInArrow(run, "i long, d long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept_text string").dropDuplicates(["i", "d"])
+    cut = hit.mapInArrow(run, "i long, d long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>").dropDuplicates(["i", "d"])
     out = known.join(cut, (F.col("id") == F.col("i")) & (F.col("digest") == F.col("d")) & ~F.col("copy"), "left")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("end")))
     pick = lambda copy, cut, else_: F.when(F.col("copy"), copy).otherwise(F.coalesce(F.col(cut), else_))
@@ -612,17 +622,26 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return out.select(
         F.col("id").alias(id_col), F.col("n").alias("n_bytes"), pick(F.col("n"), "n_removed", F.lit(0).cast("long")).alias("n_removed"),
         pick(F.lit(1).cast("long"), "n_spans", F.lit(0).cast("long")).alias("n_spans"), pick(F.lit(hashlib.sha256(b"").hexdigest()), "kept_sha256", F.col("sha")).alias("kept_sha256"),
-        pick(whole, "spans", none).alias("spans"), *([F.when(F.col("copy"), "").otherwise(F.col("kept_text")).alias("kept_text"), "digest"] if texts else []),
+        pick(whole, "spans", none).alias("spans"),
     )
 
 
 def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50) -> DataFrame:
     """docs with repeated passages cut out of the text; rows that lose nothing pass without a shuffle of their text."""
-    found = repeated_passages(docs, id_col, text_col, width, texts=True).where("n_removed > 0")
-    lost = written(found.select(F.struct(F.col(id_col).alias("id"), "digest").alias("__key"), F.col("kept_text").alias("__rest")).dropDuplicates(["__key"]), "rests")
+    read = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    _, copies, cuts, _ = _fates(read, width)
+    lost = cuts.unionByName(copies.withColumn("cuts", F.lit(b""))).select(F.col("ck").alias("__key"), F.col("cuts").alias("__cuts"))
+
+    @F.pandas_udf("string")
+    def rest(text: pd.Series, cuts: pd.Series) -> pd.Series:
+        return pd.Series([None if c is None else _rest(t.encode(), c)[0].decode("utf-8", "ignore") if len(c) else "" for t, c in zip(text, cuts)], dtype=object)
+
     keyed = docs.withColumn("__own", F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("digest")))
     out = attach(keyed, lost, "__own", "__key")
-    return out.select(*[F.when(F.col("__key").isNotNull(), F.col("__rest")).otherwise(F.col(c)).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    goes = F.col("__key").isNotNull()
+    # only texts that lose something are sent to Python
+    out = out.withColumn("__rest", rest(F.when(goes, F.col(text_col)), F.col("__cuts")))
+    return out.select(*[F.when(goes, F.col("__rest")).otherwise(F.col(c)).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_suffix(spark, sf_dir: str) -> DataFrame:
