@@ -109,9 +109,9 @@ def run_summary(log: DataFrame) -> DataFrame:
 
 def wikipedia(page: Column, title: Column) -> Column:
     """The address of an entity's or concept's article, or null."""
-    name = F.replace(F.lower(F.trim(title)), F.lit(" "), F.lit("_"))
+    name = F.replace(text.small(F.trim(title)), F.lit(" "), F.lit("_"))
     fits = (F.startswith(page, F.lit("entities/")) | F.startswith(page, F.lit("concepts/"))) & (F.trim(title) != "")
-    return F.when(fits, F.concat(F.lit("https://en.wikipedia.org/wiki/"), F.upper(F.substring(name, 1, 1)), F.regexp_replace(name, r"(?s)\A.", "")))
+    return F.when(fits, F.concat(F.lit("https://en.wikipedia.org/wiki/"), text.capital(F.substring(name, 1, 1)), F.regexp_replace(name, r"(?s)\A.", "")))
 
 
 def stub(prompt: str) -> str:
