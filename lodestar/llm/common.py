@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import drop_path, shared_dir, ship  # noqa: F401  operators take them from here
+from ..session import FILTER_WORDS, drop_path, only, shared_dir, ship  # noqa: F401  operators take them from here
 from ..session import drop_saved as drop_written
 from ..session import saved as written
 
@@ -66,27 +66,6 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
-#: Bound of a broadcast filter of ids: two longs for each word.
-FILTER_WORDS = 1 << 20
-
-
-def only(big: DataFrame, few: DataFrame, key: str, few_key: str) -> DataFrame:
-    """Inner join of big with few; a bounded Bloom filter drops most other rows of big before the shuffle."""
-    n = few.count()
-    words = min(FILTER_WORDS, max(64, 1 << max(0, n // 4).bit_length()))
-
-    def spot(c):
-        h = F.xxhash64(c, F.lit(99))
-        bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, at).bitwiseAND(F.lit(63)).cast("int"))
-        return h.bitwiseAND(F.lit(words - 1)), bit(57).bitwiseOR(bit(51)).bitwiseOR(bit(45))
-
-    word, mask = spot(F.col(few_key))
-    table = few.select(word.alias("__w"), mask.alias("__m")).groupBy("__w").agg(F.bit_or("__m").alias("__m"))
-    word, mask = spot(F.col(key))
-    near = big.join(F.broadcast(table), (word == F.col("__w")) & (F.col("__m").bitwiseAND(mask) == mask)).drop("__w", "__m")
-    return near.join(few, F.col(key) == F.col(few_key))
-
-
 def attach(big: DataFrame, few: DataFrame, key: str, few_key: str) -> DataFrame:
     """Left join of big with few on a key; rows of big that a bounded Bloom filter rejects pass straight, without a shuffle."""
     n = few.count()

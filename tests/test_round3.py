@@ -5,7 +5,7 @@ from compare import both
 
 from lodestar import catalog
 from lodestar.functions import text
-from lodestar.operators import graph
+from lodestar.operators import graph, linking
 
 
 def documents(spark, tmp_path, texts):
@@ -48,3 +48,12 @@ def test_first_letter_stays_one(spark, tmp_path, first):
 def test_capitals_are_one_letter(spark):
     rows = spark.createDataFrame([(c,) for c in text._WIDE], "c string").select("c", text.capital("c").alias("u"))
     assert {len(r["u"]) for r in rows.collect()} == {1}
+
+
+def test_titles_meet_pages_by_runs_of_words(spark):
+    """Titles that share their longest word do not all meet every page that has it."""
+    say = lambda i: f"conglomerates like {chr(97 + i)} grow"
+    pages = spark.createDataFrame([(f"p/{i}", f"On {say(i)}.") for i in range(20)], "id string, content string")
+    titles = spark.createDataFrame([(i, say(i), f"t/{i}") for i in range(20)], "nth int, title string, target string")
+    assert linking.met(pages, titles).count() == 20
+    assert {(r["id"], *r["targets"]) for r in linking.injected(pages, titles).collect()} == {(f"p/{i}", f"t/{i}") for i in range(20)}
