@@ -40,7 +40,9 @@ def _summed(dim: int):
             lists = batch.column(1)
             digests = lists.flatten()
             width = -(-dim // 128) * 16
-            raw = np.frombuffer(b"".join(digests.to_pylist()), np.uint8).reshape(-1, width)
+            # digests lie one after another in the batch's own memory
+            at = np.frombuffer(digests.buffers()[1], np.int64 if pa.types.is_large_binary(digests.type) else np.int32)[digests.offset : digests.offset + len(digests) + 1] if len(digests) else [0, 0]
+            raw = np.frombuffer(digests.buffers()[2], np.uint8)[at[0] : at[-1]].reshape(-1, width) if at[-1] > at[0] else np.zeros((0, width), np.uint8)
             ends = np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))])
             sums = np.zeros((batch.num_rows, dim), np.int64)
             for k in range(batch.num_rows):

@@ -65,3 +65,22 @@ def test_mentions_fold_a_text_once(spark):
     assert [tuple(r) for r in edit.mentions(pages, titles).collect()] == [("p", "t/1")]
     plan = edit.mentions(pages, titles)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array(lower(content") == 1  # the text was folded for each title, in a filter and again in the answer
+
+
+def test_digests_are_read_in_place():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from lodestar.operators import vectors
+
+    raw = np.random.default_rng(0).integers(0, 256, (200_000, 16), np.uint8)
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(100)]), pa.array([[r.tobytes() for r in raw[i : i + 2000]] for i in range(0, 200_000, 2000)], pa.list_(pa.binary()))], names=["id", "digests"])
+    tracemalloc.start()
+    (out,) = vectors._summed(64)([batch.slice(7)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    bits = np.unpackbits(raw, axis=1)[:, :64].reshape(100, 2000, 64).astype(int)
+    assert out.column(1).to_pylist() == (2 * bits - 1).sum(1)[7:].tolist()
+    assert peak < 4 << 20  # 13 MB where every digest became an object
