@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import FILTER_WORDS, drop_path, only, shared_dir, ship  # noqa: F401  operators take them from here
@@ -36,17 +38,70 @@ def folded(text):
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
+#: Edges that a task unites at once; no more of them than this are united by one task at the end.
+UNITED = 1 << 18
+
+
+def united(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, root) that connect what edges (u, v) connect; a root is the smallest node of its tree."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            break
+        # larger roots go below the smallest root they meet; then every node to its root
+        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+    own = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[own], nodes[root[own]]
+
+
+def _forest(e: DataFrame, count: Observation) -> DataFrame:
+    """Edges (u, v) of the same components, no more than nodes in every UNITED edges of a task: where a task has no more, each node once, with its root; counted."""
+    kinds = [e.schema[c].dataType.simpleString() for c in ("u", "v")]
+
+    def run(batches):
+        held, n = [], 0
+
+        def out():
+            u, v = united(*(pa.chunked_array([b.column(k) for b in held]).to_numpy() for k in (0, 1)))
+            return pa.RecordBatch.from_arrays([pa.array(u, held[0].column(0).type), pa.array(v, held[0].column(1).type)], names=["u", "v"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, UNITED):
+                part = batch.slice(at, UNITED)
+                if n + part.num_rows > UNITED:
+                    yield out()
+                    held, n = [], 0
+                held.append(part)
+                n += part.num_rows
+        if held:
+            yield out()
+
+    ship(e.sparkSession)
+    return e.mapInArrow(run, f"u {kinds[0]}, v {kinds[1]}").observe(count, F.count(F.lit(1)).alias("n"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of edges (a, b): the smallest node reachable.
 
-    Alternating large-star and small-star rounds, each written to the shared folder, until every
-    edge leads from a node to its root; edges that already do take no round. A large star
-    pre-aggregates the minimum by node, so a hub is never gathered in one task: the join on the hub
-    is one that Spark may split.
+    Tasks unite the edges that they hold; up to UNITED edges that are left go to one task, which ends it.
+    More take alternating large-star and small-star rounds, each written to the shared folder, until
+    every edge leads from a node to its root or so few are left. A large star pre-aggregates the minimum
+    by node, so a hub is never gathered in one task: the join on the hub is one that Spark may split.
     """
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = written(e, "cc")
+    e, count = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), Observation()
+    e = written(_forest(e, count), "cc")
     while True:
+        if count.get["n"] <= UNITED:
+            nxt = written(_forest(e.coalesce(1), Observation()), "cc")
+            drop_written(e)
+            e = nxt
+            break
         # settled: nobody has two roots, or a root and followers
         roles = e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("v", F.lit(0), F.lit(1)))
         if roles.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)").isEmpty():
@@ -59,7 +114,8 @@ def components(edges: DataFrame) -> DataFrame:
         low2 = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m").hint("rebalance")
         small = large.join(low2, F.col("u") == F.col("k"))
         pairs = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
-        nxt = written(pairs.where("u <> v").distinct(), "cc")
+        count = Observation()
+        nxt = written(_forest(pairs.where("u <> v").distinct(), count), "cc")
         drop_written(e)
         e = nxt
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

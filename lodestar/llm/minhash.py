@@ -229,7 +229,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     leading = leading.join(many, F.col("bucket") == F.col("k"))
     second = _loose(leading.where(F.col("n") <= BLOCK).select("bucket", F.col("a").alias("id"), "sketch"), ["bucket"])
     star = leading.where(F.col("n") > BLOCK).select("a", F.col("least").alias("b"))
-    pairs = first.select("a", "b").union(second.select("a", "b")).union(star).where("a <> b").distinct()
+    pairs = first.select("a", "b").union(second.select("a", "b")).union(star).where("a <> b")
     loose = written(components(pairs).select(F.col("node").alias("rep"), F.col("component").alias("loose")), "loose")
     groups = loose.groupBy("loose").agg(F.count("*").alias("rows"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
