@@ -26,6 +26,8 @@ from ..sources.versions import Versioned
 DIM, MOST_DIM = 64, 4096
 #: Bounds: components of all centres together, cells of an index, rows a cell that centres are learned from, parts that cells are stored in.
 CENTRES, MOST_CELLS, ROWS_A_CELL, PARTS = 1 << 22, 1 << 16, 64, 256
+#: Components of the vectors, and of the questions, that meet in one task.
+MET = 1 << 20
 TABLE = "part int, kind int, cell int, id string, n long, near double, far double, spread double, embedding array<double>"
 
 
@@ -170,6 +172,39 @@ def _parts(centres: np.ndarray, most: int) -> np.ndarray:
     return ((heads**2).sum(1) - 2 * centres @ heads.T).argmin(1)
 
 
+def _nearest_of(k: int, dim: int):
+    """The k nearest rows of a slice (id, embedding) for every question (question, q, last), ties by id; none farther than last."""
+
+    def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        names, ids, far, at = asked.column("question"), [], [], []
+        if rows.num_rows and asked.num_rows:
+            flat = lambda t, c: t.column(c).combine_chunks().flatten().to_numpy().reshape(-1, dim)
+            x, q, own = flat(rows, "embedding"), flat(asked, "q"), rows.column("id").to_pylist()
+            last = asked.column("last").to_numpy()
+            last = np.where(np.isnan(last), np.inf, last)
+            xx, qq = (x**2).sum(1), (q**2).sum(1)
+            # products choose the rows whose distances are then taken component by component
+            slack = 1e-11 * dim * (xx.max() + qq)
+            step = max(1, (1 << 22) // len(x))
+            for a in range(0, len(q), step):
+                part = qq[a : a + step, None] + xx - 2 * q[a : a + step] @ x.T
+                most = np.partition(part, k - 1, 1)[:, k - 1] if len(x) > k else np.full(len(part), np.inf)
+                most = np.minimum(most, last[a : a + step] ** 2 * (1 + 1e-9)) + 2 * slack[a : a + step]
+                for i in np.flatnonzero((part <= most[:, None]).any(1)):
+                    near = np.flatnonzero(part[i] <= most[i])
+                    d = np.sqrt(np.add.accumulate((x[near] - q[a + i]) ** 2, 1)[:, -1])
+                    if len(near) > k:
+                        some = d <= np.partition(d, k - 1)[k - 1]
+                        near, d = near[some], d[some]
+                    best = sorted(zip(d.tolist(), (own[j] for j in near)))[:k]
+                    far += [b[0] for b in best]
+                    ids += [b[1] for b in best]
+                    at += [a + int(i)] * len(best)
+        return pa.table({"question": names.take(pa.array(at, pa.int64())).combine_chunks().cast(pa.string()), "id": pa.array(ids, pa.string()), "distance": pa.array(far, pa.float64())})
+
+    return run
+
+
 class VectorIndex:
     """Vectors (id, embedding) at a path, in versions that are swapped as a whole."""
 
@@ -274,35 +309,52 @@ class VectorIndex:
         return nearest(self._of(part[take], cell[take]))
 
     def ask_all(self, questions: DataFrame, k: int = 10) -> DataFrame:
-        """(question, id, distance, rank): the k nearest, exactly, of every question (question, embedding), by joins on cells.
+        """(question, id, distance, rank): the k nearest, exactly, of every question (question, embedding): questions go to the parts of the cells that they need.
 
-        The first join takes the nearest cells, of 4k vectors, the second the cells that the first list does
-        not rule out. Questions of another length give nothing.
+        At first these are the nearest cells, of 4k vectors, then the cells that the first list does not rule
+        out. A slice of a part meets a block of questions in one task, as matrices. Questions of another
+        length, or with a component that is null or not finite, give nothing.
         """
         known = self._cells()
         schema = "question string, id string, distance double, rank int"
         if known is None or not known[0]:
             return self.spark.createDataFrame([], schema)
         dim, _, _, cell, n, _, far, centres = known
+        part = known[2]
         ship(self.spark)
-        table = self.table.read(self._known[0]).where("kind = 1").select(F.col("cell").alias("__cell"), "id", "embedding")
-        asked = saved(questions.select(F.col("question").cast("string").alias("question"), F.col("embedding").cast("array<double>").alias("q")).where(F.size("q") == dim), "asked")
-
-        def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = F.col("embedding").cast("array<double>")
+        fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+        asked = questions.select(F.col("question").cast("string").alias("question"), v.alias("q")).where((F.size("q") == dim) & F.coalesce(fine, F.lit(False)))
+        asked = saved(asked, "asked")
+        blocks = max(1, -(-asked.count() * dim // MET))
+        # slices of each part, by the number of its vectors
+        slices = np.maximum(1, -(-np.bincount(part, weights=n).astype(np.int64) * dim // MET))
+        table = self.table.read(self._known[0]).where("kind = 1").select("part", "id", "embedding")
+        own = F.element_at(F.array(*[F.lit(int(x)) for x in slices]), F.col("part") + 1)
+        table = table.select("part", F.pmod(F.xxhash64("id"), own).cast("int").alias("slice"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "id", "embedding")
+
+        def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for name, q, last in zip(*(c.to_pylist() for c in batch.columns)):
+                rows, to, nth = [], [], []
+                for i, (q, last) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
                     away = np.sqrt(((centres - np.array(q)) ** 2).sum(1))
                     if last is None:
                         order = np.argsort(away, kind="stable")
                         take = order[: int(np.searchsorted(np.cumsum(n[order]), 4 * k)) + 1]
                     else:
                         take = np.flatnonzero(away - far <= last * (1 + 1e-9) + 1e-12)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(take), pa.string()), pa.array(cell[take], pa.int32())], names=["question", "cell"])
+                    for p in np.unique(part[take]):
+                        rows += [i] * slices[p]
+                        to += [p] * slices[p]
+                        nth += range(slices[p])
+                cols = [pa.array(to, pa.int32()), pa.array(nth, pa.int32())]
+                yield pa.RecordBatch.from_arrays([*cols, *(batch.column(c).take(pa.array(rows, pa.int64())) for c in range(3))], names=["part", "slice", "question", "q", "last"])
 
         def listed(limits: DataFrame) -> DataFrame:
-            pairs = limits.mapInArrow(cells, "question string, cell int")
-            met = pairs.join(table, F.col("cell") == F.col("__cell")).join(asked.withColumnRenamed("question", "__of"), F.col("question") == F.col("__of"))
-            met = met.select("question", "id", distance(F.col("embedding"), F.col("q")).alias("distance"))
+            pairs = limits.mapInArrow(parts, "part int, slice int, question string, q array<double>, last double")
+            pairs = pairs.withColumn("block", F.pmod(F.xxhash64("question"), F.lit(blocks)).cast("int"))
+            keys = ["part", "slice", "block"]
+            met = table.groupBy(*keys).cogroup(pairs.groupBy(*keys)).applyInArrow(_nearest_of(k, dim), "question string, id string, distance double")
             return met.withColumn("rank", F.row_number().over(Window.partitionBy("question").orderBy("distance", "id"))).where(F.col("rank") <= k)
 
         first = listed(asked.select("question", "q", F.lit(None).cast("double").alias("last")))
