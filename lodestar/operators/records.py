@@ -14,6 +14,10 @@ SIGNALS = ["not", "never", "no longer", "instead", "rather than", "unlike", "con
 SIGNAL = rf"(?i)(^|[^\p{{L}}\p{{N}}_])(?:{'|'.join(SIGNALS)})([^\p{{L}}\p{{N}}_]|$)"
 
 
+#: Tokens of claims that every task may hold.
+CLAIMED = 1 << 17
+
+
 def drift(manifest: DataFrame, sources: DataFrame) -> DataFrame:
     """(ref, state) of sources that are new, changed or deleted against what was known."""
     both = manifest.join(sources, F.col("key") == F.col("ref"), "full_outer")
@@ -76,10 +80,15 @@ def sentences(df: DataFrame, c: str) -> DataFrame:
 def contradictions(claims: DataFrame, pages: DataFrame, overlap: int = 2, most: int = 5) -> DataFrame:
     """(claim, part, id, nth): for each sentence of a claim and each page, the first of the page's first `most` sentences that share tokens with it, of which just one side is negated.
 
-    claims has few rows by contract (claim, text); their tokens meet the pages' in an equal join.
+    claims has few rows by contract (claim, text): up to CLAIMED tokens of theirs go to every task, and a
+    page's sentences are counted where they are read, without a shuffle. Of more, or where ids repeat,
+    tokens meet the pages' in an equal join.
     """
     parts = sentences(claims.select("claim", "text"), "text").select("claim", F.col("nth").alias("part"), F.col("sentence").rlike(SIGNAL).alias("no"), text.significant("sentence").alias("terms"))
     c = parts.where(F.size("terms") >= 2).select("claim", "part", "no", F.explode("terms").alias("term"))
+    few = c.limit(CLAIMED + 1).toArrow().combine_chunks()
+    if few.num_rows <= CLAIMED and claims.groupBy("claim").count().where("count > 1 OR claim IS NULL").isEmpty():
+        return _met_in_place(few, claims.schema['claim'].dataType.simpleString(), pages, overlap, most)
     s = sentences(pages.select("id", text.unmarked("content").alias("content")), "content").select("id", "nth", F.col("sentence").rlike(SIGNAL).alias("has"), F.explode(text.significant("sentence")).alias("t"))
     met = s.join(c, F.col("t") == F.col("term")).groupBy("claim", "part", "id", "nth", "no", "has").agg(F.count("*").alias("n")).where(F.col("n") >= overlap)
     # at most as many candidates as sentences of a page stand in a group
@@ -87,6 +96,58 @@ def contradictions(claims: DataFrame, pages: DataFrame, overlap: int = 2, most:
     return first.where(F.col("no") != F.col("has")).groupBy("claim", "part", "id").agg(F.min("nth").alias("nth"))
 
 
+def _met_in_place(claimed, kind: str, pages: DataFrame, overlap: int, most: int) -> DataFrame:
+    """contradictions() with the tokens of all claims (claim, part, no, term), an Arrow table, in every task."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    terms = claimed.column("term").combine_chunks().dictionary_encode() if claimed.num_rows else pa.array([], pa.string()).dictionary_encode()
+    heads = claimed.select(["claim", "part", "no"]).group_by(["claim", "part", "no"], use_threads=False).aggregate([])
+    of = {k: i for i, k in enumerate(zip(*(heads.column(c).to_pylist() for c in ("claim", "part"))))}
+    owner = np.array([of[k] for k in zip(*(claimed.column(c).to_pylist() for c in ("claim", "part")))], np.int64)
+    code = terms.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    owner = owner[np.argsort(code, kind="stable")]
+    known, n, size = terms.dictionary, len(of), np.bincount(code, minlength=len(terms.dictionary))
+    begin = np.cumsum(size) - size
+    no = np.array(heads.column("no").to_pylist(), bool)
+    claim, part = heads.column("claim").combine_chunks(), heads.column("part").combine_chunks()
+
+    def run(batches):
+        for batch in batches:
+            told = batch.column(1)
+            has, lists = told.flatten().flatten()
+            page = np.repeat(np.arange(batch.num_rows), pc.list_value_length(told).to_numpy(zero_copy_only=False).astype(np.int64))
+            first = np.concatenate([[0], np.cumsum(np.bincount(page, minlength=batch.num_rows))])
+            word = pc.fill_null(pc.index_in(lists.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False)
+            at = np.repeat(np.arange(len(page)), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+            at, word = at[word >= 0], word[word >= 0]
+            pairs, step = [np.zeros(0, np.int64)], max(1, (1 << 22) // max(n, 1))
+            for a in range(0, len(page), step):
+                lo, hi = np.searchsorted(at, [a, a + step])
+                w = word[lo:hi]
+                k = size[w]
+                own = owner[np.repeat(begin[w] - np.cumsum(k) + k, k) + np.arange(k.sum())]
+                shared = np.bincount(np.repeat(at[lo:hi] - a, k) * n + own, minlength=1)
+                pairs.append(np.flatnonzero(shared >= overlap) + a * n)
+            found = np.concatenate(pairs)
+            at, own = found // max(n, 1), found % max(n, 1)
+            group = page[at] * n + own
+            order = np.argsort(group, kind="stable")
+            at, own, group = at[order], own[order], group[order]
+            new = np.append(True, group[1:] != group[:-1])[: len(group)]
+            nth = np.arange(len(group)) - np.maximum.accumulate(np.where(new, np.arange(len(group)), 0))
+            keep = (nth < most) & (has.to_numpy(zero_copy_only=False)[at] != no[own])
+            at, own, group = at[keep], own[keep], group[keep]
+            one = np.append(True, group[1:] != group[:-1])[: len(group)]
+            at, own = at[one], pa.array(own[one])
+            yield pa.RecordBatch.from_arrays([claim.take(own), part.take(own), batch.column(0).take(pa.array(page[at])), pa.array((at - first[page[at]]).astype(np.int32))], names=["claim", "part", "id", "nth"])
+
+    cut = F.transform(F.split(text.unmarked("content"), r"(?<=[.!?])\s+"), F.trim)
+    told = F.transform(cut, lambda x: F.struct(x.rlike(SIGNAL).alias("has"), text.significant(x).alias("terms")))
+    return pages.select("id", F.coalesce(told, F.array().cast("array<struct<has:boolean,terms:array<string>>>")).alias("told")).mapInArrow(run, f"claim {kind}, part int, id {pages.schema['id'].dataType.simpleString()}, nth int")
+
+
 def failing(verdicts: DataFrame) -> DataFrame:
     """(page) of pages with a failed check, each once."""
     return verdicts.where("verdict = 'fail'").select("page").distinct()
