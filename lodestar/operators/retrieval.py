@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
-from ..session import saved
+from ..session import saved, ship
 
 #: Weights of BM25, times a title counts, constant of the fusion.
 K1, B, TITLE, RRF = 1.5, 0.75, 3, 60
@@ -61,16 +61,34 @@ def bm25(pages: DataFrame, question: str, title: bool = True) -> DataFrame:
 def write_index(pages: DataFrame, path: str, title: bool = True, buckets: int = 64) -> None:
     """Postings (term, id, tf, dl) by buckets of terms, sorted by term, and one row of totals, as tables below path.
 
-    Pages are read once; a question reads the row groups of its own terms in their buckets.
+    Pages are read once, and a page's terms are counted where it is read; a row without a term stands for
+    the page itself. A question reads the row groups of its own terms in their buckets.
     """
+    import numpy as np
+    import pyarrow as pa
+
+    def counted(batches):
+        for batch in batches:
+            lists = batch.column(2)
+            words = lists.flatten().dictionary_encode()
+            size = np.diff(lists.offsets.to_numpy())
+            many = max(1, len(words.dictionary))
+            code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            key, tf = np.unique(np.repeat(np.arange(batch.num_rows), size) * many + code, return_counts=True)
+            # the row of a page itself comes after those of its terms
+            own = pa.array(np.concatenate([key // many, np.arange(batch.num_rows)]))
+            term = pa.concat_arrays([words.dictionary.take(pa.array(key % many)), pa.nulls(batch.num_rows, words.dictionary.type)])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), term, pa.array(np.concatenate([tf, np.zeros(batch.num_rows, np.int64)]))], names=["id", "dl", "term", "tf"])
+
+    ship(pages.sparkSession)
     found = text.tokens("content")
     if title:
         found = F.concat(F.flatten(F.array_repeat(text.tokens("title"), TITLE)), found)
-    words = pages.select("id", found.alias("w")).select("id", F.size("w").alias("dl"), F.explode_outer("w").alias("term"))
-    p = words.groupBy("id", "dl", "term").agg(F.count("term").alias("tf")).withColumn("bucket", _bucket(F.coalesce("term", F.lit("")), buckets))
+    words = pages.select("id", found.alias("w")).select("id", F.size("w").alias("dl"), F.coalesce("w", F.array().cast("array<string>")).alias("w"))
+    p = words.mapInArrow(counted, f"id {pages.schema['id'].dataType.simpleString()}, dl int, term string, tf long").withColumn("bucket", _bucket(F.coalesce("term", F.lit("")), buckets))
     # a bucket is cut by pages too, so that a frequent term is in many tasks
     p.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    lengths = pages.sparkSession.read.parquet(f"{path}/postings").select("id", "dl").distinct()
+    lengths = pages.sparkSession.read.parquet(f"{path}/postings").where((F.col("bucket") == _bucket(F.lit(""), buckets)) & F.col("term").isNull())
     lengths.agg(F.count("*").alias("total"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avgdl"), F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/totals")
 
 
