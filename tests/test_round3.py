@@ -84,3 +84,19 @@ def test_digests_are_read_in_place():
     bits = np.unpackbits(raw, axis=1)[:, :64].reshape(100, 2000, 64).astype(int)
     assert out.column(1).to_pylist() == (2 * bits - 1).sum(1)[7:].tolist()
     assert peak < 4 << 20  # 13 MB where every digest became an object
+
+
+def test_cycles_of_two_links_take_no_components(spark, monkeypatch):
+    e = spark.createDataFrame([("b", "a"), ("a", "b"), ("b", "c"), ("c", "d"), ("d", "b"), ("d", "c"), ("x", "x"), ("a", "x"), ("a", "b")], "src string, dst string")
+    monkeypatch.setattr(graph, "strong_components", None)
+    assert [tuple(r) for r in graph.cycles(e, 2).collect()] == [(2, "a > b"), (2, "c > d")]
+    assert [tuple(r) for r in graph.cycles(e, 2, most=1).collect()] == [(2, "a > b"), (0, "__truncated__")]
+
+
+def test_rounds_of_components_broadcast_nothing(spark, monkeypatch):
+    """Small tables of many rounds would all go through the driver."""
+    plans = []
+    monkeypatch.setattr(graph, "saved", lambda df, what="table", own=graph.saved: plans.append(df._jdf.queryExecution().executedPlan().toString()) or own(df, what))
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d")], "src string, dst string")
+    assert {tuple(r) for r in graph.strong_components(e).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("d", "d"), ("e", "d")}
+    assert plans and not [p for p in plans if "Broadcast" in p]
