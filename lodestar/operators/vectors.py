@@ -9,6 +9,7 @@ to hold its answers, or, exactly, all cells that its best answers so far do not
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 from collections.abc import Iterator
@@ -26,14 +27,16 @@ from ..sources.versions import Versioned
 DIM, MOST_DIM = 64, 4096
 #: Bounds: components of all centres together, cells of an index, rows a cell that centres are learned from, parts that cells are stored in.
 CENTRES, MOST_CELLS, ROWS_A_CELL, PARTS = 1 << 22, 1 << 16, 64, 256
+#: Pages whose terms' digests are laid out at once.
+AT_ONCE = 64
 #: Components of the vectors, and of the questions, that meet in one task.
 MET = 1 << 20
 TABLE = "part int, kind int, cell int, id string, n long, near double, far double, spread double, embedding array<double>"
 
 
-def _digests(term: Column, dim: int) -> Column:
+def _digest(term: bytes, dim: int) -> bytes:
     """As many bits as there are components: digests of the term, numbered, 128 bits each."""
-    return F.concat(*[F.unhex(F.md5(F.concat(F.lit(f"{k}:"), term))) for k in range(-(-dim // 128))])
+    return b"".join(hashlib.md5(b"%d:%s" % (k, term)).digest() for k in range(-(-dim // 128)))
 
 
 def _summed(dim: int):
@@ -57,6 +60,28 @@ def _summed(dim: int):
     return run
 
 
+def _vectors(dim: int):
+    """(id, embedding) of batches (id, terms): a batch's distinct terms are digested once."""
+    summed = _summed(dim)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            words = lists.flatten().dictionary_encode()
+            digests = pa.array([_digest(t, dim) for t in words.dictionary.cast(pa.binary()).to_pylist()], pa.binary())
+            ends = np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))]).astype(np.int32)
+            for a in range(0, batch.num_rows, AT_ONCE):
+                part = ends[a : a + AT_ONCE + 1]
+                own = pa.ListArray.from_arrays(pa.array(part - part[0]), digests.take(words.indices.slice(part[0], part[-1] - part[0])))
+                (out,) = summed([pa.RecordBatch.from_arrays([batch.column(0).slice(a, AT_ONCE), own], names=["id", "digests"])])
+                x = out.column(1).flatten().to_numpy().reshape(-1, dim).astype(float)
+                length = np.sqrt((x**2).sum(1, keepdims=True))  # squares of whole numbers: exact in any order
+                x = np.divide(x, length, out=np.zeros_like(x), where=length > 0)
+                yield pa.RecordBatch.from_arrays([out.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * dim), pa.array(x.ravel()))], names=["id", "embedding"])
+
+    return run
+
+
 def unit(sums: Column) -> Column:
     """A vector at length 1; a vector of length 0 stays."""
     length = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
@@ -72,8 +97,8 @@ def embedded(pages: DataFrame, dim: int = DIM, content: str = "content") -> Data
     if not 1 <= dim <= MOST_DIM:
         raise ValueError(f"dim must be 1 to {MOST_DIM}")
     ship(pages.sparkSession)
-    terms = pages.select(F.col("id").cast("string").alias("id"), F.transform(text.tokens(F.coalesce(F.col(content), F.lit(""))), lambda t: _digests(t, dim)).alias("digests"))
-    return terms.mapInArrow(_summed(dim), "id string, sums array<long>").select("id", unit(F.col("sums")).alias("embedding"))
+    terms = pages.select(F.col("id").cast("string").alias("id"), text.tokens(F.coalesce(F.col(content), F.lit(""))).alias("terms"))
+    return terms.mapInArrow(_vectors(dim), "id string, embedding array<double>")
 
 
 def embedded_by(pages: DataFrame, terms: DataFrame, content: str = "content") -> DataFrame:
@@ -225,13 +250,17 @@ class VectorIndex:
         v = F.col("embedding").cast("array<double>")
         fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         rows = vectors.select(F.col("id").cast("string").alias("id"), v.alias("embedding")).where(F.coalesce(fine, F.lit(False)))
-        lengths = rows.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
+        # vectors may be costly to make, so they are made once
+        made = saved(rows, "vectors")
+        lengths = made.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
         if lengths is None:
+            drop_saved(made)
             return self.table.replace(self.spark.createDataFrame([], TABLE), note=json.dumps({"dim": 0, "flat": 0.0}))
         dim, n = lengths
         if not 1 <= dim <= MOST_DIM:
+            drop_saved(made)
             raise ValueError(f"vectors must have 1 to {MOST_DIM} components, not {dim}")
-        rows = saved(rows.where(F.size("embedding") == dim), "vectors")
+        rows = made.where(F.size("embedding") == dim)
         k = max(1, min(cells or round(math.sqrt(n)), n, MOST_CELLS, CENTRES // dim))
         scale = 1 << 20
         sample = rows if n <= k * ROWS_A_CELL else rows.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(scale)) < int(scale * k * ROWS_A_CELL / n))
@@ -254,7 +283,7 @@ class VectorIndex:
         body = body.select("part", F.lit(1).alias("kind"), "cell", "id", F.lit(1).cast("long").alias("n"), "near", F.col("near").alias("far"), F.lit(0.0).alias("spread"), "embedding")
         out = heads.unionByName(body).repartitionByRange("part", "kind", "cell", "near").sortWithinPartitions("part", "kind", "cell", "near")
         version = self.table.replace(out, note=json.dumps({"dim": int(dim), "flat": flat}), by=["part"])
-        for scratch in (rows, sample, dealt):
+        for scratch in (made, sample, dealt):
             drop_saved(scratch)
         return version
 

@@ -100,3 +100,39 @@ def test_rounds_of_components_broadcast_nothing(spark, monkeypatch):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d")], "src string, dst string")
     assert {tuple(r) for r in graph.strong_components(e).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("d", "d"), ("e", "d")}
     assert plans and not [p for p in plans if "Broadcast" in p]
+
+
+def test_an_index_makes_its_vectors_once(spark, tmp_path):
+    from lodestar.operators import vectors
+
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([(str(i), [float(i), 1.0] if i % 5 else [1.0]) for i in range(40)], "id string, embedding array<double>")
+    index = vectors.VectorIndex(spark, str(tmp_path / "index"))
+    index.build(rows.mapInArrow(counted, rows.schema))
+    assert made.value == 40
+    assert [r["id"] for r in index.ask([7.0, 1.0], 3, exact=True).orderBy("distance", "id").collect()] == ["7", "6", "8"]
+
+
+def test_a_batch_digests_a_term_once(monkeypatch):
+    import hashlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    from lodestar.operators import vectors
+
+    asked = []
+    monkeypatch.setattr(vectors, "_digest", lambda t, dim, own=vectors._digest: asked.append(t) or own(t, dim))
+    lists = [["a", "é", "a"], [], ["b"] * 3 + ["a"]] * 50
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(150)]), pa.array(lists, pa.list_(pa.string()))], names=["id", "terms"]).slice(1)
+    out = pa.Table.from_batches(list(vectors._vectors(200)([batch])))
+    bits = lambda t: np.unpackbits(np.frombuffer(b"".join(hashlib.md5(f"{k}:{t}".encode()).digest() for k in range(2)), np.uint8))[:200].astype(float)
+    want = [sum((2 * bits(t) - 1 for t in ts), np.zeros(200)) for ts in lists[1:]]
+    assert out.column("embedding").to_pylist() == [(w / max(np.sqrt((w**2).sum()), 1e-300)).tolist() for w in want]
+    assert out.column("id").to_pylist() == [str(i) for i in range(1, 150)] and len(asked) == 3
