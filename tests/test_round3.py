@@ -136,3 +136,30 @@ def test_a_batch_digests_a_term_once(monkeypatch):
     want = [sum((2 * bits(t) - 1 for t in ts), np.zeros(200)) for ts in lists[1:]]
     assert out.column("embedding").to_pylist() == [(w / max(np.sqrt((w**2).sum()), 1e-300)).tolist() for w in want]
     assert out.column("id").to_pylist() == [str(i) for i in range(1, 150)] and len(asked) == 3
+
+
+def test_slugs_are_shuffled_as_numbers(spark, monkeypatch):
+    """Every string of a slug took the slug, its id and the string through two shuffles, and every candidate pair both slugs."""
+    import random
+
+    from lodestar.operators import lint
+
+    rng = random.Random(3)
+    ids = {"".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 40))) for _ in range(60)}
+    ids |= {x[:-2] + "zz" for x in ids} | {x.upper() for x in list(ids)[:9]} | {"a_b", "a-b", "a-c"}
+    plans = []
+    monkeypatch.setattr(lint, "saved", lambda df, what="table", own=lint.saved: plans.append((what, df._jdf.queryExecution().executedPlan().toString())) or own(df, what))
+    got = lint.alike_slugs(spark.createDataFrame([(x,) for x in ids], "id string")).collect()
+
+    def far(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    fold = {x: x.lower().replace("_", "-") for x in ids}
+    want = {(a, b, d) for a in ids for b in ids if a < b and abs(len(a) - len(b)) <= 3 and 1 <= (d := far(fold[a], fold[b])) <= 3}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert [what for what, _ in plans] == ["ids", "slugs", "keys"]  # the strings themselves were a table too
