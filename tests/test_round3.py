@@ -163,3 +163,38 @@ def test_slugs_are_shuffled_as_numbers(spark, monkeypatch):
     want = {(a, b, d) for a in ids for b in ids if a < b and abs(len(a) - len(b)) <= 3 and 1 <= (d := far(fold[a], fold[b])) <= 3}
     assert {tuple(r) for r in got} == want and len(got) == len(want)
     assert [what for what, _ in plans] == ["ids", "slugs", "keys"]  # the strings themselves were a table too
+
+
+def test_no_task_goes_through_all_calls(spark, monkeypatch):
+    """All calls were one segment, which one task sorted; order, window and what runs have had must hold from piece to piece, also inside one second."""
+    import random
+    from collections import defaultdict, deque
+
+    from pyspark.sql import functions as F
+
+    from lodestar.operators import augment
+
+    monkeypatch.setattr(augment, "PIECE", 120, raising=False)
+    rng, calls, at = random.Random(11), [], 10_000
+    for i in range(900):
+        at += 0 if 300 < i < 420 else rng.choice([0, 0, 1, 20, 70]) if i != 600 else 500
+        calls.append((rng.choice([None, *range(25)]), rng.choice([None, "a", "b", "c"]), i, at))
+    frame = lambda rows: spark.createDataFrame(rows, "run int, host string, entry long, at long")
+    got = augment.fetch_limited(frame(rng.sample(calls, len(calls)) + [(1, "a", 900, None)]), 5, 2, 6, 100)
+    every, hosts, runs, want = deque(), defaultdict(deque), defaultdict(int), {}
+    for run, host, i, at in calls:
+        for q in (every, hosts[host]):
+            while q and q[0] < at - 100:
+                q.popleft()
+        full = every if len(every) >= 5 else hosts[host] if len(hosts[host]) >= 2 else None
+        ok = runs[run] < 6 and full is None
+        want[i] = (ok, 0 if runs[run] >= 6 or full is None else max(1, full[0] + 100 - at + 1))
+        if ok:
+            every.append(at)
+            hosts[host].append(at)
+            runs[run] += 1
+    assert {r["entry"]: (r["accepted"], r["retry"]) for r in got.collect()} == want
+    assert sum(n >= 6 for n in runs.values()) > 5 and sum(w > 0 for _, w in want.values()) > 100
+    held = [r["n"] for r in got.groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+    assert sum(held) == 900 and max(held) <= 200
+    assert augment.fetch_limited(frame([])).count() == 0
